@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import langid, quality, toxicity
+from tempora.llm import bpe, fingerprint, langid, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_pairs(documents(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op5_fingerprint, op6_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
