@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, fingerprint, langid, quality, toxicity
+from tempora.llm import bpe, fingerprint, langid, quality, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,8 +35,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_words(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op5_fingerprint, op6_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op5_fingerprint, op6_bpe, op9_suffix_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
