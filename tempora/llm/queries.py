@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, fingerprint, langid, quality, substring_dedup, suffix_dedup, toxicity
+from tempora.llm import bpe, fingerprint, jaccard_join, langid, quality, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_pairs(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op5_fingerprint, op6_bpe, op9_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op9_suffix_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
