@@ -28,24 +28,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
-from tempora.llm.anchors import Passages, flagged, passages
-from tempora.llm.shared import written
+from tempora.llm.anchors import Passages, holders, keyed, members, own_id, passages, repeated_contexts, senders, signed
 
 SIZE, SPAN, GRAM = 20, 13, 8  # the context has SIZE - SPAN + 1 = GRAM words
 
 
-def find(col) -> Iterator[tuple[int, tuple[T.Words, np.ndarray], Passages]]:
-    """(first row, (words, their hashes), passages in words) of each chunk of a text column."""
+def find(col) -> Iterator[tuple[int, T.Words, Passages]]:
+    """(first row, words, passages in words) of each chunk of a text column."""
     for i, _, buf, offs in T.chunks(col, 4 << 20):
         w = T.Words(buf, offs)
         h = w.hashes()
-        n = len(h)
-        if n < SIZE:
-            e = np.zeros(0, np.int64)
-            yield i, (w, h), Passages(e, e, e, e, e.astype(np.uint64))
-            continue
-        grams = T.window_hash(h, GRAM)
-        yield i, (w, h), passages(grams, w.bounds, n, SIZE, SPAN, lambda a, g=grams: g[a])
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * T.powers(T._WBASE, len(h)), out=sums[1:])
+        inv = T.powers(T._WBASE_INV, len(sums))
+        spell = lambda a, e, sums=sums, inv=inv: T.mix((sums[e] - sums[a]) * inv[a] + (e - a).astype(np.uint64))
+        order = (T.window_hash(h, GRAM) >> T.U(32)).astype(np.uint32)
+        yield i, w, passages(order, w.bounds, len(h), SIZE, SPAN, spell)
 
 
 # -- index ----------------------------------------------------------------------------
@@ -162,59 +160,53 @@ class FMIndex:
 # -- tasks ----------------------------------------------------------------------------
 
 
-def _passage_rows(parts: int):
-    """Flagged documents -> place rows, and passage rows with the words (once per task) and the earliest place."""
+def _sent(parts: int):
+    """Senders -> the words of each passage, once per task, with its earliest place there, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tempora.llm.suffix_dedup import _pairs_in
-
-        names = ["part", "context", "passage", "doc_id", "key", "at", "words"]
         seen: dict[tuple[int, int], list] = {}
-        kind = None
 
         def flush():
-            if seen:
-                rows = [(c % parts, c, p, *v) for (c, p), v in seen.items()]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind), pa.nulls(len(rows), pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], names=names)
-                seen.clear()
+            rows = [(c % parts, c, p, *v) for (c, p), v in seen.items()]
+            seen.clear()
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "context", "passage", "slot", "at", "words"])
 
         for b in batches:
-            ids, keys, lists = b.column(0), b.column(2).to_numpy(), b.column(3)
-            kind = ids.type
-            lo, values = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.int64)
-            pyids = ids.to_pylist()
-            for i, (w, h), p in find(b.column(1)):
-                if not len(p.doc):
-                    continue
-                want = _pairs_in(i + p.doc, p.context.view(np.int64), i, len(w.count), lo, values)
-                doc, anchor, first, last, context = (x[want] for x in p)
-                end = last + SIZE
-                hs = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * T.powers(T._WBASE, len(h)), out=hs[1:])
-                passage = T.mix((hs[end] - hs[first]) * T.powers(T._WBASE_INV, len(hs))[first] + ((anchor - first) + 64 * (end - first)).astype(np.uint64)).view(np.int64)
-                context = context.view(np.int64)
-                at = first - w.bounds[doc]
+            slots = b.column(0).to_pylist()
+            for i, w, p in find(b.column(2)):
+                want = members(p.context, i + p.doc, b.column(3), i, len(w.count)) | members(p.context, i + p.doc, b.column(4), i, len(w.count))
+                p = Passages(*(x[want] for x in p))
                 raw = w.buf.tobytes()
-                for c, s, d, t, f, e in zip(context.tolist(), passage.tolist(), doc.tolist(), at.tolist(), w.start[first].tolist(), w.end[end - 1].tolist(), strict=True):
-                    me = (pyids[i + d], t)
+                at = p.first - w.bounds[p.doc]
+                for c, s, d, t, f, e in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.doc.tolist(), at.tolist(), w.start[p.first].tolist(), w.end[p.last + SIZE - 1].tolist(), strict=True):
+                    me = (slots[i + d], t)
                     got = seen.get((c, s))
                     if got is None:
                         seen[c, s] = [*me, raw[f:e]]
-                    elif me[0] is not None and (got[0] is None or me < (got[0], got[1])):
+                    elif me < (got[0], got[1]):
                         got[:2] = me
-                n = len(doc)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(context), pa.array(passage), ids.take(pa.array(i + doc)), pa.array(keys[i + doc]), pa.array(at.astype(np.int32)), pa.nulls(n, pa.binary())], names=names)
                 if len(seen) > 200_000:
-                    yield from flush()
-        yield from flush()
+                    yield flush()
+        if seen:
+            yield flush()
 
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the passages of repeated contexts lie."""
+    for b in batches:
+        slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for i, w, p in find(b.column(2)):
+            want = members(p.context, i + p.doc, b.column(3), i, len(w.count))
+            doc = p.doc[want]
+            yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - w.bounds[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
+
+
 def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Earliest occurrence of each window of each distinct passage of a shard."""
-    rows = rows.sort_values(["doc_id", "at"], kind="stable").drop_duplicates(["context", "passage"])  # the first is the earliest
+    rows = rows.sort_values(["slot", "at"], kind="stable").drop_duplicates(["context", "passage"])  # the first is the earliest
     number: dict[bytes, int] = {}
     texts, bounds = [], [0]
     for words in rows["words"]:
@@ -222,7 +214,7 @@ def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bounds.append(len(texts))
     text, cut = np.array(texts, np.int64), np.array(bounds)
     index = FMIndex(text, cut, SIZE)
-    ids, at = rows["doc_id"].to_numpy(), rows["at"].to_numpy().astype(np.int64)
+    ids, at = rows["slot"].to_numpy(), rows["at"].to_numpy().astype(np.int64)
     # places of all positions in reading order: rows are in order of their starts, but passages of a document overlap
     own = np.repeat(np.arange(len(rows)), np.diff(cut))
     pos = at[own] + np.arange(len(text)) - cut[own]
@@ -238,23 +230,21 @@ def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     source = order[found]  # text position of the earliest occurrence; found < 0 holds no window
     who, where = ids[own[source]], pos[source]
     n = np.diff(cut) - SIZE + 1
-    first_id = [who[a : a + k].tolist() for a, k in zip(cut[:-1], n, strict=True)]
+    first_slot = [who[a : a + k].tolist() for a, k in zip(cut[:-1], n, strict=True)]
     first_at = [where[a : a + k].tolist() for a, k in zip(cut[:-1], n, strict=True)]
-    return pd.DataFrame({"context": rows["context"].to_numpy(), "passage": rows["passage"].to_numpy(), "first_id": first_id, "first_at": first_at})
-
-
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, spots): starts of the windows of each document that also start earlier."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    both = flagged(base, find).select("doc_id", "text", "key", "contexts").mapInArrow(_passage_rows(parts), f"part int, context long, passage long, doc_id {kind}, key long, at int, words binary")
-    both = written(both)  # once written, twice read
-    found = both.where("part is not null").select("part", "context", "passage", "doc_id", "at", "words").groupBy("part").applyInPandas(_search_shard, f"context long, passage long, first_id array<{kind}>, first_at array<long>")
-    places = both.where("part is null").select("context", "passage", "doc_id", "key", "at")
-    earlier = F.transform("first_id", lambda d, j: (d < F.col("doc_id")) | ((d == F.col("doc_id")) & (F.element_at("first_at", (j + 1).cast("int")) < F.col("at") + j)))
+    return pd.DataFrame({"context": rows["context"].to_numpy(), "passage": rows["passage"].to_numpy(), "first_slot": first_slot, "first_at": first_at})
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """(slot, mark, spots): starts of the windows of keyed rows that also start earlier."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts = repeated_contexts(rows, find)
+    sent = senders(rows, contexts).mapInArrow(_sent(parts), "part int, context long, passage long, slot long, at int, words binary")
+    found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, first_slot array<long>, first_at array<long>")
+    places = holders(rows, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
+    earlier = F.transform("first_slot", lambda d, j: (d < F.col("slot")) | ((d == F.col("slot")) & (F.element_at("first_at", j + 1) < F.col("at") + j)))
     starts = F.filter(F.transform(earlier, lambda hit, j: F.when(hit, F.col("at") + j)), lambda x: x.isNotNull())
-    return places.join(found, ["context", "passage"]).select("doc_id", "key", starts.alias("starts")).where(F.size("starts") > 0).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("starts")).alias("spots"))
+    return places.join(found, ["context", "passage"]).select("slot", "mark", starts.alias("starts")).where(F.size("starts") > 0).groupBy("slot", "mark").agg(F.flatten(F.collect_list("starts")).alias("spots"))
 
 
 def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,23 +254,19 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for b in batches:
             total, gone_n, sha = [], [], []
             for t, spots in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = (t or "").encode().split()  # bytes.split cuts at exactly \x20 and \x09-\x0D
-                gone = 0
-                n = len(words)
+                words = t.encode().split()  # bytes.split cuts at exactly \x20 and \x09-\x0D
+                gone, n = 0, len(words)
                 if spots:
-                    d = np.zeros(n + 1, np.int32)
-                    d[spots] = 1
-                    covered = T.covered(np.flatnonzero(d), SIZE, n)
+                    flags = np.zeros(n + 1, bool)
+                    flags[spots] = True
+                    covered = T.covered(np.flatnonzero(flags), SIZE, n)
                     gone = int(covered.sum())
                     words = compress(words, (~covered).tolist())
                 total.append(n)
                 gone_n.append(gone)
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    found = repeats(base).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spots")
-    keyed = base.withColumn("_mine", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_key")), "left")
-    return joined.select("doc_id", "text", "spots").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(sha, pa.string())], names=["slot", "n_words", "n_removed", "kept_sha256"])
+
+    rows = keyed(docs, doc_id, text)
+    out = rows.join(repeats(rows), ["slot", "mark"], "left").select("slot", "text", "spots").mapInArrow(run, "slot long, n_words long, n_removed long, kept_sha256 string")
+    return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_words", "n_removed", "kept_sha256")

@@ -1,8 +1,8 @@
 """Suffix-array deduplication of byte strings that occur more than once.
 
 Every byte covered by a ``size``-byte string that also starts anywhere else is removed.  The
-suffixes worth sorting are those at anchors (see ``anchors``) whose context repeats.  Each task
-sorts its suffixes into a run, front-coded by the common prefix with the suffix before; runs are
+suffixes worth sorting are those at anchors (see ``anchors``) whose context repeats; equal ones are
+merged by their hash first, as a combiner does.  Each task sorts its suffixes into a run, front-coded by the common prefix with the suffix before; runs are
 exchanged by a hash of the context, which all candidates for a match share, so that each partition
 merges one slice of the suffix array.  A loser tree merges the runs: its nodes keep the common
 prefix with the string that beat them, and no byte of a known prefix is compared again.  Common
@@ -23,30 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
-from tempora.llm.anchors import Passages, flagged, passages
-from tempora.llm.shared import written
+from tempora.llm.anchors import NO_ID, Passages, holders, keyed, members, own_id, passages, repeated_contexts, senders, signed
 
 SIZE, SPAN, GRAM = 400, 128, 32
 CONTEXT = SIZE - SPAN + 1
 RUN_BYTES = 48 << 20
 
 
-def find(col, size: int = SIZE, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray], Passages]]:
-    """(first row, (bytes, offsets, prefix hashes), passages) of each chunk of a text column."""
+def find(col, size: int = SIZE, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], Passages]]:
+    """(first row, (bytes, offsets), passages) of each chunk of a text column."""
     for i, _, buf, offs in T.chunks(col, 2 << 20):
-        n = len(buf)
         h = T.prefix_hash(buf)
-        if n < size:
-            e = np.zeros(0, np.int64)
-            yield i, (buf, offs, h), Passages(e, e, e, e, e.astype(np.uint64))
-            continue
-        m = n - gram + 1
-        grams = T.mix((h[gram:] - h[:m]) * T.powers(T._BASE_INV, n + 1)[:m])
-        yield i, (buf, offs, h), passages(grams, offs, n, size, span, lambda a, h=h: T.range_hash(h, a, a + (size - span + 1)))
+        yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span, lambda a, e, h=h: T.range_hash(h, a, e))
 
 
 # -- sorted runs ----------------------------------------------------------------------
@@ -150,7 +143,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, bytes]]:
 # -- tasks ----------------------------------------------------------------------------
 
 _RUN = "part int, n int, lcp binary, tail_n binary, tails binary, left_n binary, lefts binary, context binary, passage binary, copies binary"
-_PLACE = "context long, passage long, doc_id {0}, key long, at int"
+_BINARY = ("lcp", "tail_n", "tails", "left_n", "lefts", "context", "passage", "copies")
 
 
 def _encode_run(part: int, rows: list[tuple[bytes, bytes, int, int, int]]) -> dict:
@@ -164,66 +157,50 @@ def _encode_run(part: int, rows: list[tuple[bytes, bytes, int, int, int]]) -> di
 
 
 def _sorted_runs(parts: int):
-    """Flagged documents -> run rows and place rows (the columns of the other kind are null)."""
+    """Senders -> front-coded sorted runs of the suffixes at their anchors, by partition."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in _BINARY)])
+
+    def encoded(seen: dict) -> pa.RecordBatch:
+        by: dict[int, list] = {}
+        for (context, passage), (right, left, n) in seen.items():
+            by.setdefault(context % parts, []).append((right, left, context, passage, n))
+        runs = [_encode_run(p, rows) for p, rows in by.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in runs], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         seen: dict[tuple[int, int], list] = {}
         held = 0
-
-        def flush():
-            by: dict[int, list] = {}
-            for (context, passage), (right, left, n) in seen.items():
-                by.setdefault(context % parts, []).append((right, left, context, passage, n))
-            return [_encode_run(p, rows) for p, rows in by.items()]
-
         for b in batches:
-            ids, keys = b.column(0), b.column(2).to_numpy()
-            lists = b.column(3)
-            lo = np.asarray(lists.offsets)
-            values = np.asarray(lists.values).astype(np.int64)
-            if schema is None:
-                schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("lcp", "tail_n", "tails", "left_n", "lefts", "run_context", "run_passage", "copies")), ("context", pa.int64()), ("passage", pa.int64()), ("doc_id", ids.type), ("key", pa.int64()), ("at", pa.int32())])
-            for i, (buf, offs, h), p in find(b.column(1)):
-                if not len(p.doc):
-                    continue
-                rows = i + p.doc
-                want = _pairs_in(rows, p.context.view(np.int64), i, len(offs) - 1, lo, values)
-                doc, anchor, first, last, context = (x[want] for x in p)
-                passage = T.mix(T.range_hash(h, first, last + SIZE) + (anchor - first).astype(np.uint64)).view(np.int64)
-                context = context.view(np.int64)
+            for i, (buf, offs), p in find(b.column(2)):
+                mixed, alone = (members(p.context, i + p.doc, b.column(k), i, len(offs) - 1) for k in (3, 4))
+                copies = np.where(alone, 2, 1)[mixed | alone]  # one that stands for others counts as more than one
+                p = Passages(*(x[mixed | alone] for x in p))
                 raw = buf.tobytes()
-                for c, s, a, f, e in zip(context.tolist(), passage.tolist(), anchor.tolist(), first.tolist(), (last + SIZE).tolist(), strict=True):
+                for c, s, a, f, e, n in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.anchor.tolist(), p.first.tolist(), (p.last + SIZE).tolist(), copies.tolist(), strict=True):
                     got = seen.get((c, s))
                     if got is None:
-                        seen[c, s] = [raw[a:e], raw[f:a], 1]
-                        held += e - f + 200
+                        seen[c, s] = [raw[a:e], raw[f:a], n]
+                        held += e - f + 300
                     else:
-                        got[2] += 1
-                n = len(doc)
-                nulls = [pa.nulls(n, f.type) for f in list(schema)[:10]]
-                yield pa.RecordBatch.from_arrays([*nulls, pa.array(context), pa.array(passage), ids.take(pa.array(i + doc)), pa.array(keys[i + doc]), pa.array((first - offs[doc]).astype(np.int32))], schema=schema)
+                        got[2] += n
                 if held > RUN_BYTES:
-                    yield _run_batch(flush(), schema)
+                    yield encoded(seen)
                     seen.clear()
                     held = 0
         if seen:
-            yield _run_batch(flush(), schema)
+            yield encoded(seen)
 
     return run
 
 
-def _run_batch(runs: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    names = {"run_context": "context", "run_passage": "passage"}
-    cols = [pa.array([r[names.get(f.name, f.name)] for r in runs], f.type) for f in list(schema)[:10]]
-    return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(runs), f.type) for f in list(schema)[10:])], schema=schema)
-
-
-def _pairs_in(rows: np.ndarray, context: np.ndarray, i: int, n: int, lo: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """True where a passage's context is in the list of its row."""
-    mine = values[lo[i] : lo[i + n]].view(np.uint64)
-    owner = np.repeat(np.arange(i, i + n), np.diff(lo[i : i + n + 1]))
-    return np.isin(T.salted(context.view(np.uint64), rows), T.salted(mine, owner))
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the passages of repeated contexts lie."""
+    for b in batches:
+        slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for i, (_, offs), p in find(b.column(2)):
+            want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
+            doc = p.doc[want]
+            yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - offs[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
 
 
 def repeated_windows(entries: list[tuple[bytes, bytes, int, int]], lcp: list[int], size: int = SIZE, context: int = CONTEXT) -> list[np.ndarray]:
@@ -265,7 +242,7 @@ def _merge_part(_: tuple, runs: pd.DataFrame) -> pd.DataFrame:
     for r in runs.itertuples(index=False):
         decoded.append(Run(np.frombuffer(r.lcp, "<u2"), np.frombuffer(r.tail_n, "<u2"), r.tails))
         cut = np.concatenate([[0], np.cumsum(np.frombuffer(r.left_n, "<u2").astype(np.int64))]).tolist()
-        extra.append((r.lefts, cut, *(np.frombuffer(x, "<i8").tolist() for x in (r.run_context, r.run_passage, r.copies))))
+        extra.append((r.lefts, cut, *(np.frombuffer(x, "<i8").tolist() for x in (r.context, r.passage, r.copies))))
     entries, lcps, names, at = [], [], [], {}
     for h, run, i, text in merge(decoded):
         lefts, cut, context, passage, copies = extra[run]
@@ -284,35 +261,33 @@ def _merge_part(_: tuple, runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep], "mask": [np.packbits(masks[k]).tobytes() for k in keep]}).astype({"context": "int64", "passage": "int64"})
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, spots): for each document with repeats, (first window start, packed window flags) of its passages."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    schema = _RUN.replace(" context", " run_context").replace(" passage", " run_passage") + ", " + _PLACE.format(kind)
-    # written once, read twice: as runs to merge and as places to look up
-    both = flagged(base, find).select("doc_id", "text", "key", "contexts").mapInArrow(_sorted_runs(parts), schema)
-    both = written(both)
-    merged = both.where("part is not null").select("part", "n", "lcp", "tail_n", "tails", "left_n", "lefts", "run_context", "run_passage", "copies").groupBy("part").applyInPandas(_merge_part, "context long, passage long, mask binary")
-    places = both.where("part is null").select("context", "passage", "doc_id", "key", "at")
-    return places.join(merged, ["context", "passage"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
+def repeats(rows: DataFrame) -> DataFrame:
+    """(slot, mark, spots): (start, window flags) of the passages of keyed rows in which windows repeat."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts = repeated_contexts(rows, find)
+    merged = senders(rows, contexts).mapInArrow(_sorted_runs(parts), _RUN).groupBy("part").applyInPandas(_merge_part, "context long, passage long, mask binary")
+    places = holders(rows, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
+    return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
-def removed(n: int, spots: list[dict] | None, size: int = SIZE) -> np.ndarray:
-    """True for each byte of a text of n bytes that lies in a repeated window."""
-    d = np.zeros(n + 1, np.int32)
-    for s in spots or ():
-        hit = np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], np.uint8))) + s["at"]
-        d[hit] += 1
-        d[hit + size] -= 1
-    return np.cumsum(d)[:n] > 0
+def removed(n: int, at: list[int], masks: list[bytes], size: int = SIZE) -> np.ndarray:
+    """True for each of n bytes that a repeated window covers; masks hold the window flags from each start on."""
+    flags = np.zeros(n + 1 + SPAN, bool)
+    for a, m in zip(at, masks, strict=True):
+        f = np.unpackbits(np.frombuffer(m, np.uint8)).view(bool)
+        flags[a : a + len(f)] |= f[: len(flags) - a]
+    return T.covered(np.flatnonzero(flags[: n + 1]), size, n)
 
 
-def _with_spots(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    found = repeats(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spots").alias("_spots"))
-    keyed = docs.withColumn("_mine", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
-    return keyed.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_key")), "left").drop("_id", "_key", "_mine")
+def _kept(b: pa.RecordBatch, text: int, spots: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(bytes, flags of the bytes removed, None for none) of each row."""
+    lists = b.column(spots)
+    lo, null = np.asarray(lists.offsets), np.asarray(lists.is_null())
+    at, masks = lists.values.field("at").to_pylist(), lists.values.field("mask").to_pylist()
+    for i, _, buf, offs in T.chunks(b.column(text)):
+        for d in range(len(offs) - 1):
+            raw, a, e = buf[offs[d] : offs[d + 1]], lo[i + d], lo[i + d + 1]
+            yield raw, None if null[i + d] or a == e else removed(len(raw), at[a:e], masks[a:e])
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,19 +295,37 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for t, spots in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (t or "").encode()
-                if spots:
-                    gone = removed(len(raw), spots)
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    row = (len(raw), int(gone.sum()), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])), kept)
+            out: list[tuple] = []
+            for raw, gone in _kept(b, 1, 2):
+                if gone is None:
+                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                 else:
-                    row = (len(raw), 0, 0, raw)
-                for o, v in zip(out, (*row[:3], hashlib.sha256(row[3]).hexdigest()), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return _with_spots(base, "doc_id", "text").select("doc_id", "text", "_spots").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                    out.append((len(raw), int(gone.sum()), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in cols[:3]), pa.array(cols[3], pa.string())], names=["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    rows = keyed(docs, doc_id, text)
+    out = rows.join(repeats(rows), ["slot", "mark"], "left").select("slot", "text", "spots").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with all their columns, the repeated bytes gone from their texts.
+
+    Bytes of a character that is cut are dropped with it.
+    """
+    rows = keyed(docs, doc_id, text)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = columns.index(text)
+            new = [(raw if gone is None else raw[~gone]).tobytes().decode("utf-8", "ignore") for raw, gone in _kept(b, k, len(columns))]
+            texts = pa.array(new, pa.string())
+            if b.column(k).null_count:
+                texts = pa.compute.if_else(b.column(k).is_null(), pa.scalar(None, pa.string()), texts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], texts, *b.columns[k + 1 : len(columns)]], names=columns)
+
+    found = repeats(rows).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
+    own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_slot")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_mark"))
+    return docs.join(found, own, "left").select(*columns, "_spots").mapInArrow(run, docs.schema)

@@ -117,6 +117,15 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return h
 
 
+def gram_order(h: np.ndarray, n: int) -> np.ndarray:
+    """A 32-bit value for each run of n bytes (from its prefix hashes) by which minima are taken."""
+    m = max(0, len(h) - n)
+    x = (h[n:] - h[:m]) * powers(_BASE_INV, len(h))[:m]
+    x ^= x >> U(32)
+    x *= U(0xD6E8FEB86659FD93)
+    return (x >> U(32)).astype(np.uint32)
+
+
 def range_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range [start, end), independent of where it lies."""
     inv = powers(_BASE_INV, len(h))
@@ -178,16 +187,14 @@ def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost minimum of v[i:i+w] for each i with a whole window."""
+    """Index of the leftmost minimum of v[i:i+w] for each i with a whole window; v: 32-bit values."""
     m = len(v) - w + 1
     if m <= 0:
         return np.zeros(0, np.int64)
-    val, idx, have = v, np.arange(len(v), dtype=np.int32), 1
+    # value above index: the least word has the least value, and the leftmost place among equals
+    best, have = (v.astype(np.uint64) << U(32)) | np.arange(len(v), dtype=np.uint64), 1
     while have < w:
         step = min(have, w - have)
-        a, b = val[:-step], val[step:]
-        right = b < a
-        val = np.where(right, b, a)
-        idx = np.where(right, idx[step:], idx[:-step])
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return idx.astype(np.int64)[:m]
+    return (best & U(0xFFFFFFFF)).astype(np.int64)[:m]
