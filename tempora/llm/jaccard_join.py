@@ -197,7 +197,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocks(rows: DataFrame, kind: str, side: str) -> DataFrame:
     size = rows.groupBy("center").agg(F.count("*").alias("n"))
     cut = rows.join(size, "center").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    packed = cut.select("center", "block", "node", "component", "grams").groupBy("center", "block").applyInPandas(_pack, f"center {kind}, block long, nodes array<{kind}>, comps array<{kind}>, sizes array<int>, grams binary")
+    packed = cut.select("center", "block", "node", "component", "grams").repartition("center", "block").groupBy("center", "block").applyInPandas(_pack, f"center {kind}, block long, nodes array<{kind}>, comps array<{kind}>, sizes array<int>, grams binary")
     return packed.select("center", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "nodes", "comps", "sizes", "grams")))
 
 
