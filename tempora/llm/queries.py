@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, quality, substring_dedup, suffix_dedup, toxicity
+from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mixing_rates(documents(spark, sf_dir), labels, mixing.TARGETS, anchor="good")
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_texts(documents(spark, sf_dir))
 
@@ -52,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op8_lm_score, op9_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op7_mixing, op8_lm_score, op9_suffix_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
