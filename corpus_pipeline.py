@@ -1,3 +1,59 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline: documents through quality rules, near-copy removal, repeat removal, mixing and BPE encoding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are
+written as Parquet in the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tempora.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
+from tempora.llm.shared import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.quality_filter(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by n-gram Jaccard similarity."""
+    return jaccard_join.drop_near_copies(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the long byte strings that occur more than once."""
+    out = suffix_dedup.drop_repeats(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of the labelled domains ask for."""
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mix(docs, labels, mixing.TARGETS, anchor="good")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids beside the columns of the documents."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing to target weights", mixed),
+    ("BPE encoding", encoded),
+]
+
+#: SQL cannot express the learned mixing or BPE merges; tests hold run() against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
