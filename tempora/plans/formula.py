@@ -178,15 +178,15 @@ class Sweep(Timed):
         return (self.part,)
 
     def __str__(self) -> str:
-        return "{}[{}, {}]({})".format(type(self).__name__[0], *self.bounds(), self.part)
+        return "{}[{}, {}]({})".format(self.letter, *self.bounds(), self.part)
 
 
 class Globally(Sweep):
-    pass
+    letter = "G"
 
 
 class Eventually(Sweep):
-    pass
+    letter = "F"
 
 
 @dataclass(frozen=True)
