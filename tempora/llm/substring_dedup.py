@@ -24,6 +24,7 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ SIZE, SPAN, GRAM = 20, 13, 8  # the context has SIZE - SPAN + 1 = GRAM words
 
 def find(col) -> Iterator[tuple[int, T.Words, Passages]]:
     """(first row, words, passages in words) of each chunk of a text column."""
-    for i, _, buf, offs in T.chunks(col, 4 << 20):
+    for i, _, buf, offs in T.chunks(col):
         w = T.Words(buf, offs)
         h = w.hashes()
         sums = np.zeros(len(h) + 1, np.uint64)
@@ -75,14 +76,15 @@ class WaveletMatrix:
             self.levels.append((BitVector(bit.astype(bool)), int(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start of the symbol's run on the last level, its positions mapped from lo, from hi)."""
-        start = np.zeros_like(lo)
+    def rank(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """Places mapped level by level down the symbols' paths; differences to the symbol's start are its ranks."""
+        out = list(places)
         for k, (bits, zeros) in enumerate(self.levels):
             one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            r = [bits.rank1(x) for x in (start, lo, hi)]
-            start, lo, hi = (np.where(one, zeros + ones, x - ones) for x, ones in zip((start, lo, hi), r, strict=True))
-        return start, lo, hi
+            for j, x in enumerate(out):
+                ones = bits.rank1(x)
+                out[j] = np.where(one, zeros + ones, x - ones)
+        return out
 
 
 class FMIndex:
@@ -98,28 +100,29 @@ class FMIndex:
         whole[inside] = texts
         rank = whole + m
         rank[at] = np.arange(m)
-        _, rank = np.unique(rank, return_inverse=True)
-        size, h, ranks = n + m, 1, {}
-        longest = int(np.diff(bounds).max(initial=0)) + 1
+        size, h, ranks = n + m, 1, {1: rank}
+        longest = int(np.diff(bounds).max(initial=0))
         while True:
-            ranks[h] = rank
-            if h >= longest:
-                break
             nxt = np.zeros(size, np.int64)
             nxt[:-h] = rank[h:] + 1
-            key = rank * np.int64(size + 1) + nxt
-            order = np.argsort(key, kind="stable")
-            new = np.empty(size, np.int64)
-            new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-            rank, h = new, 2 * h
-        self.sa = np.empty(size, np.int64)
-        self.sa[rank] = np.arange(size)
+            key = rank * np.int64(max(size, int(rank.max(initial=0))) + 2) + nxt
+            last = 2 * h >= longest  # texts that agree so far are whole and equal, and keep the order of their separators
+            order = np.argsort(key, kind="stable" if last else None)
+            rank = np.empty(size, np.int64)
+            rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
+            h *= 2
+            ranks[h] = rank
+            if last:
+                break
+        self.sa = order
         sigma = int(texts.max(initial=0))
         self.bwt = WaveletMatrix(whole[self.sa - 1], max(1, sigma.bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(whole, minlength=sigma + 1))])  # separators sort first
+        every = np.arange(sigma + 1)
+        self.start = self.bwt.rank(every, np.zeros(sigma + 1, np.int64))[0]
         self.window = window
         h = max(k for k in ranks if k <= window - 1)
-        pair = lambda length: ranks[h] * np.int64(size + 1) + np.append(ranks[h][length - h :], np.zeros(length - h, np.int64))[:size]
+        pair = lambda length: ranks[h] * np.int64(int(ranks[h].max(initial=0)) + 2) + np.append(ranks[h][length - h :], np.zeros(length - h, np.int64))[:size]
         self.full, self.short = (self._intervals(pair(k)) for k in (window, window - 1))
 
     def _intervals(self, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +135,9 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + pattern."""
-        start, a, b = self.bwt.rank(symbol, lo, hi)
-        base = self.first[symbol]
-        return base + a - start, base + b - start
+        a, b = self.bwt.rank(symbol, lo, hi)
+        base = self.first[symbol] - self.start[symbol]
+        return base + a, base + b
 
     def earliest(self, texts: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndarray:
         """For each window of the given texts, which the index holds, the least ``place`` of its occurrences.
@@ -160,18 +163,27 @@ class FMIndex:
 # -- tasks ----------------------------------------------------------------------------
 
 
+_SENT = "part int, context binary, passage binary, slot binary, at binary, words binary"
+
+
+def _packed(seen: dict[tuple[int, int], list], parts: int) -> pa.RecordBatch:
+    """One compressed row a shard: passages in order of their words, so that like ones lie together."""
+    by: dict[int, list] = {}
+    for (context, passage), (slot, at, words) in seen.items():
+        by.setdefault(context % parts, []).append((words, context, passage, slot, at))
+    rows = []
+    for part, items in by.items():
+        words, *numbers = zip(*sorted(items), strict=True)
+        rows.append((part, *(np.array(x, "<i8").tobytes() for x in numbers), zstandard.compress(b"\n".join(words), 1)))
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "context", "passage", "slot", "at", "words"])
+
+
 def _sent(parts: int):
     """Senders -> the words of each passage, once per task, with its earliest place there, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
-
-        def flush():
-            rows = [(c % parts, c, p, *v) for (c, p), v in seen.items()]
-            seen.clear()
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "context", "passage", "slot", "at", "words"])
-
         for b in batches:
             slots = b.column(0).to_pylist()
             for i, w, p in find(b.column(2)):
@@ -183,13 +195,14 @@ def _sent(parts: int):
                     me = (slots[i + d], t)
                     got = seen.get((c, s))
                     if got is None:
-                        seen[c, s] = [*me, raw[f:e]]
+                        seen[c, s] = [*me, b" ".join(raw[f:e].split())]
                     elif me < (got[0], got[1]):
                         got[:2] = me
-                if len(seen) > 200_000:
-                    yield flush()
+                if len(seen) > 100_000:
+                    yield _packed(seen, parts)
+                    seen.clear()
         if seen:
-            yield flush()
+            yield _packed(seen, parts)
 
     return run
 
@@ -205,46 +218,59 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Earliest occurrence of each window of each distinct passage of a shard."""
-    rows = rows.sort_values(["slot", "at"], kind="stable").drop_duplicates(["context", "passage"])  # the first is the earliest
+    """Earliest occurrences of the windows of each distinct passage of a shard, as runs of windows that go on together."""
+    context, passage, slot, at = (np.concatenate([np.frombuffer(x, "<i8") for x in rows[c]]) for c in ("context", "passage", "slot", "at"))
+    spelled = [w for x in rows["words"] for w in zstandard.decompress(x).split(b"\n")]
+    order = np.lexsort((at, slot, passage, context))
+    new = np.ones(len(order), bool)
+    new[1:] = (context[order][1:] != context[order][:-1]) | (passage[order][1:] != passage[order][:-1])
+    keep = order[new]  # one row a passage, its earliest
+    context, passage, slot, at = (x[keep] for x in (context, passage, slot, at))
     number: dict[bytes, int] = {}
-    texts, bounds = [], [0]
-    for words in rows["words"]:
-        texts.extend(number.setdefault(w, len(number) + 1) for w in words.split())
+    texts: list[int] = []
+    bounds = [0]
+    for k in keep.tolist():
+        words = spelled[k].split()
+        for w in words:
+            if w not in number:
+                number[w] = len(number) + 1
+        texts += map(number.__getitem__, words)
         bounds.append(len(texts))
     text, cut = np.array(texts, np.int64), np.array(bounds)
+    del spelled, texts
     index = FMIndex(text, cut, SIZE)
-    ids, at = rows["slot"].to_numpy(), rows["at"].to_numpy().astype(np.int64)
-    # places of all positions in reading order: rows are in order of their starts, but passages of a document overlap
-    own = np.repeat(np.arange(len(rows)), np.diff(cut))
-    pos = at[own] + np.arange(len(text)) - cut[own]
-    order = np.lexsort((pos, ids[own]))
-    place = np.empty(len(text), np.int64)
-    place[order] = np.arange(len(text))
-    whole = np.full(len(text) + len(rows), np.iinfo(np.int64).max)
-    sep = cut[1:] + np.arange(len(rows))
+    ids, who = np.unique(slot, return_inverse=True)
+    own = np.repeat(np.arange(len(keep)), np.diff(cut))
+    place = (who[own] << 32) | (at[own] + np.arange(len(text)) - cut[own])  # documents in order, then words in order
+    whole = np.full(len(text) + len(keep), np.iinfo(np.int64).max)
     inside = np.ones(len(whole), bool)
-    inside[sep] = False
+    inside[cut[1:] + np.arange(len(keep))] = False
     whole[inside] = place
     found = index.earliest(text, cut, whole)
-    source = order[found]  # text position of the earliest occurrence; found < 0 holds no window
-    who, where = ids[own[source]], pos[source]
-    n = np.diff(cut) - SIZE + 1
-    first_slot = [who[a : a + k].tolist() for a, k in zip(cut[:-1], n, strict=True)]
-    first_at = [where[a : a + k].tolist() for a, k in zip(cut[:-1], n, strict=True)]
-    return pd.DataFrame({"context": rows["context"].to_numpy(), "passage": rows["passage"].to_numpy(), "first_slot": first_slot, "first_at": first_at})
+    holds = np.flatnonzero(found >= 0)
+    f, o = found[holds], own[holds]
+    begins = np.ones(len(holds), bool)
+    begins[1:] = (f[1:] != f[:-1] + 1) | (o[1:] != o[:-1])
+    b = np.flatnonzero(begins)
+    length = np.diff(np.append(b, len(holds)))
+    rows_of = np.searchsorted(o[b], np.arange(len(keep) + 1))
+    j, first_slot, first_at = (holds - cut[o])[b], ids[f[b] >> 32], f[b] & 0xFFFFFFFF
+    lists = [np.split(x, rows_of[1:-1]) if len(keep) else [] for x in (j, length, first_slot, first_at)]
+    return pd.DataFrame({"context": context, "passage": passage, **dict(zip(("j", "n", "first_slot", "first_at"), lists, strict=True))})
 
 
 def repeats(rows: DataFrame) -> DataFrame:
     """(slot, mark, spots): starts of the windows of keyed rows that also start earlier."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     contexts = repeated_contexts(rows, find)
-    sent = senders(rows, contexts).mapInArrow(_sent(parts), "part int, context long, passage long, slot long, at int, words binary")
-    found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, first_slot array<long>, first_at array<long>")
+    sent = senders(rows, contexts).mapInArrow(_sent(parts), _SENT)
+    found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, j array<int>, n array<int>, first_slot array<long>, first_at array<int>")
     places = holders(rows, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
-    earlier = F.transform("first_slot", lambda d, j: (d < F.col("slot")) | ((d == F.col("slot")) & (F.element_at("first_at", j + 1) < F.col("at") + j)))
-    starts = F.filter(F.transform(earlier, lambda hit, j: F.when(hit, F.col("at") + j)), lambda x: x.isNotNull())
-    return places.join(found, ["context", "passage"]).select("slot", "mark", starts.alias("starts")).where(F.size("starts") > 0).groupBy("slot", "mark").agg(F.flatten(F.collect_list("starts")).alias("spots"))
+    # windows j .. j + n - 1 of a passage first occur at first_at, first_at + 1, ...: all before this place, or none
+    runs = F.arrays_zip("j", "n", "first_slot", "first_at")
+    earlier = F.filter(runs, lambda r: (r["first_slot"] < F.col("slot")) | ((r["first_slot"] == F.col("slot")) & (r["first_at"] < F.col("at") + r["j"])))
+    spots = F.transform(earlier, lambda r: F.struct((F.col("at") + r["j"]).alias("at"), r["n"].alias("n")))
+    return places.join(found, ["context", "passage"]).select("slot", "mark", spots.alias("spots")).where(F.size("spots") > 0).groupBy("slot", "mark").agg(F.flatten(F.collect_list("spots")).alias("spots"))
 
 
 def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,9 +283,11 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 words = t.encode().split()  # bytes.split cuts at exactly \x20 and \x09-\x0D
                 gone, n = 0, len(words)
                 if spots:
-                    flags = np.zeros(n + 1, bool)
-                    flags[spots] = True
-                    covered = T.covered(np.flatnonzero(flags), SIZE, n)
+                    d = np.zeros(n + 1, np.int64)
+                    for s in spots:  # windows from at on, each SIZE words
+                        d[s["at"]] += 1
+                        d[s["at"] + s["n"] - 1 + SIZE] -= 1
+                    covered = np.cumsum(d)[:n] > 0
                     gone = int(covered.sum())
                     words = compress(words, (~covered).tolist())
                 total.append(n)
