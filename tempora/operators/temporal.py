@@ -51,13 +51,19 @@ def block_extreme(rows: DataFrame, value: str, start: int, end: int, least: bool
     """
     width = end - start
     best = F.min if least else F.max
-    samples = rows.where(F.col(value).isNotNull()).select("key", F.col("t_us").alias("p"), F.col(value).alias("x"), F.lit(None).cast("long").alias("for_t"), F.lit(0).alias("side"))
-    probes = rows.select("key", F.explode(F.array(F.struct((F.col("t_us") + start).alias("p"), F.lit(1).alias("side")), F.struct((F.col("t_us") + end).alias("p"), F.lit(2).alias("side")))).alias("e"), "t_us")
-    probes = probes.select("key", F.col("e.p").alias("p"), F.lit(None).cast(rows.schema[value].dataType).alias("x"), F.col("t_us").alias("for_t"), F.col("e.side").alias("side"))
-    both = samples.unionByName(probes).withColumn("block", F.floor(F.col("p") / F.lit(width)))
+    row = F.struct(*rows.columns)
+    none = lambda kind: F.lit(None).cast(kind)
+    value_type, row_type = rows.schema[value].dataType, rows.select(row.alias("r")).schema["r"].dataType
+    # each row goes to the block of its window's begin, a mark to that of its end, and samples to their own
+    legs = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("t_us").alias("p"), F.col(value).alias("x"), none(row_type).alias("row")),
+        F.struct(F.lit(1).alias("side"), (F.col("t_us") + start).alias("p"), none(value_type).alias("x"), row.alias("row")),
+        F.struct(F.lit(2).alias("side"), (F.col("t_us") + end).alias("p"), none(value_type).alias("x"), none(row_type).alias("row")),
+    )
+    both = rows.select("key", "t_us", F.explode(legs).alias("e")).select("key", "t_us", "e.*").where("side > 0 or x is not null").withColumn("block", F.floor(F.col("p") / F.lit(width)))
     inside = Window.partitionBy("key", "block").orderBy("p")
     suffix = best("x").over(inside.rangeBetween(0, Window.unboundedFollowing))
     prefix = best("x").over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    halves = both.select("key", "for_t", "side", F.when(F.col("side") == 1, suffix).when(F.col("side") == 2, prefix).alias("x")).where("side > 0")
-    found = halves.groupBy("key", F.col("for_t").alias("t_us")).agg(best("x").alias(out))
-    return rows.join(found, ["key", "t_us"], "left")
+    halves = both.select("key", "t_us", "side", "row", F.when(F.col("side") == 1, suffix).otherwise(prefix).alias("x")).where("side > 0")
+    # brought together by key, as the windows that follow need them
+    return halves.repartition("key").groupBy("key", "t_us").agg(F.first("row", True).alias("row"), best("x").alias(out)).select("row.*", out)
