@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tempora.llm import textops as T
 
@@ -75,6 +76,10 @@ class Codec:
         self.words, self.old_words = {}, {}
         self.pieces, self.old_pieces = {}, {}
 
+    def forget(self) -> None:
+        """Gives up what was remembered: the worker process outlives its task."""
+        self.words, self.old_words, self.pieces, self.old_pieces = {}, {}, {}, {}
+
     @classmethod
     def load(cls, path: str) -> Codec:
         if path not in cls._loaded:
@@ -165,10 +170,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
         for b in batches:
             ids = pa.array([codec.encode(t) for t in T.as_strings(b.column(b.num_columns - 1)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*columns, "ids"])
+        codec.forget()
 
     if "ids" in columns:
         raise ValueError("docs has a column ids; rename it before encoding")
-    return docs.select(*columns, F.col(text).alias("_bpe_text")).mapInArrow(run, docs.schema.add("ids", "binary"))
+    return docs.select(*columns, F.col(text).alias("_bpe_text")).mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", BinaryType())]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -200,6 +206,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 one.append(sha(ids))
                 two.append(sha(codec.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20  # small temporaries: a task holds a few dozen arrays of this many elements
 
 _rng = np.random.default_rng(20240131)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -35,11 +35,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     key = int(base)
     got = _pow_cache.get(key)
     if got is None or len(got) < n:
-        size = max(n, 1 << 20)
+        size = max(n, CHUNK_BYTES + (1 << 18))
         got = np.full(size, base, np.uint64)
         got[0] = 1
         np.cumprod(got, out=got)
-        if size <= CHUNK_BYTES + (1 << 20):
+        if size <= 2 * CHUNK_BYTES:  # those of a very long text are not kept
             _pow_cache[key] = got
     return got[:n]
 
@@ -78,6 +78,7 @@ def chunks(col, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray
         j = min(j, n)
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
@@ -111,6 +112,10 @@ class Words:
         return c[self.end] - c[self.start]
 
 
+def word_counts(col) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(Words(buf, offs).count for _, _, buf, offs in chunks(col))])
+
+
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     h = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=h[1:])
