@@ -28,10 +28,10 @@ def wide(trace: DataFrame, signals: list[str], synchronize: str = "none") -> Dat
     if synchronize == "none" or len(signals) < 2:
         return rows
     past = Window.partitionBy("key").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key").orderBy("t_us").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("key").orderBy(F.desc("t_us")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that only grows
     known = lambda i: F.when(F.col(f"v_{i}").isNotNull(), F.struct("t_us", F.col(f"v_{i}").alias("v"), F.col(f"q_{i}").alias("q")))
     sides = [F.last(known(i), True).over(past).alias(f"a_{i}") for i in range(len(signals))]
-    sides += [F.first(known(i), True).over(ahead).alias(f"b_{i}") for i in range(len(signals))]
+    sides += [F.last(known(i), True).over(ahead).alias(f"b_{i}") for i in range(len(signals))]
     both = rows.select("key", "t_us", "seq", *(f"{p}_{i}" for i in range(len(signals)) for p in "vq"), *sides)
     out = []
     for i in range(len(signals)):

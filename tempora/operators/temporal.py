@@ -14,7 +14,9 @@ def ahead(start: int, end: int) -> WindowSpec:
 
 
 def from_on(start: int) -> WindowSpec:
-    return Window.partitionBy("key").orderBy("t_us").rangeBetween(start, Window.unboundedFollowing)
+    """Rows of the key from t + start microseconds on."""
+    # seen from the end, so that the frame only grows: frames open at the end are evaluated anew for each row
+    return Window.partitionBy("key").orderBy(F.desc("t_us")).rangeBetween(Window.unboundedPreceding, -start)
 
 
 def until_truth(left: Column, right: Column, start: int, end: int, reach: int) -> Column:
@@ -61,9 +63,9 @@ def block_extreme(rows: DataFrame, value: str, start: int, end: int, least: bool
         F.struct(F.lit(2).alias("side"), (F.col("t_us") + end).alias("p"), none(value_type).alias("x"), none(row_type).alias("row")),
     )
     both = rows.select("key", "t_us", F.explode(legs).alias("e")).select("key", "t_us", "e.*").where("side > 0 or x is not null").withColumn("block", F.floor(F.col("p") / F.lit(width)))
-    inside = Window.partitionBy("key", "block").orderBy("p")
-    suffix = best("x").over(inside.rangeBetween(0, Window.unboundedFollowing))
-    prefix = best("x").over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy("key", "block")
+    suffix = best("x").over(inside.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0))
+    prefix = best("x").over(inside.orderBy("p").rangeBetween(Window.unboundedPreceding, 0))
     halves = both.select("key", "t_us", "side", "row", F.when(F.col("side") == 1, suffix).otherwise(prefix).alias("x")).where("side > 0")
     # brought together by key, as the windows that follow need them
     return halves.repartition("key").groupBy("key", "t_us").agg(F.first("row", True).alias("row"), best("x").alias(out)).select("row.*", out)
