@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,25 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return base.select("slot", F.hash("text").alias("mark"), "text")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Keyed rows with their texts compressed one by one, for the exchange: it is the largest there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = pa.array([squeeze(t.encode()) for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["slot", "mark", "packed"])
+
+    # known not to be null, so that inner and outer joins plan the same exchange and share it
+    return rows.select("slot", "mark", "text").mapInArrow(run, "slot long, mark int, packed binary").where("slot is not null and mark is not null")
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The texts, as UTF-8 strings."""
+    spread = zstandard.ZstdDecompressor().decompress
+    return pa.array([spread(z) for z in column.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def own_id(kind: str) -> Column:
     return F.when(F.col("slot") != NO_ID, F.col("slot")).cast(kind)
 
@@ -122,17 +142,17 @@ def repeated_contexts(rows: DataFrame, find: Find) -> DataFrame:
     return places.join(stats, "context").groupBy("slot", "mark").agg(F.collect_list(F.struct("context", "mixed", "first_slot")).alias("repeats"))
 
 
-def senders(rows: DataFrame, repeats: DataFrame) -> DataFrame:
-    """slot, mark, text, mixed, alone: the contexts whose passages a document sends to the index.
+def senders(texts: DataFrame, repeats: DataFrame) -> DataFrame:
+    """slot, mark, packed text, mixed, alone: the contexts whose passages a document sends to the index.
 
     Passages of a mixed context are sent by every task that has them, once each; a context with
     equal passages only (``alone``) is sent by its least document, for all.
     """
     kept = lambda test: F.transform(F.filter("repeats", test), lambda r: r["context"])
     lists = repeats.select("slot", "mark", kept(lambda r: r["mixed"]).alias("mixed"), kept(lambda r: ~r["mixed"] & (r["first_slot"] == F.col("slot"))).alias("alone"))
-    return rows.join(lists.where("size(mixed) + size(alone) > 0"), ["slot", "mark"]).select("slot", "mark", "text", "mixed", "alone")
+    return texts.join(lists.where("size(mixed) + size(alone) > 0"), ["slot", "mark"]).select("slot", "mark", "packed", "mixed", "alone")
 
 
-def holders(rows: DataFrame, repeats: DataFrame) -> DataFrame:
-    """slot, mark, text, contexts: all repeated contexts of a document."""
-    return rows.join(repeats.select("slot", "mark", F.transform("repeats", lambda r: r["context"]).alias("contexts")), ["slot", "mark"]).select("slot", "mark", "text", "contexts")
+def holders(texts: DataFrame, repeats: DataFrame) -> DataFrame:
+    """slot, mark, packed text, contexts: all repeated contexts of a document."""
+    return texts.join(repeats.select("slot", "mark", F.transform("repeats", lambda r: r["context"]).alias("contexts")), ["slot", "mark"]).select("slot", "mark", "packed", "contexts")

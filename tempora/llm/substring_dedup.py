@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
-from tempora.llm.anchors import Passages, holders, keyed, members, own_id, passages, repeated_contexts, senders, signed
+from tempora.llm.anchors import Passages, holders, keyed, members, own_id, packed, passages, repeated_contexts, senders, signed, unpacked
 
 SIZE, SPAN, GRAM = 20, 13, 8  # the context has SIZE - SPAN + 1 = GRAM words
 
@@ -186,7 +186,7 @@ def _sent(parts: int):
         seen: dict[tuple[int, int], list] = {}
         for b in batches:
             slots = b.column(0).to_pylist()
-            for i, w, p in find(b.column(2)):
+            for i, w, p in find(unpacked(b.column(2))):
                 want = members(p.context, i + p.doc, b.column(3), i, len(w.count)) | members(p.context, i + p.doc, b.column(4), i, len(w.count))
                 p = Passages(*(x[want] for x in p))
                 raw = w.buf.tobytes()
@@ -211,7 +211,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the passages of repeated contexts lie."""
     for b in batches:
         slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for i, w, p in find(b.column(2)):
+        for i, w, p in find(unpacked(b.column(2))):
             want = members(p.context, i + p.doc, b.column(3), i, len(w.count))
             doc = p.doc[want]
             yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - w.bounds[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
@@ -259,13 +259,13 @@ def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"context": context, "passage": passage, **dict(zip(("j", "n", "first_slot", "first_at"), lists, strict=True))})
 
 
-def repeats(rows: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(slot, mark, spots): starts of the windows of keyed rows that also start earlier."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     contexts = repeated_contexts(rows, find)
-    sent = senders(rows, contexts).mapInArrow(_sent(parts), _SENT)
+    sent = senders(texts, contexts).mapInArrow(_sent(parts), _SENT)
     found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, j array<int>, n array<int>, first_slot array<long>, first_at array<int>")
-    places = holders(rows, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
+    places = holders(texts, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
     # windows j .. j + n - 1 of a passage first occur at first_at, first_at + 1, ...: all before this place, or none
     runs = F.arrays_zip("j", "n", "first_slot", "first_at")
     earlier = F.filter(runs, lambda r: (r["first_slot"] < F.col("slot")) | ((r["first_slot"] == F.col("slot")) & (r["first_at"] < F.col("at") + r["j"])))
@@ -279,7 +279,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone_n, sha = [], [], []
-            for t, spots in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, spots in zip(unpacked(b.column(1)).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = t.encode().split()  # bytes.split cuts at exactly \x20 and \x09-\x0D
                 gone, n = 0, len(words)
                 if spots:
@@ -296,5 +296,6 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(sha, pa.string())], names=["slot", "n_words", "n_removed", "kept_sha256"])
 
     rows = keyed(docs, doc_id, text)
-    out = rows.join(repeats(rows), ["slot", "mark"], "left").select("slot", "text", "spots").mapInArrow(run, "slot long, n_words long, n_removed long, kept_sha256 string")
+    texts = packed(rows)
+    out = texts.join(repeats(rows, texts), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, "slot long, n_words long, n_removed long, kept_sha256 string")
     return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_words", "n_removed", "kept_sha256")

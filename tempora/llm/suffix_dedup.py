@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
-from tempora.llm.anchors import NO_ID, Passages, holders, keyed, members, own_id, passages, repeated_contexts, senders, signed
+from tempora.llm.anchors import NO_ID, Passages, holders, keyed, members, own_id, packed, passages, repeated_contexts, senders, signed, unpacked
 
 SIZE, SPAN, GRAM = 400, 128, 32
 CONTEXT = SIZE - SPAN + 1
-RUN_BYTES = 48 << 20
+RUN_BYTES = 24 << 20
 
 
 def find(col, size: int = SIZE, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], Passages]]:
     """(first row, (bytes, offsets), passages) of each chunk of a text column."""
-    for i, _, buf, offs in T.chunks(col, 2 << 20):
+    for i, _, buf, offs in T.chunks(col):
         h = T.prefix_hash(buf)
         yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span, lambda a, e, h=h: T.range_hash(h, a, e))
 
@@ -171,7 +171,7 @@ def _sorted_runs(parts: int):
         seen: dict[tuple[int, int], list] = {}
         held = 0
         for b in batches:
-            for i, (buf, offs), p in find(b.column(2)):
+            for i, (buf, offs), p in find(unpacked(b.column(2))):
                 mixed, alone = (members(p.context, i + p.doc, b.column(k), i, len(offs) - 1) for k in (3, 4))
                 copies = np.where(alone, 2, 1)[mixed | alone]  # one that stands for others counts as more than one
                 p = Passages(*(x[mixed | alone] for x in p))
@@ -197,7 +197,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the passages of repeated contexts lie."""
     for b in batches:
         slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for i, (_, offs), p in find(b.column(2)):
+        for i, (_, offs), p in find(unpacked(b.column(2))):
             want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
             doc = p.doc[want]
             yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - offs[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
@@ -261,12 +261,12 @@ def _merge_part(_: tuple, runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep], "mask": [np.packbits(masks[k]).tobytes() for k in keep]}).astype({"context": "int64", "passage": "int64"})
 
 
-def repeats(rows: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(slot, mark, spots): (start, window flags) of the passages of keyed rows in which windows repeat."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     contexts = repeated_contexts(rows, find)
-    merged = senders(rows, contexts).mapInArrow(_sorted_runs(parts), _RUN).groupBy("part").applyInPandas(_merge_part, "context long, passage long, mask binary")
-    places = holders(rows, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
+    merged = senders(texts, contexts).mapInArrow(_sorted_runs(parts), _RUN).groupBy("part").applyInPandas(_merge_part, "context long, passage long, mask binary")
+    places = holders(texts, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
     return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
@@ -284,7 +284,7 @@ def _kept(b: pa.RecordBatch, text: int, spots: int) -> Iterator[tuple[np.ndarray
     lists = b.column(spots)
     lo, null = np.asarray(lists.offsets), np.asarray(lists.is_null())
     at, masks = lists.values.field("at").to_pylist(), lists.values.field("mask").to_pylist()
-    for i, _, buf, offs in T.chunks(b.column(text)):
+    for i, _, buf, offs in T.chunks(unpacked(b.column(text)) if pa.types.is_binary(b.column(text).type) else b.column(text)):
         for d in range(len(offs) - 1):
             raw, a, e = buf[offs[d] : offs[d + 1]], lo[i + d], lo[i + d + 1]
             yield raw, None if null[i + d] or a == e else removed(len(raw), at[a:e], masks[a:e])
@@ -305,7 +305,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in cols[:3]), pa.array(cols[3], pa.string())], names=["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = keyed(docs, doc_id, text)
-    out = rows.join(repeats(rows), ["slot", "mark"], "left").select("slot", "text", "spots").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts = packed(rows)
+    out = texts.join(repeats(rows, texts), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -326,6 +327,6 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 texts = pa.compute.if_else(b.column(k).is_null(), pa.scalar(None, pa.string()), texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], texts, *b.columns[k + 1 : len(columns)]], names=columns)
 
-    found = repeats(rows).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
+    found = repeats(rows, packed(rows)).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
     own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_slot")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_mark"))
     return docs.join(found, own, "left").select(*columns, "_spots").mapInArrow(run, docs.schema)
