@@ -36,6 +36,7 @@ WINDOW = 8
 MIN_STEM, MAX_STEM = 3, 8
 MAX_ENTRIES = 96
 FUZZY_FROM = 5  # entries of so many bytes or more also match at one edit
+SUPPORT = 0.015  # least share of the toxic documents that hold an entry
 STRONG, WEAK = 0.03, 0.6  # most other documents per toxic one
 FEATURES = 10
 
@@ -71,9 +72,9 @@ def learn_lexicon(labelled: DataFrame, n_toxic: int) -> list[tuple[str, bool, bo
 
     Strong entries occur almost only in toxic texts; weak ones occur in others too, but less often.
     """
-    support = max(4, int(0.03 * n_toxic))
+    support = max(4, int(SUPPORT * n_toxic))
     rows = (
-        labelled.mapInArrow(_stem_counts, "stem string, n_toxic long, n_other long")
+        labelled.dropDuplicates(["text"]).mapInArrow(_stem_counts, "stem string, n_toxic long, n_other long")
         .groupBy("stem").agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"))
         .where((F.col("t") >= support) & (F.col("o") <= WEAK * F.col("t")))
         .orderBy(F.desc("t"), "stem").limit(40 * MAX_ENTRIES).collect()
