@@ -11,7 +11,7 @@ Training is numpy in Spark tasks: each task runs NCE with Adagrad over all train
 partition from common initial values, and the tasks' parameters are averaged, weighted by tokens.
 Scoring multiplies the distinct contexts of a batch with all symbol vectors for the normaliser.
 
-Only the ``TOP`` commonest tokens (a fixed number) are sent to all tasks; counts of the others meet
+At most ``TOP`` commonest tokens (a fixed number) are sent to all tasks; counts of the others meet
 their documents in a join on the token hash, in which no token is frequent.
 
 Tokens are told apart by 64-bit hashes.  Defined cases: null text counts as empty and holds the end
@@ -36,7 +36,7 @@ from tempora.llm.shared import written
 TOP = 65_536  # tokens whose counts all tasks hold
 OWN = 448  # of these, symbols of their own
 CLASSES = 192
-DIM, BATCH, NOISE, RATE = 32, 1024, 64, 0.08
+DIM, BATCH, NOISE, RATE = 32, 2048, 48, 0.1
 END = np.uint64(0x7E3D5A1BC0F48961)
 
 SYMBOLS = OWN + CLASSES
@@ -66,23 +66,28 @@ class Tokens:
 class Lookup:
     """The commonest tokens: hash -> place, count."""
 
+    BITS = 18
+
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         """In order of falling counts; the first OWN are symbols."""
         self.order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[self.order], counts
-        bits = 18
-        slot = np.zeros(1 << bits, bool)
-        slot[(self.hashes >> T.U(64 - bits)).astype(np.int64)] = True
-        self.bits, self.slot = bits, slot
+        self.hashes, self.counts = np.append(hashes[self.order], T.U(0)), counts
+        cell = (hashes[self.order] >> T.U(64 - self.BITS)).astype(np.int64)
+        self.begin = np.searchsorted(cell, np.arange((1 << self.BITS) + 1))
+        self.most = int(np.diff(self.begin).max(initial=0))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place in order of counts, or -1."""
         out = np.full(len(h), -1, np.int64)
-        if len(self.hashes):
-            may = np.flatnonzero(self.slot[(h >> T.U(64 - self.bits)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
-            hit = self.hashes[at] == h[may]
-            out[may[hit]] = self.order[at[hit]]
+        cell = (h >> T.U(64 - self.BITS)).astype(np.int64)
+        at, end = self.begin[cell], self.begin[cell + 1]
+        live = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            hit = self.hashes[at[live]] == h[live]
+            out[live[hit]] = self.order[at[live[hit]]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
         return out
 
 
@@ -112,6 +117,7 @@ class LogBilinear:
         self.q = rng.normal(0, 0.1, (SYMBOLS, DIM)).astype(np.float32)
         self.b = np.log(unigram).astype(np.float32)
         self.c = np.ones((2, DIM), np.float32)
+        self.norm = None
 
     def parameters(self) -> list[np.ndarray]:
         return [self.r, self.q, self.b[:, None], self.c]
@@ -133,7 +139,9 @@ class LogBilinear:
             g_ctx = pos[:, None] * qw - neg @ qn
             g_q = np.zeros_like(self.q)
             _add_rows(g_q, w, pos[:, None] * ctx)
-            np.add.at(g_q, noise, -(neg.T @ ctx))
+            drawn = np.zeros((SYMBOLS, NOISE), np.float32)
+            drawn[noise, np.arange(NOISE)] = 1
+            g_q -= drawn @ (neg.T @ ctx)
             g_b = np.bincount(w, pos, minlength=SYMBOLS) - np.bincount(noise, neg.sum(0), minlength=SYMBOLS)
             g_r = np.zeros_like(self.r)
             _add_rows(g_r, a, g_ctx * self.c[0])
@@ -147,25 +155,28 @@ class LogBilinear:
         return [np.full(p.shape, 1e-8, np.float32) for p in (self.r, self.q, self.b, self.c)]
 
     def log10(self, sym, one, two) -> np.ndarray:
-        """Normalised log10 probability of each symbol in its context."""
-        pair = one * (SYMBOLS + 1) + two
-        distinct, inverse = np.unique(pair, return_inverse=True)
-        ctx = self.r[distinct // (SYMBOLS + 1)] * self.c[0] + self.r[distinct % (SYMBOLS + 1)] * self.c[1]
-        norm = np.empty(len(distinct), np.float32)
-        for s in range(0, len(distinct), 8192):
-            z = ctx[s : s + 8192] @ self.q.T + self.b
+        """Normalised log10 probability of each symbol in its context; normalisers are kept by context."""
+        width = SYMBOLS + 1
+        if self.norm is None:
+            self.norm = np.full(width * width, np.nan, np.float32)
+        pair = one * width + two
+        new = np.unique(pair[np.isnan(self.norm[pair])])
+        for s in range(0, len(new), 8192):
+            p = new[s : s + 8192]
+            z = (self.r[p // width] * self.c[0] + self.r[p % width] * self.c[1]) @ self.q.T + self.b
             top = z.max(1)
-            norm[s : s + 8192] = top + np.log(np.exp(z - top[:, None]).sum(1))
+            z -= top[:, None]
+            self.norm[p] = top + np.log(np.exp(z, out=z).sum(1))
         score = np.empty(len(sym))
         for s in range(0, len(sym), 65536):
-            i = inverse[s : s + 65536]
-            w = sym[s : s + 65536]
-            score[s : s + 65536] = np.einsum("ij,ij->i", ctx[i], self.q[w]) + self.b[w] - norm[i]
+            cut = slice(s, s + 65536)
+            ctx = self.r[one[cut]] * self.c[0] + self.r[two[cut]] * self.c[1]
+            score[cut] = np.einsum("ij,ij->i", ctx, self.q[sym[cut]]) + self.b[sym[cut]] - self.norm[pair[cut]]
         return score / np.log(10)
 
 
 def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")
     s = at[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
     if len(first):
@@ -194,7 +205,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, at, n = np.unique(t.hash, return_index=True, return_counts=True)
             held.append((h, t.cls[at], n))
             size += len(h)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield flush()
                 size = 0
     if held:
@@ -249,7 +260,16 @@ def _average(rows: pd.DataFrame) -> pd.DataFrame:
 def train(texts: DataFrame, counts: DataFrame) -> Model:
     """texts: text of the training documents; counts: token, cls, n."""
     stats = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("int")).alias("once")).collect()
-    top = counts.orderBy(F.desc("n"), "token").limit(TOP).collect()
+    # the least level of counts above which there are at most TOP tokens; only those are fetched
+    level = F.floor(F.log("n") * 32)
+    sizes = {r.level: r.v for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect()}
+    least, total = None, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > TOP:
+            break
+        least = k
+    top = sorted(counts.where(level >= least).collect(), key=lambda r: (-r.n, r.token)) if least is not None else []
     model = Model(top, stats)
     for r in texts.mapInArrow(_train(model), "row int, weight double, value binary").groupBy("row").applyInPandas(_average, "row int, value binary").toLocalIterator():
         model.net.parameters()[r.row // 100_000][r.row % 100_000] = np.frombuffer(r.value, "<f8")
