@@ -18,43 +18,67 @@ from tempora.operators import evaluate as E
 from tempora.plans.formula import Formula
 
 
+SEMANTICS = ("delayed_bool", "delayed_rob", "eager", "interval")
+
+
 @dataclass
 class OnlineMonitor:
-    """Delayed verdicts of a formula over a stream of samples (the columns of a trace)."""
+    """A formula over a stream of samples (the columns of a trace).
+
+    Delayed verdicts leave once, when all signals have passed their window; eager ones once, when they
+    are decided and all earlier ones are; intervals leave with each micro-batch until they are closed.
+    """
 
     formula: Formula
     folder: str  # shared by driver and executors
-    domain: str = "rob"
+    semantics: str = "delayed_rob"
     synchronize: str = "none"
     bindings: E.Bindings | None = None
 
+    def __post_init__(self):
+        if self.semantics not in SEMANTICS:
+            raise ValueError(f"semantics is one of {SEMANTICS}")
+
     def _at(self, kind: str, batch: int) -> str:
         return f"{self.folder.rstrip('/')}/{kind}/{batch}"
 
-    def _state(self, spark: SparkSession, batch: int) -> tuple[DataFrame, DataFrame] | None:
-        if batch == 0:
-            return None
-        return spark.read.parquet(self._at("state", batch - 1)), spark.read.parquet(self._at("bound", batch - 1))
+    def _evaluate(self, rows: DataFrame) -> DataFrame:
+        options = {"synchronize": self.synchronize, "bindings": self.bindings}
+        if self.semantics == "eager":
+            return E.eager(rows, self.formula, **options)
+        if self.semantics == "interval":
+            return E.intervals(rows, self.formula, **options)
+        return E.verdicts(rows, self.formula, self.semantics.removeprefix("delayed_"), **options)
 
     def process(self, samples: DataFrame, batch: int) -> None:
-        """One micro-batch: writes the verdicts that it closes and the state for the next one."""
+        """One micro-batch: writes what it brings and the state for the next one."""
         spark = samples.sparkSession
         signals = self.formula.signals()
         new = samples.select("key", "signal", "t_us", "value", "seq")
         if signals:
             new = new.where(F.col("signal").isin(signals))
-        before = self._state(spark, batch)
-        rows = new if before is None else before[0].unionByName(new)
-        ends = rows.groupBy("key", "signal").agg(F.max("t_us").alias("t"))
-        bound = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t")).where(F.col("n") >= max(1, len(signals))).select("key", (F.col("t") - self.formula.depth()).alias("bound"))
+        done, rows = None, new
+        if batch:
+            rows = spark.read.parquet(self._at("state", batch - 1)).unionByName(new)
+            done = spark.read.parquet(self._at("bound", batch - 1))
+        out = self._evaluate(rows)
+        if done is not None:
+            out = out.join(done, "key", "left").where(F.col("bound").isNull() | (F.col("t_us") > F.col("bound"))).drop("bound")
+
+        # bound: the time up to which a key's verdicts have left for good
+        if self.semantics == "eager":
+            out.write.mode("overwrite").parquet(self._at("verdicts", batch))
+            bound = spark.read.schema(out.schema).parquet(self._at("verdicts", batch)).groupBy("key").agg(F.max("t_us").alias("bound"))
+            bound = bound if done is None else bound.unionByName(done).groupBy("key").agg(F.max("bound").alias("bound"))
+        else:
+            ends = rows.groupBy("key", "signal").agg(F.max("t_us").alias("t"))
+            bound = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t")).where(F.col("n") >= max(1, len(signals))).select("key", (F.col("t") - self.formula.depth()).alias("bound"))
         bound.write.mode("overwrite").parquet(self._at("bound", batch))
         bound = spark.read.schema(bound.schema).parquet(self._at("bound", batch))
-
-        out = E.verdicts(rows, self.formula, self.domain, self.synchronize, self.bindings).join(bound, "key").where(F.col("t_us") <= F.col("bound")).drop("bound")
-        if before is not None:
-            old = before[1].withColumnRenamed("bound", "done")
-            out = out.join(old, "key", "left").where(F.col("done").isNull() | (F.col("t_us") > F.col("done"))).drop("done")
-        out.write.mode("overwrite").parquet(self._at("verdicts", batch))
+        if self.semantics.startswith("delayed"):
+            out = out.join(bound, "key").where(F.col("t_us") <= F.col("bound")).drop("bound")
+        if self.semantics != "eager":
+            out.write.mode("overwrite").parquet(self._at("verdicts", batch))
 
         last = Window.partitionBy("key", "signal", "closed").orderBy(F.desc("t_us"), "seq")
         kept = rows.join(bound, "key", "left").withColumn("closed", F.coalesce(F.col("t_us") <= F.col("bound"), F.lit(False)))
@@ -65,5 +89,8 @@ class OnlineMonitor:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def verdicts(self, spark: SparkSession) -> DataFrame:
-        """All verdicts so far."""
-        return spark.read.parquet(f"{self.folder.rstrip('/')}/verdicts/*")
+        """All that has left so far; intervals with the micro-batch they left with."""
+        out = spark.read.parquet(f"{self.folder.rstrip('/')}/verdicts/*")
+        if self.semantics == "interval":
+            out = out.withColumn("batch", F.regexp_extract(F.input_file_name(), "/verdicts/([0-9]+)/", 1).cast("long"))
+        return out

@@ -7,7 +7,7 @@ from tempora.streaming.online import OnlineMonitor
 SCHEMA = "key long, signal string, t_us long, value double, seq long"
 
 
-def feed(spark, tmp_path, text, synchronize, signals):
+def feed(spark, tmp_path, text, synchronize, signals, semantics="delayed_rob"):
     rows = spark.range(240).select(
         (F.col("id") % 3).alias("key"), F.element_at(F.array(*map(F.lit, signals)), (F.col("id") % len(signals) + 1).cast("int")).alias("signal"),
         (F.col("id") * 700_000).alias("t_us"), F.sin(F.col("id") * 0.37).alias("value"), F.col("id").alias("seq"),
@@ -16,7 +16,7 @@ def feed(spark, tmp_path, text, synchronize, signals):
     for k in range(4):
         rows.where((F.col("seq") >= 60 * k) & (F.col("seq") < 60 * k + 60)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    monitor = OnlineMonitor(formula(text), str(tmp_path / "run"), synchronize=synchronize)
+    monitor = OnlineMonitor(formula(text), str(tmp_path / "run"), semantics, synchronize)
     monitor.start(stream, str(tmp_path / "check")).awaitTermination()
     return rows, monitor
 
@@ -37,3 +37,22 @@ def test_stream_of_two_signals_is_held(spark, tmp_path):
     got = [(r.key, r.t_us, r.value) for r in monitor.verdicts(spark).collect()]
     assert len(got) == len({g[:2] for g in got}) and len(got) > 50
     assert all(want[k, t] == v for k, t, v in got)
+
+
+def test_eager_stream_gives_the_batch_decisions_once(spark, tmp_path):
+    text = "F[0,6](x > 0.3) && G[0,2](x > -2)"
+    rows, monitor = feed(spark, tmp_path, text, "none", ["x"], "eager")
+    want = sorted(E.eager(rows, formula(text)).collect())
+    got = sorted(monitor.verdicts(spark).select("key", "t_us", "value", "at_seq").collect())
+    assert got == want and len(got) > 100
+
+
+def test_interval_stream_tightens_to_the_batch_intervals(spark, tmp_path):
+    text = "G[0,6](x > -0.5)"
+    rows, monitor = feed(spark, tmp_path, text, "none", ["x"], "interval")
+    latest = {}
+    for r in sorted(monitor.verdicts(spark).collect(), key=lambda r: r.batch):
+        lo, hi = latest.get((r.key, r.t_us), (float("-inf"), float("inf")))
+        assert lo <= r.lo <= r.hi <= hi
+        latest[r.key, r.t_us] = (r.lo, r.hi)
+    assert latest == {(r.key, r.t_us): (r.lo, r.hi) for r in E.intervals(rows, formula(text)).collect()}
