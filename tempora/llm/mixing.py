@@ -165,28 +165,28 @@ def solve(table: DataFrame, weights: np.ndarray, anchor: int, growth: float) ->
     if now.sum() == 0:
         return []
     target = weights * growth * now[anchor] / weights[anchor]
-    mass, pulls, got = np.maximum(now, 1e-9 * now.sum()), [], now
+    mass, pulls, got, last = np.maximum(now, 1e-9 * now.sum()), [], now, np.zeros(k)
     for _ in range(STEPS):
-        if np.abs(got - target).max() <= ENOUGH * target.sum():
-            break
+        if min(np.abs(got - target).max(), np.abs(got - last).max()) <= ENOUGH * target.sum():
+            break  # met, or at the balance with staying near rate 1
         pulls.append((got - target) / mass)
-        got = totals(pulls)
+        got, last = totals(pulls), got
     return pulls
 
 
 def _plan(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], anchor: str, growth: float, sample: int):
+    """(domains, classifier, table of doc_id, n, p, gradients)."""
     domains = sorted(targets)
     model = train(docs, labelled, domains, sample)
-    if model is None:
-        return domains, None, []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, p = model.posteriors(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=["n", "p"])
+            n, p = model.posteriors(b.column(1)) if model else (T.word_counts(b.column(1)), np.full((b.num_rows, len(domains)), 1 / len(domains)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n", "p"])
 
-    table = written(docs.select("text").mapInArrow(run, "n long, p array<double>"))
-    return domains, model, solve(table, np.array([float(targets[d]) for d in domains]), domains.index(anchor), growth)
+    table = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, p array<double>"))
+    pulls = solve(table, np.array([float(targets[d]) for d in domains]), domains.index(anchor), growth) if model else []
+    return domains, model, table, pulls
 
 
 def _copies(rate: np.ndarray, chance: np.ndarray) -> np.ndarray:
@@ -200,21 +200,16 @@ def _chance() -> Column:
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], anchor: str, growth: float = 1.1, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_tokens, the posterior of each domain, rate and copies of every document."""
-    domains, model, pulls = _plan(docs, labelled, targets, anchor, growth, sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, p = model.posteriors(b.column(2)) if model else (np.zeros(b.num_rows, np.int64), np.full((b.num_rows, len(domains)), 1 / len(domains)))
-            r = rates(p, pulls)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(p[:, k].copy()) for k in range(len(domains))), pa.array(r), pa.array(_copies(r, b.column(1).to_numpy()))], names=["doc_id", "n_tokens", *(f"p_{d}" for d in domains), "rate", "copies"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _chance().alias("chance"), "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, {', '.join(f'p_{d} double' for d in domains)}, rate double, copies long")
+    domains, _, table, pulls = _plan(docs, labelled, targets, anchor, growth, sample)
+    rated = table.select("*", _rate_column(len(domains), pulls).alias("rate"), F.coalesce(_chance(), F.lit(0.0)).alias("chance"))
+    whole = F.floor("rate")
+    copies = whole + (F.col("chance") < F.col("rate") - whole).cast("long")
+    return rated.select("doc_id", F.col("n").alias("n_tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], anchor: str, growth: float = 1.1, sample: int = SAMPLE) -> DataFrame:
     """The documents with all their columns, each as many times as its rate says."""
-    domains, model, pulls = _plan(docs, labelled, targets, anchor, growth, sample)
+    _, model, _, pulls = _plan(docs, labelled, targets, anchor, growth, sample)
     if model is None:
         return docs
     columns = docs.columns
