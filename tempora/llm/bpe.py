@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tempora.llm import textops as T
 
-CACHE = 200_000  # pieces per generation and worker
+CACHE = 120_000  # pieces per generation and worker
 
 
 def default_path() -> str:
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
-        for b in batches:
+        for b in T.slices(batches, len(columns)):
             ids = pa.array([codec.encode(t) for t in T.as_strings(b.column(b.num_columns - 1)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*columns, "ids"])
         codec.forget()
@@ -184,7 +184,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
-        for b in batches:
+        for b in T.slices(batches, len(columns)):
             out = pa.array([codec.decode(i or b"") for i in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*columns, "decoded"])
 
@@ -198,7 +198,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
-        for b in batches:
+        for b in T.slices(batches, 1):
             n, one, two = [], [], []
             for text in T.as_strings(b["text"]).to_pylist():
                 ids = codec.encode(text)

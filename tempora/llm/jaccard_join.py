@@ -134,7 +134,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 1):
         for i, j, buf, offs in T.chunks(b.column(1)):
             s = Sets(buf, offs)
             raw = [np.sort(s.grams[a:e]).tobytes() for a, e in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
@@ -148,7 +148,7 @@ def _overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 2, 4 << 20):
         ok = [linked(*_overlap(x, y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["center", "node", "linked"])
 

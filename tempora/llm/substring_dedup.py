@@ -184,7 +184,7 @@ def _sent(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
-        for b in batches:
+        for b in T.slices(batches, 2):
             slots = b.column(0).to_pylist()
             for i, w, p in find(unpacked(b.column(2))):
                 want = members(p.context, i + p.doc, b.column(3), i, len(w.count)) | members(p.context, i + p.doc, b.column(4), i, len(w.count))
@@ -209,7 +209,7 @@ def _sent(parts: int):
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the passages of repeated contexts lie."""
-    for b in batches:
+    for b in T.slices(batches, 2):
         slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
         for i, w, p in find(unpacked(b.column(2))):
             want = members(p.context, i + p.doc, b.column(3), i, len(w.count))
@@ -277,7 +277,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_words, n_removed and the digest of the words kept, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.slices(batches, 1):
             total, gone_n, sha = [], [], []
             for t, spots in zip(unpacked(b.column(1)).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = t.encode().split()  # bytes.split cuts at exactly \x20 and \x09-\x0D

@@ -170,7 +170,7 @@ def _sorted_runs(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
         held = 0
-        for b in batches:
+        for b in T.slices(batches, 2):
             for i, (buf, offs), p in find(unpacked(b.column(2))):
                 mixed, alone = (members(p.context, i + p.doc, b.column(k), i, len(offs) - 1) for k in (3, 4))
                 copies = np.where(alone, 2, 1)[mixed | alone]  # one that stands for others counts as more than one
@@ -195,7 +195,7 @@ def _sorted_runs(parts: int):
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where the passages of repeated contexts lie."""
-    for b in batches:
+    for b in T.slices(batches, 2):
         slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
         for i, (_, offs), p in find(unpacked(b.column(2))):
             want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
@@ -283,7 +283,8 @@ def _kept(b: pa.RecordBatch, text: int, spots: int) -> Iterator[tuple[np.ndarray
     """(bytes, flags of the bytes removed, None for none) of each row."""
     lists = b.column(spots)
     lo, null = np.asarray(lists.offsets), np.asarray(lists.is_null())
-    at, masks = lists.values.field("at").to_pylist(), lists.values.field("mask").to_pylist()
+    own = lists.values.slice(int(lo[0]), int(lo[-1] - lo[0]))
+    lo, at, masks = lo - lo[0], own.field("at").to_pylist(), own.field("mask").to_pylist()
     for i, _, buf, offs in T.chunks(unpacked(b.column(text)) if pa.types.is_binary(b.column(text).type) else b.column(text)):
         for d in range(len(offs) - 1):
             raw, a, e = buf[offs[d] : offs[d + 1]], lo[i + d], lo[i + d + 1]
@@ -294,7 +295,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.slices(batches, 1):
             out: list[tuple] = []
             for raw, gone in _kept(b, 1, 2):
                 if gone is None:
@@ -319,8 +320,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = columns.index(text)
+        k = columns.index(text)
+        for b in T.slices(batches, k):
             new = [(raw if gone is None else raw[~gone]).tobytes().decode("utf-8", "ignore") for raw, gone in _kept(b, k, len(columns))]
             texts = pa.array(new, pa.string())
             if b.column(k).null_count:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20  # small temporaries: a task holds a few dozen arrays of this many elements
@@ -63,6 +64,20 @@ def as_strings(col) -> pa.Array:
     return col.fill_null("") if col.null_count else col
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut (without copying) into runs of rows of about ``limit`` bytes in one column."""
+    for b in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        end = np.cumsum(size.astype(np.int64))
+        i, n = 0, b.num_rows
+        while i < n:
+            before = end[i - 1] if i else 0
+            j = min(n, max(i + 1, int(np.searchsorted(end, before + limit, "right"))))
+            yield b.slice(i, j - i)
+            i = j
+        pa.default_memory_pool().release_unused()
+
+
 def chunks(col, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of whole documents of about ``limit`` bytes."""
     col = as_strings(col)
