@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
-BLOCK = 2048  # documents of a block of neighbouring ids, if ids are spread evenly
+BLOCK = 512  # documents of a block of neighbouring ids, if ids are spread evenly
+GROUP = 1024  # blocks
 
 
 def canonical(text: Column) -> Column:
@@ -46,6 +47,20 @@ def _blocks(ids: DataFrame, doc_id: str) -> Column:
     return F.coalesce(F.floor((F.col(doc_id) - F.lit(int(lo or 0))) / F.lit(width)), F.lit(-1))
 
 
+def _followers(blocks: DataFrame) -> DataFrame:
+    """(block, follows): the next block that holds documents; the last is followed by the first.
+
+    Blocks are chained inside groups; only the groups' first blocks, the documents divided by
+    BLOCK * GROUP, meet in one window.
+    """
+    grouped = blocks.withColumn("g", F.floor(F.col("block") / GROUP))
+    along = Window.orderBy("g")
+    heads = grouped.groupBy("g").agg(F.min("block").alias("head"))
+    ends = heads.select("g", F.coalesce(F.lead("head").over(along), F.first("head").over(along)).alias("head"))
+    inner = grouped.withColumn("inner", F.lead("block").over(Window.partitionBy("g").orderBy("block")))
+    return inner.join(ends, "g").select("block", F.coalesce("inner", "head").alias("follows"))
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, next_text, block; ids ascend, the last document's next one is the first.
 
@@ -55,10 +70,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     inside = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     rows = base.select("*", F.lead("text").over(inside).alias("lead"), F.row_number().over(inside).alias("place"))
     heads = rows.where("place = 1").select("block", "text")
-    # one row a block, the documents divided by BLOCK
-    along = Window.orderBy("block")
-    chain = heads.select("block", F.coalesce(F.lead("block").over(along), F.first("block").over(along)).alias("follows"))
-    border = chain.join(heads.select(F.col("block").alias("follows"), F.col("text").alias("border_text")), "follows").select("block", "border_text")
+    border = _followers(heads.select("block")).join(heads.select(F.col("block").alias("follows"), F.col("text").alias("border_text")), "follows").select("block", "border_text")
     return rows.join(border, "block").select("block", "doc_id", "text", F.coalesce("lead", "border_text").alias("next_text"))
 
 
