@@ -18,9 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
+#: words of a shingle and percent of Jaccard similarity from which documents are near copies
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by n-gram Jaccard similarity."""
-    return jaccard_join.drop_near_copies(docs)
+    return jaccard_join.drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by PartEnum signatures, and its connected components.
 
-Sets of word shingles fall into bands of nearly equal size.  Within a band, two sets of Jaccard
-similarity 0.9 differ in at most k features, so when the feature domain is split into
+Sets of word shingles fall into bands of nearly equal size.  Within a band, two sets of the wanted
+Jaccard similarity differ in at most k features, so when the feature domain is split into
 n1 = k // 2 + 1 parts of three cells each, some part differs in one feature at most and one of its
 three pairs of cells agrees.  Each set emits one signature per part and pair; sets near the upper
 end of their band do so for the next band as well.  No link is lost.
@@ -13,7 +13,7 @@ All exchanges are aggregations with map-side combining or joins that adaptive ex
 a bucket is never gathered in one task and its pairs are never listed.
 
 Defined cases: null text, or one without words, has an empty set and is linked with nothing;
-one or two words count as one shingle; repeated rows and ids are equal sets; an empty table gives
+fewer words than a shingle has count as one shingle; repeated rows and ids are equal sets; an empty table gives
 an empty result; further columns are ignored by :func:`jaccard_components` and carried by
 :func:`drop_near_copies`.
 """
@@ -33,26 +33,31 @@ from tempora.llm.anchors import signed
 from tempora.llm.components import components
 from tempora.llm.shared import written
 
-WORDS, PERCENT = 3, 90
-RATIO = 1.35  # of a band's sizes
+WORDS, PERCENT = 3, 90  # unless asked otherwise
+RATIO = 1.35  # of a band's sizes, at least
 BLOCK = 256  # sets compared at a time with as many others
 
 
-def linked(inter, a, b):
-    return 100 * inter >= PERCENT * (a + b - inter)
+def linked(inter, a, b, percent: int = PERCENT):
+    return 100 * inter >= percent * (a + b - inter)
 
 
-def bands(longest: int) -> np.ndarray:
-    """Least sizes of the bands up to a size; small bands hold one size."""
+def above(size: int, percent: int = PERCENT) -> int:
+    """Least size of the band after that which begins at a size: linked sets lie in one band or in neighbours."""
+    return max(size + 1, int(size * RATIO), -(-100 * size // percent))
+
+
+def bands(longest: int, percent: int = PERCENT) -> np.ndarray:
+    """Least sizes of the bands up to a size, and of the two after it; small bands hold one size."""
     out = [1]
     while out[-1] <= longest:
-        out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
-    return np.array(out, np.int64)
+        out.append(above(out[-1], percent))
+    return np.array([*out, above(out[-1], percent), above(above(out[-1], percent), percent)], np.int64)
 
 
-def most_differences(size: int) -> int:
+def most_differences(size, percent: int = PERCENT):
     """Most features in which two linked sets of at most this size differ."""
-    return 2 * size * (100 - PERCENT) // (100 + PERCENT)
+    return 2 * size * (100 - percent) // (100 + percent)
 
 
 class Sets:
@@ -89,19 +94,18 @@ class Sets:
             out.append(T.mix(acc + self.size.astype(np.uint64)))
         return out[0], out[1]
 
-    def signatures(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def signatures(self, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(document, signature) arrays."""
-        low = bands(int(self.size.max(initial=1)) + 1)
+        low = bands(int(self.size.max(initial=1)) + 1, percent)
         own = np.searchsorted(low, self.size, "right") - 1
         at = (T.mix(self.grams ^ T.U(0xC2B2AE3D27D4EB4F)) >> T.U(32)).astype(np.int64)
         value = T.mix(self.grams)
-        low = np.append(low, [max(low[-1] + 1, int(low[-1] * RATIO)), 2 * low[-1]])
         for up in (0, 1):
             band = own + up
-            most = 2 * (low[band + 1] - 1) * (100 - PERCENT) // (100 + PERCENT)
+            most = most_differences(low[band + 1] - 1, percent)
             use = (self.size > 0) & (most > 0)
             if up:  # only sets that the next band's least size can still be linked with
-                use &= 100 * self.size >= PERCENT * low[band]
+                use &= 100 * self.size >= percent * low[band]
             parts = np.where(use, most // 2 + 1, 0)
             base = np.concatenate([[0], np.cumsum(3 * parts)])
             pick = use[self.doc]
@@ -116,29 +120,38 @@ class Sets:
                 yield doc, T.mix(acc[:, i] * T.U(3) + acc[:, j] * T.U(0x9E3779B97F4A7C15) + seed + T.U(c))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, buf, offs in T.chunks(b.column(1)):
-            s = Sets(buf, offs)
-            one, two = s.digests()
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s.size), signed(one), signed(two)], names=["doc_id", "n_shingles", "d1", "d2"])
+def _digests(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, offs in T.chunks(b.column(1)):
+                s = Sets(buf, offs, words)
+                one, two = s.digests()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(s.size), signed(one), signed(two)], names=["doc_id", "n_shingles", "d1", "d2"])
+
+    return run
+
 
+def _signatures(words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, buf, offs in T.chunks(b.column(0)):
+                s = Sets(buf, offs, words)
+                one = s.digests()[0]
+                for doc, sig in s.signatures(percent):
+                    yield pa.RecordBatch.from_arrays([signed(sig), signed(one[doc])], names=["sig", "d1"])
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, buf, offs in T.chunks(b.column(0)):
-            s = Sets(buf, offs)
-            one = s.digests()[0]
-            for doc, sig in s.signatures():
-                yield pa.RecordBatch.from_arrays([signed(sig), signed(one[doc])], names=["sig", "d1"])
+    return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in T.slices(batches, 1):
-        for i, j, buf, offs in T.chunks(b.column(1)):
-            s = Sets(buf, offs)
-            raw = [np.sort(s.grams[a:e]).tobytes() for a, e in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(raw, pa.binary())], names=["node", "grams"])
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches, 1):
+            for i, j, buf, offs in T.chunks(b.column(1)):
+                s = Sets(buf, offs, words)
+                raw = [np.sort(s.grams[a:e]).tobytes() for a, e in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(raw, pa.binary())], names=["node", "grams"])
+
+    return run
 
 
 def _overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
@@ -147,10 +160,13 @@ def _overlap(x: bytes, y: bytes) -> tuple[int, int, int]:
     return int(np.count_nonzero(both[1:] == both[:-1])), len(a), len(b)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in T.slices(batches, 2, 4 << 20):
-        ok = [linked(*_overlap(x, y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["center", "node", "linked"])
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches, 2, 4 << 20):
+            ok = [linked(*_overlap(x, y), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["center", "node", "linked"])
+
+    return run
 
 
 def _pack(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,40 +174,44 @@ def _pack(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"center": rows["center"].iloc[:1], "block": rows["block"].iloc[:1], "nodes": [rows["node"].tolist()], "comps": [rows["component"].tolist()], "sizes": [[len(g) // 8 for g in rows["grams"]]], "grams": [b"".join(rows["grams"])]})
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(percent: int):
     """Two packed blocks a row -> links between different components, a spanning set of them only."""
-    for b in batches:
-        for r in b.to_pylist():
-            sides = []
-            for s in ("u", "v"):
-                sizes = np.array(r[f"{s}_sizes"])
-                sides.append((r[f"{s}_nodes"], r[f"{s}_comps"], sizes, np.frombuffer(r[f"{s}_grams"], np.uint64), np.repeat(np.arange(len(sizes)), sizes)))
-            (un, uc, us, ug, uo), (vn, vc, vs, vg, vo) = sides
-            common = np.intersect1d(ug, vg)
-            mats = []
-            for g, o, n in ((ug, uo, len(un)), (vg, vo, len(vn))):
-                at = np.searchsorted(common, g)
-                at[at == len(common)] = 0
-                hit = common[at] == g if len(common) else np.zeros(len(g), bool)
-                mats.append((o[hit], at[hit], n))
-            inter = np.zeros((len(un), len(vn)), np.float32)
-            for a in range(0, len(common), 4096):
-                part = []
-                for o, at, n in mats:
-                    m = np.zeros((n, min(4096, len(common) - a)), np.float32)
-                    inside = (at >= a) & (at < a + 4096)
-                    m[o[inside], at[inside] - a] = 1
-                    part.append(m)
-                inter += part[0] @ part[1].T
-            inter = np.rint(inter).astype(np.int64)
-            i, j = np.nonzero(linked(inter, us[:, None], vs[None, :]))
-            seen, out = set(), []
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if un[x] != vn[y] and uc[x] != vc[y] and (pair := (uc[x], vc[y])) not in seen:
-                    seen.add(pair)
-                    out.append((un[x], vn[y]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], b.schema.field("u_nodes").type.value_type), pa.array([c for _, c in out], b.schema.field("u_nodes").type.value_type)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                sides = []
+                for s in ("u", "v"):
+                    sizes = np.array(r[f"{s}_sizes"])
+                    sides.append((r[f"{s}_nodes"], r[f"{s}_comps"], sizes, np.frombuffer(r[f"{s}_grams"], np.uint64), np.repeat(np.arange(len(sizes)), sizes)))
+                (un, uc, us, ug, uo), (vn, vc, vs, vg, vo) = sides
+                common = np.intersect1d(ug, vg)
+                mats = []
+                for g, o, n in ((ug, uo, len(un)), (vg, vo, len(vn))):
+                    at = np.searchsorted(common, g)
+                    at[at == len(common)] = 0
+                    hit = common[at] == g if len(common) else np.zeros(len(g), bool)
+                    mats.append((o[hit], at[hit], n))
+                inter = np.zeros((len(un), len(vn)), np.float32)
+                for a in range(0, len(common), 4096):
+                    part = []
+                    for o, at, n in mats:
+                        m = np.zeros((n, min(4096, len(common) - a)), np.float32)
+                        inside = (at >= a) & (at < a + 4096)
+                        m[o[inside], at[inside] - a] = 1
+                        part.append(m)
+                    inter += part[0] @ part[1].T
+                inter = np.rint(inter).astype(np.int64)
+                i, j = np.nonzero(linked(inter, us[:, None], vs[None, :], percent))
+                seen, out = set(), []
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if un[x] != vn[y] and uc[x] != vc[y] and (pair := (uc[x], vc[y])) not in seen:
+                        seen.add(pair)
+                        out.append((un[x], vn[y]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], b.schema.field("u_nodes").type.value_type), pa.array([c for _, c in out], b.schema.field("u_nodes").type.value_type)], names=["a", "b"])
+
+    return run
 
 
 def _blocks(rows: DataFrame, kind: str, side: str) -> DataFrame:
@@ -201,13 +221,13 @@ def _blocks(rows: DataFrame, kind: str, side: str) -> DataFrame:
     return packed.select("center", *(F.col(c).alias(f"{side}_{c}") for c in ("block", "nodes", "comps", "sizes", "grams")))
 
 
-def links(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between representatives of differing sets: their components are those of all links.
 
     docs: doc_id, text; reps: doc_id of the representative, d1.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sigs = docs.select("text").mapInArrow(_signatures, "sig long, d1 long")
+    sigs = docs.select("text").mapInArrow(_signatures(words, percent), "sig long, d1 long")
     buckets = sigs.groupBy("sig").agg(F.min("d1").alias("center"), F.max("d1").alias("other")).where("center < other").select("sig", "center")
     rays = sigs.join(buckets, "sig").where("d1 <> center").select("center", "d1").distinct()
     name = reps.select(F.col("d1"), F.col("doc_id").alias("node"))
@@ -215,10 +235,10 @@ def links(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
     wanted = written(rays.select("node").unionByName(rays.select(F.col("center").alias("node"))).distinct())
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
     # an id may come with several texts; the one with the representative's set counts
-    sets = written(texts.mapInArrow(_sets, f"node {kind}, grams binary").distinct())
+    sets = written(texts.mapInArrow(_sets(words), f"node {kind}, grams binary").distinct())
     rays = written(
         rays.join(sets, "node").withColumnRenamed("grams", "y").join(sets.select(F.col("node").alias("center"), F.col("grams").alias("x")), "center")
-        .select("center", "node", "x", "y").mapInArrow(_verify, f"center {kind}, node {kind}, linked boolean")
+        .select("center", "node", "x", "y").mapInArrow(_verify(percent), f"center {kind}, node {kind}, linked boolean")
     )
     sure = rays.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b"))
 
@@ -233,25 +253,25 @@ def links(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
     left = _blocks(members.where("not linked"), kind, "u")
     right = _blocks(members, kind, "v")
     # a block of rest members meets each block of its star once: rows hold packed blocks, not pairs
-    late = left.join(right, "center").mapInArrow(_compare, f"a {kind}, b {kind}")
+    late = left.join(right, "center").mapInArrow(_compare(percent), f"a {kind}, b {kind}")
     return written(sure.unionByName(late).distinct())
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) of every document."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    nodes = written(base.mapInArrow(_digests, f"doc_id {kind}, n_shingles long, d1 long, d2 long"))
+    nodes = written(base.mapInArrow(_digests(words), f"doc_id {kind}, n_shingles long, d1 long, d2 long"))
     reps = written(nodes.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    found = components(links(base, nodes, reps.select(F.col("rep").alias("doc_id"), "d1")))
+    found = components(links(base, nodes, reps.select(F.col("rep").alias("doc_id"), "d1"), words, percent))
     # repeated ids with different texts: an id's component is that of each of its rows
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return nodes.join(named, ["n_shingles", "d1", "d2"], "left").select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group, that with the least id, with all its columns; rows without an id stay."""
-    keep = jaccard_components(docs, doc_id, text).where(F.col("component_id") == F.col(doc_id)).select(doc_id).distinct()
+    keep = jaccard_components(docs, doc_id, text, words, percent).where(F.col("component_id") == F.col(doc_id)).select(doc_id).distinct()
     one = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))  # repeated rows stay once
     first = docs.join(keep, doc_id, "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
     return first.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
