@@ -7,8 +7,10 @@ step of projected gradient descent is one distributed aggregation over all docum
 function of a document's posterior and the few gradients so far, so nothing but one vector per step
 leaves the executors, and the final pass needs no join.
 
-The classifier is fitted on at most ``sample`` labelled documents (those with the smallest hash of
-their id); posteriors, totals and gradients cover all documents.
+The classifier is fitted on the whole texts of at most ``sample`` labelled documents (those with the
+smallest hash of their id), whose sparse features are summed in tasks; posteriors, totals and
+gradients cover all documents.  Descent ends when a step moves each domain's total by little of that
+domain's own target; staying near rate 1 then keeps the misfit that :func:`misfits` reports.
 
 A rate is realised as its whole part in copies and one more for a share of the documents, chosen by
 a hash of the id, that equals the rest.  Defined cases: null or empty text has no tokens, keeps
@@ -33,7 +35,7 @@ BUCKETS = 1 << 15
 DENSE = 6
 EPOCHS, BATCH, STEP = 12, 32, 0.3
 NEAR = 0.02  # weight of staying at rate 1
-STEPS, ENOUGH = 40, 5e-4
+STEPS, ENOUGH = 40, 5e-4  # at most, and the movement of a domain's total, of its target, that ends them
 
 _UPPER, _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -78,10 +80,9 @@ class Classifier:
         self.sparse = np.zeros((BUCKETS, len(domains)), np.float32)
         self.dense = np.zeros((DENSE, len(domains)))
 
-    def fit(self, texts: list[str], labels: np.ndarray, seed: int = 3) -> None:
-        """Softmax regression by Adagrad."""
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 3) -> None:
+        """Softmax regression by Adagrad on (buckets, their weights, dense features) of each document."""
         rng = np.random.default_rng(seed)
-        parts = [Features(buf, offs) for _, _, buf, offs in T.chunks(pa.array(texts, pa.string()), 1)]  # one document a chunk
         y = np.eye(len(self.domains))[labels]
         gs, gd = np.full(self.sparse.shape, 1e-6, np.float32), np.full(self.dense.shape, 1e-6)
         for _ in range(EPOCHS):
@@ -89,11 +90,10 @@ class Classifier:
                 pick = rng.choice(len(parts), BATCH)
                 d_dense, touched = np.zeros_like(self.dense), []
                 for i in pick:
-                    f = parts[i]
-                    g = (softmax(f.scores(self.sparse, self.dense)) - y[i])[0] / BATCH
-                    d_dense += f.dense[0][:, None] * g
-                    b, n = np.unique(f.buckets, return_counts=True)
-                    touched.append((b, n * f.scale[0], g))
+                    b, n, dense = parts[i]
+                    g = (softmax((n @ self.sparse[b] + dense @ self.dense)[None]) - y[i])[0] / BATCH
+                    d_dense += dense[:, None] * g
+                    touched.append((b, n, g))
                 if touched:
                     b = np.concatenate([t[0] for t in touched])
                     g = np.concatenate([t[1][:, None] * t[2] for t in touched]).astype(np.float32)
@@ -116,15 +116,28 @@ class Classifier:
         return np.concatenate(n), np.concatenate(p)
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse features of whole texts: distinct buckets and their times, dense features and scale."""
+    for b in batches:
+        for i, j, buf, offs in T.chunks(b.column(1)):
+            f = Features(buf, offs)
+            sums = [np.unique(f.buckets[a:e], return_counts=True) for a, e in zip(f.bounds[:-1], f.bounds[1:], strict=True)]
+            raw = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in zip(zip(*sums, strict=True), ("<u2", "<i4"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *raw, pa.array(list(f.dense), pa.list_(pa.float64())), pa.array(f.scale), b.column(2).slice(i, j - i)], names=["doc_id", "buckets", "times", "dense", "scale", "domain"])
+
+
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> Classifier | None:
     """labelled: doc_id, domain (rows with other domains, or null ones, are left out)."""
     known = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.substring("text", 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(1))).cast("int"), F.lit(4000)), F.lit("")).alias("text"), "domain").orderBy("doc_id").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "domain")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(_sums, f"doc_id {kind}, buckets binary, times binary, dense array<double>, scale double, domain string").orderBy("doc_id", "buckets", "times").collect()
     if not rows:
         return None
     model = Classifier(domains)
-    model.fit([r.text for r in rows], np.array([domains.index(r.domain) for r in rows]))
+    parts = [(np.frombuffer(r.buckets, "<u2"), np.frombuffer(r.times, "<i4") * r.scale, np.array(r.dense)) for r in rows]
+    model.fit(parts, np.array([domains.index(r.domain) for r in rows]))
     return model
 
 
@@ -167,8 +180,8 @@ def solve(table: DataFrame, weights: np.ndarray, anchor: int, growth: float) ->
     target = weights * growth * now[anchor] / weights[anchor]
     mass, pulls, got, last = np.maximum(now, 1e-9 * now.sum()), [], now, np.zeros(k)
     for _ in range(STEPS):
-        if min(np.abs(got - target).max(), np.abs(got - last).max()) <= ENOUGH * target.sum():
-            break  # met, or at the balance with staying near rate 1
+        if any((np.abs(got - other) <= ENOUGH * target).all() for other in (target, last)):
+            break  # met, or at the balance with staying near rate 1, in each domain
         pulls.append((got - target) / mass)
         got, last = totals(pulls), got
     return pulls
@@ -207,6 +220,13 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     return rated.select("doc_id", F.col("n").alias("n_tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies.alias("copies"))
 
 
+def misfits(rated: DataFrame, targets: Mapping[str, float], anchor: str, growth: float = 1.1) -> dict[str, float]:
+    """By how much of its target each domain's total is off; rated: what :func:`mixing_rates` returns."""
+    total = lambda d, rate: F.sum(F.col("n_tokens") * rate * F.col(f"p_{d}"))
+    now, *got = rated.agg(total(anchor, F.lit(1.0)), *(total(d, F.col("rate")) for d in targets)).first()
+    return {d: (x or 0.0) / (w * growth * now / targets[anchor]) - 1 if now else 0.0 for (d, w), x in zip(targets.items(), got, strict=True)}
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], anchor: str, growth: float = 1.1, sample: int = SAMPLE) -> DataFrame:
     """The documents with all their columns, each as many times as its rate says."""
     _, model, _, pulls = _plan(docs, labelled, targets, anchor, growth, sample)
