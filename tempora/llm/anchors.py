@@ -142,6 +142,28 @@ def repeated_contexts(rows: DataFrame, find: Find) -> DataFrame:
     return places.join(stats, "context").groupBy("slot", "mark").agg(F.collect_list(F.struct("context", "mixed", "first_slot")).alias("repeats"))
 
 
+def shared_contexts(rows: DataFrame, find: Find) -> DataFrame:
+    """(slot, mark, contexts): the repeated contexts of each document of keyed rows that has any."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, p in find(b.column(0)):
+                c, n = np.unique(p.context, return_counts=True)
+                yield pa.RecordBatch.from_arrays([signed(c), pa.array(np.minimum(n, 2).astype(np.int32))], names=["context", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, _, p in find(b.column(2)):
+                _, at = np.unique(T.salted(p.context, p.doc), return_index=True)
+                row = i + p.doc[at]
+                yield pa.RecordBatch.from_arrays([signed(p.context[at]), pa.array(slots[row]), pa.array(marks[row])], names=["context", "slot", "mark"])
+
+    stats = rows.select("text").mapInArrow(count, "context long, n int").groupBy("context").agg(F.sum("n").alias("n")).where("n > 1").select("context")
+    places = rows.select("slot", "mark", "text").mapInArrow(place, "context long, slot long, mark int")
+    return places.join(stats, "context").groupBy("slot", "mark").agg(F.collect_list("context").alias("contexts"))
+
+
 def senders(texts: DataFrame, repeats: DataFrame) -> DataFrame:
     """slot, mark, packed text, mixed, alone: the contexts whose passages a document sends to the index.
 

@@ -1,17 +1,22 @@
 """Suffix-array deduplication of byte strings that occur more than once.
 
 Every byte covered by a ``size``-byte string that also starts anywhere else is removed.  The
-suffixes worth sorting are those at anchors (see ``anchors``) whose context repeats; equal ones are
-merged by their hash first, as a combiner does.  Each task sorts its suffixes into a run, front-coded by the common prefix with the suffix before; runs are
-exchanged by a hash of the context, which all candidates for a match share, so that each partition
-merges one slice of the suffix array.  A loser tree merges the runs: its nodes keep the common
-prefix with the string that beat them, and no byte of a known prefix is compared again.  Common
-prefixes to the right of the anchors and common suffixes to their left then tell which windows
-repeat; groups of three or more differing neighbours are settled window by window.
-
-Defined cases: null text counts as empty; rows that repeat an id are documents of their own, so
-their equal strings count as repeats; matches never cross documents; texts shorter than ``size``
-are kept whole; an empty table gives an empty result; further columns are ignored by
+suffixes worth sorting are those at anchors (see ``anchors``) whose context repeats.  Each task sorts
+its suffixes into a run, front-coded by the common prefix with the suffix before; runs are exchanged
+by a hash of the context, which all candidates for a match share, so that each partition merges one
+slice of the suffix array.  A loser tree merges the runs: its nodes keep the common prefix with the
+string that beat them, and no byte of a known prefix is compared again.
+
+What repeats is read off that order.  A window that starts o bytes left of an anchor repeats if
+another suffix has ``size - o`` bytes in common to the right and o bytes to the left.  Suffixes with
+so much in common to the right are neighbours in the order, and the texts left of the anchors,
+ordered from their ends, give the other half the same way; two suffixes with both classes in
+common hold the same window.  Hashes deal contexts to partitions and name passages; they decide nothing.
+
+``size`` is a parameter (400 bytes unless asked otherwise).  Partitions are as many as the bytes of
+the suffixes ask for.  Defined cases: null text counts as empty; rows that repeat an id are documents
+of their own, so their equal strings count as repeats; matches never cross documents; texts shorter
+than ``size`` are kept whole; an empty table gives an empty result; further columns are ignored by
 :func:`repeated_bytes` and carried by :func:`drop_repeats`.
 """
 
@@ -24,22 +29,34 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
-from tempora.llm.anchors import NO_ID, Passages, holders, keyed, members, own_id, packed, passages, repeated_contexts, senders, signed, unpacked
+from tempora.llm.anchors import NO_ID, Passages, keyed, members, own_id, packed, passages, shared_contexts, signed, unpacked
+from tempora.llm.shared import written
 
-SIZE, SPAN, GRAM = 400, 128, 32
-CONTEXT = SIZE - SPAN + 1
-RUN_BYTES = 24 << 20
+SIZE, GRAM = 400, 32
+RUN_BYTES = 24 << 20  # of the suffixes that a task sorts at a time
+PART_BYTES = 16 << 20  # of the suffixes of a partition, about
 
 
-def find(col, size: int = SIZE, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], Passages]]:
-    """(first row, (bytes, offsets), passages) of each chunk of a text column."""
-    for i, _, buf, offs in T.chunks(col):
-        h = T.prefix_hash(buf)
-        yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span, lambda a, e, h=h: T.range_hash(h, a, e))
+def span(size: int) -> int:
+    """Starts of a window's grams among which its anchor is chosen; the rest of the window is the anchor's context."""
+    return size * 8 // 25
+
+
+def finder(size: int):
+    """texts -> (first row, (bytes, offsets), passages) of each chunk of a text column."""
+    gram = min(GRAM, size - span(size) + 1)
+
+    def find(col) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], Passages]]:
+        for i, _, buf, offs in T.chunks(col):
+            h = T.prefix_hash(buf)
+            yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span(size), lambda a, e, h=h: T.range_hash(h, a, e))
+
+    return find
 
 
 # -- sorted runs ----------------------------------------------------------------------
@@ -142,47 +159,47 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, bytes]]:
 
 # -- tasks ----------------------------------------------------------------------------
 
-_RUN = "part int, n int, lcp binary, tail_n binary, tails binary, left_n binary, lefts binary, context binary, passage binary, copies binary"
-_BINARY = ("lcp", "tail_n", "tails", "left_n", "lefts", "context", "passage", "copies")
+_RUN = "part int, lcp binary, tail_n binary, tails binary, left_n binary, lefts binary, context binary, passage binary, copies binary"
 
 
-def _encode_run(part: int, rows: list[tuple[bytes, bytes, int, int, int]]) -> dict:
+def _encode_run(part: int, rows: list[tuple[bytes, bytes, int, int, int]]) -> tuple:
+    """rows: (right, left, context, passage, copies)."""
     rows.sort(key=lambda r: (r[0], r[1]))
     lcp, tails = front_code([r[0] for r in rows])
-    return {
-        "part": part, "n": len(rows), "lcp": lcp.astype("<u2").tobytes(), "tail_n": np.array([len(t) for t in tails], "<u2").tobytes(), "tails": b"".join(tails),
-        "left_n": np.array([len(r[1]) for r in rows], "<u2").tobytes(), "lefts": b"".join(r[1] for r in rows),
-        "context": np.array([r[2] for r in rows], "<i8").tobytes(), "passage": np.array([r[3] for r in rows], "<i8").tobytes(), "copies": np.array([r[4] for r in rows], "<i8").tobytes(),
-    }
+    small = lambda xs, kind: zstandard.compress(np.array(xs, kind).tobytes(), 1)
+    return (
+        part, small(lcp, "<u2"), small([len(t) for t in tails], "<u2"), zstandard.compress(b"".join(tails), 1), small([len(r[1]) for r in rows], "<u2"), zstandard.compress(b"".join(r[1] for r in rows), 1),
+        *(np.array([r[k] for r in rows], "<i8").tobytes() for k in (2, 3)), small([min(r[4], 2) for r in rows], "<u1"),
+    )
 
 
-def _sorted_runs(parts: int):
-    """Senders -> front-coded sorted runs of the suffixes at their anchors, by partition."""
-    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in _BINARY)])
+def _sorted_runs(parts: int, size: int):
+    """Holders -> front-coded sorted runs of the suffixes at their anchors, by partition."""
+    names = [f.split()[0] for f in _RUN.split(", ")]
 
     def encoded(seen: dict) -> pa.RecordBatch:
         by: dict[int, list] = {}
-        for (context, passage), (right, left, n) in seen.items():
+        for (left, right), (context, passage, n) in seen.items():
             by.setdefault(context % parts, []).append((right, left, context, passage, n))
-        runs = [_encode_run(p, rows) for p, rows in by.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in runs], f.type) for f in schema], schema=schema)
+        runs = zip(*(_encode_run(p, rows) for p, rows in by.items()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(runs)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], list] = {}
+        seen: dict[tuple[bytes, bytes], list] = {}
         held = 0
         for b in T.slices(batches, 2):
-            for i, (buf, offs), p in find(unpacked(b.column(2))):
-                mixed, alone = (members(p.context, i + p.doc, b.column(k), i, len(offs) - 1) for k in (3, 4))
-                copies = np.where(alone, 2, 1)[mixed | alone]  # one that stands for others counts as more than one
-                p = Passages(*(x[mixed | alone] for x in p))
+            for i, (buf, offs), p in finder(size)(unpacked(b.column(2))):
+                want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
+                p = Passages(*(x[want] for x in p))
                 raw = buf.tobytes()
-                for c, s, a, f, e, n in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.anchor.tolist(), p.first.tolist(), (p.last + SIZE).tolist(), copies.tolist(), strict=True):
-                    got = seen.get((c, s))
+                for c, s, a, f, e in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.anchor.tolist(), p.first.tolist(), (p.last + size).tolist(), strict=True):
+                    key = (raw[f:a], raw[a:e])
+                    got = seen.get(key)
                     if got is None:
-                        seen[c, s] = [raw[a:e], raw[f:a], n]
+                        seen[key] = [c, s, 1]
                         held += e - f + 300
                     else:
-                        got[2] += n
+                        got[2] += 1
                 if held > RUN_BYTES:
                     yield encoded(seen)
                     seen.clear()
@@ -193,93 +210,94 @@ def _sorted_runs(parts: int):
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where the passages of repeated contexts lie."""
-    for b in T.slices(batches, 2):
-        slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for i, (_, offs), p in find(unpacked(b.column(2))):
-            want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
-            doc = p.doc[want]
-            yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - offs[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
-
-
-def repeated_windows(entries: list[tuple[bytes, bytes, int, int]], lcp: list[int], size: int = SIZE, context: int = CONTEXT) -> list[np.ndarray]:
-    """entries: (right, left, ., copies) in suffix order -> per entry, which of its windows (from its first on) repeat."""
-    masks = []
-    for right, left, _, copies in entries:
-        masks.append(np.full(len(left) + len(right) - size + 1, copies > 1))
-    n, i, unsettled = len(entries), 0, []
-    while i < n:
-        j = i + 1
-        while j < n and lcp[j] >= context:
-            j += 1
-        for k in range(i + 1, j):
-            (ra, la, *_), (rb, lb, *_) = entries[k - 1], entries[k]
-            both = common_prefix(la[::-1], lb[::-1], 0)
-            # a window that starts o bytes left of the anchor repeats if o <= both and size - o <= lcp
-            for left, mask in ((la, masks[k - 1]), (lb, masks[k])):
-                lo, hi = max(0, len(left) - both), min(len(mask) - 1, len(left) - (size - lcp[k]))
-                if lo <= hi:
-                    mask[lo : hi + 1] = True
-        if j - i > 2 and not all(m.all() for m in masks[i:j]):
-            unsettled.extend(range(i, j))
-        i = j
-    if unsettled:
-        texts = [entries[k][1] + entries[k][0] for k in unsettled]
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        h = T.prefix_hash(buf)
-        starts = np.flatnonzero(T.windows_inside(offs, size, len(buf)))
-        again = T.repeated(T.range_hash(h, starts, starts + size))
-        own = np.searchsorted(offs, starts, "right") - 1
-        for k, hit in zip(unsettled, np.split(again, np.flatnonzero(np.diff(own)) + 1), strict=True):
-            masks[k] |= hit
-    return masks
-
-
-def _merge_part(_: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-    decoded, extra = [], []
-    for r in runs.itertuples(index=False):
-        decoded.append(Run(np.frombuffer(r.lcp, "<u2"), np.frombuffer(r.tail_n, "<u2"), r.tails))
-        cut = np.concatenate([[0], np.cumsum(np.frombuffer(r.left_n, "<u2").astype(np.int64))]).tolist()
-        extra.append((r.lefts, cut, *(np.frombuffer(x, "<i8").tolist() for x in (r.context, r.passage, r.copies))))
-    entries, lcps, names, at = [], [], [], {}
-    for h, run, i, text in merge(decoded):
-        lefts, cut, context, passage, copies = extra[run]
-        name = (context[i], passage[i])
-        if name in at:  # the same passage from another task
-            k = at[name]
-            r, left, c, n = entries[k]
-            entries[k] = (r, left, c, n + copies[i])
-            continue
-        at[name] = len(entries)
-        entries.append((text, lefts[cut[i] : cut[i + 1]], name[0], copies[i]))
-        names.append(name)
-        lcps.append(h)
-    masks = repeated_windows(entries, lcps)
-    keep = [k for k, m in enumerate(masks) if m.any()]
-    return pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep], "mask": [np.packbits(masks[k]).tobytes() for k in keep]}).astype({"context": "int64", "passage": "int64"})
+def _places(size: int):
+    """Holders -> where the passages of repeated contexts lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches, 2):
+            slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, (_, offs), p in finder(size)(unpacked(b.column(2))):
+                want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
+                doc = p.doc[want]
+                yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - offs[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
+
+    return run
+
+
+def repeated_windows(lefts: list[bytes], rights: np.ndarray, lcp: np.ndarray, copies: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
+    """Which windows of each entry, from its first on, repeat.
+
+    Entries are in the order of their rights; rights: their lengths, lcp: common prefix of each right with
+    the one before, lefts: the texts before them, copies: how often each entry occurs.
+    """
+    n = len(lefts)
+    left_n = np.array([len(x) for x in lefts], np.int64)
+    reverse = [x[::-1] for x in lefts]
+    order = sorted(range(n), key=reverse.__getitem__)
+    left_lcp = np.array([0, *(common_prefix(reverse[a], reverse[b], 0) for a, b in zip(order[:-1], order[1:], strict=True))], np.int64)[:n]
+    hits = np.zeros((n, int(left_n.max(initial=-1)) + 1), bool)
+    hits[copies > 1] = True
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    for o in range(hits.shape[1]):
+        has = np.flatnonzero((left_n >= o) & (rights >= size - o))
+        right_class, left_class = np.cumsum(lcp < size - o)[has], np.cumsum(left_lcp < o)[place[has]]
+        hits[has[T.repeated(right_class * np.int64(n + 1) + left_class)], o] = True
+    return [h[size - b : a + 1][::-1] for h, a, b in zip(hits, left_n.tolist(), rights.tolist(), strict=True)]
+
+
+def _merge_part(size: int):
+    def run(_: tuple, runs: pd.DataFrame) -> pd.DataFrame:
+        plain = zstandard.decompress
+        decoded, extra = [], []
+        for r in runs.itertuples(index=False):
+            decoded.append(Run(np.frombuffer(plain(r.lcp), "<u2"), np.frombuffer(plain(r.tail_n), "<u2"), plain(r.tails)))
+            cut = np.concatenate([[0], np.cumsum(np.frombuffer(plain(r.left_n), "<u2").astype(np.int64))]).tolist()
+            extra.append((plain(r.lefts), cut, *(np.frombuffer(x, "<i8").tolist() for x in (r.context, r.passage)), np.frombuffer(plain(r.copies), "<u1").tolist()))
+        names, lefts, rights, lcps, copies = [], [], [], [], []
+        same: dict[bytes, int] = {}  # left -> entry, among those with the last right
+        for h, run, i, text in merge(decoded):
+            left_all, cut, context, passage, times = extra[run]
+            left = left_all[cut[i] : cut[i + 1]]
+            if not rights or h < len(text) or rights[-1] != len(text):
+                same.clear()
+            if left in same:  # the same passage from another task
+                copies[same[left]] += times[i]
+                continue
+            same[left] = len(lefts)
+            names.append((context[i], passage[i]))
+            lefts.append(left)
+            rights.append(len(text))
+            lcps.append(h)
+            copies.append(times[i])
+        masks = repeated_windows(lefts, np.array(rights, np.int64), np.array(lcps, np.int64), np.array(copies, np.int64), size)
+        keep = [k for k, m in enumerate(masks) if m.any()]
+        return pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep], "mask": [np.packbits(masks[k]).tobytes() for k in keep]}).astype({"context": "int64", "passage": "int64"})
+
+    return run
 
 
-def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def repeats(rows: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
     """(slot, mark, spots): (start, window flags) of the passages of keyed rows in which windows repeat."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    contexts = repeated_contexts(rows, find)
-    merged = senders(texts, contexts).mapInArrow(_sorted_runs(parts), _RUN).groupBy("part").applyInPandas(_merge_part, "context long, passage long, mask binary")
-    places = holders(texts, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
+    contexts = written(shared_contexts(rows, finder(size)))
+    total = contexts.agg(F.sum(F.size("contexts"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (size + span(size)) // PART_BYTES))
+    holders = texts.join(contexts, ["slot", "mark"]).select("slot", "mark", "packed", "contexts")
+    merged = holders.mapInArrow(_sorted_runs(parts, size), _RUN).groupBy("part").applyInPandas(_merge_part(size), "context long, passage long, mask binary")
+    places = holders.mapInArrow(_places(size), "context long, passage long, slot long, mark int, at int")
     return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
 def removed(n: int, at: list[int], masks: list[bytes], size: int = SIZE) -> np.ndarray:
     """True for each of n bytes that a repeated window covers; masks hold the window flags from each start on."""
-    flags = np.zeros(n + 1 + SPAN, bool)
+    flags = np.zeros(n + 1 + span(size), bool)
     for a, m in zip(at, masks, strict=True):
         f = np.unpackbits(np.frombuffer(m, np.uint8)).view(bool)
         flags[a : a + len(f)] |= f[: len(flags) - a]
     return T.covered(np.flatnonzero(flags[: n + 1]), size, n)
 
 
-def _kept(b: pa.RecordBatch, text: int, spots: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+def _kept(b: pa.RecordBatch, text: int, spots: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """(bytes, flags of the bytes removed, None for none) of each row."""
     lists = b.column(spots)
     lo, null = np.asarray(lists.offsets), np.asarray(lists.is_null())
@@ -288,16 +306,16 @@ def _kept(b: pa.RecordBatch, text: int, spots: int) -> Iterator[tuple[np.ndarray
     for i, _, buf, offs in T.chunks(unpacked(b.column(text)) if pa.types.is_binary(b.column(text).type) else b.column(text)):
         for d in range(len(offs) - 1):
             raw, a, e = buf[offs[d] : offs[d + 1]], lo[i + d], lo[i + d + 1]
-            yield raw, None if null[i + d] or a == e else removed(len(raw), at[a:e], masks[a:e])
+            yield raw, None if null[i + d] or a == e else removed(len(raw), at[a:e], masks[a:e], size)
 
 
-def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, 1):
             out: list[tuple] = []
-            for raw, gone in _kept(b, 1, 2):
+            for raw, gone in _kept(b, 1, 2, size):
                 if gone is None:
                     out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                 else:
@@ -307,11 +325,11 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     rows = keyed(docs, doc_id, text)
     texts = packed(rows)
-    out = texts.join(repeats(rows, texts), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = texts.join(repeats(rows, texts, size), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """The documents with all their columns, the repeated bytes gone from their texts.
 
     Bytes of a character that is cut are dropped with it.
@@ -322,12 +340,12 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = columns.index(text)
         for b in T.slices(batches, k):
-            new = [(raw if gone is None else raw[~gone]).tobytes().decode("utf-8", "ignore") for raw, gone in _kept(b, k, len(columns))]
+            new = [(raw if gone is None else raw[~gone]).tobytes().decode("utf-8", "ignore") for raw, gone in _kept(b, k, len(columns), size)]
             texts = pa.array(new, pa.string())
             if b.column(k).null_count:
                 texts = pa.compute.if_else(b.column(k).is_null(), pa.scalar(None, pa.string()), texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], texts, *b.columns[k + 1 : len(columns)]], names=columns)
 
-    found = repeats(rows, packed(rows)).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
+    found = repeats(rows, packed(rows), size).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
     own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_slot")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_mark"))
     return docs.join(found, own, "left").select(*columns, "_spots").mapInArrow(run, docs.schema)
