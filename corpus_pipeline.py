@@ -27,9 +27,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
+#: bytes of a string that is not to occur twice: passages of 50 words have some 290 bytes and more
+REPEAT_BYTES = 240
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long byte strings that occur more than once."""
-    out = suffix_dedup.drop_repeats(docs)
+    """Texts without the byte strings of that length that occur more than once."""
+    out = suffix_dedup.drop_repeats(docs, size=REPEAT_BYTES)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
