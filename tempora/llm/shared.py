@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -26,3 +27,20 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tempora-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_UNIT = 1 << 40
+
+
+def sampled(rows: DataFrame, n: int, *key: Column | str) -> DataFrame:
+    """The n rows with the least hashes of ``key`` (which tells rows apart), or all of fewer; few more than n meet in one task."""
+    at = F.pmod(F.xxhash64(*key), F.lit(_UNIT))
+    total = rows.count()
+    if total > 4 * n:  # twice as many as wanted are expected below this hash
+        rows = rows.where(at < int(_UNIT * 2 * n / total))
+    return rows.orderBy(at, *key).limit(n)
+
+
+def held_out(doc_id: Column, remainder: int) -> Column:
+    """Whether crc32 of the id as text modulo 5 is that remainder; false for null ids."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == remainder, F.lit(False))
