@@ -6,8 +6,9 @@ labelled documents.  For inference the first layer is folded into look-up tables
 filter bank costs a table read per byte; each text is cut into windows that together cover
 all of it, and the windows' log-probabilities are averaged by the bytes they hold.
 
-At most ``sample`` documents (those with the smallest hash of their id) give training
-windows; every text is predicted whole, in one pass without a shuffle.
+At most ``sample`` documents (those with the least hashes of their ids), whole, are learned from;
+tasks cut them into windows, of which the driver gets a byte per place.  Every text is predicted
+whole, in one pass without a shuffle.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0, as does
 every text when nothing could be learned; null languages are not learned from; further
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
+from tempora.llm.shared import held_out, sampled
 
-SAMPLE = 4000
-SLICE = 1024  # characters taken from a sampled document, at a place set by its hash
+SAMPLE = 2000
 LENGTH, TAIL = 128, 3  # window, and the bytes after it that its last filters see
 CLASSES, FILTERS, WIDTHS = 64, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+EPOCHS, BATCH, RATE = 4, 128, 0.01
 
 #: byte -> class: letters without case, blanks, digits, other ASCII, and the high bytes folded to 34
 CLASS = np.zeros(256, np.int32)
@@ -130,21 +131,31 @@ class Network:
                     params[q] -= RATE * (m[q] / (1 - 0.9**t)) / (np.sqrt(v[q] / (1 - 0.999**t)) + 1e-8)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of 16 bytes or more: language, classes, bytes."""
+    for b in batches:
+        lang = b.column(0)
+        for x, doc, size in windows(b.column(1)):
+            keep = size >= 16
+            rows = [w.tobytes() for w in np.ascontiguousarray(x.T[keep].astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(doc[keep])), pa.array(rows, pa.binary())], names=["lang", "window"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network from at most ``sample`` documents whose crc32(doc_id) mod 5 is not 0."""
-    chosen = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
-        F.xxhash64("doc_id").alias("h"), "doc_id", "lang", F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SLICE, F.lit(1)))).cast("int"), F.lit(SLICE)).alias("text"))
-    rows = chosen.orderBy("h", "doc_id", "lang").limit(sample).select("lang", "text").collect()
+    """A network from at most ``sample`` documents that are not held out."""
+    known = docs.where(~held_out(F.col("doc_id"), 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", F.xxhash64("text").alias("mark"))
+    # repeated rows count once; only ids are ordered
+    chosen = sampled(known.distinct(), sample, "doc_id", "lang", "mark")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.lang") == F.col("c.lang")) & (F.xxhash64("d.text") == F.col("c.mark"))
+    texts = docs.alias("d").join(F.broadcast(chosen.alias("c")), same).select("c.doc_id", "c.lang", "c.mark", "d.text").dropDuplicates(["doc_id", "lang", "mark"])
+    rows = texts.select("lang", "text").mapInArrow(_cut, "lang string, window binary").collect()
     labels = sorted({r.lang for r in rows})
     if not labels:
         return None
-    net = Network(labels)
-    number = {k: i for i, k in enumerate(labels)}
-    parts = list(windows(pa.array([r.text for r in rows], pa.string())))
-    x = np.concatenate([p[0] for p in parts], 1)
-    y = np.array([number[r.lang] for r in rows])[np.concatenate([p[1] for p in parts])]
-    full = np.concatenate([p[2] for p in parts]) >= 16
-    net.train(x[:, full] if full.any() else x, y[full] if full.any() else y)
+    rows.sort(key=lambda r: (r.window, r.lang))  # whatever the partitions were
+    net, number = Network(labels), {k: i for i, k in enumerate(labels)}
+    x = np.frombuffer(b"".join(r.window for r in rows), np.uint8).reshape(len(rows), LENGTH + TAIL)
+    net.train(np.ascontiguousarray(x.T.astype(np.int32)), np.array([number[r.lang] for r in rows]))
     return net
 
 
@@ -188,4 +199,4 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
