@@ -8,11 +8,14 @@ ordinals, so equal fingerprints mean equal canonical texts.  Likeness of two fin
 1 if they are equal and 0 if not.
 
 The next document of each document comes from a window over blocks of neighbouring ids, so
-texts are exchanged once; the few block borders are closed by a join over block minima.
+texts are exchanged once; the few block borders are closed by a join over block minima.  Blocks
+are cut at quantiles of the ids that are present, so that each holds about BLOCK documents however
+the ids lie (up to some 16 million documents; beyond, blocks grow with the table, as tasks do).
 
 Defined cases: null text counts as empty; repeated ids are ordered by text and then count as
 successive documents; with a single document the next one is itself; rows with a null
-id come first; an empty table gives an empty result; further columns are ignored.
+id come first, in order of a hash of their text; ids are of any integer type; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
-BLOCK = 512  # documents of a block of neighbouring ids, if ids are spread evenly
+BLOCK = 512  # documents of a block of neighbouring ids, about
+FAN, LEVELS = 32, 3  # borders that an id is compared with at each of these levels
 GROUP = 1024  # blocks
 
 
@@ -40,11 +44,29 @@ def wide_hash(text: Column) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(F.xxhash64(F.lit(s), text))), 16, "0") for s in SEEDS))
 
 
-def _blocks(ids: DataFrame, doc_id: str) -> Column:
-    """Block number of an id: blocks are equally wide and hold about BLOCK documents."""
-    lo, hi, n = ids.agg(F.min(doc_id), F.max(doc_id), F.count(doc_id)).first()
-    width = max(1, (int(hi) - int(lo) + 1) * BLOCK // max(n, 1)) if n else 1
-    return F.coalesce(F.floor((F.col(doc_id) - F.lit(int(lo or 0))) / F.lit(width)), F.lit(-1))
+def _blocks(docs: DataFrame, doc_id: str, text_hash: Column) -> Column:
+    """Block number of a row: the number of quantiles of the ids at or below its own; rows without an id lie before."""
+    i = F.col(doc_id).cast("long")
+    n, nulls = docs.agg(F.count(doc_id), F.sum(F.col(doc_id).isNull().cast("long"))).first()
+    levels = 1
+    while levels < LEVELS and FAN**levels * BLOCK < n:
+        levels += 1
+    cuts = FAN**levels
+    at = docs.agg(F.percentile_approx(i, [k / cuts for k in range(1, cuts)], 20 * cuts).alias("at")).first()[0] if n > BLOCK else []
+    borders = sorted(int(x) for x in at or [])
+    block = F.lit(0).cast("long")
+    if borders:
+        literal = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+        # the cuts of a level that fall inside a cell of the level above, by the cell's number
+        inner = F.lit(0).cast("long")
+        for level in range(1, levels + 1):
+            step = FAN ** (levels - level)
+            mine = [borders[k - 1] for k in range(step, cuts, step)]
+            cells = F.array(*(literal(mine[k : k + FAN - 1]) for k in range(0, len(mine), FAN)))
+            inner = inner * FAN + F.size(F.filter(F.element_at(cells, (inner + 1).cast("int")), lambda x: x <= i))
+        block = inner
+    many = F.lit(max(1, -(-(nulls or 0) // BLOCK))).cast("long")
+    return F.when(i.isNull(), F.shiftright((F.shiftright(text_hash, 33) + F.lit(2**30)) * many, 31) - F.lit(2**40)).otherwise(block)
 
 
 def _followers(blocks: DataFrame) -> DataFrame:
@@ -66,8 +88,10 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     Every use of the documents below reads the same exchange, so texts are shuffled once.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("block", _blocks(docs, doc_id))
-    inside = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    base = base.withColumn("block", _blocks(base, "doc_id", mark))
+    inside = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), mark, "text")
     rows = base.select("*", F.lead("text").over(inside).alias("lead"), F.row_number().over(inside).alias("place"))
     heads = rows.where("place = 1").select("block", "text")
     border = _followers(heads.select("block")).join(heads.select(F.col("block").alias("follows"), F.col("text").alias("border_text")), "follows").select("block", "border_text")
@@ -112,6 +136,7 @@ def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     new = ordinals.where("kind = 1").select("doc_id", F.col("digest").alias("d1"), F.col("ordinal").alias("o1"))
     named = lambda d, o: F.when(F.col(o).isNull(), F.col(d)).otherwise(F.concat_ws("-", d, o))
     return (
-        light.join(own, ["doc_id", "d0"], "left").join(new, ["doc_id", "d1"], "left")
-        .select(F.col("doc_id").alias(doc_id), "n_chars", "edited_sha256", named("d0", "o0").alias("fingerprint"), named("d1", "o1").alias("edited_fingerprint"), "near_edited", "near_next")
+        light.alias("l").join(own.alias("a"), F.col("l.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("l.d0") == F.col("a.d0")), "left")
+        .join(new.alias("b"), F.col("l.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("l.d1") == F.col("b.d1")), "left")
+        .select(F.col("l.doc_id").alias(doc_id), "n_chars", "edited_sha256", named("l.d0", "o0").alias("fingerprint"), named("l.d1", "o1").alias("edited_fingerprint"), "near_edited", "near_next")
     )
