@@ -12,9 +12,9 @@ Equal sets are merged first.  A task sends each signature with the few least set
 packed and sorted, to a range of signatures; its other sets with that signature form a star about
 the least.  The ranges, as many as the shingles ask for, form stars of what the tasks sent.  A ray
 goes on if histograms of the two sets (which bound their difference from below) don't rule it out,
-and is then verified on the sets themselves.  Stars whose rays don't hold together get a new centre
-for their rest once; what is still apart is compared in blocks, by histograms first, and on the sets
-only where those leave something.  A bucket is never gathered whole and its pairs are never listed.
+and is then verified on the sets themselves.  Large stars whose rays don't hold together get new
+centres for what is apart, as long as these take in a good share of it; what is still apart is compared in blocks, by
+histograms first, and on the sets only where those leave something.  A bucket is never gathered whole and its pairs are never listed.
 
 Defined cases: null text, or one without words, has an empty set and is linked with nothing;
 fewer words than a shingle has count as one shingle; repeated rows and ids are equal sets; an id that
@@ -25,6 +25,7 @@ them; an empty table gives an empty result; further columns are ignored by
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ SPARE = 0.1  # parts beyond those that are needed, as a share of them
 BLOCK = 256  # sets compared at a time with as many others
 HELD = 1_500_000  # signatures that a task sorts at a time
 RANGE = 2_000_000  # signatures of a range, about
-SENT = 8  # sets that a task sends with a signature
+SENT = 64  # sets that a task sends with a signature
 
 
 def linked(inter, a, b, percent: int = PERCENT):
@@ -71,8 +72,8 @@ def most_differences(size, percent: int = PERCENT):
 
 
 def cell_size(percent: int = PERCENT) -> float:
-    """Features of a histogram cell at which unlike sets show more differences than linked ones may have."""
-    return max(4.0, 0.55 / (2 * (100 - percent) / (100 + percent)) ** 2)
+    """Features of a histogram cell, such that linked sets differ by about one in two cells and hide few differences."""
+    return max(1.0, 0.25 * (100 + percent) / (100 - percent))
 
 
 class Sets:
@@ -428,19 +429,32 @@ def _compare(percent: int):
     return run
 
 
-def _open(members: DataFrame, sure: DataFrame) -> DataFrame:
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     """(center, node, component) of the members of stars that lie in several components."""
-    label = components(sure)
     members = written(members.select("center", "node").join(label, "node", "left").select("center", "node", F.coalesce("component", "node").alias("component")))
     apart = members.groupBy("center").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return written(members.join(apart.select("center"), "center", "left_semi"))
 
 
-def _rest(members: DataFrame) -> DataFrame:
-    """The members outside the largest component of their star."""
+def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of components after further edges."""
+    named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("component").alias("_name")), c, "left").withColumn(c, F.coalesce("_name", c)).drop("_name")
+    between = components(named(named(edges, "a"), "b"))
+    lifted = label.join(between.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+    return written(lifted.unionByName(between).dropDuplicates(["node"]))
+
+
+def _rest(members: DataFrame, least: int = 0) -> DataFrame:
+    """The members outside the largest component of their star, of stars of more than ``least`` members."""
     sizes = members.groupBy("center", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("center").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    return members.join(largest, "center").where("component <> largest").drop("largest")
+    largest = sizes.groupBy("center").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all")).where(F.col("all") > least)
+    return members.join(largest, "center").where("component <> largest").drop("largest", "all")
+
+
+def _new_stars(members: DataFrame) -> DataFrame:
+    """Large stars around the least of their rest: center, node, star, apart (whether in another component than the centre)."""
+    new = _rest(members, BLOCK).groupBy("center").agg(F.min(F.struct("node", "component")).alias("m")).select("center", F.col("m.node").alias("new"), F.col("m.component").alias("at"))
+    return members.join(new, "center").where("node <> new").select(F.col("new").alias("center"), "node", F.col("center").alias("star"), (F.col("component") != F.col("at")).alias("apart"))
 
 
 def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -464,23 +478,30 @@ def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = P
     through = rays.select("center", F.col("node").alias("via")).join(near, "via").where("center <> far").select("center", F.col("far").alias("node"))
     stars = written(rays.select("center", "node").unionByName(through).distinct())
     as_edges = lambda df: df.select(F.col("center").alias("a"), F.col("node").alias("b"))
-    sure = as_edges(verified(docs, reps, stars, words, percent))
-
-    # a new centre for what each star leaves apart; from here on stars are without centres, which have met all others
-    members = _open(stars, sure)
-    again = _rest(members).groupBy("center").agg(F.min(F.struct("node", "component")).alias("m")).select("center", F.col("m.node").alias("new"), F.col("m.component").alias("at"))
-    members = written(members.join(again, "center").where("node <> new"))
-    pairs = members.where("component <> at").select(F.col("new").alias("center"), "node").distinct()
-    sure = written(sure.unionByName(as_edges(verified(docs, reps, pairs, words, percent))).distinct())
+    sure = [as_edges(verified(docs, reps, stars, words, percent))]
+    label = components(sure[0])
+    members = _open(stars, label)  # without centres, which have met all others
+
+    # new centres for what large stars leave apart, as long as they take in a tenth of it
+    while True:
+        again = written(_new_stars(members))
+        if again.isEmpty():
+            break
+        found = as_edges(verified(docs, reps, again.where("apart").select("center", "node").distinct(), words, percent))
+        sure.append(found)
+        if 10 * found.count() < again.where("apart").count():
+            break
+        label = _merged(label, found)
+        others = members.join(again.select(F.col("star").alias("center")).distinct(), "center", "left_anti").select("center", "node")
+        members = _open(again.select(F.col("star").alias("center"), "node").unionByName(others), label)
 
     # a block of rest members meets each block of its star once: rows hold blocks, not pairs
-    members = _open(members, sure)
     shown = members.join(reps.select(F.col("doc_id").alias("node"), F.col("histogram").alias("held")), "node")
     marked = written(_meet(shown, _rest(shown)).mapInArrow(_screen(percent), f"center {kind}, node {kind}").distinct())
     sets = _sets_of(docs, marked.select("node"), words).withColumnRenamed("grams", "held")
     full = members.join(marked, ["center", "node"], "left_semi").join(sets, "node")
     late = _meet(full, _rest(full)).mapInArrow(_compare(percent), f"a {kind}, b {kind}")
-    return written(sure.unionByName(late).distinct())
+    return written(functools.reduce(DataFrame.unionByName, [*sure, late]).distinct())
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
