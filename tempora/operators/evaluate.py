@@ -18,6 +18,8 @@ from tempora.operators import temporal as W
 from tempora.operators.sync import wide
 from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Until, lowered
 
+ARRIVALS = 1 << 20  # of a block when late samples are looked for by blocks
+
 #: name -> value, or -> [(first arrival it holds for, value), ...]
 Bindings = Mapping[str, float | Sequence[tuple[int, float]]]
 
@@ -29,6 +31,7 @@ class Plan:
     formula: Formula
     signals: list[str]
     number: dict[Formula, int]
+    ends: bool = False  # whether rows hold e_<i>, the last time of each signal of their key
 
     @staticmethod
     def of(formula: Formula, bindings: Bindings | None) -> Plan:
@@ -38,10 +41,10 @@ class Plan:
             raise ValueError(f"no value for variable {', '.join(sorted(missing))}")
         return Plan(low, low.signals(), {f: k for k, f in enumerate(low.walk())})
 
-    def table(self, trace: DataFrame, synchronize: str) -> DataFrame:
+    def table(self, trace: DataFrame, synchronize: str, arrivals: int | None = None) -> DataFrame:
         """One row per key and time; a formula without signals is evaluated on all of the trace."""
         if self.signals:
-            return wide(trace, self.signals, synchronize)
+            return wide(trace, self.signals, synchronize, arrivals)
         return trace.groupBy("key", "t_us").agg(F.max("seq").alias("seq"))
 
     def col(self, f: Formula, prefix: str = "c") -> Column:
@@ -53,6 +56,9 @@ class Plan:
     def frontier(self, f: Formula) -> Column:
         """The time up to which all signals of f are known, per key."""
         by = Window.partitionBy("key")
+        if self.ends:
+            ends = self.cells(f, "e") or [F.col("e")]
+            return ends[0] if len(ends) == 1 else F.when(_all_known(ends), F.least(*ends))
         ends = [F.max(F.when(v.isNotNull(), F.col("t_us"))).over(by) for v in self.cells(f, "v")] or [F.max("t_us").over(by)]
         return ends[0] if len(ends) == 1 else F.when(_all_known(ends), F.least(*ends))
 
@@ -67,6 +73,21 @@ class Plan:
         return arrivals[0] if arrivals else F.col("seq")
 
 
+def _chunked(plan: Plan, trace: DataFrame, synchronize: str, chunk: int) -> DataFrame:
+    """The plan's table with keys (key, chunk); rows that follow a chunk within the depth come with it, not as its own."""
+    depth = plan.formula.depth()
+    width = max(chunk, depth + 1)
+    rows = plan.table(trace, synchronize, ARRIVALS)
+    last = [F.max(F.when(F.col(f"v_{i}").isNotNull(), F.col("t_us"))).alias(f"e_{i}") for i in range(len(plan.signals))] or [F.max("t_us").alias("e")]
+    rows = rows.join(rows.groupBy("key").agg(*last), "key")
+    plan.ends = True
+    own = F.floor(F.col("t_us") / F.lit(width))
+    in_both = F.col("t_us") - own * F.lit(width) <= depth
+    copies = F.explode(F.when(in_both, F.array(own, own - 1)).otherwise(F.array(own)))
+    rows = rows.select("*", own.alias("own"), copies.alias("chunk"))
+    return rows.withColumns({"key": F.struct("key", "chunk"), "own": F.col("own") == F.col("chunk")}).drop("chunk")
+
+
 def _all_known(cols: list[Column]) -> Column:
     out = cols[0].isNotNull()
     for c in cols[1:]:
@@ -86,15 +107,19 @@ def _limit(f: Compare, bindings: Bindings | None, arrival: Column) -> Column:
     return out
 
 
-def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchronize: str = "none", bindings: Bindings | None = None, until_from_start: bool = False, block_from: int | None = None, emission: bool = False) -> DataFrame:
+def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchronize: str = "none", bindings: Bindings | None = None, until_from_start: bool = False, block_from: int | None = None, emission: bool = False, chunk: int | None = None) -> DataFrame:
     """(key, t_us, value) of every closed time, and ``at_seq``, the arrival that closed it, if ``emission``.
 
     until_from_start: let ``until`` accept its right side from t on, whatever its lower bound.
-    block_from: windows of so many microseconds or more are computed by blocks (see ``block_extreme``).
+    block_from: robustness over windows of so many microseconds or more is computed by blocks (see ``block_extreme``).
+    chunk: split each key's time into chunks of so many microseconds (no less than the formula's depth), which are
+    evaluated on their own with the rows of the depth after them: one long trace then runs in many tasks.
     """
     d = DOMAINS[domain]
     plan = Plan.of(formula, bindings)
-    rows = plan.table(trace, synchronize)
+    if chunk is not None and emission:
+        raise ValueError("emissions are not split by chunks")
+    rows = plan.table(trace, synchronize) if chunk is None else _chunked(plan, trace, synchronize, chunk)
     for f in plan.number:
         c = f"c{plan.number[f]}"
         p = [plan.col(x) for x in f.parts]
@@ -110,7 +135,9 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
             value, at = (d.both if isinstance(f, And) else d.either)(*p), F.greatest(plan.col(f.left, "a"), plan.col(f.right, "a"))
         elif isinstance(f, (Globally, Eventually)):
             least = isinstance(f, Globally)
-            if block_from is not None and f.end - f.start >= max(block_from, 1):
+            if d is Truth:
+                best = W.truth_sweep(p[0], f.start, f.end, not least)
+            elif block_from is not None and f.end - f.start >= max(block_from, 1):
                 rows = W.block_extreme(rows, f"c{plan.number[f.part]}", f.start, f.end, least, "_x")
                 best = F.col("_x")
             else:
@@ -119,7 +146,9 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
             value = F.when(p[0].isNotNull() & (F.col("t_us") + f.depth() <= plan.frontier(f)), value)
         else:
             begin = 0 if until_from_start else f.start
-            value = W.until_truth(*p, f.start, f.end, begin) if d is Truth else W.until_fold(*p, begin, f.end)
+            if d is not Truth:
+                rows = W.until_best(rows, *(f"c{plan.number[x]}" for x in f.parts), begin, f.end, "_x")
+            value = W.until_truth(*p, f.start, f.end, begin) if d is Truth else F.col("_x")
             value = F.when(p[0].isNotNull() & p[1].isNotNull() & (F.col("t_us") + f.depth() <= plan.frontier(f)), value)
             at = plan.closing(f)
         rows = rows.withColumn(c, value)
@@ -128,6 +157,8 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
         rows = rows.drop("_x")
     value = plan.col(plan.formula)
     out = rows.where(value.isNotNull())
+    if chunk is not None:
+        return out.where("own").select("key.key", "t_us", value.alias("value"))
     return out.select("key", "t_us", value.alias("value"), *([plan.col(plan.formula, "a").alias("at_seq")] if emission else []))
 
 
@@ -233,9 +264,11 @@ def _intervals(rows: DataFrame, plan: Plan, bindings: Bindings | None) -> DataFr
             high = high if least else F.when(closed, high).otherwise(F.lit(INF))
             out = tuple(F.when(lo[0].isNotNull(), x) for x in (low, high))
         else:
-            low, high = (W.until_fold(x[0], x[1], f.start, f.end) for x in (lo, hi))
+            for side in "lh":
+                rows = W.until_best(rows, *(f"{side}{plan.number[x]}" for x in f.parts), f.start, f.end, f"_x{side}")
+            low, high = F.col("_xl"), F.col("_xh")
             out = tuple(F.when(lo[0].isNotNull() & lo[1].isNotNull(), x) for x in (low, F.when(closed, high).otherwise(F.lit(INF))))
-        rows = rows.withColumns({f"l{k}": out[0], f"h{k}": out[1]})
+        rows = rows.withColumns({f"l{k}": out[0], f"h{k}": out[1]}).drop("_xl", "_xh")
     return rows
 
 

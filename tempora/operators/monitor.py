@@ -80,6 +80,15 @@ class Monitor:
         lines = [f"Monitor of {self.specification}", f"  semantics: {self.semantics}", f"  synchronize: {self.synchronize}", f"  temporal depth: {self.temporal_depth:g} s"]
         return "\n".join(lines + [f"  ${n} = {self.variables.get(n):g}" for n in self.variables.names()])
 
+    @property
+    def synchronization_strategy(self) -> str:
+        return self.synchronize
+
+    @property
+    def variable_names(self) -> list[str]:
+        """The variables that the formula asks for."""
+        return self.formula.variables()
+
     def _options(self) -> dict:
         return {"synchronize": self.synchronize, "bindings": self.variables.history}
 
@@ -100,6 +109,29 @@ class Monitor:
     def verdict_at(self, trace: DataFrame, t_us: int) -> DataFrame:
         return self.verdicts(trace).where(F.col("t_us") == t_us)
 
+    def has_verdicts(self, trace: DataFrame) -> DataFrame:
+        """Per key of the trace, whether any time has a verdict."""
+        some = self.verdicts(trace).select("key").distinct().withColumn("_some", F.lit(True))
+        return trace.select("key").distinct().join(some, "key", "left").select("key", F.coalesce("_some", F.lit(False)).alias("has_verdicts"))
+
+    def has_outputs(self, trace: DataFrame) -> DataFrame:
+        """Per sample, whether its arrival brought verdicts."""
+        return self.records(trace).select("key", "t_us", "seq", (F.size("outputs") > 0).alias("has_outputs"))
+
+    def display(self, trace: DataFrame) -> DataFrame:
+        """Per verdict, a line of text: time in seconds, and the value or interval."""
+        out, seconds = self.verdicts(trace), F.format_string("%.6f", F.col("t_us") / 1_000_000)
+        value = F.format_string("[%s, %s]", F.col("lo").cast("string"), F.col("hi").cast("string")) if "lo" in out.columns else F.col("value").cast("string")
+        return out.select("key", "t_us", F.concat(F.lit("t="), seconds, F.lit("s: "), value).alias("line"))
+
+    def records(self, trace: DataFrame) -> DataFrame:
+        """Each sample with the verdicts that its arrival brought (none: an empty list): a nested row per input."""
+        if self.semantics == "interval":
+            raise ValueError("intervals are refined with time, not by single arrivals: see interval_trace")
+        brought = self.evaluations(trace).withColumnRenamed("at", "seq")
+        none = F.array().cast(brought.schema["outputs"].dataType)
+        return trace.join(brought, ["key", "seq"], "left").select("key", "signal", "t_us", "value", "seq", F.coalesce("outputs", none).alias("outputs"))
+
     def latest(self, trace: DataFrame) -> DataFrame:
         """Per key, the verdict emitted last."""
         out = self.emissions(trace)

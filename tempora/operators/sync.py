@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 STRATEGIES = ("none", "zoh", "linear")
 
 
-def increasing(trace: DataFrame) -> DataFrame:
-    """Samples that are later than all of their signal that arrived before them."""
+def increasing(trace: DataFrame, arrivals: int | None = None) -> DataFrame:
+    """Samples that are later than all of their signal that arrived before them.
+
+    arrivals: look at blocks of so many arrivals on their own, after the latest times of the blocks before,
+    so that one long signal runs in many tasks.
+    """
+    if arrivals is not None:
+        trace = trace.withColumn("_part", F.floor(F.col("seq") / F.lit(arrivals)))
+        tops = trace.groupBy("key", "signal", "_part").agg(F.max("t_us").alias("_top"))
+        over = Window.partitionBy("key", "signal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        past = tops.select("key", "signal", "_part", F.max("_top").over(over).alias("_past"))
+        inside = Window.partitionBy("key", "signal", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        rows = trace.join(past, ["key", "signal", "_part"]).withColumn("_latest", F.greatest(F.max("t_us").over(inside), "_past"))
+        return rows.where(F.col("_latest").isNull() | (F.col("t_us") > F.col("_latest"))).select(*(c for c in trace.columns if c != "_part"))
     before = Window.partitionBy("key", "signal").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     latest = F.max("t_us").over(before)
     return trace.withColumn("_latest", latest).where(F.col("_latest").isNull() | (F.col("t_us") > F.col("_latest"))).drop("_latest")
 
 
-def wide(trace: DataFrame, signals: list[str], synchronize: str = "none") -> DataFrame:
+def wide(trace: DataFrame, signals: list[str], synchronize: str = "none", arrivals: int | None = None) -> DataFrame:
     """One row per key and time: key, t_us, seq, and per signal s its value v_s and arrival q_s (null: no sample).
 
     ``zoh`` holds the last sample and ``linear`` interpolates, at times of other signals that lie
@@ -24,7 +36,7 @@ def wide(trace: DataFrame, signals: list[str], synchronize: str = "none") -> Dat
     if synchronize not in STRATEGIES:
         raise ValueError(f"synchronize is one of {STRATEGIES}")
     cells = [F.max(F.when(F.col("signal") == s, F.col(c))).alias(f"{p}_{i}") for i, s in enumerate(signals) for p, c in (("v", "value"), ("q", "seq"))]
-    rows = increasing(trace.where(F.col("signal").isin(signals))).groupBy("key", "t_us").agg(F.max("seq").alias("seq"), *cells)
+    rows = increasing(trace.where(F.col("signal").isin(signals)), arrivals).groupBy("key", "t_us").agg(F.max("seq").alias("seq"), *cells)
     if synchronize == "none" or len(signals) < 2:
         return rows
     past = Window.partitionBy("key").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)

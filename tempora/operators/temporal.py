@@ -19,53 +19,81 @@ def from_on(start: int) -> WindowSpec:
     return Window.partitionBy("key").orderBy(F.desc("t_us")).rangeBetween(Window.unboundedPreceding, -start)
 
 
+def truth_sweep(part: Column, start: int, end: int, exists: bool) -> Column:
+    """Whether some (``exists``) or every row of the window holds: by the first time from t + start on that decides."""
+    met = F.min(F.when(part == F.lit(exists), F.col("t_us"))).over(from_on(start))
+    hit = F.coalesce(met <= F.col("t_us") + F.lit(end), F.lit(False))
+    return hit if exists else ~hit
+
+
 def until_truth(left: Column, right: Column, start: int, end: int, reach: int) -> Column:
     """Truth of left until right: the first right in the window comes before the first row without left.
 
     reach: how far the window of rights begins (0 to look from t on).
     """
     both = left.isNotNull() & right.isNotNull()
-    met = F.min(F.when(both & right, F.col("t_us"))).over(ahead(reach, end))
-    broken = F.min(F.when(both & ~left, F.col("t_us"))).over(ahead(0, end))
-    return met.isNotNull() & (broken.isNull() | (met < broken))
-
+    met = F.min(F.when(both & right, F.col("t_us"))).over(from_on(reach))
+    broken = F.min(F.when(both & ~left, F.col("t_us"))).over(from_on(0))
+    return F.coalesce(met <= F.col("t_us") + F.lit(end), F.lit(False)) & (broken.isNull() | (met < broken))
 
-def until_fold(left: Column, right: Column, start: int, end: int) -> Column:
-    """Robustness of until: the best over t' of min(right at t', least left up to t')."""
-    row = F.when(left.isNotNull() & right.isNotNull(), F.struct(F.col("t_us").alias("t"), left.alias("l"), right.alias("r")))
-    rows = F.sort_array(F.collect_list(row).over(ahead(0, end)))
 
-    def step(acc: Column, x: Column) -> Column:
-        low = F.least(acc["low"], x["l"])
-        counts = x["t"] >= F.col("t_us") + F.lit(start)
-        return F.struct(low.alias("low"), F.when(counts, F.greatest(acc["best"], F.least(low, x["r"]))).otherwise(acc["best"]).alias("best"))
-
-    first = F.struct(F.lit(INF).alias("low"), F.lit(-INF).alias("best"))
-    return F.aggregate(rows, first, step, lambda acc: acc["best"])
+def _looked_up(rows: DataFrame, width: int, start: int, end: int, suffix: list[str], prefix: list[str]) -> DataFrame:
+    """rows with ``_s`` and ``_p``: the columns ``suffix`` of the first row from t + start on, and ``prefix`` of the last
+    row up to t + end; null where that row is not in the block (of ``width``) of the window's begin or end."""
+    place = lambda shift: F.floor((F.col("t_us") + F.lit(shift)) / F.lit(width))
+    until_end = Window.partitionBy("key").orderBy("t_us").rangeBetween(Window.unboundedPreceding, end)  # a frame that only grows
+    s, p = (F.struct("_block", *(F.col(c).alias(c) for c in cols)) for cols in (suffix, prefix))
+    rows = rows.withColumns({"_s": F.last(s).over(from_on(start)), "_p": F.last(p).over(until_end)})
+    return rows.withColumns({"_s": F.when(F.col("_s._block") == place(start), F.col("_s")), "_p": F.when(F.col("_p._block") == place(end), F.col("_p"))})
 
 
 def block_extreme(rows: DataFrame, value: str, start: int, end: int, least: bool, out: str) -> DataFrame:
     """rows with ``out``: the extreme of ``value`` over t + start .. t + end, by blocks as wide as the window.
 
     A window spans two neighbouring blocks: the end of one and the beginning of the next.  Each half is
-    a running extreme inside a block, so cost per row does not depend on the window, and a long
-    trace is split over tasks by (key, block).  Needs end > start and one row per key and time.
+    a running extreme inside a block, looked up at the window's first and last row, and all frames only
+    grow, so cost per row does not depend on the window.  Needs end > start and one row per key and time.
     """
     width = end - start
     best = F.min if least else F.max
-    row = F.struct(*rows.columns)
-    none = lambda kind: F.lit(None).cast(kind)
-    value_type, row_type = rows.schema[value].dataType, rows.select(row.alias("r")).schema["r"].dataType
-    # each row goes to the block of its window's begin, a mark to that of its end, and samples to their own
-    legs = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("t_us").alias("p"), F.col(value).alias("x"), none(row_type).alias("row")),
-        F.struct(F.lit(1).alias("side"), (F.col("t_us") + start).alias("p"), none(value_type).alias("x"), row.alias("row")),
-        F.struct(F.lit(2).alias("side"), (F.col("t_us") + end).alias("p"), none(value_type).alias("x"), none(row_type).alias("row")),
-    )
-    both = rows.select("key", "t_us", F.explode(legs).alias("e")).select("key", "t_us", "e.*").where("side > 0 or x is not null").withColumn("block", F.floor(F.col("p") / F.lit(width)))
-    inside = Window.partitionBy("key", "block")
-    suffix = best("x").over(inside.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0))
-    prefix = best("x").over(inside.orderBy("p").rangeBetween(Window.unboundedPreceding, 0))
-    halves = both.select("key", "t_us", "side", "row", F.when(F.col("side") == 1, suffix).otherwise(prefix).alias("x")).where("side > 0")
-    # brought together by key, as the windows that follow need them
-    return halves.repartition("key").groupBy("key", "t_us").agg(F.first("row", True).alias("row"), best("x").alias(out)).select("row.*", out)
+    inside = Window.partitionBy("key", "_block")
+    rows = rows.withColumn("_block", F.floor(F.col("t_us") / F.lit(width)))
+    rows = rows.withColumns({"_tail": best(value).over(inside.orderBy(F.desc("t_us")).rowsBetween(Window.unboundedPreceding, 0)), "_head": best(value).over(inside.orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0))})
+    rows = _looked_up(rows, width, start, end, ["_tail"], ["_head"])
+    join = F.least if least else F.greatest
+    return rows.withColumn(out, join("_s._tail", "_p._head")).drop("_block", "_tail", "_head", "_s", "_p")
+
+
+def until_best(rows: DataFrame, left: str, right: str, start: int, end: int, out: str) -> DataFrame:
+    """rows with ``out``, the robustness of until: the best over t' of min(right at t', least left up to t').
+
+    Blocks of time are as wide as the window.  From a row to the end of its block, left and right make
+    a clamp x -> min(high, max(low, x)); clamps of 1, 2, 4, ... rows are composed by doubling.  From the
+    beginning of a block the best is a running one.  A window is the end of one block and the beginning
+    of the next: n log n in the rows of a block, whatever the window.
+    """
+    inf, t = F.lit(INF), F.col("t_us")
+    known = F.col(left).isNotNull() & F.col(right).isNotNull()
+    rows = rows.withColumns({"_l": F.when(known, F.col(left)), "_r": F.when(known, F.col(right))})
+    ahead_of = F.coalesce(F.min("_l").over(ahead(0, start - 1)), inf) if start else inf  # left up to the window
+    if start == end:
+        at = F.least(F.min("_l").over(ahead(0, start)), F.max("_r").over(ahead(start, start)))
+        there = F.max("_r").over(ahead(start, start)).isNotNull()
+        return rows.withColumn(out, F.when(there, at).otherwise(-inf)).drop("_l", "_r")
+    width = end - start
+    rows = rows.withColumn("_block", F.floor(t / F.lit(width)))
+    most = rows.groupBy("key", "_block").count().agg(F.max("count")).first()[0] or 1
+    inside = Window.partitionBy("key", "_block").orderBy("t_us")
+    so_far, onward = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("key", "_block").orderBy(F.desc("t_us")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_low": F.coalesce("_r", -inf), "_high": F.coalesce("_l", inf), "_run": F.min("_l").over(so_far), "_left": F.min("_l").over(onward)})
+    rows = rows.withColumn("_head", F.max(F.when(F.col("_r").isNotNull(), F.least("_r", "_run"))).over(so_far))
+    step = 1
+    while step < most:
+        rows = rows.withColumns({"_low2": F.lead("_low", step).over(inside), "_high2": F.lead("_high", step).over(inside)})
+        high = F.when(F.col("_high2").isNull(), F.col("_high")).otherwise(F.least("_high", F.greatest("_low", "_high2")))
+        rows = rows.withColumns({"_low": F.greatest("_low", "_low2"), "_high": high}).drop("_low2", "_high2")
+        step *= 2
+    rows = _looked_up(rows.withColumn("_tail", F.least("_low", "_high")), width, start, end, ["_tail", "_left"], ["_head"])
+    first, second = F.coalesce("_s._tail", -inf), F.coalesce("_p._head", -inf)
+    value = F.least(ahead_of, F.greatest(first, F.least(F.coalesce("_s._left", inf), second)))
+    return rows.withColumn(out, value).drop("_l", "_r", "_block", "_low", "_high", "_run", "_left", "_head", "_tail", "_s", "_p")

@@ -70,29 +70,77 @@ def sql_verdicts(f: P.Formula, domain: str, bound: dict[str, float] | None = Non
     return f"WITH {', '.join(steps)} SELECT key, t_us, {value} AS value FROM {name} WHERE c{number[f]} IS NOT NULL"
 
 
-def sql_eager(f: P.Sweep, limit: float) -> str:
-    """Eager truth of a sweep over x > limit."""
-    z = "true" if isinstance(f, P.Eventually) else "false"
-    over = "OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN"
-    return f"""WITH {EVENTS},
-a AS (SELECT *, min(CASE WHEN (x > {limit}) = {z} THEN seq END) {over} {f.start} FOLLOWING AND {f.end} FOLLOWING) AS hit,
-  min(seq) {over} {f.end} FOLLOWING AND UNBOUNDED FOLLOWING) AS done FROM ev),
-b AS (SELECT *, CASE WHEN hit IS NOT NULL AND (done IS NULL OR hit <= done) THEN {z} WHEN done IS NOT NULL THEN NOT {z} END AS v,
-  greatest(seq, CASE WHEN hit IS NOT NULL AND (done IS NULL OR hit <= done) THEN hit ELSE done END) AS came FROM a),
-c AS (SELECT *, sum((v IS NULL)::INT) OVER w AS open, max(CASE WHEN v IS NOT NULL THEN came END) OVER w AS latest FROM b
-  WINDOW w AS (PARTITION BY key ORDER BY t_us ROWS UNBOUNDED PRECEDING))
-SELECT key, t_us, v AS value, latest::BIGINT AS at_seq FROM c WHERE open = 0"""
-
-
-def sql_intervals(f: P.Sweep, limit: float, trace: bool = False) -> str:
-    """Robustness intervals of a sweep over x > limit, at the end or at each time of the window."""
+FIRST_COME = "ORDER BY t_us ROWS UNBOUNDED PRECEDING"
+
+
+def sql_eager(f: P.Formula) -> str:
+    """Eager truth of a formula over one signal x, and the arrival by which it could be given."""
+    steps, name, number = [EVENTS], "ev", {}
+    for k, g in enumerate(f.walk()):
+        number[g] = k
+        p, a = ([f"{c}{number[x]}" for x in g.parts] for c in "ca")
+        if isinstance(g, P.Compare):
+            steps.append(f"s{k} AS (SELECT *, x {g.op} {g.limit!r}::DOUBLE AS c{k}, seq AS a{k} FROM {name})")
+        elif isinstance(g, P.Not):
+            steps.append(f"s{k} AS (SELECT *, NOT {p[0]} AS c{k}, {a[0]} AS a{k} FROM {name})")
+        else:
+            if isinstance(g, (P.And, P.Or)):
+                z, other = ("true", "false") if isinstance(g, P.Or) else ("false", "true")
+                alone = f"least(CASE WHEN {p[0]} = {z} THEN {a[0]} END, CASE WHEN {p[1]} = {z} THEN {a[1]} END)"
+                both = f"{p[0]} IS NOT NULL AND {p[1]} IS NOT NULL"
+                steps.append(f"w{k} AS (SELECT *, {p[0]} IS NOT NULL OR {p[1]} IS NOT NULL AS task, {alone} AS alone FROM {name})")
+                v, came = f"CASE WHEN alone IS NOT NULL THEN {z} WHEN {both} THEN {other} END", f"CASE WHEN alone IS NOT NULL THEN alone WHEN {both} THEN greatest({a[0]}, {a[1]}) END"
+            else:
+                z = "true" if isinstance(g, P.Eventually) else "false"
+                over = "OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN"
+                hit = f"min(CASE WHEN {p[0]} = {z} THEN {a[0]} END) {over} {g.start} FOLLOWING AND {g.end} FOLLOWING)"
+                steps.append(f"w{k} AS (SELECT *, {p[0]} IS NOT NULL AS task, {hit} AS hit, min(seq) {over} {g.depth()} FOLLOWING AND UNBOUNDED FOLLOWING) AS done FROM {name})")
+                soon = "hit IS NOT NULL AND (done IS NULL OR hit <= done)"
+                v, came = f"CASE WHEN task AND {soon} THEN {z} WHEN task AND done IS NOT NULL THEN NOT {z} END", f"greatest({a[0]}, CASE WHEN {soon} THEN hit ELSE done END)"
+            rest = "* EXCLUDE (task, alone, v, came)" if isinstance(g, P.Pair) else "* EXCLUDE (task, hit, done, v, came)"
+            steps.append(f"v{k} AS (SELECT *, {v} AS v, {came} AS came FROM w{k})")
+            given = "v IS NOT NULL AND max(CASE WHEN task AND v IS NULL THEN 1 ELSE 0 END) OVER q = 0"
+            steps.append(f"s{k} AS (SELECT {rest}, CASE WHEN {given} THEN v END AS c{k}, CASE WHEN {given} THEN max(CASE WHEN v IS NOT NULL THEN came END) OVER q END AS a{k} FROM v{k} WINDOW q AS (PARTITION BY key {FIRST_COME}))")
+        name = f"s{k}"
+    k = number[f]
+    return f"WITH {', '.join(steps)} SELECT key, t_us, c{k} AS value, a{k}::BIGINT AS at_seq FROM {name} WHERE c{k} IS NOT NULL"
+
+
+def sql_latest_intervals(f: P.Formula) -> str:
+    """Robustness intervals of a formula over one signal x on all that has arrived."""
+    steps, name, number = [EVENTS], "ev", {}
+    for k, g in enumerate(f.walk()):
+        number[g] = k
+        lo, hi = ([f"{c}{number[x]}" for x in g.parts] for c in "lh")
+        if isinstance(g, P.Compare):
+            e = (f"x - {g.limit!r}::DOUBLE" if g.op == ">" else f"{g.limit!r}::DOUBLE - x",) * 2
+        elif isinstance(g, P.Not):
+            e = (f"-{hi[0]}", f"-{lo[0]}")
+        elif isinstance(g, (P.And, P.Or)):
+            e = tuple(f"{'least' if isinstance(g, P.And) else 'greatest'}({x[0]}, {x[1]})" for x in (lo, hi))
+        else:
+            least = isinstance(g, P.Globally)
+            best, none = ("min", "'inf'::DOUBLE") if least else ("max", "'-inf'::DOUBLE")
+            closed = f"t_us + {g.depth()} <= max(t_us) OVER (PARTITION BY key)"
+            over = f"OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN {g.start} FOLLOWING AND {g.end} FOLLOWING)"
+            e = tuple(f"coalesce({best}({x[0]}) {over}, {none})" for x in (lo, hi))
+            open_ = f"CASE WHEN {closed} THEN {{}} ELSE {'-' if least else ''}'inf'::DOUBLE END"
+            e = (open_.format(e[0]), e[1]) if least else (e[0], open_.format(e[1]))
+        steps.append(f"s{k} AS (SELECT *, {e[0]} AS l{k}, {e[1]} AS h{k} FROM {name})")
+        name = f"s{k}"
+    k = number[f]
+    return f"WITH {', '.join(steps)} SELECT key, t_us, CASE WHEN isfinite(l{k}) THEN l{k} END AS lo, CASE WHEN isfinite(h{k}) THEN h{k} END AS hi FROM {name}"
+
+
+def sql_interval_trace(f: P.Sweep, limit: float) -> str:
+    """Robustness intervals of a sweep over x > limit at each time of the window."""
     least = isinstance(f, P.Globally)
     best, none = ("min", "'inf'::DOUBLE") if least else ("max", "'-inf'::DOUBLE")
     value = f"coalesce((SELECT {best}(m.x - {limit}::DOUBLE) FROM ev m WHERE m.key = o.key AND m.t_us BETWEEN o.t_us + {f.start} AND o.t_us + {f.end} AND m.t_us <= o.now_us), {none})"
-    nows = f"SELECT e.key, e.t_us, n.t_us AS now_us FROM ev e JOIN ev n ON n.key = e.key AND n.t_us BETWEEN e.t_us AND e.t_us + {f.end}" if trace else "SELECT key, t_us, max(t_us) OVER (PARTITION BY key) AS now_us FROM ev"
+    nows = f"SELECT e.key, e.t_us, n.t_us AS now_us FROM ev e JOIN ev n ON n.key = e.key AND n.t_us BETWEEN e.t_us AND e.t_us + {f.end}"
     lo, hi = ("CASE WHEN closed THEN v END", "v") if least else ("v", "CASE WHEN closed THEN v END")
     return f"""WITH {EVENTS}, o AS ({nows}), r AS (SELECT *, {value} AS v, now_us >= t_us + {f.end} AS closed FROM o)
-SELECT key, {"now_us, " if trace else ""}t_us, CASE WHEN isfinite({lo}) THEN {lo} END AS lo, CASE WHEN isfinite({hi}) THEN {hi} END AS hi FROM r"""
+SELECT key, now_us, t_us, CASE WHEN isfinite({lo}) THEN {lo} END AS lo, CASE WHEN isfinite({hi}) THEN {hi} END AS hi FROM r"""
 
 
 TYPES = "ev AS (SELECT user_id AS key, epoch_us(ts) AS t_us, event_id AS seq, event_type AS signal, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_type IN ('click', 'view'))"
@@ -160,16 +208,31 @@ def _scaled(f: P.Formula, by: int) -> P.Formula:
     return type(f)(*(_scaled(p, by) for p in f.parts)) if f.parts else f
 
 
-for _k, _name in {4: "globally", 7: "eventually", 10: "until", 13: "and_eventually_2", 14: "and_eventually_3", 15: "and_eventually_5", 16: "eventually_globally_2", 17: "eventually_globally_3", 19: "until_2"}.items():
-    _formula(f"catalog_{_k}_{_name}", _scaled(catalog()[_k], 2 * H), "rob")
+_NAMES = ("and", "or", "not", "globally", "globally_100", "globally_1000", "eventually", "eventually_100", "eventually_1000", "until", "until_100", "until_1000")
+_NAMES += tuple(f"{n}_{k}" for n in ("and_eventually", "eventually_globally", "until") for k in (2, 3, 5))
+for _k, _name in enumerate(_NAMES, 1):
+    _formula(f"catalog_{_k}_{_name}", _scaled(catalog()[_k], {100: 2 * H, 1000: 600}.get(int("0" + _name.rpartition("_")[2] if _name[-1].isdigit() else 0), 2 * H)), "rob")
 _formula("phi1", P.lt("x", 60) & P.gt("x", 20), "rob")
 _formula("phi2", formula("G[0,864000](x > 60 -> F[0,86400](x < 20))"), "rob")
 _formula("phi3", formula("(G[0,86400](x < 90)) or (G[86400,129600](x > 5))"), "rob")
+for _domain in ("bool", "rob"):
+    _formula(f"by_chunks_nested_{_domain}", P.always(0, DAY, P.gt("x", 30) >> P.eventually(0, 2 * DAY, P.lt("x", 30))), _domain, chunk=5 * DAY * 1_000_000)
+    _formula(f"by_chunks_until_{_domain}", P.until(12 * H, 3 * DAY, P.lt("x", 90), GT), _domain, chunk=5 * DAY * 1_000_000)
+_formula("until_from_start_bool", P.until(12 * H, 3 * DAY, P.lt("x", 90), GT), "bool", until_from_start=True)
+_formula("until_from_start_rob", P.until(12 * H, 3 * DAY, P.lt("x", 90), GT), "rob", until_from_start=True)
+for _domain in ("bool", "rob"):  # windows still close by the upper bound only, so the lower bound can be left out
+    ORACLES[f"until_from_start_{_domain}"] = sql_verdicts(P.until(0, 3 * DAY, P.lt("x", 90), GT), _domain)
 _formula("t2_globally_by_blocks", P.always(0, 10 * DAY, P.gt("x", 5)), "rob", block_from=DAY * 1_000_000)
 _formula("t1_eventually_offset_by_blocks", P.eventually(DAY, 9 * DAY, GT), "rob", block_from=DAY * 1_000_000)
 
-for _name, _f in {"eager_g": P.always(0, 2 * DAY, P.gt("x", 10)), "eager_f": P.eventually(0, 2 * DAY, P.gt("x", 80))}.items():
-    _register(_name, lambda spark, d, f=_f: E.eager(events_trace(spark, d), f), sql_eager(_f, _f.part.limit))
+for _name, _f in {
+    "eager_g": P.always(0, 2 * DAY, P.gt("x", 10)), "eager_f": P.eventually(0, 2 * DAY, P.gt("x", 80)),
+    "eager_f_lower_bound": P.eventually(12 * H, 3 * DAY, P.gt("x", 80)), "eager_g_lower_bound": P.always(DAY, 3 * DAY, P.gt("x", 10)),
+    "eager_and": P.lt("x", 60) & P.always(0, DAY, P.gt("x", 10)), "eager_or": P.gt("x", 90) | P.eventually(0, DAY, P.gt("x", 70)), "eager_not": ~P.always(0, DAY, P.gt("x", 10)),
+    "eager_nested_g_f": P.always(0, DAY, P.eventually(0, DAY, P.gt("x", 40))), "eager_nested_f_or": P.eventually(0, DAY, P.gt("x", 90) | P.always(0, DAY, P.gt("x", 10))),
+}.items():
+    _register(_name, lambda spark, d, f=_f: E.eager(events_trace(spark, d), f), sql_eager(_f))
+_register("eager_implies", lambda spark, d: E.eager(events_trace(spark, d), P.gt("x", 30) >> P.eventually(0, DAY, P.lt("x", 30))), sql_eager(~P.gt("x", 30) | P.eventually(0, DAY, P.lt("x", 30))))
 _register(
     "eager_until", lambda spark, d: E.eager(events_trace(spark, d), P.until(0, 2 * DAY, P.lt("x", 90), P.gt("x", 60))),
     f"""WITH {EVENTS},
@@ -181,18 +244,12 @@ c AS (SELECT *, least(tr, fails, done) AS came FROM b),
 e AS (SELECT *, sum((came IS NULL)::INT) OVER w AS open, max(came) OVER w AS latest FROM c WINDOW w AS (PARTITION BY key ORDER BY t_us ROWS UNBOUNDED PRECEDING))
 SELECT key, t_us, coalesce(tr = came, false) AS value, latest::BIGINT AS at_seq FROM e WHERE open = 0""",
 )
-_register(
-    "eager_and", lambda spark, d: E.eager(events_trace(spark, d), P.lt("x", 60) & P.always(0, DAY, P.gt("x", 10))),
-    f"""WITH g AS ({sql_eager(P.always(0, DAY, P.gt("x", 10)), 10.0)}), {EVENTS},
-a AS (SELECT e.key, e.t_us, e.seq, e.x < 60 AS l, g.value AS r, g.at_seq AS ra FROM ev e LEFT JOIN g ON g.key = e.key AND g.t_us = e.t_us),
-b AS (SELECT *, CASE WHEN NOT l OR r = false THEN false WHEN r THEN true END AS v,
-  CASE WHEN NOT l OR r = false THEN least(CASE WHEN NOT l THEN seq END, CASE WHEN r = false THEN ra END) WHEN r THEN greatest(seq, ra) END AS came FROM a),
-c AS (SELECT *, sum((v IS NULL)::INT) OVER w AS open, max(came) OVER w AS latest FROM b WINDOW w AS (PARTITION BY key ORDER BY t_us ROWS UNBOUNDED PRECEDING))
-SELECT key, t_us, v AS value, latest::BIGINT AS at_seq FROM c WHERE open = 0""",
-)
-
-for _name, _f in {"interval_latest_g": P.always(0, 2 * DAY, P.gt("x", 10)), "interval_latest_f": P.eventually(0, 2 * DAY, P.gt("x", 80))}.items():
-    _register(_name, lambda spark, d, f=_f: E.intervals(events_trace(spark, d), f).select("key", "t_us", _finite("lo"), _finite("hi")), sql_intervals(_f, _f.part.limit))
+for _name, _f in {
+    "interval_latest_g": P.always(0, 2 * DAY, P.gt("x", 10)), "interval_latest_f": P.eventually(0, 2 * DAY, P.gt("x", 80)),
+    "interval_latest_and": P.always(0, DAY, P.gt("x", 10)) & P.eventually(0, 2 * DAY, P.gt("x", 80)), "interval_latest_or": P.lt("x", 60) | P.always(0, 2 * DAY, P.gt("x", 40)),
+    "interval_latest_not": ~P.always(0, 2 * DAY, P.gt("x", 10)), "interval_latest_nested": P.always(0, DAY, P.eventually(0, DAY, P.gt("x", 60)) & P.lt("x", 95)),
+}.items():
+    _register(_name, lambda spark, d, f=_f: E.intervals(events_trace(spark, d), f).select("key", "t_us", _finite("lo"), _finite("hi")), sql_latest_intervals(_f))
 _UNTIL = P.until(0, 2 * DAY, P.lt("x", 90), P.gt("x", 60))
 _register(
     "interval_latest_until", lambda spark, d: E.intervals(events_trace(spark, d), _UNTIL).select("key", "t_us", _finite("lo"), _finite("hi")),
@@ -201,7 +258,7 @@ FROM ev m WHERE m.key = o.key AND m.t_us BETWEEN o.t_us AND o.t_us + {_UNTIL.end
 SELECT key, t_us, v AS lo, CASE WHEN now_us >= t_us + {_UNTIL.end} THEN v END AS hi FROM r""",
 )
 _TRACED = P.always(0, DAY, P.gt("x", 10))
-_register("interval_trace", lambda spark, d: E.interval_trace(events_trace(spark, d), _TRACED).select("key", "now_us", "t_us", _finite("lo"), _finite("hi")), sql_intervals(_TRACED, 10.0, True))
+_register("interval_trace", lambda spark, d: E.interval_trace(events_trace(spark, d), _TRACED).select("key", "now_us", "t_us", _finite("lo"), _finite("hi")), sql_interval_trace(_TRACED, 10.0))
 
 _register(
     "y1_strict_increasing", lambda spark, d: increasing(orders_trace(spark, d)).select("key", "t_us", "value", "seq"),
@@ -212,9 +269,26 @@ SELECT key, t_us, value, seq FROM p WHERE before IS NULL OR t_us > before""",
 for _how in ("zoh", "linear"):
     _register(f"y_{_how}", lambda spark, d, how=_how: wide(events_trace(spark, d, True), ["click", "view"], how).select("key", "t_us", F.col("v_0").alias("click"), F.col("v_1").alias("view")), sql_filled(_how == "linear") + " SELECT key, t_us, click, view FROM w")
     _register(f"y_{_how}_and", lambda spark, d, how=_how: E.verdicts(events_trace(spark, d, True), P.gt("click", 30) & P.lt("view", 60), "rob", how), sql_filled(_how == "linear") + " SELECT key, t_us, least(click - 30.0::DOUBLE, 60.0::DOUBLE - view) AS value FROM w WHERE click IS NOT NULL AND view IS NOT NULL")
+
+
+def _two_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x at all times of a user's events, y only at those of purchases and clicks."""
+    by_type = events_trace(spark, sf_dir, True)
+    y = by_type.where(F.col("signal").isin("click", "purchase")).withColumns({"signal": F.lit("y"), "value": 100 - F.col("value")})
+    return by_type.withColumn("signal", F.lit("x")).unionByName(y)
+
+
+BOTH = "ev AS (SELECT user_id AS key, epoch_us(ts) AS t_us, event_id AS seq, value AS x, CASE WHEN event_type IN ('click', 'purchase') THEN 100 - value END AS y FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)"
+# without synchronisation operands meet at times that both signals have; the result's window closes with the slower signal
+_X, _Y = P.gt("x", 30), P.lt("y", 60)
+for _domain in ("bool", "rob"):
+    _l, _r, _join = ("x > 30.0::DOUBLE", "y < 60.0::DOUBLE", "l AND r") if _domain == "bool" else ("x - 30.0::DOUBLE", "60.0::DOUBLE - y", "least(l, r)")
+    _register(f"y_none_two_signals_{_domain}", lambda spark, d, m=_domain: E.verdicts(_two_signals(spark, d), _X & _Y, m), f"WITH {BOTH} SELECT key, t_us, {_join} AS value FROM (SELECT *, {_l} AS l, {_r} AS r FROM ev WHERE y IS NOT NULL)")
 _register(
-    "y_none_and", lambda spark, d: E.verdicts(events_trace(spark, d, True), P.eventually(0, 2 * DAY, P.gt("click", 30) | P.gt("click", 10)), "rob"),
-    f"WITH {TYPES}, c AS (SELECT key, t_us, max(greatest(value - 30.0::DOUBLE, value - 10.0::DOUBLE)) OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN 0 FOLLOWING AND {2 * DAY * 1000000} FOLLOWING) AS value, max(t_us) OVER (PARTITION BY key) AS m FROM ev WHERE signal = 'click') SELECT key, t_us, value FROM c WHERE t_us + {2 * DAY * 1000000} <= m",
+    "y_none_two_signals_g", lambda spark, d: E.verdicts(_two_signals(spark, d), P.always(0, DAY, _X | _Y), "rob"),
+    f"""WITH {BOTH}, m AS (SELECT *, max(t_us) OVER (PARTITION BY key) AS ex, max(CASE WHEN y IS NOT NULL THEN t_us END) OVER (PARTITION BY key) AS ey FROM ev),
+g AS (SELECT *, min(greatest(x - 30.0::DOUBLE, 60.0::DOUBLE - y)) OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN 0 FOLLOWING AND {DAY * 1000000} FOLLOWING) AS value FROM m WHERE y IS NOT NULL)
+SELECT key, t_us, value FROM g WHERE t_us + {DAY * 1000000} <= least(ex, ey)""",
 )
 
 
@@ -228,11 +302,25 @@ def _changing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("var_changelog", _changing, f"WITH {EVENTS} SELECT key, t_us, x - CASE WHEN seq >= 7000 THEN 60.0 WHEN seq >= 3000 THEN 45.0 ELSE 30.0 END::DOUBLE AS value FROM ev")
 
 _WATCH = Monitor("F[0,172800](x > 40)")
+
+
+def _first_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = events_trace(spark, sf_dir)
+    first = _WATCH.verdicts(trace).agg(F.min("t_us")).first()[0]
+    return _WATCH.verdict_at(trace, first or 0)
+
+
 _CLOSED = f"""WITH {EVENTS}, a AS (SELECT *, max(x - 40.0::DOUBLE) OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN 0 FOLLOWING AND {2 * DAY * 1000000} FOLLOWING) AS value,
 min(seq) OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN {2 * DAY * 1000000} FOLLOWING AND UNBOUNDED FOLLOWING) AS at_seq FROM ev), m AS (SELECT key, t_us, value, at_seq FROM a WHERE at_seq IS NOT NULL)"""
 _register("m1_verdicts", lambda spark, d: _WATCH.verdicts(events_trace(spark, d)), f"{_CLOSED} SELECT key, t_us, value FROM m")
 _register("m2_emissions", lambda spark, d: _WATCH.emissions(events_trace(spark, d)), f"{_CLOSED} SELECT key, t_us, value, at_seq FROM m")
 _register("m3_counts", lambda spark, d: _WATCH.counts(events_trace(spark, d)), f"{_CLOSED} SELECT key, count(*) AS n_emissions, count(DISTINCT t_us) AS n_verdicts FROM m GROUP BY key")
+_register("m5_verdict_at", _first_time, f"{_CLOSED} SELECT key, t_us, value FROM m WHERE t_us = (SELECT min(t_us) FROM m)")
+_register("m4_has_verdicts", lambda spark, d: _WATCH.has_verdicts(events_trace(spark, d)), f"{_CLOSED} SELECT key, count(m.t_us) > 0 AS has_verdicts FROM (SELECT DISTINCT key FROM ev) k LEFT JOIN m USING (key) GROUP BY key")
+_register("m4_has_outputs", lambda spark, d: _WATCH.has_outputs(events_trace(spark, d)), f"{_CLOSED} SELECT e.key, e.t_us, e.seq, o.at_seq IS NOT NULL AS has_outputs FROM ev e LEFT JOIN (SELECT DISTINCT key, at_seq FROM m) o ON o.key = e.key AND o.at_seq = e.seq")
+_register("m9_display", lambda spark, d: Monitor("G[0,86400](x > 10)", "delayed_bool").display(events_trace(spark, d)), f"SELECT key, t_us, printf('t=%.6fs: %s', t_us / 1000000.0, CASE WHEN value THEN 'true' ELSE 'false' END) AS line FROM ({sql_verdicts(P.always(0, DAY, P.gt('x', 10)), 'bool')})")
+_register("m12_records", lambda spark, d: _WATCH.records(events_trace(spark, d)).select("key", "t_us", "seq", "signal", "value", F.size("outputs").alias("n_outputs"), F.try_element_at("outputs", F.lit(-1))["t_us"].alias("last_t_us")), f"""{_CLOSED}, o AS (SELECT key, at_seq, count(*) AS n, max(t_us) AS last FROM m GROUP BY key, at_seq)
+SELECT e.key, e.t_us, e.seq, 'x' AS signal, e.x AS value, coalesce(o.n, 0)::INT AS n_outputs, o.last AS last_t_us FROM ev e LEFT JOIN o ON o.key = e.key AND o.at_seq = e.seq""")
 _register("m6_latest", lambda spark, d: _WATCH.latest(events_trace(spark, d)), f"{_CLOSED} SELECT key, t_us, value, at_seq FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY at_seq DESC, t_us DESC) = 1")
 _register("m8_evaluations", lambda spark, d: _WATCH.evaluations(events_trace(spark, d)).select("key", "at", F.size("outputs").alias("n_outputs"), F.element_at("outputs", -1)["t_us"].alias("last_t_us")), f"{_CLOSED} SELECT key, at_seq AS at, count(*)::INT AS n_outputs, max(t_us) AS last_t_us FROM m GROUP BY key, at_seq")
 _register(

@@ -1,12 +1,14 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import evaluate as E
+from tempora.operators import temporal as W
 from tempora.operators.monitor import Monitor, Variables
 from tempora.operators.sync import increasing, wide
-from tempora.plans.formula import always, eventually, gt, gt_var
+from tempora.plans.formula import always, eventually, gt, gt_var, lt
 from tempora.plans.notation import formula
 from tempora.sources import traces
 
@@ -77,9 +79,40 @@ def test_blocks_equal_frames(spark, start, end):
         assert a == b and len(a) > 100
 
 
-def test_wide_windows_run_in_blocks_of_time(spark):
-    plan = E.verdicts(traces.sine(spark, 10), always(0, 1000, gt("x", 0)), block_from=0)._jdf.queryExecution().optimizedPlan().toString()
-    assert "block" in plan
+@pytest.mark.parametrize("domain", ["bool", "rob"])
+def test_one_long_trace_runs_in_many_tasks(spark, domain):
+    rows = traces.sine(spark, 4000).withColumn("key", (F.col("seq") * 0).cast("string"))  # one key, not known to the optimiser
+    f = always(0, 50, gt("x", -2) >> eventually(0, 30, lt("x", 0)))
+    whole, parts = (E.verdicts(rows, f, domain, block_from=1, chunk=c) for c in (None, 100_000_000))
+    assert sorted(whole.collect()) == sorted(parts.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [df.select("value", F.spark_partition_id().alias("task")).groupBy("task").count().count() for df in (whole, parts)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks[0] == 1 and tasks[1] == 4
+
+
+@pytest.mark.parametrize("start, end", [(0, 1), (0, 7), (3, 9), (4, 4), (0, 40), (25, 90)])
+def test_until_best_equals_fold(spark, start, end):
+    rnd = random.Random(start * 100 + end)
+    xs = [(k, rnd.randint(0, 200), rnd.choice([None, rnd.uniform(-3, 3)]), rnd.choice([None, rnd.uniform(-3, 3)])) for k in "ab" for _ in range(90)]
+    table = {(k, t): (k, t, l, r) for k, t, l, r in xs}
+    df = spark.createDataFrame(list(table.values()), "key string, t_us long, l double, r double")
+    got = {(r.key, r.t_us): r.v for r in W.until_best(df, "l", "r", start, end, "v").collect()}
+    for k, t, *_ in table.values():
+        low, best = math.inf, -math.inf
+        for (k2, t2), (_, _, l, r) in sorted(table.items()):
+            if k2 == k and t <= t2 <= t + end and l is not None and r is not None:
+                low = min(low, l)
+                best = max(best, min(low, r)) if t2 >= t + start else best
+        assert got[k, t] == best
+
+
+def test_late_samples_by_blocks(spark):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([("k", "x", rnd.randint(0, 400) + i, 1.0, i) for i in range(500)], "key string, signal string, t_us long, value double, seq long")
+    assert sorted(increasing(df).collect()) == sorted(increasing(df, 16).collect())
 
 
 def test_monitor_views(spark):
