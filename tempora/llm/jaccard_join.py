@@ -44,8 +44,8 @@ WORDS, PERCENT = 3, 90  # unless asked otherwise
 RATIO = 1.35  # of a band's sizes, at least
 SPARE = 0.1  # parts beyond those that are needed, as a share of them
 BLOCK = 256  # sets compared at a time with as many others
-HELD = 1_500_000  # signatures that a task sorts at a time
-RANGE = 2_000_000  # signatures of a range, about
+HELD = 750_000  # signatures that a task sorts at a time
+RANGE = 1_000_000  # signatures of a range, about
 SENT = 64  # sets that a task sends with a signature
 
 
@@ -250,6 +250,8 @@ def _rays(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     own = _stars(sig, node)[2]
     sent = np.unique(np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 2) for x in rows["rays"]]), axis=0)
     both = np.concatenate([own, sent])
+    del sig, node
+    T.give_back()
     return pd.DataFrame({"center": both[:, 0], "node": both[:, 1], "local": np.arange(len(both)) >= len(own)})
 
 

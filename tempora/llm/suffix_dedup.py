@@ -272,6 +272,8 @@ def _merge_part(size: int):
             copies.append(times[i])
         masks = repeated_windows(lefts, np.array(rights, np.int64), np.array(lcps, np.int64), np.array(copies, np.int64), size)
         keep = [k for k, m in enumerate(masks) if m.any()]
+        del decoded, extra, same, lefts
+        T.give_back()
         return pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep], "mask": [np.packbits(masks[k]).tobytes() for k in keep]}).astype({"context": "int64", "passage": "int64"})
 
     return run

@@ -7,6 +7,7 @@ numpy passes and no Python loop runs per word.  Nothing here touches Spark.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,19 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return got[:n]
 
 
+def give_back() -> None:
+    """Memory that a reused worker no longer holds goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # other C libraries
+    _TRIM = None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer on 64-bit words (a bijection)."""
     x = x ^ (x >> U(32))
@@ -75,7 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_BY
             j = min(n, max(i + 1, int(np.searchsorted(end, before + limit, "right"))))
             yield b.slice(i, j - i)
             i = j
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def chunks(col, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,7 +107,7 @@ def chunks(col, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray
         j = min(j, n)
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 class Words:
