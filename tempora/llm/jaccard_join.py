@@ -526,3 +526,19 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     one = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))  # repeated rows stay once
     first = docs.join(several, doc_id, "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+
+
+#: the same for another engine: equal sets merged, all sets with a common shingle compared, links followed
+JACCARD_SQL = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+reps AS (SELECT list_sort(s) AS s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL),
+cells AS (SELECT rep, n, unnest(s) AS g FROM reps),
+common AS (SELECT a.rep AS a, b.rep AS b, a.n AS an, b.n AS bn, count(*) AS i FROM cells a JOIN cells b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * i >= 90 * (an + bn - i)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+named AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(n.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN reps r ON r.s = list_sort(s.s) LEFT JOIN named n ON n.rep = r.rep"""

@@ -10,6 +10,9 @@ from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: op 9 also counts the bytes of shorter repeats, such as passages of 50 words
+PASSAGE_BYTES = 240
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -49,7 +52,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_bytes(documents(spark, sf_dir))
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir), also=PASSAGE_BYTES)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +64,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.QUALITY_SQL}
+    return {"op3_quality_rules": quality.QUALITY_SQL, "op4_jaccard_join": jaccard_join.JACCARD_SQL, "op9_suffix_dedup": suffix_dedup.suffix_sql(suffix_dedup.SIZE, PASSAGE_BYTES), "op10_substring_dedup": substring_dedup.SUBSTRING_SQL}

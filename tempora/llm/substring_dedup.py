@@ -299,3 +299,14 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = packed(rows)
     out = texts.join(repeats(rows, texts), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, "slot long, n_words long, n_removed long, kept_sha256 string")
     return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_words", "n_removed", "kept_sha256")
+
+
+#: the same for another engine: every window of 20 words
+SUBSTRING_SQL = r"""WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM words),
+windows AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS g FROM places),
+marked AS (SELECT doc_id, i, word, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM windows),
+cover AS (SELECT doc_id, i, word, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 20, false) AS gone FROM marked),
+found AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM cover GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN found f USING (doc_id)"""

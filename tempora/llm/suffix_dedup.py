@@ -311,24 +311,34 @@ def _kept(b: pa.RecordBatch, text: int, spots: int, size: int) -> Iterator[tuple
             yield raw, None if null[i + d] or a == e else removed(len(raw), at[a:e], masks[a:e], size)
 
 
-def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept, of every document."""
+def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, also: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept, of every document.
+
+    also: a shorter length; n_in_passages then counts the bytes that repeated strings of that length cover.
+    """
+    lengths = [size] + [also] * (also is not None)
+    names = ["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_in_passages"][: 4 + len(lengths)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, 1):
             out: list[tuple] = []
-            for raw, gone in _kept(b, 1, 2, size):
+            for (raw, gone), *short in zip(*(_kept(b, 1, 2 + k, n) for k, n in enumerate(lengths)), strict=True):
+                more = [0 if near is None else int(near.sum()) for _, near in short]
                 if gone is None:
-                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
+                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), *more))
                 else:
-                    out.append((len(raw), int(gone.sum()), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])), hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in cols[:3]), pa.array(cols[3], pa.string())], names=["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    out.append((len(raw), int(gone.sum()), int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])), hashlib.sha256(raw[~gone].tobytes()).hexdigest(), *more))
+            cols = list(zip(*out, strict=True)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names[1:], cols, strict=True))], names=names)
 
     rows = keyed(docs, doc_id, text)
     texts = packed(rows)
-    out = texts.join(repeats(rows, texts, size), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = texts
+    for k, n in enumerate(lengths):
+        out = out.join(repeats(rows, texts, n).withColumnRenamed("spots", f"spots{k}"), ["slot", "mark"], "left")
+    kinds = ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
+    out = out.select("slot", "packed", *(f"spots{k}" for k in range(len(lengths)))).mapInArrow(run, kinds)
+    return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), *names[1:])
 
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -351,3 +361,19 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     found = repeats(rows, packed(rows), size).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
     own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_slot")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_mark"))
     return docs.join(found, own, "left").select(*columns, "_spots").mapInArrow(run, docs.schema)
+
+
+def suffix_sql(size: int, also: int) -> str:
+    """The same for another engine, with every window by its digest."""
+    windows = "CASE WHEN i + {0} <= n THEN md5(h[2 * i + 1:2 * i + 2 * {0}]) END"
+    again = "{0} IS NOT NULL AND count(*) OVER (PARTITION BY {0}) > 1"
+    gone = "coalesce(i - max(CASE WHEN {1} THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < {0}, false)"
+    return f"""WITH sized AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(h) // 2 AS n FROM documents),
+places AS (SELECT doc_id, unnest(range(n)) AS i, h, n FROM sized),
+windows AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 2] AS byte, {windows.format(size)} AS w, {windows.format(also)} AS v FROM places),
+marked AS (SELECT doc_id, i, byte, {again.format("w")} AS long, {again.format("v")} AS short FROM windows),
+cover AS (SELECT doc_id, i, byte, {gone.format(size, "long")} AS gone, {gone.format(also, "short")} AS near FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM cover),
+found AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept, count(*) FILTER (near) AS n_in_passages FROM edges GROUP BY doc_id)
+SELECT s.doc_id, s.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_in_passages, 0) AS n_in_passages
+FROM sized s LEFT JOIN found f USING (doc_id)"""

@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, queries, substring_dedup, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -344,6 +344,16 @@ def test_fm_index_finds_earliest_occurrences():
             assert got[bounds[k] + i] == (first[tuple(t[i : i + 5])] if i + 5 <= len(t) else -1)
 
 
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op9_suffix_dedup", "op10_substring_dedup"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
+    a, b = (x.sort_values("doc_id").reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(b) and (a == b).all().all()
+
+
 # -- models ---------------------------------------------------------------------------
 
 
@@ -363,6 +373,14 @@ def test_base_scores_and_held_out_gain(spark, table, texts):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_scores_do_not_depend_on_partitions(spark, table):
+    scores = []
+    for n in (1, 7):
+        rows = lm_score.score_texts(table.repartition(n)).select("doc_id", "score").collect()
+        scores.append({r.doc_id: r.score for r in rows})
+    assert all(scores[1][d] == pytest.approx(x, rel=1e-6) for d, x in scores[0].items())
+
+
 def test_symbol_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     net = lm_score.LogBilinear(rng.dirichlet(np.ones(lm_score.SYMBOLS)))

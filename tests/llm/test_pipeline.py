@@ -10,7 +10,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tempora.llm import bpe, mixing, quality  # noqa: E402
 from tempora.llm.shared import written  # noqa: E402
 
-from .test_brute_force import SF, repeated_bytes, shingles  # noqa: E402
+from .test_brute_force import SF, repeated_bytes  # noqa: E402
+from .test_near_copies import shingles  # noqa: E402
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
@@ -25,15 +26,15 @@ def test_stages(spark):
     assert kept.schema.names == docs.schema.names and set(rows(kept)) == verdict
 
     single = written(stages["n-gram Jaccard join"](spark, kept, SF))
-    sets = {d: shingles(r.text) for d, r in rows(kept).items()}
-    linked = lambda a, b: 100 * len(a & b) >= 90 * len(a | b) and bool(a | b)
+    sets = {d: shingles(r.text, corpus_pipeline.NEAR_WORDS) for d, r in rows(kept).items()}
+    linked = lambda a, b: 100 * len(a & b) >= corpus_pipeline.NEAR_PERCENT * len(a | b) and bool(a | b)
     gone = set(sets) - set(rows(single))
     assert all(any(linked(sets[d], sets[e]) for e in sets if e < d) for d in gone)
     left = sorted(rows(single))
     assert not any(linked(sets[a], sets[b]) for i, a in enumerate(left) for b in left[i + 1 :])
 
     cut = written(stages["suffix-array dedup"](spark, single, SF))
-    want = {d: n - r for d, n, r, *_ in repeated_bytes([(d, r.text.encode()) for d, r in rows(single).items()])}
+    want = {d: n - r for d, n, r, *_ in repeated_bytes([(d, r.text.encode()) for d, r in rows(single).items()], corpus_pipeline.REPEAT_BYTES)}
     assert {d: len(r.text.encode()) for d, r in rows(cut).items()} == pytest.approx(want, abs=3)  # cut characters go whole
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 
