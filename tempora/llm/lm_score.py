@@ -7,12 +7,15 @@ two bytes, and inside a class a token has its count's share, with the mass of th
 kept for unknown ones.  So every token has a normalised probability over the training tokens and
 one unknown token per class.
 
-Training is numpy in Spark tasks: each task runs NCE with Adagrad over all training text of its
-partition from common initial values, and the tasks' parameters are averaged, weighted by tokens.
+Training is numpy in Spark tasks.  Training text is dealt by a hash to logical shards of about
+SHARD tokens and to ROUNDS rounds.  In each round every shard runs NCE with Adagrad over its text, in
+order of the hash, from the parameters and squared gradients so far; these are then averaged over all
+shards, weighted by tokens.  So the model depends on the table, not on its partitions.
 Scoring multiplies the distinct contexts of a batch with all symbol vectors for the normaliser.
 
-At most ``TOP`` commonest tokens (a fixed number) are sent to all tasks; counts of the others meet
-their documents in a join on the token hash, in which no token is frequent.
+At most about ``TOP`` commonest tokens (a fixed number) are sent to all tasks, of equally common ones
+those with the least hashes; counts of the others meet their documents in a join on the token hash,
+to which a document sends a token once, and whose skewed partitions adaptive execution splits.
 
 Tokens are told apart by 64-bit hashes.  Defined cases: null text counts as empty and holds the end
 only; repeated rows are scored alike; with no training text the counts are 0 and base_score is that
@@ -21,6 +24,7 @@ of unknown tokens (score then follows the same formula); further columns are ign
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,7 @@ TOP = 65_536  # tokens whose counts all tasks hold
 OWN = 448  # of these, symbols of their own
 CLASSES = 192
 DIM, BATCH, NOISE, RATE = 32, 1024, 64, 0.08
+SHARD, ROUNDS = 1 << 20, 3
 END = np.uint64(0x7E3D5A1BC0F48961)
 
 SYMBOLS = OWN + CLASSES
@@ -151,6 +156,11 @@ class LogBilinear:
                 acc += g * g
                 p += RATE * g / (np.sqrt(acc) + 1e-6)
 
+    def copy(self) -> LogBilinear:
+        out = copy.copy(self)
+        out.r, out.q, out.b, out.c = (x.copy() for x in (self.r, self.q, self.b, self.c))
+        return out
+
     def new_grads(self) -> list[np.ndarray]:
         return [np.full(p.shape, 1e-8, np.float32) for p in (self.r, self.q, self.b, self.c)]
 
@@ -234,45 +244,74 @@ class Model:
         self.net = LogBilinear(mass / mass.sum())
 
 
-def _train(model: Model):
+def _train(model: Model, state: list[np.ndarray], begin: int):
+    """(shard, text) in order of shards -> sums of what the task's shards end with, weighted by tokens.
+
+    state: squared gradients so far; begin: seed of the round.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = model.net, 0
-        rng, grads = np.random.default_rng(17), net.new_grads()
+        sums, total = [np.zeros(p.shape) for p in (*model.net.parameters(), *state)], 0
+        now, seen, net, grads, rng = None, 0, None, None, None
+
+        def close():
+            nonlocal total
+            if seen:
+                for acc, p in zip(sums, (*net.parameters(), *grads), strict=True):
+                    acc += seen * p.reshape(acc.shape).astype(np.float64)
+                total += seen
+
         for b in batches:
-            for _, _, buf, offs in T.chunks(b.column(0)):
-                t = Tokens(buf, offs)
-                sym = symbols(t, model.lookup.find(t.hash))
-                net.train(sym, *contexts(sym, t.bounds), rng, grads)
-                seen += len(sym)
-        if seen:
-            rows = [(f"{k}", i, v) for k, p in enumerate(net.parameters()) for i, v in enumerate(p)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(k) * 100_000 + i for k, i, _ in rows], pa.int32()), pa.array([float(seen)] * len(rows)), pa.array([v.astype("<f8").tobytes() for *_, v in rows], pa.binary())], names=["row", "weight", "value"])
+            shards = b.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shards)) + 1, [len(shards)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi == lo:
+                    continue
+                if shards[lo] != now:
+                    close()
+                    now, seen = shards[lo], 0
+                    net, grads, rng = model.net.copy(), [g.copy() for g in state], np.random.default_rng([begin, int(now)])
+                for _, _, buf, offs in T.chunks(b.column(1).slice(lo, hi - lo)):
+                    t = Tokens(buf, offs)
+                    sym = symbols(t, model.lookup.find(t.hash))
+                    net.train(sym, *contexts(sym, t.bounds), rng, grads)
+                    seen += len(sym)
+        close()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([float(total)] * len(sums)), pa.array([x.astype("<f8").tobytes() for x in sums], pa.binary())], names=["part", "weight", "value"])
 
     return run
 
 
 def _average(rows: pd.DataFrame) -> pd.DataFrame:
-    w = rows["weight"].to_numpy()
-    v = np.stack([np.frombuffer(x, "<f8") for x in rows["value"]])
-    return pd.DataFrame({"row": rows["row"].iloc[:1], "value": [((v * w[:, None]).sum(0) / w.sum()).tobytes()]})
+    total = sum(np.frombuffer(x, "<f8") for x in rows["value"])
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "value": [(total / rows["weight"].sum()).tobytes()]})
 
 
 def train(texts: DataFrame, counts: DataFrame) -> Model:
-    """texts: text of the training documents; counts: token, cls, n."""
+    """texts: doc_id, text of the training documents; counts: token, cls, n."""
     stats = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("int")).alias("once")).collect()
-    # the least level of counts above which there are at most TOP tokens; only those are fetched
+    # levels of counts from the highest on, as far as TOP tokens go; of the next level a share, by hash; only those are fetched
     level = F.floor(F.log("n") * 32)
     sizes = {r.level: r.v for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect()}
-    least, total = None, 0
+    wanted, left = F.lit(False), TOP
     for k in sorted(sizes, reverse=True):
-        total += sizes[k]
-        if total > TOP:
+        share = min(1.0, left / sizes[k])
+        wanted = wanted | ((level == k) & (F.pmod("token", F.lit(1 << 40)) < int(share * (1 << 40)))) if share < 1 else wanted | (level == k)
+        left -= sizes[k]
+        if left <= 0:
             break
-        least = k
-    top = sorted(counts.where(level >= least).collect(), key=lambda r: (-r.n, r.token)) if least is not None else []
+    top = sorted(counts.where(wanted).collect(), key=lambda r: (-r.n, r.token)) if sizes else []
     model = Model(top, stats)
-    for r in texts.mapInArrow(_train(model), "row int, weight double, value binary").groupBy("row").applyInPandas(_average, "row int, value binary").toLocalIterator():
-        model.net.parameters()[r.row // 100_000][r.row % 100_000] = np.frombuffer(r.value, "<f8")
+    state = model.net.new_grads()
+    shards = max(1, -(-model.tokens // SHARD))
+    key = F.xxhash64("doc_id", "text")
+    dealt = texts.select(F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 20), F.lit(ROUNDS)).alias("round"), key.alias("key"), "text")
+    for k in range(ROUNDS):
+        mine = dealt.where(F.col("round") == k).repartition("shard").sortWithinPartitions("shard", "key", "text").select("shard", "text")
+        for r in mine.mapInArrow(_train(model, state, 17 + k), "part int, weight double, value binary").groupBy("part").applyInPandas(_average, "part int, value binary").toLocalIterator():
+            every = [*model.net.parameters(), *state]
+            every[r.part][:] = np.frombuffer(r.value, "<f8").reshape(every[r.part].shape)
     return model
 
 
@@ -325,8 +364,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hel
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == held_out, F.lit(False))
-    texts = base.where(~out).select("text")
-    counts = written(texts.mapInArrow(_counts, "token long, cls int, n long").groupBy("token").agg(F.max("cls").alias("cls"), F.sum("n").alias("n")))
+    texts = base.where(~out)
+    counts = written(texts.select("text").mapInArrow(_counts, "token long, cls int, n long").groupBy("token").agg(F.max("cls").alias("cls"), F.sum("n").alias("n")))
     model = train(texts, counts)
     keyed = base.withColumn("key", F.xxhash64("doc_id", "text"))
     main = keyed.select("doc_id", "key", out.alias("held_out"), "text").mapInArrow(_score(model), f"doc_id {kind}, key long, held_out boolean, n_tokens long, known long, base double, score double")
