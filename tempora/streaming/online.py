@@ -3,11 +3,14 @@
 Windows look ahead, so a verdict for t waits until all signals have passed t plus the formula's
 depth.  Between micro-batches only the samples from the first open time on are kept, and each
 signal's last sample before (for alignment and for dropping late samples): state is bounded by the
-depth.  State and verdicts are tables named by batch id and written over when a batch is repeated.
+depth.  State and verdicts are tables named by batch id and written over when a batch is repeated; the
+state of the batch before last is removed.  Keys that bring nothing for ``idle`` microseconds of the
+stream's time are forgotten, with what is still open for them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +36,8 @@ class OnlineMonitor:
     folder: str  # shared by driver and executors
     semantics: str = "delayed_rob"
     synchronize: str = "none"
-    bindings: E.Bindings | None = None
+    bindings: E.Bindings | Callable[[], E.Bindings] | None = None  # a function is asked anew for each micro-batch
+    idle: int | None = None
 
     def __post_init__(self):
         if self.semantics not in SEMANTICS:
@@ -43,7 +47,7 @@ class OnlineMonitor:
         return f"{self.folder.rstrip('/')}/{kind}/{batch}"
 
     def _evaluate(self, rows: DataFrame) -> DataFrame:
-        options = {"synchronize": self.synchronize, "bindings": self.bindings}
+        options = {"synchronize": self.synchronize, "bindings": self.bindings() if callable(self.bindings) else self.bindings}
         if self.semantics == "eager":
             return E.eager(rows, self.formula, **options)
         if self.semantics == "interval":
@@ -83,7 +87,14 @@ class OnlineMonitor:
         last = Window.partitionBy("key", "signal", "closed").orderBy(F.desc("t_us"), "seq")
         kept = rows.join(bound, "key", "left").withColumn("closed", F.coalesce(F.col("t_us") <= F.col("bound"), F.lit(False)))
         kept = kept.withColumn("place", F.row_number().over(last)).where(~F.col("closed") | (F.col("place") == 1)).select("key", "signal", "t_us", "value", "seq")
+        if self.idle is not None:
+            newest = rows.agg(F.max("t_us")).first()[0] or 0
+            live = rows.groupBy("key").agg(F.max("t_us").alias("last")).where(F.col("last") >= newest - self.idle).select("key")
+            kept = kept.join(live, "key", "left_semi")
         kept.write.mode("overwrite").parquet(self._at("state", batch))
+        for kind in ("state", "bound"):  # a repeated batch needs the one before it only
+            old = spark._jvm.org.apache.hadoop.fs.Path(self._at(kind, batch - 2))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

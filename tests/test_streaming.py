@@ -56,3 +56,22 @@ def test_interval_stream_tightens_to_the_batch_intervals(spark, tmp_path):
         assert lo <= r.lo <= r.hi <= hi
         latest[r.key, r.t_us] = (r.lo, r.hi)
     assert latest == {(r.key, r.t_us): (r.lo, r.hi) for r in E.intervals(rows, formula(text)).collect()}
+
+
+def test_variables_are_read_anew_and_old_state_goes(spark, tmp_path):
+    limits = iter([0.0, 0.5, -0.5])
+    monitor = OnlineMonitor(formula("x > $limit"), str(tmp_path / "run"), "delayed_bool", bindings=lambda: {"limit": next(limits)})
+    for batch in range(3):
+        rows = [(1, "x", batch * 10 + t, v, batch * 10 + t) for t, v in enumerate((-0.7, -0.2, 0.2, 0.7))]
+        monitor.process(spark.createDataFrame(rows, SCHEMA), batch)
+    got = [r.value for r in sorted(monitor.verdicts(spark).collect(), key=lambda r: r.t_us)]
+    assert got == [False, False, True, True] + [False, False, False, True] + [False, True, True, True]
+    assert sorted(p.name for p in (tmp_path / "run" / "state").iterdir() if not p.name.startswith(".")) == ["1", "2"]
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    monitor = OnlineMonitor(formula("x > 0 && y > 0"), str(tmp_path / "run"), "delayed_bool", idle=50)
+    monitor.process(spark.createDataFrame([(1, "x", 0, 1.0, 0), (2, "x", 5, 1.0, 1)], SCHEMA), 0)
+    monitor.process(spark.createDataFrame([(2, "x", 60, 1.0, 2), (2, "y", 60, 1.0, 3)], SCHEMA), 1)
+    assert {r.key for r in spark.read.parquet(str(tmp_path / "run" / "state" / "1")).select("key").collect()} == {2}
+    assert [(r.key, r.t_us, r.value) for r in monitor.verdicts(spark).collect()] == [(2, 60, True)]
