@@ -73,6 +73,7 @@ class Codec:
         self.pretokens = regex.compile(split).findall
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.begins = sorted({x[:2] for x in self.special})  # what special tokens begin with
         self.words, self.old_words = {}, {}
         self.pieces, self.old_pieces = {}, {}
 
@@ -148,7 +149,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; special tokens in it keep their ids."""
-        if self.marks is None or "<|" not in text:
+        if not any(x in text for x in self.begins):
             return self._plain(text)
         return b"".join(self.special.get(p) or self._plain(p) for p in self.marks.split(text))
 
