@@ -32,6 +32,7 @@ from tempora.llm import textops as T
 from tempora.llm.anchors import Passages, holders, keyed, members, own_id, packed, passages, repeated_contexts, senders, signed, unpacked
 
 SIZE, SPAN, GRAM = 20, 13, 8  # the context has SIZE - SPAN + 1 = GRAM words
+SHARD_BYTES = 32 << 20  # of all texts per shard, which gets those of their passages that may repeat
 
 
 def find(col) -> Iterator[tuple[int, T.Words, Passages]]:
@@ -261,7 +262,8 @@ def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(slot, mark, spots): starts of the windows of keyed rows that also start earlier."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     contexts = repeated_contexts(rows, find)
     sent = senders(texts, contexts).mapInArrow(_sent(parts), _SENT)
     found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, j array<int>, n array<int>, first_slot array<long>, first_at array<int>")
