@@ -1,5 +1,8 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import collections
+import random
+
 import pytest
 
 from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, toxicity
@@ -64,3 +67,27 @@ def test_defined_results(docs, labels):
     assert f[2].fingerprint == f[3].fingerprint == f[4].fingerprint and f[5].fingerprint == f[6].fingerprint and f[5].near_next == 1.0
     m = by_id(mixing.mixing_rates(docs, mixing.label_domains(labels.where("false")), mixing.TARGETS, "good"))
     assert {r.rate for r in m.values()} == {1.0}
+
+
+def test_next_documents_of_ids_of_any_kind(spark, monkeypatch):
+    """Far, wide and missing ids: order, blocks of a bounded size, and next texts."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 4)
+    rnd = random.Random(12)
+    wide = [rnd.randrange(-(2**63), 2**63) for _ in range(120)]
+    for ids in (wide, [*range(100), 4 * 10**12], [*range(60), *[None] * 20]):
+        rows = [(i, f"text {k} " * rnd.randint(0, 4)) for k, i in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = fingerprint.with_next(df).collect()
+        sizes = collections.Counter(r.block for r in got)
+        assert len(sizes) > 8 and max(sizes.values()) <= 24
+        order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+        follows = {r.doc_id: r.next_text for r in got if r.doc_id is not None}
+        assert all(follows[a] == t for (a, _), (_, t) in zip(order[:-1], order[1:], strict=True))
+        if None not in ids:
+            assert follows[order[-1][0]] == order[0][1]
+        assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)  # a ring through all rows
+
+
+def test_rows_without_an_id_are_not_held_out(spark, docs, labels):
+    assert [r.held_out for r in toxicity.toxicity(docs, labels).where("doc_id is null").collect()] == [False]
+    assert [r.held_out for r in langid.identify_language(docs).where("doc_id is null").collect()] == [False]
