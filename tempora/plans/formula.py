@@ -273,7 +273,7 @@ def until(start: float, end: float, left: Formula, right: Formula) -> Formula:
 
 
 def lowered(f: Formula) -> Formula:
-    """Implications as ``or not``, and constants folded through Boolean and sweeping operators."""
+    """Implications as ``or not``, and constants folded through ``not``; others stay, as they close with their windows."""
     memo: dict[Formula, Formula] = {}
     for g in f.walk():
         p = [memo[x] for x in g.parts]

@@ -9,6 +9,7 @@ from tempora.plans.notation import formula
 from tempora.sources.traces import from_samples
 
 NAN = math.nan
+# fixed values: signals, formulas and the emissions expected of them, as the semantics are specified
 S1 = {"x": [5, 4, 6, 2, 5]}
 S2 = {"x": [1, 1, 1, 2, 3, 4, 0, 0, 0, 1, 2]}
 S3 = {"x": [0, 6, 1, 0, 8, 1, 7]}
