@@ -51,7 +51,7 @@ def main() -> None:
     trace.count()
     for name, f in (BENCHMARK | FAMILY).items():
         for domain in ("bool", "rob"):
-            runs[f"chirp_{name}_{domain}"] = lambda f=f, d=domain: E.verdicts(trace, f, d, block_from=50_000_000)
+            runs[f"chirp_{name}_{domain}"] = lambda f=f, d=domain: E.verdicts(trace, f, d, block_from=200_000_000)
     for name, f in BENCHMARK.items():
         runs[f"chirp_{name}_eager"] = lambda f=f: E.eager(trace, f)
         runs[f"chirp_{name}_interval"] = lambda f=f: E.intervals(trace, f)
