@@ -290,6 +290,12 @@ def repeats(rows: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
     return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows with their texts as they were."""
+    for b in T.slices(batches, 2, T.CHUNK_BYTES // 4):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), unpacked(b.column(2))], names=["slot", "mark", "text"])
+
+
 def removed(n: int, at: list[int], masks: list[bytes], size: int = SIZE) -> np.ndarray:
     """True for each of n bytes that a repeated window covers; masks hold the window flags from each start on."""
     flags = np.zeros(n + 1 + span(size), bool)
@@ -314,7 +320,7 @@ def _kept(b: pa.RecordBatch, text: int, spots: int, size: int) -> Iterator[tuple
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, also: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the digest of the bytes kept, of every document.
 
-    also: a shorter length; n_in_passages then counts the bytes that repeated strings of that length cover.
+    also: a length shorter than ``size``; n_in_passages then counts the bytes that repeated strings of that length cover.
     """
     lengths = [size] + [also] * (also is not None)
     names = ["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_in_passages"][: 4 + len(lengths)]
@@ -333,9 +339,15 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = keyed(docs, doc_id, text)
     texts = packed(rows)
-    out = texts
-    for k, n in enumerate(lengths):
-        out = out.join(repeats(rows, texts, n).withColumnRenamed("spots", f"spots{k}"), ["slot", "mark"], "left")
+    if also is None:
+        out = texts.join(repeats(rows, texts, size).withColumnRenamed("spots", "spots0"), ["slot", "mark"], "left")
+    else:
+        # a longer string repeats only where the shorter ones in it do: so many windows, eight to a byte of the masks
+        near = written(repeats(rows, texts, also))
+        windows = F.aggregate("spots", F.lit(0), lambda n, x: n + F.octet_length(x["mask"])) * 8
+        few = texts.join(near.where(windows > size - also).select("slot", "mark"), ["slot", "mark"], "left_semi")
+        long = repeats(few.mapInArrow(_plain, "slot long, mark int, text string"), texts, size)
+        out = texts.join(long.withColumnRenamed("spots", "spots0"), ["slot", "mark"], "left").join(near.withColumnRenamed("spots", "spots1"), ["slot", "mark"], "left")
     kinds = ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
     out = out.select("slot", "packed", *(f"spots{k}" for k in range(len(lengths)))).mapInArrow(run, kinds)
     return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), *names[1:])

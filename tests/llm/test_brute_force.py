@@ -279,6 +279,9 @@ def test_suffix_dedup(spark, table):
     for df in (spark.createDataFrame(rows, "doc_id long, text string"), table):
         want = repeated_bytes([(r.doc_id, r.text.encode()) for r in df.collect()])
         assert sorted(map(tuple, suffix_dedup.repeated_bytes(df).collect())) == want
+        short = repeated_bytes([(r.doc_id, r.text.encode()) for r in df.collect()], 240)
+        both = [tuple(r) for r in suffix_dedup.repeated_bytes(df, also=240).collect()]
+        assert sorted(r[:5] for r in both) == want and sorted((r[0], r[1], r[5]) for r in both) == sorted(r[:3] for r in short)
         assert sum(w[2] for w in want) > 0
 
 
