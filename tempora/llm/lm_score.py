@@ -294,13 +294,12 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     # levels of counts from the highest on, as far as TOP tokens go; of the next level a share, by hash; only those are fetched
     level = F.floor(F.log("n") * 32)
     sizes = {r.level: r.v for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect()}
-    wanted, left = F.lit(False), TOP
+    wanted, left = F.lit(True), TOP
     for k in sorted(sizes, reverse=True):
-        share = min(1.0, left / sizes[k])
-        wanted = wanted | ((level == k) & (F.pmod("token", F.lit(1 << 40)) < int(share * (1 << 40)))) if share < 1 else wanted | (level == k)
-        left -= sizes[k]
-        if left <= 0:
+        if sizes[k] >= left:
+            wanted = (level > k) | ((level == k) & (F.pmod("token", F.lit(1 << 40)) < int(left / sizes[k] * (1 << 40))))
             break
+        left -= sizes[k]
     top = sorted(counts.where(wanted).collect(), key=lambda r: (-r.n, r.token)) if sizes else []
     model = Model(top, stats)
     state = model.net.new_grads()
