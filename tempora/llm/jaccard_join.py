@@ -26,7 +26,7 @@ them; an empty table gives an empty result; further columns are ignored by
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,6 +164,10 @@ class Sets:
             yield doc[keep], sig[keep]
 
 
+#: (document, signature) arrays of the sets of a chunk; sets that are linked share a signature
+Signing = Callable[[Sets], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
 def _digests(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +211,7 @@ def _stars(sig: np.ndarray, node: np.ndarray, sent: int = 1) -> tuple[np.ndarray
     return sig[first], node[first], np.unique(np.stack([node[begin][~first], node[~first]], 1), axis=0)
 
 
-def _signatures(words: int, percent: int, ranges: int, bits: int):
+def _signatures(words: int, sign: Signing, ranges: int, bits: int):
     """Texts -> packed signatures (their leading ``bits``) with the least sets that have each, and rays to the others, by range."""
 
     def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -230,7 +234,7 @@ def _signatures(words: int, percent: int, ranges: int, bits: int):
             for _, _, buf, offs in T.chunks(b.column(0)):
                 s = Sets(buf, offs, words)
                 one = s.digests()[0].view(np.int64)
-                for doc, sig in s.signatures(percent):
+                for doc, sig in sign(s):
                     if len(sig):
                         held.append((sig >> T.U(64 - bits), one[doc]))
                         n += len(sig)
@@ -459,18 +463,20 @@ def _new_stars(members: DataFrame) -> DataFrame:
     return members.join(new, "center").where("node <> new").select(F.col("new").alias("center"), "node", F.col("center").alias("star"), (F.col("component") != F.col("at")).alias("apart"))
 
 
-def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT, sign: Signing | None = None, total: int | None = None) -> DataFrame:
     """Edges (a, b) between representatives of differing sets: their components are those of all links.
 
     docs: doc_id, text; reps: doc_id of the representative, n_shingles, d1, histogram.
+    sign: other signatures than PartEnum's, and ``total``, about how many there are.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # one or two signatures a shingle
-    total = 2 * (reps.agg(F.sum("n_shingles")).first()[0] or 0)
+    sign = sign or functools.partial(Sets.signatures, percent=percent)
+    if total is None:  # one or two signatures a shingle
+        total = 2 * (reps.agg(F.sum("n_shingles")).first()[0] or 0)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     bits = min(64, max(40, total.bit_length() + 20))
-    sigs = docs.select("text").mapInArrow(_signatures(words, percent, ranges, bits), _PACKED)
+    sigs = docs.select("text").mapInArrow(_signatures(words, sign, ranges, bits), _PACKED)
     rays = sigs.groupBy("part").applyInPandas(_rays, "center long, node long, local boolean").groupBy("center", "node").agg(F.max("local").alias("local"))
     name = reps.select("d1", "doc_id")
     rays = rays.join(name.select(F.col("d1").alias("node"), F.col("doc_id").alias("n")), "node").join(name.select(F.col("d1").alias("center"), F.col("doc_id").alias("c")), "center")
@@ -506,16 +512,26 @@ def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = P
     return written(functools.reduce(DataFrame.unionByName, [*sure, late]).distinct())
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least id reachable by links) of every document."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def representatives(base: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) -> the digests and histogram of each row, and one row for each distinct set, with its least id."""
     kind = base.schema["doc_id"].dataType.simpleString()
     nodes = written(base.mapInArrow(_digests(words, percent), f"doc_id {kind}, n_shingles long, d1 long, d2 long, histogram binary"))
     reps = written(nodes.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("histogram").alias("histogram")))
-    found = components(links(base, reps, words, percent))
+    return nodes, reps
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least id reachable by links) of every document."""
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    nodes, reps = representatives(base, words, percent)
+    return named(nodes, reps, components(links(base, reps, words, percent)), doc_id)
+
+
+def named(nodes: DataFrame, reps: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, from the components (node, component) of the representatives."""
     # repeated ids with different texts: an id's component is that of each of its rows
-    named = reps.join(found, F.col("doc_id") == F.col("node"), "left").select("n_shingles", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
-    return nodes.join(named, ["n_shingles", "d1", "d2"], "left").select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = reps.join(found, F.col("doc_id") == F.col("node"), "left").select("n_shingles", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
+    return nodes.join(by_set, ["n_shingles", "d1", "d2"], "left").select(F.col("doc_id").alias(doc_id), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,9 +59,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, sf_dir))
 
 
+#: op 13 takes shingles of two words
+SHORT_SHINGLES = 2
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, sf_dir), words=SHORT_SHINGLES)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op7_mixing, op8_lm_score, op9_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op7_mixing, op8_lm_score, op9_suffix_dedup, op10_substring_dedup, op13_superminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.QUALITY_SQL, "op4_jaccard_join": jaccard_join.JACCARD_SQL, "op9_suffix_dedup": suffix_dedup.suffix_sql(suffix_dedup.SIZE, PASSAGE_BYTES), "op10_substring_dedup": substring_dedup.SUBSTRING_SQL}
+    return {"op3_quality_rules": quality.QUALITY_SQL, "op4_jaccard_join": jaccard_join.JACCARD_SQL, "op9_suffix_dedup": suffix_dedup.suffix_sql(suffix_dedup.SIZE, PASSAGE_BYTES), "op10_substring_dedup": substring_dedup.SUBSTRING_SQL, "op13_superminhash": superminhash.NEAR_SQL}

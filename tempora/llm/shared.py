@@ -44,3 +44,11 @@ def sampled(rows: DataFrame, n: int, *key: Column | str) -> DataFrame:
 def held_out(doc_id: Column, remainder: int) -> Column:
     """Whether crc32 of the id as text modulo 5 is that remainder; false for null ids."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == remainder, F.lit(False))
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """The name with as many underscores before it as keep it apart from all columns of the rows."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
