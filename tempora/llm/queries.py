@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import bpe, divergence, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, superminhash, toxicity
+from tempora.llm import bitsliced, bpe, divergence, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(documents(spark, sf_dir))
 
 
+def op11_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -72,8 +76,8 @@ def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op7_mixing, op8_lm_score, op9_suffix_dedup, op10_substring_dedup, op12_divergence, op13_superminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_quality_rules, op4_jaccard_join, op5_fingerprint, op6_bpe, op7_mixing, op8_lm_score, op9_suffix_dedup, op10_substring_dedup, op11_bitsliced, op12_divergence, op13_superminhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.QUALITY_SQL, "op4_jaccard_join": jaccard_join.JACCARD_SQL, "op9_suffix_dedup": suffix_dedup.suffix_sql(suffix_dedup.SIZE, PASSAGE_BYTES), "op10_substring_dedup": substring_dedup.SUBSTRING_SQL, "op12_divergence": divergence.DIVERGENCE_SQL, "op13_superminhash": superminhash.NEAR_SQL}
+    return {"op3_quality_rules": quality.QUALITY_SQL, "op4_jaccard_join": jaccard_join.JACCARD_SQL, "op9_suffix_dedup": suffix_dedup.suffix_sql(suffix_dedup.SIZE, PASSAGE_BYTES), "op10_substring_dedup": substring_dedup.SUBSTRING_SQL, "op11_bitsliced": bitsliced.RANKED_SQL, "op12_divergence": divergence.DIVERGENCE_SQL, "op13_superminhash": superminhash.NEAR_SQL}

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, superminhash, toxicity
 
 OPERATORS = {
     "toxicity": lambda d, l: toxicity.toxicity(d, l),
@@ -18,10 +18,12 @@ OPERATORS = {
     "lm": lambda d, l: lm_score.score_texts(d),
     "suffix": lambda d, l: suffix_dedup.repeated_bytes(d),
     "substring": lambda d, l: substring_dedup.repeated_words(d),
+    "superminhash": lambda d, l: superminhash.near_duplicates(d),
 }
 CARRYING = {
     "quality": lambda d, l: quality.quality_filter(d),
     "jaccard": lambda d, l: jaccard_join.drop_near_copies(d),
+    "superminhash": lambda d, l: superminhash.drop_near_duplicates(d),
     "suffix": lambda d, l: suffix_dedup.drop_repeats(d),
     "mixing": lambda d, l: mixing.mix(d, mixing.label_domains(l), mixing.TARGETS, "good"),
     "bpe": lambda d, l: bpe.encode(d).drop("ids"),
