@@ -8,20 +8,19 @@ gives robustness intervals on what has arrived; ``interval_trace`` all their ref
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.algebra import DOMAINS, INF, Robustness, Truth
 from tempora.operators import temporal as W
+from tempora.operators.carry import ARRIVALS, as_of
 from tempora.operators.sync import wide
 from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Until, lowered
 
-ARRIVALS = 1 << 20  # of a block when late samples are looked for by blocks
-
-#: name -> value, or -> [(first arrival it holds for, value), ...]
-Bindings = Mapping[str, float | Sequence[tuple[int, float]]]
+#: name -> value, or -> [(first arrival it holds for, value), ...], or -> a table of changes (see ``carry.as_of``)
+Bindings = Mapping[str, float | Sequence[tuple[int, float]] | DataFrame]
 
 
 @dataclass
@@ -32,6 +31,7 @@ class Plan:
     signals: list[str]
     number: dict[Formula, int]
     ends: bool = False  # whether rows hold e_<i>, the last time of each signal of their key
+    logs: Mapping[str, DataFrame] = field(default_factory=dict)  # variables whose changes are a table: w<j>_<i>, as each sample of signal i arrives
 
     @staticmethod
     def of(formula: Formula, bindings: Bindings | None) -> Plan:
@@ -39,12 +39,17 @@ class Plan:
         missing = set(low.variables()) - set(bindings or {})
         if missing:
             raise ValueError(f"no value for variable {', '.join(sorted(missing))}")
-        return Plan(low, low.signals(), {f: k for k, f in enumerate(low.walk())})
+        logs = {n: b for n in low.variables() if isinstance(b := (bindings or {})[n], DataFrame)}
+        return Plan(low, low.signals(), {f: k for k, f in enumerate(low.walk())}, logs=logs)
 
-    def table(self, trace: DataFrame, synchronize: str, arrivals: int | None = None) -> DataFrame:
+    def table(self, trace: DataFrame, synchronize: str, arrivals: int | None = None, width: int | None = None) -> DataFrame:
         """One row per key and time; a formula without signals is evaluated on all of the trace."""
         if self.signals:
-            return wide(trace, self.signals, synchronize, arrivals)
+            names = [f"w{j}" for j in range(len(self.logs))]
+            if names:
+                own = trace.where(F.col("signal").isin(self.signals)).select("key", "signal", "t_us", "value", "seq")
+                trace = as_of(own, dict(zip(names, self.logs.values(), strict=True)))
+            return wide(trace, self.signals, synchronize, arrivals, width, names)
         return trace.groupBy("key", "t_us").agg(F.max("seq").alias("seq"))
 
     def col(self, f: Formula, prefix: str = "c") -> Column:
@@ -77,7 +82,7 @@ def _chunked(plan: Plan, trace: DataFrame, synchronize: str, chunk: int) -> Data
     """The plan's table with keys (key, chunk); rows that follow a chunk within the depth come with it, not as its own."""
     depth = plan.formula.depth()
     width = max(chunk, depth + 1)
-    rows = plan.table(trace, synchronize, ARRIVALS)
+    rows = plan.table(trace, synchronize, ARRIVALS, width)
     last = [F.max(F.when(F.col(f"v_{i}").isNotNull(), F.col("t_us"))).alias(f"e_{i}") for i in range(len(plan.signals))] or [F.max("t_us").alias("e")]
     rows = rows.join(rows.groupBy("key").agg(*last), "key")
     plan.ends = True
@@ -95,10 +100,12 @@ def _all_known(cols: list[Column]) -> Column:
     return out
 
 
-def _limit(f: Compare, bindings: Bindings | None, arrival: Column) -> Column:
+def _limit(plan: Plan, f: Compare, bindings: Bindings | None) -> Column:
     if not isinstance(f.limit, str):
         return F.lit(f.limit)
-    bound = (bindings or {})[f.limit]
+    if f.limit in plan.logs:
+        return F.col(f"w{list(plan.logs).index(f.limit)}_{plan.signals.index(f.signal)}")
+    bound, arrival = (bindings or {})[f.limit], plan.arrival(f)
     if isinstance(bound, (int, float)):
         return F.lit(float(bound))
     out = F.lit(None).cast("double")
@@ -128,7 +135,7 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
             value, at = d.constant(f.value), F.col("seq")
         elif isinstance(f, Compare):
             (v,), at = plan.cells(f, "v"), plan.arrival(f)
-            value = F.when(v.isNotNull(), d.compare(v, f.op, _limit(f, bindings, at)))
+            value = F.when(v.isNotNull(), d.compare(v, f.op, _limit(plan, f, bindings)))
         elif isinstance(f, Not):
             value, at = d.negate(p[0]), plan.col(f.part, "a")
         elif isinstance(f, (And, Or)):
@@ -187,7 +194,7 @@ def eager(trace: DataFrame, formula: Formula, synchronize: str = "none", binding
             rows = rows.withColumns({c: F.lit(f.value), a: F.col("seq")})
         elif isinstance(f, Compare):
             (v,) = plan.cells(f, "v")
-            rows = rows.withColumns({c: F.when(v.isNotNull(), Truth.compare(v, f.op, _limit(f, bindings, plan.arrival(f)))), a: plan.arrival(f)})
+            rows = rows.withColumns({c: F.when(v.isNotNull(), Truth.compare(v, f.op, _limit(plan, f, bindings))), a: plan.arrival(f)})
         elif isinstance(f, Not):
             rows = rows.withColumns({c: ~p[0], a: at[0]})
         elif isinstance(f, (And, Or)):
@@ -250,7 +257,7 @@ def _intervals(rows: DataFrame, plan: Plan, bindings: Bindings | None) -> DataFr
             out = (Robustness.constant(f.value),) * 2
         elif isinstance(f, Compare):
             (v,) = plan.cells(f, "v")
-            out = (F.when(v.isNotNull(), Robustness.compare(v, f.op, _limit(f, bindings, plan.arrival(f)))),) * 2
+            out = (F.when(v.isNotNull(), Robustness.compare(v, f.op, _limit(plan, f, bindings))),) * 2
         elif isinstance(f, Not):
             out = (-hi[0], -lo[0])
         elif isinstance(f, (And, Or)):

@@ -271,6 +271,11 @@ for _how in ("zoh", "linear"):
     _register(f"y_{_how}_and", lambda spark, d, how=_how: E.verdicts(events_trace(spark, d, True), P.gt("click", 30) & P.lt("view", 60), "rob", how), sql_filled(_how == "linear") + " SELECT key, t_us, least(click - 30.0::DOUBLE, 60.0::DOUBLE - view) AS value FROM w WHERE click IS NOT NULL AND view IS NOT NULL")
 
 
+for _how in ("zoh", "linear"):  # the same by parts of five days, over which samples are carried
+    _register(f"y_{_how}_by_chunks", lambda spark, d, how=_how: wide(events_trace(spark, d, True), ["click", "view"], how, width=5 * DAY * 1_000_000).select("key", "t_us", F.col("v_0").alias("click"), F.col("v_1").alias("view")), ORACLES[f"y_{_how}"])
+    _register(f"y_{_how}_and_by_chunks", lambda spark, d, how=_how: E.verdicts(events_trace(spark, d, True), P.gt("click", 30) & P.lt("view", 60), "rob", how, chunk=5 * DAY * 1_000_000), ORACLES[f"y_{_how}_and"])
+
+
 def _two_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """x at all times of a user's events, y only at those of purchases and clicks."""
     by_type = events_trace(spark, sf_dir, True)
@@ -301,6 +306,26 @@ def _changing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _register("var_changelog", _changing, f"WITH {EVENTS} SELECT key, t_us, x - CASE WHEN seq >= 7000 THEN 60.0 WHEN seq >= 3000 THEN 45.0 ELSE 30.0 END::DOUBLE AS value FROM ev")
 
+# a log of changes as a table: of all users, or each user's own
+_LOGS = {
+    "var_table": ("SELECT o_orderkey AS effective_seq, o_totalprice % 97 AS value FROM orders", False),
+    "var_table_by_key": ("SELECT o_custkey AS key, o_orderkey AS effective_seq, o_totalprice % 97 AS value FROM orders", True),
+}
+
+
+def _log(spark: SparkSession, sf_dir: str, keyed: bool) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(*([F.col("o_custkey").alias("key")] if keyed else []), F.col("o_orderkey").alias("effective_seq"), (F.col("o_totalprice") % 97).alias("value"))
+
+
+for _name, (_sql, _keyed) in _LOGS.items():
+    _on = "ev.key = c.key AND " if _keyed else ""
+    _as_of = f"WITH {EVENTS}, c AS ({_sql}), w AS (SELECT ev.key, t_us, x - c.value AS value, max(t_us) OVER (PARTITION BY ev.key) AS ends FROM ev ASOF LEFT JOIN c ON {_on}ev.seq >= c.effective_seq)"
+    _register(_name, lambda spark, d, k=_keyed: E.verdicts(events_trace(spark, d), P.gt_var("x", "high"), "rob", bindings={"high": _log(spark, d, k)}), f"{_as_of} SELECT key, t_us, value FROM w WHERE value IS NOT NULL")
+    _register(f"{_name}_g", lambda spark, d, k=_keyed: E.verdicts(events_trace(spark, d), P.always(0, DAY, P.gt_var("x", "high")), "bool", bindings={"high": _log(spark, d, k)}), f"""{_as_of}, k AS (SELECT key, t_us, value, ends FROM w)
+SELECT key, t_us, min(value > 0) OVER (PARTITION BY key ORDER BY t_us RANGE BETWEEN 0 FOLLOWING AND {DAY * 1000000} FOLLOWING) AS value FROM k QUALIFY t_us + {DAY * 1000000} <= ends AND k.value IS NOT NULL""")
+
+
 _WATCH = Monitor("F[0,172800](x > 40)")
 
 

@@ -271,7 +271,8 @@ class KeyedMonitor:
             raise ValueError(f"synchronize is one of {STRATEGIES}")
         if self.lateness is not None and self.idle is not None:
             raise ValueError("idle keys go with the watermark when windows close by time")
-        Plan.of(self.formula, self.bindings)
+        if Plan.of(self.formula, self.bindings).logs:
+            raise ValueError("a table of changes is no part of a key's state: give a variable's changes as a list")
 
     def _frame(self, key, out: list[tuple[int, float, float]]) -> pd.DataFrame:
         t = [r[0] for r in out]
