@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import evaluate as E
 from tempora.operators.monitor import Monitor, Variables
+from tempora.operators.refine import refinements
 from tempora.operators.sync import increasing, wide
 from tempora.plans import formula as P
 from tempora.plans.catalog import catalog
@@ -143,6 +144,36 @@ def sql_interval_trace(f: P.Sweep, limit: float) -> str:
 SELECT key, now_us, t_us, CASE WHEN isfinite({lo}) THEN {lo} END AS lo, CASE WHEN isfinite({hi}) THEN {hi} END AS hi FROM r"""
 
 
+def sql_refinements(f: P.Formula) -> str:
+    """Changes of the intervals of a formula over one signal x: those of the full trace, by subqueries at every later time."""
+
+    def bounds(g: P.Formula, at: str, depth: int) -> tuple[str, str]:
+        if isinstance(g, P.Compare):
+            return (f"({at}.x - {g.limit!r}::DOUBLE)" if g.op == ">" else f"({g.limit!r}::DOUBLE - {at}.x)",) * 2
+        if isinstance(g, P.Not):
+            lo, hi = bounds(g.part, at, depth)
+            return f"(-{hi})", f"(-{lo})"
+        if isinstance(g, (P.And, P.Or)):
+            both = zip(bounds(g.left, at, depth), bounds(g.right, at, depth), strict=True)
+            return tuple(f"{'least' if isinstance(g, P.And) else 'greatest'}({a}, {b})" for a, b in both)
+        m, n = f"m{depth}", f"n{depth}"
+        closed = f"o.now_us >= {at}.t_us + {g.depth()}"
+        window = lambda e, a=g.start: f"(SELECT {e} FROM ev {m} WHERE {m}.key = o.key AND {m}.t_us BETWEEN {at}.t_us + {a} AND {at}.t_us + {g.end} AND {m}.t_us <= o.now_us)"
+        if isinstance(g, P.Until):
+            inner = lambda k: f"(SELECT min({bounds(g.left, n, depth + 1)[k]}) FROM ev {n} WHERE {n}.key = o.key AND {n}.t_us BETWEEN {at}.t_us AND {m}.t_us)"
+            lo, hi = (f"coalesce({window(f'max(least({bounds(g.right, m, depth + 1)[k]}, {inner(k)}))')}, '-inf'::DOUBLE)" for k in (0, 1))
+            return lo, f"CASE WHEN {closed} THEN {hi} ELSE 'inf'::DOUBLE END"
+        least = isinstance(g, P.Globally)
+        lo, hi = (f"coalesce({window(('min' if least else 'max') + f'({e})')}, {repr('inf' if least else '-inf')}::DOUBLE)" for e in bounds(g.part, m, depth + 1))
+        return (f"CASE WHEN {closed} THEN {lo} ELSE '-inf'::DOUBLE END", hi) if least else (lo, f"CASE WHEN {closed} THEN {hi} ELSE 'inf'::DOUBLE END")
+
+    lo, hi = bounds(f, "o", 0)
+    last = f"coalesce((SELECT min(n.t_us) FROM ev n WHERE n.key = e.key AND n.t_us >= e.t_us + {f.depth()}), 9223372036854775807)"
+    return f"""WITH {EVENTS}, e AS (SELECT *, {last} AS last FROM ev e), o AS (SELECT e.key, e.t_us, e.x, n.t_us AS now_us FROM e JOIN ev n ON n.key = e.key AND n.t_us BETWEEN e.t_us AND e.last),
+r AS (SELECT o.key, o.now_us, o.t_us, {lo} AS lo, {hi} AS hi FROM o), c AS (SELECT *, lag(lo) OVER w AS lo0, lag(hi) OVER w AS hi0 FROM r WINDOW w AS (PARTITION BY key, t_us ORDER BY now_us))
+SELECT key, now_us, t_us, CASE WHEN isfinite(lo) THEN lo END AS lo, CASE WHEN isfinite(hi) THEN hi END AS hi FROM c WHERE lo0 IS NULL OR lo <> lo0 OR hi <> hi0"""
+
+
 TYPES = "ev AS (SELECT user_id AS key, epoch_us(ts) AS t_us, event_id AS seq, event_type AS signal, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND event_type IN ('click', 'view'))"
 
 
@@ -260,6 +291,13 @@ SELECT key, t_us, v AS lo, CASE WHEN now_us >= t_us + {_UNTIL.end} THEN v END AS
 _TRACED = P.always(0, DAY, P.gt("x", 10))
 _register("interval_trace", lambda spark, d: E.interval_trace(events_trace(spark, d), _TRACED).select("key", "now_us", "t_us", _finite("lo"), _finite("hi")), sql_interval_trace(_TRACED, 10.0))
 
+for _name, _f in {
+    "refine_g": P.always(0, 2 * DAY, P.gt("x", 10)), "refine_f_lower_bound": P.eventually(DAY, 3 * DAY, P.gt("x", 80)), "refine_until": _UNTIL,
+    "refine_and_not": P.always(0, DAY, P.gt("x", 10)) & ~P.always(0, 2 * DAY, P.gt("x", 40)), "refine_nested": P.always(0, 2 * DAY, P.gt("x", 60) >> P.eventually(0, DAY, P.lt("x", 40))),
+    "refine_until_nested": P.until(0, DAY, P.eventually(0, DAY, P.gt("x", 40)), P.gt("x", 60)),
+}.items():
+    _register(_name, lambda spark, d, f=_f: refinements(events_trace(spark, d), f, chunk=6 * DAY * 1_000_000).select("key", "now_us", "t_us", _finite("lo"), _finite("hi")), sql_refinements(P.lowered(_f)))
+
 _register(
     "y1_strict_increasing", lambda spark, d: increasing(orders_trace(spark, d)).select("key", "t_us", "value", "seq"),
     """WITH o AS (SELECT o_custkey AS key, epoch_us(o_orderdate) AS t_us, o_totalprice AS value, o_orderkey AS seq FROM orders),

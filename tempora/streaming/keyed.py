@@ -275,10 +275,10 @@ class KeyedMonitor:
             raise ValueError("a table of changes is no part of a key's state: give a variable's changes as a list")
 
     def _frame(self, key, out: list[tuple[int, float, float]]) -> pd.DataFrame:
-        t = [r[0] for r in out]
+        keys, t = pd.Series([key] * len(out), dtype=object), [r[0] for r in out]
         if self.semantics == "interval":
-            return pd.DataFrame({"key": [key] * len(out), "t_us": t, "lo": [r[1] for r in out], "hi": [r[2] for r in out]})
-        return pd.DataFrame({"key": [key] * len(out), "t_us": t, "value": [r[1] > 0 for r in out] if self.semantics == "delayed_bool" else [r[1] for r in out]})
+            return pd.DataFrame({"key": keys, "t_us": t, "lo": [r[1] for r in out], "hi": [r[2] for r in out]})
+        return pd.DataFrame({"key": keys, "t_us": t, "value": [r[1] > 0 for r in out] if self.semantics == "delayed_bool" else [r[1] for r in out]})
 
     def verdicts(self, stream: DataFrame) -> DataFrame:
         """The streaming DataFrame of verdicts, for any sink in append mode."""

@@ -96,6 +96,15 @@ def test_windows_close_by_timers_where_nothing_follows(spark, tmp_path):
     assert sorted(got) == [(1, S, True), (1, 2 * S, False)]
 
 
+def test_keys_of_text(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    for b in ([("a", "x", S, 1.0, 0)], [("a", "x", 4 * S, 1.0, 1), ("b", "x", S, 1.0, 2)]):
+        spark.createDataFrame(b, SCHEMA.replace("key long", "key string")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SCHEMA.replace("key long", "key string")).option("maxFilesPerTrigger", 1).parquet(source)
+    KeyedMonitor(formula("G[0,2](x > 0)")).start(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("a", S, 1.0)]
+
+
 def test_a_restart_goes_on_from_the_checkpoint(spark, tmp_path):
     rows, f = samples(["x"], 120), formula("F[0,6](x > 1) && G[0,2](x > -2)")
     monitor, all_parts = KeyedMonitor(f), parts(rows, 4)
