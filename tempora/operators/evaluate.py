@@ -17,7 +17,7 @@ from tempora.functions.algebra import DOMAINS, INF, Robustness, Truth
 from tempora.operators import temporal as W
 from tempora.operators.carry import ARRIVALS, as_of
 from tempora.operators.sync import wide
-from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Until, lowered
+from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Timed, Until, lowered
 
 #: name -> value, or -> [(first arrival it holds for, value), ...], or -> a table of changes (see ``carry.as_of``)
 Bindings = Mapping[str, float | Sequence[tuple[int, float]] | DataFrame]
@@ -114,11 +114,16 @@ def _limit(plan: Plan, f: Compare, bindings: Bindings | None) -> Column:
     return out
 
 
+def _wide(f: Timed, block_from: int | None) -> bool:
+    return block_from is not None and f.end - f.start >= max(block_from, 1)
+
+
 def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchronize: str = "none", bindings: Bindings | None = None, until_from_start: bool = False, block_from: int | None = None, emission: bool = False, chunk: int | None = None) -> DataFrame:
     """(key, t_us, value) of every closed time, and ``at_seq``, the arrival that closed it, if ``emission``.
 
     until_from_start: let ``until`` accept its right side from t on, whatever its lower bound.
-    block_from: robustness over windows of so many microseconds or more is computed by blocks (see ``block_extreme``).
+    block_from: robustness over windows of so many microseconds or more is computed by blocks (see ``block_extreme`` and
+    ``until_best``, which counts the rows of a block by a job when the plan is made); narrower ones by frames.
     chunk: split each key's time into chunks of so many microseconds (no less than the formula's depth), which are
     evaluated on their own with the rows of the depth after them: one long trace then runs in many tasks.
     """
@@ -144,7 +149,7 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
             least = isinstance(f, Globally)
             if d is Truth:
                 best = W.truth_sweep(p[0], f.start, f.end, not least)
-            elif block_from is not None and f.end - f.start >= max(block_from, 1):
+            elif _wide(f, block_from):
                 rows = W.block_extreme(rows, f"c{plan.number[f.part]}", f.start, f.end, least, "_x")
                 best = F.col("_x")
             else:
@@ -153,9 +158,12 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
             value = F.when(p[0].isNotNull() & (F.col("t_us") + f.depth() <= plan.frontier(f)), value)
         else:
             begin = 0 if until_from_start else f.start
-            if d is not Truth:
-                rows = W.until_best(rows, *(f"c{plan.number[x]}" for x in f.parts), begin, f.end, "_x")
-            value = W.until_truth(*p, f.start, f.end, begin) if d is Truth else F.col("_x")
+            if d is Truth:
+                value = W.until_truth(*p, f.start, f.end, begin)
+            elif _wide(f, block_from):
+                rows, value = W.until_best(rows, *(f"c{plan.number[x]}" for x in f.parts), begin, f.end, "_x"), F.col("_x")
+            else:
+                value = W.until_fold(*p, begin, f.end)
             value = F.when(p[0].isNotNull() & p[1].isNotNull() & (F.col("t_us") + f.depth() <= plan.frontier(f)), value)
             at = plan.closing(f)
         rows = rows.withColumn(c, value)
@@ -207,7 +215,7 @@ def eager(trace: DataFrame, formula: Formula, synchronize: str = "none", binding
             rows = _first_come(rows, plan, f)
         elif isinstance(f, (Globally, Eventually)):
             z = isinstance(f, Eventually)
-            rows = rows.withColumns({"_hit": F.min(F.when(p[0] == F.lit(z), at[0])).over(W.ahead(f.start, f.end)), "_close": plan.closing(f), "_task": p[0].isNotNull()})
+            rows = rows.withColumns({"_hit": _first_hit(plan, f, p[0] == F.lit(z), at[0]), "_close": plan.closing(f), "_task": p[0].isNotNull()})
             hit, close, task = F.col("_hit"), F.col("_close"), F.col("_task")
             soon = hit.isNotNull() & (close.isNull() | (hit <= close))
             rows = rows.withColumns({c: F.when(task & soon, F.lit(z)).when(task & close.isNotNull(), F.lit(not z)), a: F.when(soon, F.greatest(hit, at[0])).otherwise(F.greatest(close, at[0]))})
@@ -218,36 +226,45 @@ def eager(trace: DataFrame, formula: Formula, synchronize: str = "none", binding
     return rows.where(value.isNotNull()).select("key", "t_us", value.alias("value"), plan.col(plan.formula, "a").alias("at_seq"))
 
 
+def _in_order(plan: Plan, f: Formula) -> bool:
+    """Whether f's values arrive in order of time: all do but constants among several signals, which come with any sample."""
+    return len(plan.signals) < 2 or not isinstance(f, Constant)
+
+
+def _first_hit(plan: Plan, f: Timed, cond: Column, at: Column) -> Column:
+    """The least arrival of the window's rows where cond holds."""
+    if not _in_order(plan, f.parts[0]):
+        return F.min(F.when(cond, at)).over(W.ahead(f.start, f.end))
+    first = W.first_from(cond, f.start, at.alias("at"))
+    return F.when(first["t_us"] <= F.col("t_us") + F.lit(f.end), first["at"])
+
+
 def _eager_until(rows: DataFrame, plan: Plan, f: Until) -> DataFrame:
+    """True once the right side, with the left up to it, has arrived; false once the left fails first, or all has passed.
+
+    Values arrive in order of time, so of the window's rows the first that decides is also the first to
+    arrive, and frames that only grow find it.
+    """
     c, a = f"c{plan.number[f]}", f"a{plan.number[f]}"
     (l, r), (la, ra) = [plan.col(x) for x in f.parts], [plan.col(x, "a") for x in f.parts]
-    here = l.isNotNull() | r.isNotNull()
-    walk = F.sort_array(F.collect_list(F.when(here, F.struct(F.col("t_us").alias("t"), l.alias("l"), la.alias("la"), r.alias("r"), ra.alias("ra")))).over(W.ahead(0, f.end)))
-    own = F.greatest(F.coalesce(la, ra), F.coalesce(ra, la))
-    rows = rows.withColumns({"_walk": walk, "_close": plan.closing(f), "_task": l.isNotNull() & r.isNotNull(), "_own": own})
-    none = F.lit(None).cast("long")
-
-    def step(acc: Column, x: Column) -> Column:
-        pre = F.greatest(acc["pre"], x["la"])
-        fails, over = x["l"] == F.lit(False), acc["over"]
-        met = F.when((x["r"] == F.lit(True)) & (x["t"] >= F.col("t_us") + F.lit(f.start)), F.greatest(pre, x["ra"]))
-        return F.struct(
-            F.when(over, acc["pre"]).otherwise(pre).alias("pre"),
-            F.when(over | x["l"].isNull() | fails, acc["tr"]).otherwise(F.least(acc["tr"], met)).alias("tr"),
-            F.when(~over & fails, F.greatest(pre, F.col("_own"))).otherwise(acc["fa"]).alias("fa"),
-            (over | x["l"].isNull() | F.coalesce(fails, F.lit(False))).alias("over"),
-        )
-
-    state = F.aggregate("_walk", F.struct(none.alias("pre"), none.alias("tr"), none.alias("fa"), F.lit(False).alias("over")), step)
-    rows = rows.withColumn("_s", state).withColumn("_first", F.least("_s.tr", "_s.fa", "_close"))
-    rows = rows.withColumns({c: F.when(F.col("_task") & F.col("_first").isNotNull(), F.coalesce(F.col("_s.tr") == F.col("_first"), F.lit(False))), a: F.greatest("_first", "_own")})
-    return _first_come(rows.drop("_walk", "_close", "_own", "_s", "_first"), plan, f)
+    for side, g in zip((0, 1), f.parts, strict=True):
+        if not _in_order(plan, g):  # a constant is there with the other side
+            la, ra = (F.coalesce(ra, la), ra) if side == 0 else (la, F.coalesce(la, ra))
+    stop = W.first_from((l.isNotNull() | r.isNotNull()) & (l.isNull() | ~l), 0, (~l).alias("fails"), la.alias("at"))
+    met = W.first_from(l & r, f.start, F.greatest(la, ra).alias("at"))
+    rows = rows.withColumns({"_stop": stop, "_met": met, "_close": plan.closing(f), "_task": l.isNotNull() & r.isNotNull(), "_own": F.greatest(F.coalesce(la, ra), F.coalesce(ra, la))})
+    end = F.col("t_us") + F.lit(f.end)
+    true_at = F.when((F.col("_met.t_us") <= end) & (F.col("_stop").isNull() | (F.col("_met.t_us") < F.col("_stop.t_us"))), F.col("_met.at"))
+    false_at = F.when((F.col("_stop.t_us") <= end) & F.col("_stop.fails"), F.greatest("_stop.at", "_own"))
+    rows = rows.withColumns({"_true": true_at, "_first": F.least(true_at, false_at, F.col("_close"))})
+    rows = rows.withColumns({c: F.when(F.col("_task") & F.col("_first").isNotNull(), F.coalesce(F.col("_true") == F.col("_first"), F.lit(False))), a: F.greatest("_first", "_own")})
+    return _first_come(rows.drop("_stop", "_met", "_close", "_own", "_true", "_first"), plan, f)
 
 
 # -- intervals ------------------------------------------------------------------------
 
 
-def _intervals(rows: DataFrame, plan: Plan, bindings: Bindings | None) -> DataFrame:
+def _intervals(rows: DataFrame, plan: Plan, bindings: Bindings | None, block_from: int | None = None) -> DataFrame:
     """Adds l<k>, h<k>, the robustness interval of each subformula on the rows of a key."""
     for f in plan.number:
         k = plan.number[f]
@@ -266,23 +283,33 @@ def _intervals(rows: DataFrame, plan: Plan, bindings: Bindings | None) -> DataFr
         elif isinstance(f, (Globally, Eventually)):
             least = isinstance(f, Globally)
             best = Robustness.least if least else Robustness.greatest
-            low, high = (F.coalesce(best(x[0]).over(W.ahead(f.start, f.end)), Robustness.constant(least)) for x in (lo, hi))
+            found = [best(x[0]).over(W.ahead(f.start, f.end)) for x in (lo, hi)]
+            if _wide(f, block_from):
+                for side in "lh":
+                    rows = W.block_extreme(rows, f"{side}{plan.number[f.part]}", f.start, f.end, least, f"_x{side}")
+                found = [F.col("_xl"), F.col("_xh")]
+            low, high = (F.coalesce(x, Robustness.constant(least)) for x in found)
             low = F.when(closed, low).otherwise(F.lit(-INF)) if least else low
             high = high if least else F.when(closed, high).otherwise(F.lit(INF))
             out = tuple(F.when(lo[0].isNotNull(), x) for x in (low, high))
         else:
-            for side in "lh":
-                rows = W.until_best(rows, *(f"{side}{plan.number[x]}" for x in f.parts), f.start, f.end, f"_x{side}")
-            low, high = F.col("_xl"), F.col("_xh")
+            low, high = (W.until_fold(*x, f.start, f.end) for x in (lo, hi))
+            if _wide(f, block_from):
+                for side in "lh":
+                    rows = W.until_best(rows, *(f"{side}{plan.number[x]}" for x in f.parts), f.start, f.end, f"_x{side}")
+                low, high = F.col("_xl"), F.col("_xh")
             out = tuple(F.when(lo[0].isNotNull() & lo[1].isNotNull(), x) for x in (low, F.when(closed, high).otherwise(F.lit(INF))))
         rows = rows.withColumns({f"l{k}": out[0], f"h{k}": out[1]}).drop("_xl", "_xh")
     return rows
 
 
-def intervals(trace: DataFrame, formula: Formula, synchronize: str = "none", bindings: Bindings | None = None) -> DataFrame:
-    """(key, t_us, lo, hi): robustness intervals on all that the trace holds; lo = hi once closed."""
+def intervals(trace: DataFrame, formula: Formula, synchronize: str = "none", bindings: Bindings | None = None, block_from: int | None = None) -> DataFrame:
+    """(key, t_us, lo, hi): robustness intervals on all that the trace holds; lo = hi once closed.
+
+    block_from: as for ``verdicts``.
+    """
     plan = Plan.of(formula, bindings)
-    rows = _intervals(plan.table(trace, synchronize), plan, bindings)
+    rows = _intervals(plan.table(trace, synchronize), plan, bindings, block_from)
     lo, hi = plan.col(plan.formula, "l"), plan.col(plan.formula, "h")
     return rows.where(lo.isNotNull()).select("key", "t_us", lo.alias("lo"), hi.alias("hi"))
 

@@ -64,6 +64,23 @@ def block_extreme(rows: DataFrame, value: str, start: int, end: int, least: bool
     return rows.withColumn(out, join("_s._tail", "_p._head")).drop("_block", "_tail", "_head", "_s", "_p")
 
 
+def first_from(cond: Column, start: int, *cols: Column) -> Column:
+    """(t_us, cols) of the first row from t + start on where cond holds."""
+    return F.min(F.when(cond, F.struct("t_us", *cols))).over(from_on(start))
+
+
+def until_fold(left: Column, right: Column, start: int, end: int) -> Column:
+    """The robustness of until by a walk over each window's rows: for windows of few rows."""
+    inf, known = F.lit(INF), left.isNotNull() & right.isNotNull()
+    walk = F.sort_array(F.collect_list(F.when(known, F.struct(F.col("t_us").alias("t"), left.alias("l"), right.alias("r")))).over(ahead(0, end)))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.least(acc["run"], x["l"])
+        return F.struct(run.alias("run"), F.when(x["t"] >= F.col("t_us") + F.lit(start), F.greatest(acc["best"], F.least(x["r"], run))).otherwise(acc["best"]).alias("best"))
+
+    return F.aggregate(walk, F.struct(inf.alias("run"), (-inf).alias("best")), step, lambda acc: acc["best"])
+
+
 def until_best(rows: DataFrame, left: str, right: str, start: int, end: int, out: str) -> DataFrame:
     """rows with ``out``, the robustness of until: the best over t' of min(right at t', least left up to t').
 

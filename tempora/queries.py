@@ -264,17 +264,24 @@ for _name, _f in {
 }.items():
     _register(_name, lambda spark, d, f=_f: E.eager(events_trace(spark, d), f), sql_eager(_f))
 _register("eager_implies", lambda spark, d: E.eager(events_trace(spark, d), P.gt("x", 30) >> P.eventually(0, DAY, P.lt("x", 30))), sql_eager(~P.gt("x", 30) | P.eventually(0, DAY, P.lt("x", 30))))
-_register(
-    "eager_until", lambda spark, d: E.eager(events_trace(spark, d), P.until(0, 2 * DAY, P.lt("x", 90), P.gt("x", 60))),
-    f"""WITH {EVENTS},
-a AS (SELECT o.*, (SELECT min(m.seq) FROM ev m WHERE m.key = o.key AND m.t_us BETWEEN o.t_us AND o.t_us + {2 * DAY * 1000000} AND NOT m.x < 90) AS fails,
-  (SELECT min(m.seq) FROM ev m WHERE m.key = o.key AND m.t_us BETWEEN o.t_us AND o.t_us + {2 * DAY * 1000000} AND m.x > 60 AND m.x < 90) AS met,
-  (SELECT min(m.seq) FROM ev m WHERE m.key = o.key AND m.t_us >= o.t_us + {2 * DAY * 1000000}) AS done FROM ev o),
+
+
+def sql_eager_until(low: float, high: float, start: int, end: int) -> str:
+    """x < high until x > low: true with the first right whose lefts all hold, false with the first left that fails."""
+    among = lambda begin, cond: f"(SELECT min(m.seq) FROM ev m WHERE m.key = o.key AND m.t_us BETWEEN o.t_us + {begin} AND o.t_us + {end} AND {cond})"
+    return f"""WITH {EVENTS},
+a AS (SELECT o.*, {among(0, f"NOT m.x < {high}")} AS fails, {among(start, f"m.x > {low} AND m.x < {high}")} AS met,
+  (SELECT min(m.seq) FROM ev m WHERE m.key = o.key AND m.t_us >= o.t_us + {end}) AS done FROM ev o),
 b AS (SELECT *, CASE WHEN met IS NOT NULL AND (fails IS NULL OR met < fails) THEN met END AS tr FROM a),
 c AS (SELECT *, least(tr, fails, done) AS came FROM b),
 e AS (SELECT *, sum((came IS NULL)::INT) OVER w AS open, max(came) OVER w AS latest FROM c WINDOW w AS (PARTITION BY key ORDER BY t_us ROWS UNBOUNDED PRECEDING))
-SELECT key, t_us, coalesce(tr = came, false) AS value, latest::BIGINT AS at_seq FROM e WHERE open = 0""",
-)
+SELECT key, t_us, coalesce(tr = came, false) AS value, latest::BIGINT AS at_seq FROM e WHERE open = 0"""
+
+
+for _name, _start in (("eager_until", 0), ("eager_until_lower_bound", 12 * H)):
+    _register(_name, lambda spark, d, a=_start: E.eager(events_trace(spark, d), P.until(a, 2 * DAY, P.lt("x", 90), P.gt("x", 60))), sql_eager_until(60, 90, _start * 1_000_000, 2 * DAY * 1_000_000))
+for _name, _f in {"interval_latest_g_by_blocks": P.always(0, 2 * DAY, P.gt("x", 10)), "interval_latest_nested_by_blocks": P.always(0, DAY, P.eventually(0, DAY, P.gt("x", 60)) & P.lt("x", 95))}.items():
+    _register(_name, lambda spark, d, f=_f: E.intervals(events_trace(spark, d), f, block_from=H * 1_000_000).select("key", "t_us", _finite("lo"), _finite("hi")), sql_latest_intervals(_f))
 for _name, _f in {
     "interval_latest_g": P.always(0, 2 * DAY, P.gt("x", 10)), "interval_latest_f": P.eventually(0, 2 * DAY, P.gt("x", 80)),
     "interval_latest_and": P.always(0, DAY, P.gt("x", 10)) & P.eventually(0, 2 * DAY, P.gt("x", 80)), "interval_latest_or": P.lt("x", 60) | P.always(0, 2 * DAY, P.gt("x", 40)),

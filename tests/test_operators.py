@@ -8,7 +8,7 @@ from tempora.operators import evaluate as E
 from tempora.operators import temporal as W
 from tempora.operators.monitor import Monitor, Variables
 from tempora.operators.sync import increasing, wide
-from tempora.plans.formula import always, eventually, gt, gt_var, lt
+from tempora.plans.formula import And, Compare, Constant, Eventually, Globally, Not, Or, Until, always, eventually, gt, gt_var, lowered, lt
 from tempora.plans.notation import formula
 from tempora.sources import traces
 
@@ -142,3 +142,103 @@ def test_one_exchange_for_all_windows_of_a_formula(spark):
     rows = traces.sine(spark, 100)
     df = E.verdicts(rows, formula("G[0,5](x>0 -> F[0,3](x<0)) && F[0,9](x>0)"))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") <= 2  # late samples, then time
+
+
+def test_eager_until_over_wide_windows(spark):
+    """The first deciding row of 5,000, for every sample of a long trace, in the time of a sort."""
+    trace = traces.chirp(spark, 20_000)
+    f = formula("x < 0.999 U[500,5000] (x > 0.99)")
+    got = E.eager(trace, f).orderBy("t_us").toPandas()
+    x = [r.value for r in trace.orderBy("t_us").collect()]
+    for t in range(0, len(got), 487):
+        stop = next((u for u in range(t, len(x)) if not x[u] < 0.999), None)
+        met = next((u for u in range(t + 500, len(x)) if 0.99 < x[u] < 0.999), None)
+        true_at = met if met is not None and met <= t + 5000 and (stop is None or met < stop) else None
+        first = min(u for u in (true_at, stop if stop is not None and stop <= t + 5000 else None, t + 5000) if u is not None)
+        assert got.value[t] == (true_at == first)
+
+
+@pytest.mark.parametrize("text", ["(x > 0 && y > 0) U[1,6] (y < 0.5)", "G[0,5](x > -0.5 || y > 0)", "F[1,4](x > 0.9) && G[0,3](y > -0.9)", "true U[0,5] (x > 0.8)"])
+def test_eager_decides_as_a_walk_does(spark, text):
+    """Windows walked row by row in order of arrival, at every operator."""
+    rnd = random.Random(11)
+    rows = [("k", "xy"[i % 2], (i - i % 2) * 1_000_000, rnd.uniform(-1, 1), i) for i in range(240)]
+    f = lowered(formula(text))
+    want = _eager_walk(f, rows)
+    got = {r.t_us: (r.value, r.at_seq) for r in E.eager(spark.createDataFrame(rows, "key string, signal string, t_us long, value double, seq long"), f).collect()}
+    assert got == want and len(got) > 10
+
+
+def _eager_walk(f, rows):
+    own = [r for r in rows if r[1] in f.signals()]
+    times = sorted({r[2] for r in own})
+    at = {s: {r[2]: (r[3], r[4]) for r in own if r[1] == s} for s in f.signals()}
+
+    def close(g, t):
+        return min((r[4] for r in own if r[1] in (g.signals() or f.signals()) and r[2] >= t + g.depth()), default=None)
+
+    def first_come(found):
+        out, latest = {}, -1
+        for t in times:
+            if found.get(t) is None:
+                if t in found:
+                    break
+                continue
+            latest = max(latest, found[t][1])
+            out[t] = (found[t][0], latest)
+        return out
+
+    def value(g):
+        if isinstance(g, Constant):
+            return {t: (g.value, max(r[4] for r in own if r[2] == t)) for t in times}
+        if isinstance(g, Compare):
+            return {t: ((v > g.limit) if g.op == ">" else (v < g.limit), q) for t, (v, q) in at[g.signal].items()}
+        p = [value(x) for x in g.parts]
+        if isinstance(g, Not):
+            return {t: (not v, q) for t, (v, q) in p[0].items()}
+        found = {}
+        for t in times:
+            if isinstance(g, (And, Or)):
+                z = isinstance(g, Or)
+                sides = [x[t] for x in p if t in x]
+                alone = [q for v, q in sides if v == z]
+                if sides:
+                    found[t] = (z, min(alone)) if alone else (not z, max(q for _, q in sides)) if len(sides) == 2 else None
+            elif isinstance(g, (Globally, Eventually)):
+                z = isinstance(g, Eventually)
+                if t in p[0]:
+                    hit = min((q for u, (v, q) in p[0].items() if t + g.start <= u <= t + g.end and v == z), default=None)
+                    done = close(g, t)
+                    found[t] = (z, max(hit, p[0][t][1])) if hit is not None and (done is None or hit <= done) else (not z, max(done, p[0][t][1])) if done is not None else None
+            elif t in p[0] and t in p[1]:
+                l, r = p
+                mine, pre, true_at, false_at = max(l[t][1], r[t][1]), -1, None, None
+                for u in times:
+                    if not t <= u <= t + g.end or (u not in l and u not in r):
+                        continue
+                    if u not in l:
+                        break
+                    pre = max(pre, l[u][1])
+                    if not l[u][0]:
+                        false_at = max(pre, mine)
+                        break
+                    if u >= t + g.start and u in r and r[u][0]:
+                        came = max(pre, r[u][1])
+                        true_at = came if true_at is None else min(true_at, came)
+                first = min((x for x in (true_at, false_at, close(g, t)) if x is not None), default=None)
+                found[t] = None if first is None else (true_at == first, max(first, mine))
+        return first_come(found)
+
+    return value(f)
+
+
+@pytest.mark.parametrize("start, end", [(0, 5_000_000), (2_000_000, 7_000_000), (3_000_000, 3_000_000)])
+def test_until_by_fold_and_by_blocks_agree(spark, start, end):
+    rnd = random.Random(21)
+    rows = [("k", "xy"[i % 2], (i - i % 2) * 500_000, rnd.uniform(-1, 1), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, signal string, t_us long, value double, seq long")
+    f = Until(start, end, gt("x", -0.5), gt("y", 0.3))
+    one, two = (sorted(E.verdicts(df, f, "rob", block_from=k).collect()) for k in (None, 0))
+    assert one == two and len(one) > 100
+    a, b = (sorted(E.intervals(df, Globally(start, end, f), block_from=k).collect()) for k in (None, 0))
+    assert a == b
