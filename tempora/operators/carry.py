@@ -38,6 +38,26 @@ def carried(rows: DataFrame, by: Sequence[str], order: Sequence[str], part: Colu
     return met.select(*kept, *(e.alias(out) for out, e in found.items()))
 
 
+def joined(rows: DataFrame, by: Sequence[str], part: str, small: DataFrame) -> DataFrame:
+    """rows beside the columns of a small table that has one row for each axis (may be null) and part."""
+    at = small.withColumnsRenamed({c: f"_b{c}" for c in [*by, part]})
+    same = F.col(part).eqNullSafe(F.col(f"_b{part}"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{c}"))
+    return rows.join(at, same).drop(*(f"_b{c}" for c in [*by, part]))
+
+
+def running_max(rows: DataFrame, by: Sequence[str], order: str, part: str, values: Mapping[str, Column]) -> DataFrame:
+    """rows with columns of the greatest value up to each row; part: a column, growing along the axis."""
+    rows = rows.withColumns({f"_r{k}": v for k, v in enumerate(values.values())})
+    tops = rows.groupBy(*by, part).agg(*(F.max(f"_r{k}").alias(f"_r{k}") for k in range(len(values))))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    brought = tops.select(*by, part, *(F.max(f"_r{k}").over(before).alias(f"_in{k}") for k in range(len(values))))
+    inside = Window.partitionBy(*by, part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    met = joined(rows, by, part, brought)
+    return met.withColumns({out: F.greatest(F.max(f"_r{k}").over(inside), f"_in{k}") for k, out in enumerate(values)}).drop(*(f"{p}{k}" for k in range(len(values)) for p in ("_r", "_in")))
+
+
 def as_of(samples: DataFrame, logs: Mapping[str, DataFrame], width: int = ARRIVALS) -> DataFrame:
     """samples with a column for each log: the value of its latest change at or before the sample's arrival (null: none yet).
 

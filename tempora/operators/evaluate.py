@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions.algebra import DOMAINS, INF, Robustness, Truth
 from tempora.operators import temporal as W
-from tempora.operators.carry import ARRIVALS, as_of
+from tempora.operators.carry import ARRIVALS, as_of, joined, running_max
 from tempora.operators.sync import wide
 from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Timed, Until, lowered
 
@@ -31,6 +31,7 @@ class Plan:
     signals: list[str]
     number: dict[Formula, int]
     ends: bool = False  # whether rows hold e_<i>, the last time of each signal of their key
+    parts: bool = False  # whether rows hold _own, the part of their key's time, and z_<i>, each signal's first arrival after the next part
     logs: Mapping[str, DataFrame] = field(default_factory=dict)  # variables whose changes are a table: w<j>_<i>, as each sample of signal i arrives
 
     @staticmethod
@@ -69,9 +70,9 @@ class Plan:
 
     def closing(self, f: Formula) -> Column:
         """The first arrival at or after the end of f's window, among f's signals."""
-        arrivals = self.cells(f, "q")
-        seq = F.col("seq") if not arrivals else arrivals[0] if len(arrivals) == 1 else F.least(*arrivals)
-        return F.min(seq).over(W.from_on(f.depth()))
+        least = lambda cols: cols[0] if len(cols) == 1 else F.least(*cols)
+        first = F.min(least(self.cells(f, "q") or [F.col("seq")])).over(W.from_on(f.depth()))
+        return F.least(first, least(self.cells(f, "z") or [F.col("z")])) if self.parts else first
 
     def arrival(self, f: Formula) -> Column:
         arrivals = self.cells(f, "q")
@@ -183,18 +184,44 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
 def _first_come(rows: DataFrame, plan: Plan, f: Formula) -> DataFrame:
     """Verdicts leave in order of time: none before those of earlier times, none after an undecided one."""
     c, a, k = f"c{plan.number[f]}", f"a{plan.number[f]}", "_task"
-    so_far = Window.partitionBy("key").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
-    open_ = F.max(F.when(F.col(k) & F.col(c).isNull(), 1).otherwise(0)).over(so_far)
-    latest = F.max(F.when(F.col(c).isNotNull(), F.col(a))).over(so_far)
-    rows = rows.withColumns({"_open": open_, "_latest": latest})
+    values = {"_open": F.when(F.col(k) & F.col(c).isNull(), 1).otherwise(0), "_latest": F.when(F.col(c).isNotNull(), F.col(a))}
+    if plan.parts:
+        rows = running_max(rows, ["key"], "t_us", "_own", values)
+    else:
+        so_far = Window.partitionBy("key").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({out: F.max(v).over(so_far) for out, v in values.items()})
     decided = (F.col("_open") == 0) & F.col(c).isNotNull()
     return rows.withColumns({c: F.when(decided, F.col(c)), a: F.when(decided, F.col("_latest"))}).drop("_open", "_latest", k)
 
 
-def eager(trace: DataFrame, formula: Formula, synchronize: str = "none", bindings: Bindings | None = None) -> DataFrame:
-    """(key, t_us, value, at_seq): truth, and the arrival by which it was decided and could be given."""
+def _in_parts(plan: Plan, trace: DataFrame, synchronize: str, chunk: int) -> DataFrame:
+    """The plan's table with the part of each row, and the first arrivals after the part that follows."""
+    width = max(chunk, plan.formula.depth() + 1)
+    rows = plan.table(trace, synchronize, ARRIVALS, width).withColumn("_own", F.floor(F.col("t_us") / F.lit(width)))
+    plan.parts = True
+    arrivals = {f"z_{i}": F.min(f"q_{i}") for i in range(len(plan.signals))} or {"z": F.min("seq")}
+    tops = rows.groupBy("key", "_own").agg(*(v.alias(c) for c, v in arrivals.items()))
+    later = Window.partitionBy("key").orderBy(F.desc("_own")).rangeBetween(Window.unboundedPreceding, -2)
+    return joined(rows, ["key"], "_own", tops.select("key", "_own", *(F.min(c).over(later).alias(c) for c in arrivals)))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Each part together with the part after it: keys are (key, part) for the windows that look ahead."""
+    return rows.withColumn("_part", F.explode(F.array(F.col("_own"), F.col("_own") - 1))).withColumn("key", F.struct("key", "_part")).drop("_part")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("key._part") == F.col("_own")).withColumn("key", F.col("key.key"))
+
+
+def eager(trace: DataFrame, formula: Formula, synchronize: str = "none", bindings: Bindings | None = None, chunk: int | None = None) -> DataFrame:
+    """(key, t_us, value, at_seq): truth, and the arrival by which it was decided and could be given.
+
+    chunk: split each key's time into parts of so many microseconds (no less than the formula's depth); windows see the next
+    part as well, and whether a verdict of an earlier part is open, and the latest arrival so far, are carried over parts.
+    """
     plan = Plan.of(formula, bindings)
-    rows = plan.table(trace, synchronize)
+    rows = plan.table(trace, synchronize) if chunk is None else _in_parts(plan, trace, synchronize, chunk)
     for f in plan.number:
         c, a = f"c{plan.number[f]}", f"a{plan.number[f]}"
         p, at = [plan.col(x) for x in f.parts], [plan.col(x, "a") for x in f.parts]
@@ -215,11 +242,13 @@ def eager(trace: DataFrame, formula: Formula, synchronize: str = "none", binding
             rows = _first_come(rows, plan, f)
         elif isinstance(f, (Globally, Eventually)):
             z = isinstance(f, Eventually)
+            rows = _spread(rows) if plan.parts else rows
             rows = rows.withColumns({"_hit": _first_hit(plan, f, p[0] == F.lit(z), at[0]), "_close": plan.closing(f), "_task": p[0].isNotNull()})
             hit, close, task = F.col("_hit"), F.col("_close"), F.col("_task")
             soon = hit.isNotNull() & (close.isNull() | (hit <= close))
             rows = rows.withColumns({c: F.when(task & soon, F.lit(z)).when(task & close.isNotNull(), F.lit(not z)), a: F.when(soon, F.greatest(hit, at[0])).otherwise(F.greatest(close, at[0]))})
-            rows = _first_come(rows.drop("_hit", "_close"), plan, f)
+            rows = rows.drop("_hit", "_close")
+            rows = _first_come(_gathered(rows) if plan.parts else rows, plan, f)
         else:
             rows = _eager_until(rows, plan, f)
     value = plan.col(plan.formula)
@@ -250,15 +279,17 @@ def _eager_until(rows: DataFrame, plan: Plan, f: Until) -> DataFrame:
     for side, g in zip((0, 1), f.parts, strict=True):
         if not _in_order(plan, g):  # a constant is there with the other side
             la, ra = (F.coalesce(ra, la), ra) if side == 0 else (la, F.coalesce(la, ra))
+    rows = _spread(rows) if plan.parts else rows
     stop = W.first_from((l.isNotNull() | r.isNotNull()) & (l.isNull() | ~l), 0, (~l).alias("fails"), la.alias("at"))
     met = W.first_from(l & r, f.start, F.greatest(la, ra).alias("at"))
-    rows = rows.withColumns({"_stop": stop, "_met": met, "_close": plan.closing(f), "_task": l.isNotNull() & r.isNotNull(), "_own": F.greatest(F.coalesce(la, ra), F.coalesce(ra, la))})
+    rows = rows.withColumns({"_stop": stop, "_met": met, "_close": plan.closing(f), "_task": l.isNotNull() & r.isNotNull(), "_mine": F.greatest(F.coalesce(la, ra), F.coalesce(ra, la))})
     end = F.col("t_us") + F.lit(f.end)
     true_at = F.when((F.col("_met.t_us") <= end) & (F.col("_stop").isNull() | (F.col("_met.t_us") < F.col("_stop.t_us"))), F.col("_met.at"))
-    false_at = F.when((F.col("_stop.t_us") <= end) & F.col("_stop.fails"), F.greatest("_stop.at", "_own"))
+    false_at = F.when((F.col("_stop.t_us") <= end) & F.col("_stop.fails"), F.greatest("_stop.at", "_mine"))
     rows = rows.withColumns({"_true": true_at, "_first": F.least(true_at, false_at, F.col("_close"))})
-    rows = rows.withColumns({c: F.when(F.col("_task") & F.col("_first").isNotNull(), F.coalesce(F.col("_true") == F.col("_first"), F.lit(False))), a: F.greatest("_first", "_own")})
-    return _first_come(rows.drop("_stop", "_met", "_close", "_own", "_true", "_first"), plan, f)
+    rows = rows.withColumns({c: F.when(F.col("_task") & F.col("_first").isNotNull(), F.coalesce(F.col("_true") == F.col("_first"), F.lit(False))), a: F.greatest("_first", "_mine")})
+    rows = rows.drop("_stop", "_met", "_close", "_mine", "_true", "_first")
+    return _first_come(_gathered(rows) if plan.parts else rows, plan, f)
 
 
 # -- intervals ------------------------------------------------------------------------

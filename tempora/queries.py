@@ -264,6 +264,9 @@ for _name, _f in {
 }.items():
     _register(_name, lambda spark, d, f=_f: E.eager(events_trace(spark, d), f), sql_eager(_f))
 _register("eager_implies", lambda spark, d: E.eager(events_trace(spark, d), P.gt("x", 30) >> P.eventually(0, DAY, P.lt("x", 30))), sql_eager(~P.gt("x", 30) | P.eventually(0, DAY, P.lt("x", 30))))
+for _name in ("eager_g", "eager_f_lower_bound", "eager_and", "eager_nested_f_or"):  # the same by parts of five days
+    _f = {"eager_g": P.always(0, 2 * DAY, P.gt("x", 10)), "eager_f_lower_bound": P.eventually(12 * H, 3 * DAY, P.gt("x", 80)), "eager_and": P.lt("x", 60) & P.always(0, DAY, P.gt("x", 10)), "eager_nested_f_or": P.eventually(0, DAY, P.gt("x", 90) | P.always(0, DAY, P.gt("x", 10)))}[_name]
+    _register(f"{_name}_by_chunks", lambda spark, d, f=_f: E.eager(events_trace(spark, d), f, chunk=5 * DAY * 1_000_000), ORACLES[_name])
 
 
 def sql_eager_until(low: float, high: float, start: int, end: int) -> str:
@@ -280,6 +283,7 @@ SELECT key, t_us, coalesce(tr = came, false) AS value, latest::BIGINT AS at_seq
 
 for _name, _start in (("eager_until", 0), ("eager_until_lower_bound", 12 * H)):
     _register(_name, lambda spark, d, a=_start: E.eager(events_trace(spark, d), P.until(a, 2 * DAY, P.lt("x", 90), P.gt("x", 60))), sql_eager_until(60, 90, _start * 1_000_000, 2 * DAY * 1_000_000))
+_register("eager_until_by_chunks", lambda spark, d: E.eager(events_trace(spark, d), P.until(12 * H, 2 * DAY, P.lt("x", 90), P.gt("x", 60)), chunk=5 * DAY * 1_000_000), ORACLES["eager_until_lower_bound"])
 for _name, _f in {"interval_latest_g_by_blocks": P.always(0, 2 * DAY, P.gt("x", 10)), "interval_latest_nested_by_blocks": P.always(0, DAY, P.eventually(0, DAY, P.gt("x", 60)) & P.lt("x", 95))}.items():
     _register(_name, lambda spark, d, f=_f: E.intervals(events_trace(spark, d), f, block_from=H * 1_000_000).select("key", "t_us", _finite("lo"), _finite("hi")), sql_latest_intervals(_f))
 for _name, _f in {

@@ -167,6 +167,9 @@ def test_eager_decides_as_a_walk_does(spark, text):
     want = _eager_walk(f, rows)
     got = {r.t_us: (r.value, r.at_seq) for r in E.eager(spark.createDataFrame(rows, "key string, signal string, t_us long, value double, seq long"), f).collect()}
     assert got == want and len(got) > 10
+    for chunk in (1, 20_000_000):
+        parts = E.eager(spark.createDataFrame(rows, "key string, signal string, t_us long, value double, seq long"), f, chunk=chunk)
+        assert {r.t_us: (r.value, r.at_seq) for r in parts.collect()} == want
 
 
 def _eager_walk(f, rows):
