@@ -65,12 +65,12 @@ NO_ID = -(2**63)
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """slot (the integer id, NO_ID for null), mark (32 bits that tell texts of one id apart) and text (null: empty).
+    """slot (the integer id, NO_ID for null), mark (64 bits that tell texts of one id, or of none, apart) and text (null: empty).
 
     All joins that move texts are on slot and mark of these columns, so that they share one exchange.
     """
     base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("slot"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return base.select("slot", F.hash("text").alias("mark"), "text")
+    return base.select("slot", F.xxhash64("text").alias("mark"), "text")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def packed(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["slot", "mark", "packed"])
 
     # known not to be null, so that inner and outer joins plan the same exchange and share it
-    return rows.select("slot", "mark", "text").mapInArrow(run, "slot long, mark int, packed binary").where("slot is not null and mark is not null")
+    return rows.select("slot", "mark", "text").mapInArrow(run, "slot long, mark long, packed binary").where("slot is not null and mark is not null")
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -138,7 +138,7 @@ def repeated_contexts(rows: DataFrame, find: Find) -> DataFrame:
         .agg(F.sum("n").alias("n"), F.min("passage").alias("lo"), F.max("passage").alias("hi"), F.min("first").alias("first_slot")).where("n > 1")
         .select("context", (F.col("lo") < F.col("hi")).alias("mixed"), "first_slot")
     )
-    places = rows.select("slot", "mark", "text").mapInArrow(place, "context long, slot long, mark int")
+    places = rows.select("slot", "mark", "text").mapInArrow(place, "context long, slot long, mark long")
     return places.join(stats, "context").groupBy("slot", "mark").agg(F.collect_list(F.struct("context", "mixed", "first_slot")).alias("repeats"))
 
 
@@ -160,7 +160,7 @@ def shared_contexts(rows: DataFrame, find: Find) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([signed(p.context[at]), pa.array(slots[row]), pa.array(marks[row])], names=["context", "slot", "mark"])
 
     stats = rows.select("text").mapInArrow(count, "context long, n int").groupBy("context").agg(F.sum("n").alias("n")).where("n > 1").select("context")
-    places = rows.select("slot", "mark", "text").mapInArrow(place, "context long, slot long, mark int")
+    places = rows.select("slot", "mark", "text").mapInArrow(place, "context long, slot long, mark long")
     return places.join(stats, "context").groupBy("slot", "mark").agg(F.collect_list("context").alias("contexts"))
 
 

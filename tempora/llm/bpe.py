@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tempora.llm import textops as T
+from tempora.llm.shared import free_name
 
 CACHE = 120_000  # pieces per generation and worker
 
@@ -163,19 +164,20 @@ _BLANKS = regex.compile(r"[^\p{White_Space}]+")
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``ids``: the token ids as little-endian 32-bit integers."""
-    path, columns = path or default_path(), docs.columns
+    """All columns of ``docs`` and ``ids``: the token ids as little-endian 32-bit integers.
+
+    Where ``docs`` has a column of that name, that of the ids takes underscores before it.
+    """
+    path, columns, out = path or default_path(), docs.columns, free_name(docs, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         for b in T.slices(batches, len(columns)):
             ids = pa.array([codec.encode(t) for t in T.as_strings(b.column(b.num_columns - 1)).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*columns, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*columns, out])
         codec.forget()
 
-    if "ids" in columns:
-        raise ValueError("docs has a column ids; rename it before encoding")
-    return docs.select(*columns, F.col(text).alias("_bpe_text")).mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", BinaryType())]))
+    return docs.select(*columns, F.col(text).alias(free_name(docs, "encoded"))).mapInArrow(run, StructType([*docs.schema.fields, StructField(out, BinaryType())]))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tempora.llm import textops as T
 from tempora.llm.anchors import signed
 from tempora.llm.components import components
-from tempora.llm.shared import written
+from tempora.llm.shared import free_name, written
 
 WORDS, PERCENT = 3, 90  # unless asked otherwise
 RATIO = 1.35  # of a band's sizes, at least
@@ -536,11 +536,11 @@ def named(nodes: DataFrame, reps: DataFrame, found: DataFrame, doc_id: str) -> D
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group, that with the least id, with all its columns; rows without an id stay."""
-    found = written(jaccard_components(docs, doc_id, text, words, percent).where(F.col(doc_id).isNotNull()).select(doc_id, F.col("component_id") == F.col(doc_id)).toDF(doc_id, "least"))
-    ids = found.groupBy(doc_id).agg(F.max("least").alias("least"), F.count("*").alias("n"))
-    gone, several = written(ids.where("not least or n > 1").select(doc_id)), written(ids.where("least and n > 1").select(doc_id))
+    found = written(jaccard_components(docs, doc_id, text, words, percent).where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), (F.col("component_id") == F.col(doc_id)).alias("least")))
+    ids = found.groupBy("id").agg(F.max("least").alias("least"), F.count("*").alias("n"))
+    gone, several = (written(ids.where(test).select(F.col("id").alias(doc_id))) for test in ("not least or n > 1", "least and n > 1"))
     one = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(*docs.columns))  # repeated rows stay once
-    first = docs.join(several, doc_id, "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
+    first = docs.join(several, doc_id, "left_semi").withColumn(row := free_name(docs, "row"), F.row_number().over(one)).where(F.col(row) == 1).drop(row)
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
-from tempora.llm.shared import written
+from tempora.llm.shared import free_name, written
 
 SAMPLE = 4000
 BUCKETS = 1 << 15
@@ -249,7 +249,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], anch
             for s in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(rows[s : s + 4096])) for c in b.columns[: len(columns)]], names=columns)
 
-    return docs.select(*columns, _chance().alias("_chance")).mapInArrow(run, docs.schema)
+    return docs.select(*columns, _chance().alias(free_name(docs, "chance"))).mapInArrow(run, docs.schema)
 
 
 #: production domains, from the labels table: a corpus of good text, each token of it read 1.1 times, in which

@@ -267,7 +267,7 @@ def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
     contexts = repeated_contexts(rows, find)
     sent = senders(texts, contexts).mapInArrow(_sent(parts), _SENT)
     found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, j array<int>, n array<int>, first_slot array<long>, first_at array<int>")
-    places = holders(texts, contexts).mapInArrow(_places, "context long, passage long, slot long, mark int, at int")
+    places = holders(texts, contexts).mapInArrow(_places, "context long, passage long, slot long, mark long, at int")
     # windows j .. j + n - 1 of a passage first occur at first_at, first_at + 1, ...: all before this place, or none
     runs = F.arrays_zip("j", "n", "first_slot", "first_at")
     earlier = F.filter(runs, lambda r: (r["first_slot"] < F.col("slot")) | ((r["first_slot"] == F.col("slot")) & (r["first_at"] < F.col("at") + r["j"])))

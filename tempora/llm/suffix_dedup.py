@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import textops as T
 from tempora.llm.anchors import NO_ID, Passages, keyed, members, own_id, packed, passages, shared_contexts, signed, unpacked
-from tempora.llm.shared import written
+from tempora.llm.shared import free_name, written
 
 SIZE, GRAM = 400, 32
 RUN_BYTES = 24 << 20  # of the suffixes that a task sorts at a time
@@ -286,7 +286,7 @@ def repeats(rows: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (size + span(size)) // PART_BYTES))
     holders = texts.join(contexts, ["slot", "mark"]).select("slot", "mark", "packed", "contexts")
     merged = holders.mapInArrow(_sorted_runs(parts, size), _RUN).groupBy("part").applyInPandas(_merge_part(size), "context long, passage long, mask binary")
-    places = holders.mapInArrow(_places(size), "context long, passage long, slot long, mark int, at int")
+    places = holders.mapInArrow(_places(size), "context long, passage long, slot long, mark long, at int")
     return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
 
 
@@ -346,7 +346,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = written(repeats(rows, texts, also))
         windows = F.aggregate("spots", F.lit(0), lambda n, x: n + F.octet_length(x["mask"])) * 8
         few = texts.join(near.where(windows > size - also).select("slot", "mark"), ["slot", "mark"], "left_semi")
-        long = repeats(few.mapInArrow(_plain, "slot long, mark int, text string"), texts, size)
+        long = repeats(few.mapInArrow(_plain, "slot long, mark long, text string"), texts, size)
         out = texts.join(long.withColumnRenamed("spots", "spots0"), ["slot", "mark"], "left").join(near.withColumnRenamed("spots", "spots1"), ["slot", "mark"], "left")
     kinds = ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
     out = out.select("slot", "packed", *(f"spots{k}" for k in range(len(lengths)))).mapInArrow(run, kinds)
@@ -370,9 +370,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
                 texts = pa.compute.if_else(b.column(k).is_null(), pa.scalar(None, pa.string()), texts)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], texts, *b.columns[k + 1 : len(columns)]], names=columns)
 
-    found = repeats(rows, packed(rows), size).select(F.col("slot").alias("_slot"), F.col("mark").alias("_mark"), F.col("spots").alias("_spots"))
-    own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col("_slot")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("_mark"))
-    return docs.join(found, own, "left").select(*columns, "_spots").mapInArrow(run, docs.schema)
+    slot, mark, spots = (free_name(docs, n) for n in ("slot", "mark", "spots"))
+    found = repeats(rows, packed(rows), size).withColumnsRenamed({"slot": slot, "mark": mark, "spots": spots})
+    own = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col(slot)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(mark))
+    return docs.join(found, own, "left").select(*columns, spots).mapInArrow(run, docs.schema)
 
 
 def suffix_sql(size: int, also: int) -> str:

@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import bpe, fingerprint, jaccard_join, langid, lm_score, mixing, quality, substring_dedup, suffix_dedup, superminhash, toxicity
 
@@ -93,3 +94,31 @@ def test_next_documents_of_ids_of_any_kind(spark, monkeypatch):
 def test_rows_without_an_id_are_not_held_out(spark, docs, labels):
     assert [r.held_out for r in toxicity.toxicity(docs, labels).where("doc_id is null").collect()] == [False]
     assert [r.held_out for r in langid.identify_language(docs).where("doc_id is null").collect()] == [False]
+
+
+@pytest.mark.parametrize("name", CARRYING)
+def test_columns_that_clash_with_inner_names(docs, labels, name):
+    inner = ["_slot", "slot", "mark", "_mark", "_spots", "spots", "_row", "row", "_chance", "chance", "_bpe_text", "encoded", "packed", "ids", "gone", "least", "id", "component_id", "part", "tile"]
+    wide = docs.drop("slot").select("*", *(F.lit(k).alias(c) for k, c in enumerate(inner)))
+    got = CARRYING[name](wide, labels)
+    if name == "bpe":  # beside a column of that name, token ids are in one with underscores
+        got = bpe.encode(wide).drop("_ids")
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(r[c] == k for r in rows for k, c in enumerate(inner))
+
+
+def test_texts_without_an_id_whose_short_hashes_agree(spark):
+    """The spots of one such text are not those of another."""
+    rnd = random.Random(1)
+    passage, other = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (450, 900))
+    n = spark.range(200_000)
+    sides = [n.select(F.concat(F.lit(x), F.col("id").cast("string")).alias("text")).withColumn("h", F.hash("text")) for x in (passage + passage, other)]
+    pair = sides[0].join(sides[1].withColumnRenamed("text", "clean"), "h").first()
+    df = spark.createDataFrame([(None, pair.text), (None, pair.clean), (1, "x y z")], "doc_id long, text string")
+    got = {r.n_bytes: r.n_removed for r in suffix_dedup.repeated_bytes(df).collect()}
+    assert got[len(pair.clean)] == 0 and got[len(pair.text)] >= 900 and got[5] == 0
+    words = substring_dedup.repeated_words(df.withColumn("text", F.regexp_replace("text", "(.)", "$1 "))).collect()
+    assert sorted(r.n_removed > 0 for r in words) == [False, False, True]
+    kept = suffix_dedup.drop_repeats(df).collect()
+    assert pair.clean in {r.text for r in kept}
