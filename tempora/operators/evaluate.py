@@ -1,6 +1,6 @@
 """Evaluation of formulas over traces: one column per distinct subformula, windows over one exchange by key.
 
-``verdicts`` gives (key, t_us, value) once windows are closed, in the domain ``bool`` or ``rob``;
+``verdicts`` gives (key, t_us, value) once windows are closed, as truth, robustness, robustness with its witness, or in a domain of the user's;
 ``eager`` gives truth as soon as it is decided, with the arrival that decided it; ``intervals``
 gives robustness intervals on what has arrived; ``interval_trace`` all their refinements.
 """
@@ -119,7 +119,7 @@ def _wide(f: Timed, block_from: int | None) -> bool:
     return block_from is not None and f.end - f.start >= max(block_from, 1)
 
 
-def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchronize: str = "none", bindings: Bindings | None = None, until_from_start: bool = False, block_from: int | None = None, emission: bool = False, chunk: int | None = None) -> DataFrame:
+def verdicts(trace: DataFrame, formula: Formula, domain: str | type = "rob", synchronize: str = "none", bindings: Bindings | None = None, until_from_start: bool = False, block_from: int | None = None, emission: bool = False, chunk: int | None = None) -> DataFrame:
     """(key, t_us, value) of every closed time, and ``at_seq``, the arrival that closed it, if ``emission``.
 
     until_from_start: let ``until`` accept its right side from t on, whatever its lower bound.
@@ -128,7 +128,7 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
     chunk: split each key's time into chunks of so many microseconds (no less than the formula's depth), which are
     evaluated on their own with the rows of the depth after them: one long trace then runs in many tasks.
     """
-    d = DOMAINS[domain]
+    d = DOMAINS[domain] if isinstance(domain, str) else domain
     plan = Plan.of(formula, bindings)
     if chunk is not None and emission:
         raise ValueError("emissions are not split by chunks")
@@ -162,9 +162,9 @@ def verdicts(trace: DataFrame, formula: Formula, domain: str = "rob", synchroniz
             if d is Truth:
                 value = W.until_truth(*p, f.start, f.end, begin)
             elif _wide(f, block_from):
-                rows, value = W.until_best(rows, *(f"c{plan.number[x]}" for x in f.parts), begin, f.end, "_x"), F.col("_x")
+                rows, value = W.until_best(rows, *(f"c{plan.number[x]}" for x in f.parts), begin, f.end, "_x", d.constant(True), d.constant(False)), F.col("_x")
             else:
-                value = W.until_fold(*p, begin, f.end)
+                value = W.until_fold(*p, begin, f.end, d.constant(True), d.constant(False))
             value = F.when(p[0].isNotNull() & p[1].isNotNull() & (F.col("t_us") + f.depth() <= plan.frontier(f)), value)
             at = plan.closing(f)
         rows = rows.withColumn(c, value)

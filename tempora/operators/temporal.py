@@ -69,19 +69,23 @@ def first_from(cond: Column, start: int, *cols: Column) -> Column:
     return F.min(F.when(cond, F.struct("t_us", *cols))).over(from_on(start))
 
 
-def until_fold(left: Column, right: Column, start: int, end: int) -> Column:
-    """The robustness of until by a walk over each window's rows: for windows of few rows."""
-    inf, known = F.lit(INF), left.isNotNull() & right.isNotNull()
+def until_fold(left: Column, right: Column, start: int, end: int, top: Column | None = None, bottom: Column | None = None) -> Column:
+    """The robustness of until by a walk over each window's rows: for windows of few rows.
+
+    top, bottom: above and below all values, where these are not doubles.
+    """
+    known = left.isNotNull() & right.isNotNull()
+    top, bottom = F.lit(INF) if top is None else top, F.lit(-INF) if bottom is None else bottom
     walk = F.sort_array(F.collect_list(F.when(known, F.struct(F.col("t_us").alias("t"), left.alias("l"), right.alias("r")))).over(ahead(0, end)))
 
     def step(acc: Column, x: Column) -> Column:
         run = F.least(acc["run"], x["l"])
         return F.struct(run.alias("run"), F.when(x["t"] >= F.col("t_us") + F.lit(start), F.greatest(acc["best"], F.least(x["r"], run))).otherwise(acc["best"]).alias("best"))
 
-    return F.aggregate(walk, F.struct(inf.alias("run"), (-inf).alias("best")), step, lambda acc: acc["best"])
+    return F.aggregate(walk, F.struct(top.alias("run"), bottom.alias("best")), step, lambda acc: acc["best"])
 
 
-def until_best(rows: DataFrame, left: str, right: str, start: int, end: int, out: str) -> DataFrame:
+def until_best(rows: DataFrame, left: str, right: str, start: int, end: int, out: str, top: Column | None = None, bottom: Column | None = None) -> DataFrame:
     """rows with ``out``, the robustness of until: the best over t' of min(right at t', least left up to t').
 
     Blocks of time are as wide as the window.  From a row to the end of its block, left and right make
@@ -89,20 +93,20 @@ def until_best(rows: DataFrame, left: str, right: str, start: int, end: int, out
     beginning of a block the best is a running one.  A window is the end of one block and the beginning
     of the next: n log n in the rows of a block, whatever the window.
     """
-    inf, t = F.lit(INF), F.col("t_us")
+    t, top, bottom = F.col("t_us"), F.lit(INF) if top is None else top, F.lit(-INF) if bottom is None else bottom
     known = F.col(left).isNotNull() & F.col(right).isNotNull()
     rows = rows.withColumns({"_l": F.when(known, F.col(left)), "_r": F.when(known, F.col(right))})
-    ahead_of = F.coalesce(F.min("_l").over(ahead(0, start - 1)), inf) if start else inf  # left up to the window
+    ahead_of = F.coalesce(F.min("_l").over(ahead(0, start - 1)), top) if start else top  # left up to the window
     if start == end:
         at = F.least(F.min("_l").over(ahead(0, start)), F.max("_r").over(ahead(start, start)))
         there = F.max("_r").over(ahead(start, start)).isNotNull()
-        return rows.withColumn(out, F.when(there, at).otherwise(-inf)).drop("_l", "_r")
+        return rows.withColumn(out, F.when(there, at).otherwise(bottom)).drop("_l", "_r")
     width = end - start
     rows = rows.withColumn("_block", F.floor(t / F.lit(width)))
     most = rows.groupBy("key", "_block").count().agg(F.max("count")).first()[0] or 1
     inside = Window.partitionBy("key", "_block").orderBy("t_us")
     so_far, onward = inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("key", "_block").orderBy(F.desc("t_us")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_low": F.coalesce("_r", -inf), "_high": F.coalesce("_l", inf), "_run": F.min("_l").over(so_far), "_left": F.min("_l").over(onward)})
+    rows = rows.withColumns({"_low": F.coalesce("_r", bottom), "_high": F.coalesce("_l", top), "_run": F.min("_l").over(so_far), "_left": F.min("_l").over(onward)})
     rows = rows.withColumn("_head", F.max(F.when(F.col("_r").isNotNull(), F.least("_r", "_run"))).over(so_far))
     step = 1
     while step < most:
@@ -111,6 +115,6 @@ def until_best(rows: DataFrame, left: str, right: str, start: int, end: int, out
         rows = rows.withColumns({"_low": F.greatest("_low", "_low2"), "_high": high}).drop("_low2", "_high2")
         step *= 2
     rows = _looked_up(rows.withColumn("_tail", F.least("_low", "_high")), width, start, end, ["_tail", "_left"], ["_head"])
-    first, second = F.coalesce("_s._tail", -inf), F.coalesce("_p._head", -inf)
-    value = F.least(ahead_of, F.greatest(first, F.least(F.coalesce("_s._left", inf), second)))
+    first, second = F.coalesce("_s._tail", bottom), F.coalesce("_p._head", bottom)
+    value = F.least(ahead_of, F.greatest(first, F.least(F.coalesce("_s._left", top), second)))
     return rows.withColumn(out, value).drop("_l", "_r", "_block", "_low", "_high", "_run", "_left", "_head", "_tail", "_s", "_p")

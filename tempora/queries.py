@@ -268,6 +268,29 @@ for _name in ("eager_g", "eager_f_lower_bound", "eager_and", "eager_nested_f_or"
     _f = {"eager_g": P.always(0, 2 * DAY, P.gt("x", 10)), "eager_f_lower_bound": P.eventually(12 * H, 3 * DAY, P.gt("x", 80)), "eager_and": P.lt("x", 60) & P.always(0, DAY, P.gt("x", 10)), "eager_nested_f_or": P.eventually(0, DAY, P.gt("x", 90) | P.always(0, DAY, P.gt("x", 10)))}[_name]
     _register(f"{_name}_by_chunks", lambda spark, d, f=_f: E.eager(events_trace(spark, d), f, chunk=5 * DAY * 1_000_000), ORACLES[_name])
 
+# robustness with the time of the sample that decides it
+_PAIR = "{{'v': {0}, 'at': {1}}}"
+
+
+def _witnessed(spark: SparkSession, sf_dir: str, f: P.Formula, **options) -> DataFrame:
+    return E.verdicts(events_trace(spark, sf_dir), f, "witness", **options).select("key", "t_us", F.when(F.abs("value.v") < float("inf"), F.col("value.v")).alias("value"), F.col("value.at").alias("witness_us"))
+
+
+def _sql_witness_sweep(best: str, margin: str, start: int, end: int) -> str:
+    return f"""WITH {EVENTS}, w AS (SELECT key, t_us, max(t_us) OVER (PARTITION BY key) AS ends, (SELECT {best}({_PAIR.format(margin, "m.t_us")}) FROM ev m
+WHERE m.key = o.key AND m.t_us BETWEEN o.t_us + {start} AND o.t_us + {end}) AS s FROM ev o)
+SELECT key, t_us, s.v AS value, s.at AS witness_us FROM w WHERE t_us + {end} <= ends"""
+
+
+for _name, _options in (("", {}), ("_by_blocks", {"block_from": H * 1_000_000}), ("_by_chunks", {"chunk": 5 * DAY * 1_000_000})):
+    _register(f"witness_g{_name}", lambda spark, d, o=_options: _witnessed(spark, d, P.always(0, 2 * DAY, P.gt("x", 5)), **o), _sql_witness_sweep("min", "m.x - 5.0::DOUBLE", 0, 2 * DAY * 1_000_000))
+    _register(f"witness_until{_name}", lambda spark, d, o=_options: _witnessed(spark, d, P.until(0, 2 * DAY, P.lt("x", 90), P.gt("x", 60)), **o), f"""WITH {EVENTS},
+p AS (SELECT o.key, o.t_us, m.t_us AS u, {_PAIR.format("m.x - 60.0::DOUBLE", "m.t_us")} AS r, (SELECT min({_PAIR.format("90.0::DOUBLE - n.x", "n.t_us")}) FROM ev n WHERE n.key = o.key AND n.t_us BETWEEN o.t_us AND m.t_us) AS l
+  FROM ev o JOIN ev m ON m.key = o.key AND m.t_us BETWEEN o.t_us AND o.t_us + {2 * DAY * 1000000}),
+b AS (SELECT key, t_us, max(CASE WHEN r < l THEN r ELSE l END) AS s FROM p GROUP BY key, t_us), e AS (SELECT key, max(t_us) AS ends FROM ev GROUP BY key)
+SELECT b.key, t_us, s.v AS value, s.at AS witness_us FROM b JOIN e ON b.key = e.key AND t_us + {2 * DAY * 1000000} <= ends""")
+_register("witness_f_offset", lambda spark, d: _witnessed(spark, d, P.eventually(DAY, 3 * DAY, P.gt("x", 40))), _sql_witness_sweep("max", "m.x - 40.0::DOUBLE", DAY * 1_000_000, 3 * DAY * 1_000_000))
+
 
 def sql_eager_until(low: float, high: float, start: int, end: int) -> str:
     """x < high until x > low: true with the first right whose lefts all hold, false with the first left that fails."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ("key", "signal", "t_us", "value", "seq")
@@ -39,11 +39,46 @@ def orders_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace(orders, "o_custkey", F.lit("x"), micros(F.col("o_orderdate")), "o_totalprice", "o_orderkey")
 
 
-def read_csv(spark: SparkSession, path: str, signal: str = "x", key: str = "") -> DataFrame:
-    """Samples from CSV files with header ``timestep,value`` (seconds); arrival is in order of time."""
-    rows = spark.read.csv(path, header=True, schema="timestep double, value double")
-    t = F.round(F.col("timestep") * 1_000_000).cast("long")
-    return trace(rows, F.lit(key), F.lit(signal), t, "value", t)
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows read from files, with ``row``: 0, 1, ... over the files in order of their names.
+
+    In two levels: each piece of a file that a task reads counts its rows, and the pieces before it, in a small
+    table, say where its count begins.
+    """
+    places = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    pieces = places.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+    begins = pieces.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return places.join(begins, ["_file", "_start"]).select(*rows.columns, (F.col("_id") + F.col("_shift")).alias("row"))
+
+
+#: names all columns, as those that nothing asks for are not parsed
+_IS_SAMPLE = "line is null and timestep is not null and value is not null"
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.option("columnPruning", "false").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line")
+    return reader.csv(path, header=True, schema="timestep double, value double, line string")
+
+
+def read_csv(spark: SparkSession, path: str, signal: str = "x", key: str = "", rate: float | None = None) -> DataFrame:
+    """Samples from CSV files with header ``timestep,value`` (seconds); arrival is in order of time.
+
+    rate: rows are samples at so many per second, whatever their timestep: a row's number over all files, in order
+    of their names, is its arrival and gives its time.  Rows that don't parse are no samples (see ``rejected_csv``) but are counted.
+    """
+    rows = _parsed(spark, path)
+    if rate is not None:
+        rows = numbered(rows)
+        t, seq = F.round(F.col("row") * (1_000_000 / rate)).cast("long"), F.col("row")
+    else:
+        t = seq = F.round(F.col("timestep") * 1_000_000).cast("long")
+    return trace(rows.where(_IS_SAMPLE), F.lit(key), F.lit(signal), t, "value", seq)
+
+
+def rejected_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of such files that are no samples, by their number: row, line (null: it parses, but a cell is empty)."""
+    return numbered(_parsed(spark, path)).where(f"not ({_IS_SAMPLE})").select("row", "line")
 
 
 def write_csv(verdicts: DataFrame, path: str) -> None:
