@@ -18,7 +18,10 @@ from tempora.operators.sync import increasing, wide
 from tempora.plans import formula as P
 from tempora.plans.catalog import catalog
 from tempora.plans.notation import formula
-from tempora.sources.traces import events_trace, orders_trace
+from tempora.sources.folders import replay, scratch
+from tempora.sources.traces import events_trace, orders_trace, read_csv
+from tempora.streaming.keyed import KeyedMonitor
+from tempora.streaming.latest import LatestVerdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 H = 3600
@@ -428,6 +431,38 @@ SELECT key, t_us, seq FROM p WHERE before IS NOT NULL AND t_us <= before""",
 )
 
 
+# -- streams over the events, in micro-batches of their arrival ------------------------------
+
+_PUSHED = P.always(0, 2 * DAY, P.gt("x", 5))
+
+
+def _pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark)
+    KeyedMonitor(_PUSHED).start(replay(events_trace(spark, sf_dir), 5), f"{out}/verdicts", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/verdicts")
+
+
+def _latest_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, monitor = scratch(spark), KeyedMonitor(_PUSHED, "interval")
+    view = LatestVerdicts(f"{out}/view", 5 * DAY * 1_000_000, every=2)
+    monitor.keep(replay(events_trace(spark, sf_dir), 5), view, f"{out}/checkpoint").awaitTermination()
+    return view.read(spark).select("key", "t_us", _finite("lo"), _finite("hi"))
+
+
+_register("s1_push_events", _pushed, sql_verdicts(_PUSHED, "rob"))
+_register("m1_latest_view", _latest_view, sql_latest_intervals(_PUSHED))
+
+
+def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    events = events_trace(spark, sf_dir).repartitionByRange(5, "seq").sortWithinPartitions("seq")
+    events.select((F.col("t_us") / 1_000_000).alias("timestep"), "value").write.csv(folder, header=True)
+    return read_csv(spark, folder, rate=10).select("t_us", "value", "seq")
+
+
+_register("s3_csv_row_number", _csv_rows, f"WITH {EVENTS}, n AS (SELECT x AS value, row_number() OVER (ORDER BY seq) - 1 AS seq FROM ev) SELECT seq * 100000 AS t_us, value, seq FROM n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robustness of ``always, for a day, x above 10`` for every user and closed time."""
     return E.verdicts(events_trace(spark, sf_dir), P.always(0, DAY, P.gt("x", 10)))

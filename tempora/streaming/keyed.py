@@ -24,18 +24,19 @@ lets the state of keys go that bring nothing for so long on the clock.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tempora.operators.evaluate import Bindings, Plan
 from tempora.operators.sync import STRATEGIES
 from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Timed
+from tempora.streaming.latest import LatestVerdicts
 
 SEMANTICS = ("delayed_bool", "delayed_rob", "interval")
 INF = float("inf")
@@ -295,11 +296,19 @@ class KeyedMonitor:
 
     def start(self, stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
         """Verdicts of the stream as Parquet files, each once."""
-        conf = stream.sparkSession.conf
-        before = conf.get(PROVIDER)
-        conf.set(PROVIDER, ROCKS)
-        try:
-            out = self.verdicts(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-            return out.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
-        finally:
-            conf.set(PROVIDER, before)
+        out = self.verdicts(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return _started(stream.sparkSession, out.outputMode("append").trigger(**(trigger or {"availableNow": True})).start)
+
+    def keep(self, stream: DataFrame, view: LatestVerdicts, checkpoint: str, **trigger) -> StreamingQuery:
+        """The latest verdict of each key and time, as a view."""
+        return _started(stream.sparkSession, lambda: view.start(self.verdicts(stream), checkpoint, **trigger))
+
+
+def _started(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """A query started with the state store that the operator needs."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        return start()
+    finally:
+        spark.conf.set(PROVIDER, before)
