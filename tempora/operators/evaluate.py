@@ -116,15 +116,16 @@ def _limit(plan: Plan, f: Compare, bindings: Bindings | None) -> Column:
 
 
 def _wide(f: Timed, block_from: int | None) -> bool:
-    return block_from is not None and f.end - f.start >= max(block_from, 1)
+    least = None if block_from is None else block_from // 10 if isinstance(f, Until) else block_from  # walks of until cost more than frames
+    return least is not None and f.end - f.start >= max(least, 1)
 
 
 def verdicts(trace: DataFrame, formula: Formula, domain: str | type = "rob", synchronize: str = "none", bindings: Bindings | None = None, until_from_start: bool = False, block_from: int | None = None, emission: bool = False, chunk: int | None = None) -> DataFrame:
     """(key, t_us, value) of every closed time, and ``at_seq``, the arrival that closed it, if ``emission``.
 
     until_from_start: let ``until`` accept its right side from t on, whatever its lower bound.
-    block_from: robustness over windows of so many microseconds or more is computed by blocks (see ``block_extreme`` and
-    ``until_best``, which counts the rows of a block by a job when the plan is made); narrower ones by frames.
+    block_from: robustness over windows of so many microseconds or more (until: of a tenth) is computed by blocks (see
+    ``block_extreme`` and ``until_best``, which counts a block's rows by a job when the plan is made); narrower ones by frames.
     chunk: split each key's time into chunks of so many microseconds (no less than the formula's depth), which are
     evaluated on their own with the rows of the depth after them: one long trace then runs in many tasks.
     """
