@@ -31,15 +31,19 @@ class Passages(NamedTuple):
     anchor: np.ndarray
     first: np.ndarray  # start of the first window
     last: np.ndarray  # start of the last window
+    end: np.ndarray  # end of the passage
     context: np.ndarray  # hash of the units that all its windows hold from the anchor on
     passage: np.ndarray  # hash of all units of its windows and of the anchor's place in them
 
 
-def passages(order: np.ndarray, bounds: np.ndarray, total: int, size: int, span: int, spell: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Passages:
-    """order: value of the k-gram at each unit; bounds: units of document d are bounds[d]:bounds[d+1]; spell: hashes of unit ranges."""
+def passages(order: np.ndarray, bounds: np.ndarray, total: int, size: int, span: int, spell: Callable[[np.ndarray, np.ndarray], np.ndarray], reach: int | None = None) -> Passages:
+    """order: value of the k-gram at each unit; bounds: units of document d are bounds[d]:bounds[d+1]; spell: hashes of unit ranges.
+
+    reach: a passage goes so many units on from its last window's start, as far as its document does (size if None).
+    """
     if total < size:
         e = np.zeros(0, np.int64)
-        return Passages(e, e, e, e, e.astype(np.uint64), e.astype(np.uint64))
+        return Passages(e, e, e, e, e, e.astype(np.uint64), e.astype(np.uint64))
     inside = np.flatnonzero(T.windows_inside(bounds, size, total))
     anchor = T.sliding_argmin(order, span)[inside]
     new = np.ones(len(inside), bool)
@@ -49,8 +53,9 @@ def passages(order: np.ndarray, bounds: np.ndarray, total: int, size: int, span:
     last = inside[np.append(at[1:], len(inside)) - 1] if len(at) else first
     anchor = anchor[at]
     doc = np.searchsorted(bounds, first, "right") - 1
-    whole = T.mix(spell(first, last + size) + ((anchor - first) + 1).astype(np.uint64))
-    return Passages(doc, anchor, first, last, spell(anchor, anchor + (size - span + 1)), whole)
+    end = np.minimum(last + (reach or size), np.asarray(bounds)[doc + 1])
+    whole = T.mix(spell(first, end) + ((anchor - first) + 1).astype(np.uint64))
+    return Passages(doc, anchor, first, last, end, spell(anchor, anchor + (size - span + 1)), whole)
 
 
 #: find(texts) -> (first row, what the operator keeps of the chunk, passages) of each chunk

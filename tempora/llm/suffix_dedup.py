@@ -13,7 +13,9 @@ so much in common to the right are neighbours in the order, and the texts left o
 ordered from their ends, give the other half the same way; two suffixes with both classes in
 common hold the same window.  Hashes deal contexts to partitions and name passages; they decide nothing.
 
-``size`` is a parameter (400 bytes unless asked otherwise).  Partitions are as many as the bytes of
+``size`` is a parameter (400 bytes unless asked otherwise).  Several lengths are read off one order: a
+longer window begins with one of the least length, so equal ones share that one's anchor; suffixes then
+go on as far as the greatest length asks, and each length looks at its own common prefixes.  Partitions are as many as the bytes of
 the suffixes ask for.  Defined cases: null text counts as empty; rows that repeat an id are documents
 of their own, so their equal strings count as repeats; matches never cross documents; texts shorter
 than ``size`` are kept whole; an empty table gives an empty result; further columns are ignored by
@@ -47,14 +49,14 @@ def span(size: int) -> int:
     return size * 8 // 25
 
 
-def finder(size: int):
+def finder(size: int, reach: int | None = None):
     """texts -> (first row, (bytes, offsets), passages) of each chunk of a text column."""
     gram = min(GRAM, size - span(size) + 1)
 
     def find(col) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], Passages]]:
         for i, _, buf, offs in T.chunks(col):
             h = T.prefix_hash(buf)
-            yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span(size), lambda a, e, h=h: T.range_hash(h, a, e))
+            yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span(size), lambda a, e, h=h: T.range_hash(h, a, e), reach)
 
     return find
 
@@ -173,7 +175,7 @@ def _encode_run(part: int, rows: list[tuple[bytes, bytes, int, int, int]]) -> tu
     )
 
 
-def _sorted_runs(parts: int, size: int):
+def _sorted_runs(parts: int, size: int, reach: int):
     """Holders -> front-coded sorted runs of the suffixes at their anchors, by partition."""
     names = [f.split()[0] for f in _RUN.split(", ")]
 
@@ -188,11 +190,11 @@ def _sorted_runs(parts: int, size: int):
         seen: dict[tuple[bytes, bytes], list] = {}
         held = 0
         for b in T.slices(batches, 2):
-            for i, (buf, offs), p in finder(size)(unpacked(b.column(2))):
+            for i, (buf, offs), p in finder(size, reach)(unpacked(b.column(2))):
                 want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
                 p = Passages(*(x[want] for x in p))
                 raw = buf.tobytes()
-                for c, s, a, f, e in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.anchor.tolist(), p.first.tolist(), (p.last + size).tolist(), strict=True):
+                for c, s, a, f, e in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.anchor.tolist(), p.first.tolist(), p.end.tolist(), strict=True):
                     key = (raw[f:a], raw[a:e])
                     got = seen.get(key)
                     if got is None:
@@ -210,13 +212,13 @@ def _sorted_runs(parts: int, size: int):
     return run
 
 
-def _places(size: int):
+def _places(size: int, reach: int):
     """Holders -> where the passages of repeated contexts lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, 2):
             slots, marks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, (_, offs), p in finder(size)(unpacked(b.column(2))):
+            for i, (_, offs), p in finder(size, reach)(unpacked(b.column(2))):
                 want = members(p.context, i + p.doc, b.column(3), i, len(offs) - 1)
                 doc = p.doc[want]
                 yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - offs[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
@@ -224,8 +226,8 @@ def _places(size: int):
     return run
 
 
-def repeated_windows(lefts: list[bytes], rights: np.ndarray, lcp: np.ndarray, copies: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
-    """Which windows of each entry, from its first on, repeat.
+def repeated_windows(lefts: list[bytes], rights: np.ndarray, lcp: np.ndarray, copies: np.ndarray, sizes: tuple[int, ...] = (SIZE,)) -> list[list[np.ndarray]]:
+    """For each length, ascending, which windows of each entry, from its first on, repeat.
 
     Entries are in the order of their rights; rights: their lengths, lcp: common prefix of each right with
     the one before, lefts: the texts before them, copies: how often each entry occurs.
@@ -233,20 +235,26 @@ def repeated_windows(lefts: list[bytes], rights: np.ndarray, lcp: np.ndarray, co
     n = len(lefts)
     left_n = np.array([len(x) for x in lefts], np.int64)
     reverse = [x[::-1] for x in lefts]
-    order = sorted(range(n), key=reverse.__getitem__)
+    order = np.array(sorted(range(n), key=reverse.__getitem__), np.int64)
     left_lcp = np.array([0, *(common_prefix(reverse[a], reverse[b], 0) for a, b in zip(order[:-1], order[1:], strict=True))], np.int64)[:n]
-    hits = np.zeros((n, int(left_n.max(initial=-1)) + 1), bool)
-    hits[copies > 1] = True
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    for o in range(hits.shape[1]):
-        has = np.flatnonzero((left_n >= o) & (rights >= size - o))
-        right_class, left_class = np.cumsum(lcp < size - o)[has], np.cumsum(left_lcp < o)[place[has]]
-        hits[has[T.repeated(right_class * np.int64(n + 1) + left_class)], o] = True
-    return [h[size - b : a + 1][::-1] for h, a, b in zip(hits, left_n.tolist(), rights.tolist(), strict=True)]
-
-
-def _merge_part(size: int):
+    found, known = [], np.ones((n, int(left_n.max(initial=-1)) + 1), bool)
+    for size in sizes:
+        hits = np.zeros(known.shape, bool)
+        hits[copies > 1] = True
+        for o in range(hits.shape[1]):
+            # a longer window repeats only where the shorter one that it begins with does
+            has = np.flatnonzero(known[:, o] & (left_n >= o) & (rights >= size - o))
+            if len(has) > 1:
+                right_class, left_class = np.cumsum(lcp < size - o)[has], np.cumsum(left_lcp < o)[place[has]]
+                hits[has[T.repeated(right_class * np.int64(n + 1) + left_class)], o] = True
+        found.append([h[max(0, size - b) : a + 1][::-1] for h, a, b in zip(hits, left_n.tolist(), rights.tolist(), strict=True)])
+        known = hits
+    return found
+
+
+def _merge_part(sizes: tuple[int, ...]):
     def run(_: tuple, runs: pd.DataFrame) -> pd.DataFrame:
         plain = zstandard.decompress
         decoded, extra = [], []
@@ -270,51 +278,52 @@ def _merge_part(size: int):
             rights.append(len(text))
             lcps.append(h)
             copies.append(times[i])
-        masks = repeated_windows(lefts, np.array(rights, np.int64), np.array(lcps, np.int64), np.array(copies, np.int64), size)
-        keep = [k for k, m in enumerate(masks) if m.any()]
-        del decoded, extra, same, lefts
+        masks = repeated_windows(lefts, np.array(rights, np.int64), np.array(lcps, np.int64), np.array(copies, np.int64), sizes)
+        keep = [k for k, m in enumerate(masks[0]) if m.any()]
+        out = pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep]}, dtype="int64")
+        for j, flags in enumerate(masks):
+            out[f"mask{j}"] = [np.packbits(flags[k]).tobytes() if flags[k].any() else b"" for k in keep]
+        del decoded, extra, same, lefts, masks
         T.give_back()
-        return pd.DataFrame({"context": [names[k][0] for k in keep], "passage": [names[k][1] for k in keep], "mask": [np.packbits(masks[k]).tobytes() for k in keep]}).astype({"context": "int64", "passage": "int64"})
+        return out
 
     return run
 
 
-def repeats(rows: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(slot, mark, spots): (start, window flags) of the passages of keyed rows in which windows repeat."""
+def repeats(rows: DataFrame, texts: DataFrame, *sizes: int) -> DataFrame:
+    """(slot, mark, spots): (at, mask0, ..) start and window flags, by ascending length, of the passages of keyed rows in which windows repeat."""
+    sizes = tuple(sorted(sizes))
+    size, reach = sizes[0], sizes[-1]
+    masks = [f"mask{j}" for j in range(len(sizes))]
     contexts = written(shared_contexts(rows, finder(size)))
     total = contexts.agg(F.sum(F.size("contexts"))).first()[0] or 0
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (size + span(size)) // PART_BYTES))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (reach + span(size)) // PART_BYTES))
     holders = texts.join(contexts, ["slot", "mark"]).select("slot", "mark", "packed", "contexts")
-    merged = holders.mapInArrow(_sorted_runs(parts, size), _RUN).groupBy("part").applyInPandas(_merge_part(size), "context long, passage long, mask binary")
-    places = holders.mapInArrow(_places(size), "context long, passage long, slot long, mark long, at int")
-    return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", "mask")).alias("spots"))
-
-
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows with their texts as they were."""
-    for b in T.slices(batches, 2, T.CHUNK_BYTES // 4):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), unpacked(b.column(2))], names=["slot", "mark", "text"])
+    merged = holders.mapInArrow(_sorted_runs(parts, size, reach), _RUN).groupBy("part").applyInPandas(_merge_part(sizes), "context long, passage long, " + ", ".join(f"{m} binary" for m in masks))
+    places = holders.mapInArrow(_places(size, reach), "context long, passage long, slot long, mark long, at int")
+    return places.join(merged, ["context", "passage"]).groupBy("slot", "mark").agg(F.collect_list(F.struct("at", *masks)).alias("spots"))
 
 
 def removed(n: int, at: list[int], masks: list[bytes], size: int = SIZE) -> np.ndarray:
     """True for each of n bytes that a repeated window covers; masks hold the window flags from each start on."""
-    flags = np.zeros(n + 1 + span(size), bool)
+    flags = np.zeros(n + 8, bool)
     for a, m in zip(at, masks, strict=True):
         f = np.unpackbits(np.frombuffer(m, np.uint8)).view(bool)
         flags[a : a + len(f)] |= f[: len(flags) - a]
     return T.covered(np.flatnonzero(flags[: n + 1]), size, n)
 
 
-def _kept(b: pa.RecordBatch, text: int, spots: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(bytes, flags of the bytes removed, None for none) of each row."""
+def _kept(b: pa.RecordBatch, text: int, spots: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray | None]]]:
+    """(bytes, for each ascending length the flags of the bytes removed, None for none) of each row."""
     lists = b.column(spots)
     lo, null = np.asarray(lists.offsets), np.asarray(lists.is_null())
     own = lists.values.slice(int(lo[0]), int(lo[-1] - lo[0]))
-    lo, at, masks = lo - lo[0], own.field("at").to_pylist(), own.field("mask").to_pylist()
+    lo, at, masks = lo - lo[0], own.field("at").to_pylist(), [own.field(f"mask{j}").to_pylist() for j in range(len(sizes))]
     for i, _, buf, offs in T.chunks(unpacked(b.column(text)) if pa.types.is_binary(b.column(text).type) else b.column(text)):
         for d in range(len(offs) - 1):
             raw, a, e = buf[offs[d] : offs[d + 1]], lo[i + d], lo[i + d + 1]
-            yield raw, None if null[i + d] or a == e else removed(len(raw), at[a:e], masks[a:e], size)
+            none = null[i + d] or a == e
+            yield raw, [None if none or not any(m[a:e]) else removed(len(raw), at[a:e], m[a:e], n) for n, m in zip(sizes, masks, strict=True)]
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, also: int | None = None) -> DataFrame:
@@ -322,14 +331,14 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     also: a length shorter than ``size``; n_in_passages then counts the bytes that repeated strings of that length cover.
     """
-    lengths = [size] + [also] * (also is not None)
+    lengths = (size,) if also is None else (also, size)
     names = ["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_in_passages"][: 4 + len(lengths)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, 1):
             out: list[tuple] = []
-            for (raw, gone), *short in zip(*(_kept(b, 1, 2 + k, n) for k, n in enumerate(lengths)), strict=True):
-                more = [0 if near is None else int(near.sum()) for _, near in short]
+            for raw, (*near, gone) in _kept(b, 1, 2, lengths):
+                more = [0 if x is None else int(x.sum()) for x in near]
                 if gone is None:
                     out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), *more))
                 else:
@@ -339,17 +348,8 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = keyed(docs, doc_id, text)
     texts = packed(rows)
-    if also is None:
-        out = texts.join(repeats(rows, texts, size).withColumnRenamed("spots", "spots0"), ["slot", "mark"], "left")
-    else:
-        # a longer string repeats only where the shorter ones in it do: so many windows, eight to a byte of the masks
-        near = written(repeats(rows, texts, also))
-        windows = F.aggregate("spots", F.lit(0), lambda n, x: n + F.octet_length(x["mask"])) * 8
-        few = texts.join(near.where(windows > size - also).select("slot", "mark"), ["slot", "mark"], "left_semi")
-        long = repeats(few.mapInArrow(_plain, "slot long, mark long, text string"), texts, size)
-        out = texts.join(long.withColumnRenamed("spots", "spots0"), ["slot", "mark"], "left").join(near.withColumnRenamed("spots", "spots1"), ["slot", "mark"], "left")
     kinds = ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names)
-    out = out.select("slot", "packed", *(f"spots{k}" for k in range(len(lengths)))).mapInArrow(run, kinds)
+    out = texts.join(repeats(rows, texts, *lengths), ["slot", "mark"], "left").select("slot", "packed", "spots").mapInArrow(run, kinds)
     return out.select(own_id(docs.schema[doc_id].dataType.simpleString()).alias(doc_id), *names[1:])
 
 
@@ -364,7 +364,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = columns.index(text)
         for b in T.slices(batches, k):
-            new = [(raw if gone is None else raw[~gone]).tobytes().decode("utf-8", "ignore") for raw, gone in _kept(b, k, len(columns), size)]
+            new = [(raw if gone is None else raw[~gone]).tobytes().decode("utf-8", "ignore") for raw, (gone,) in _kept(b, k, len(columns), (size,))]
             texts = pa.array(new, pa.string())
             if b.column(k).null_count:
                 texts = pa.compute.if_else(b.column(k).is_null(), pa.scalar(None, pa.string()), texts)
