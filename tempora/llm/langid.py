@@ -7,7 +7,8 @@ filter bank costs a table read per byte; each text is cut into windows that toge
 all of it, and the windows' log-probabilities are averaged by the bytes they hold.
 
 At most ``sample`` documents (those with the least hashes of their ids), whole, are learned from;
-tasks cut them into windows, of which the driver gets a byte per place.  Every text is predicted
+tasks cut them into windows, short ones too, of which the driver gets a byte per place: at most
+``WINDOWS`` of them, those with the least hashes, however long the texts are.  Every text is predicted
 whole, in one pass without a shuffle.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0, as does
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from tempora.llm import textops as T
 from tempora.llm.shared import held_out, sampled
 
-SAMPLE = 2000
+SAMPLE = 2000  # documents learned from
+WINDOWS = 1 << 17  # windows learned from
 LENGTH, TAIL = 128, 3  # window, and the bytes after it that its last filters see
 CLASSES, FILTERS, WIDTHS = 64, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 4, 128, 0.01
@@ -132,13 +134,12 @@ class Network:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of 16 bytes or more: language, classes, bytes."""
+    """All windows of the texts: language, classes of the bytes."""
     for b in batches:
         lang = b.column(0)
-        for x, doc, size in windows(b.column(1)):
-            keep = size >= 16
-            rows = [w.tobytes() for w in np.ascontiguousarray(x.T[keep].astype(np.uint8))]
-            yield pa.RecordBatch.from_arrays([lang.take(pa.array(doc[keep])), pa.array(rows, pa.binary())], names=["lang", "window"])
+        for x, doc, _ in windows(b.column(1)):
+            rows = [w.tobytes() for w in np.ascontiguousarray(x.T.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(doc)), pa.array(rows, pa.binary())], names=["lang", "window"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
@@ -148,7 +149,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     chosen = sampled(known.distinct(), sample, "doc_id", "lang", "mark")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.lang") == F.col("c.lang")) & (F.xxhash64("d.text") == F.col("c.mark"))
     texts = docs.alias("d").join(F.broadcast(chosen.alias("c")), same).select("c.doc_id", "c.lang", "c.mark", "d.text").dropDuplicates(["doc_id", "lang", "mark"])
-    rows = texts.select("lang", "text").mapInArrow(_cut, "lang string, window binary").collect()
+    cut = texts.select("lang", "text").mapInArrow(_cut, "lang string, window binary")
+    rows = cut.orderBy(F.xxhash64("window"), "window", "lang").limit(WINDOWS).collect()
     labels = sorted({r.lang for r in rows})
     if not labels:
         return None
