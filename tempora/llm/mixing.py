@@ -129,10 +129,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> Classifier | None:
-    """labelled: doc_id, domain (rows with other domains, or null ones, are left out)."""
+    """labelled: doc_id, domain (rows with other domains, or null ones, are left out); of a repeated id the least text is learned from."""
     known = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "domain")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("domain").alias("domain"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(_sums, f"doc_id {kind}, buckets binary, times binary, dense array<double>, scale double, domain string").orderBy("doc_id", "buckets", "times").collect()
     if not rows:
