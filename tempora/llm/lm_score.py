@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ OWN = 448  # of these, symbols of their own
 CLASSES = 192
 DIM, BATCH, NOISE, RATE = 32, 1024, 64, 0.08
 SHARD, ROUNDS = 1 << 20, 3
+FAN_IN = 64  # tasks whose sums are added in one group
 END = np.uint64(0x7E3D5A1BC0F48961)
 
 SYMBOLS = OWN + CLASSES
@@ -278,14 +280,24 @@ def _train(model: Model, state: list[np.ndarray], begin: int):
                     seen += len(sym)
         close()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([float(total)] * len(sums)), pa.array([x.astype("<f8").tobytes() for x in sums], pa.binary())], names=["part", "weight", "value"])
+            leaf = TaskContext.get().partitionId() // FAN_IN
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(sums)), pa.int32()), pa.array([leaf] * len(sums), pa.int32()), pa.array([float(total)] * len(sums)), pa.array([x.astype("<f8").tobytes() for x in sums], pa.binary())],
+                names=["part", "leaf", "weight", "value"],
+            )
 
     return run
 
 
-def _average(rows: pd.DataFrame) -> pd.DataFrame:
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, "<f8") for x in rows["value"])
-    return pd.DataFrame({"part": rows["part"].iloc[:1], "value": [(total / rows["weight"].sum()).tobytes()]})
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "weight": [rows["weight"].sum()], "value": [total.tobytes()]})
+
+
+def _totals(tasks: DataFrame) -> DataFrame:
+    """part, weight, value: all tasks' sums, those of FAN_IN tasks first so that no group holds them all."""
+    kind = "part int, weight double, value binary"
+    return tasks.groupBy("part", "leaf").applyInPandas(_summed, kind).groupBy("part").applyInPandas(_summed, kind)
 
 
 def train(texts: DataFrame, counts: DataFrame) -> Model:
@@ -308,9 +320,9 @@ def train(texts: DataFrame, counts: DataFrame) -> Model:
     dealt = texts.select(F.pmod(key, F.lit(shards)).alias("shard"), F.pmod(F.shiftright(key, 20), F.lit(ROUNDS)).alias("round"), key.alias("key"), "text")
     for k in range(ROUNDS):
         mine = dealt.where(F.col("round") == k).repartition("shard").sortWithinPartitions("shard", "key", "text").select("shard", "text")
-        for r in mine.mapInArrow(_train(model, state, 17 + k), "part int, weight double, value binary").groupBy("part").applyInPandas(_average, "part int, value binary").toLocalIterator():
+        for r in _totals(mine.mapInArrow(_train(model, state, 17 + k), "part int, leaf int, weight double, value binary")).toLocalIterator():
             every = [*model.net.parameters(), *state]
-            every[r.part][:] = np.frombuffer(r.value, "<f8").reshape(every[r.part].shape)
+            every[r.part][:] = (np.frombuffer(r.value, "<f8") / r.weight).reshape(every[r.part].shape)
     return model
 
 
