@@ -2,13 +2,16 @@
 
 Every word covered by a window of ``size`` words that also starts earlier (smaller id, or earlier
 in the same document) is removed.  Passages whose anchor context repeats (see ``anchors``) are
-dealt to shards by that context, so that all occurrences of a window meet in one shard.  A shard
-indexes each distinct passage once: suffix array by prefix doubling, Burrows-Wheeler transform in
-a wavelet matrix of packed bit vectors, ranks from word popcounts.  Passages stream through
-backward search from their last word to their first, all in lockstep; the matching statistic of a
-position is kept at ``size`` words by widening the interval to that of the shorter prefix.  Where it
-reaches the threshold, the interval's earliest occurrence is reported, and every occurrence of
-the passage in the corpus compares its own place with it.
+dealt to shards by that context, so that all occurrences of a window meet in one shard, each distinct
+passage once.  Of a context's passages, in order of their places, one half is indexed and the other
+half streamed through the index, then the same within each half: whatever two passages share, one of
+them is once indexed while the later one is streamed, and no index holds what is streamed through it.
+An index is a suffix array by prefix doubling, a Burrows-Wheeler transform in a wavelet matrix of
+packed bit vectors, and ranks from word popcounts.  Passages go through backward search from their
+last word to their first, all in lockstep; where no occurrence is left, the match is cut to the longest
+shorter prefix that other suffixes share, so that each position gets its matching statistic.  Where it
+reaches ``size`` words and the interval holds an earlier place, a window is reported.  Hashes deal
+passages and tell that passages are equal: all but the first of equal ones repeat as a whole.
 
 Defined cases: null text has no words; rows that repeat an id are the same document, so that
 neither's windows start earlier than the other's equal ones; documents with fewer words than
@@ -32,6 +35,7 @@ from tempora.llm import textops as T
 from tempora.llm.anchors import Passages, holders, keyed, members, own_id, packed, passages, repeated_contexts, senders, signed, unpacked
 
 SIZE, SPAN, GRAM = 20, 13, 8  # the context has SIZE - SPAN + 1 = GRAM words
+LEAD = 4  # bits of a passage's words before its anchor, at most SPAN - 1
 SHARD_BYTES = 32 << 20  # of all texts per shard, which gets those of their passages that may repeat
 
 
@@ -89,7 +93,7 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index over texts (lists of symbols 1..sigma) of at most ``longest`` symbols each."""
+    """Index over texts (lists of symbols from 1 on), for matches of up to ``window`` symbols."""
 
     def __init__(self, texts: np.ndarray, bounds: np.ndarray, window: int):
         n, m = len(texts), len(bounds) - 1
@@ -116,23 +120,28 @@ class FMIndex:
             if last:
                 break
         self.sa = order
-        sigma = int(texts.max(initial=0))
-        self.bwt = WaveletMatrix(whole[self.sa - 1], max(1, sigma.bit_length()))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(whole, minlength=sigma + 1))])  # separators sort first
-        every = np.arange(sigma + 1)
-        self.start = self.bwt.rank(every, np.zeros(sigma + 1, np.int64))[0]
+        self.common = self._common(ranks, window)
+        self.borders: dict[int, np.ndarray] = {}
+        self.counts = np.bincount(whole)
+        self.bwt = WaveletMatrix(whole[self.sa - 1], max(1, int(len(self.counts) - 1).bit_length()))
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])  # separators sort first
+        self.start = self.bwt.rank(np.arange(len(self.counts)), np.zeros(len(self.counts), np.int64))[0]
         self.window = window
-        h = max(k for k in ranks if k <= window - 1)
-        pair = lambda length: ranks[h] * np.int64(int(ranks[h].max(initial=0)) + 2) + np.append(ranks[h][length - h :], np.zeros(length - h, np.int64))[:size]
-        self.full, self.short = (self._intervals(pair(k)) for k in (window, window - 1))
-
-    def _intervals(self, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each place of the suffix array, the interval of suffixes that share its prefix."""
-        x = ident[self.sa]
-        new = np.concatenate([[True], x[1:] != x[:-1]])
-        at = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        return at[group], np.append(at[1:], len(x))[group]
+
+    def _common(self, ranks: dict[int, np.ndarray], most: int) -> np.ndarray:
+        """Common prefix of each suffix with the one before it in order, at most ``most``; 0 at both ends."""
+        i, j = self.sa[:-1], self.sa[1:]
+        out = np.zeros(len(i), np.int64)
+        for h in sorted(ranks, reverse=True):
+            x = np.minimum(np.stack([i, j]) + out, len(self.sa) - 1)
+            out += np.where(ranks[h][x[0]] == ranks[h][x[1]], h, 0)
+        return np.concatenate([[0], np.minimum(out, most), [0]]).astype(np.uint8)
+
+    def _border(self, length: int) -> np.ndarray:
+        """Where suffixes begin to differ from the one before within ``length`` symbols."""
+        if length not in self.borders:
+            self.borders[length] = np.flatnonzero(self.common < length).astype(np.int32)
+        return self.borders[length]
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of symbol + pattern."""
@@ -140,25 +149,50 @@ class FMIndex:
         base = self.first[symbol] - self.start[symbol]
         return base + a, base + b
 
-    def earliest(self, texts: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """For each window of the given texts, which the index holds, the least ``place`` of its occurrences.
+    def cut(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The wider intervals of the first ``length`` symbols."""
+        lo, hi = lo.copy(), hi.copy()
+        for k in np.unique(length).tolist():
+            mine, border = np.flatnonzero(length == k), self._border(k) if k else np.array([0, len(self.sa)])
+            g = np.searchsorted(border, lo[mine], "right")
+            lo[mine], hi[mine] = border[g - 1], border[g]
+        return lo, hi
+
+    def statistics(self, texts: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each position of the given texts, the longest match from there on (``window`` at most), and, of
+        matches that long, the least ``place`` of the occurrences (-1 for shorter ones).
 
         place: a rank of each position of the indexed texts (separators included).
         """
-        least = np.minimum.reduceat(place[self.sa], np.unique(self.full[0]))
-        group = np.cumsum(np.bincount(np.unique(self.full[0]), minlength=len(self.sa))) - 1
+        full = self._border(self.window)
+        least = np.minimum.reduceat(place[self.sa], full[:-1])
         lengths = np.diff(bounds)
-        out = np.full(len(texts), -1, np.int64)
-        lo, hi = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.sa), np.int64)
+        stat, out = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
+        lo, hi, n = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.sa), np.int64), np.zeros(len(lengths), np.int64)
         for k in range(int(lengths.max(initial=0))):
             live = np.flatnonzero(lengths > k)
             at = bounds[1:][live] - 1 - k
-            a, b = self.step(texts[at], lo[live], hi[live])
-            if k + 1 >= self.window:  # the matching statistic is at the threshold: report, then forget the last word
-                out[at] = least[group[a]]
-                a, b = self.short[0][a], self.short[1][a]
-            lo[live], hi[live] = a, b
-        return out
+            symbol, a, b, l = texts[at], lo[live], hi[live], n[live]
+            known = symbol < len(self.counts)
+            known[known] = self.counts[symbol[known]] > 0
+            a[~known], b[~known], l[~known] = 0, len(self.sa), 0  # no match holds a symbol that the index lacks
+            todo = np.flatnonzero(known)
+            while len(todo):
+                x, y = self.step(symbol[todo], a[todo], b[todo])
+                some = x < y
+                done, todo = todo[some], todo[~some]
+                a[done], b[done], l[done] = x[some], y[some], l[done] + 1
+                if len(todo):  # no such occurrence: cut the match where other suffixes go on
+                    l[todo] = np.maximum(self.common[a[todo]], self.common[b[todo]])
+                    a[todo], b[todo] = self.cut(a[todo], b[todo], l[todo])
+            stat[at] = l
+            hit = np.flatnonzero(l == self.window)
+            if len(hit):  # report, then forget the last symbol
+                out[at[hit]] = least[np.searchsorted(full, a[hit], "right") - 1]
+                l[hit] -= 1
+                a[hit], b[hit] = self.cut(a[hit], b[hit], l[hit])
+            lo[live], hi[live], n[live] = a, b, l
+        return stat, out
 
 
 # -- tasks ----------------------------------------------------------------------------
@@ -191,7 +225,7 @@ def _sent(parts: int):
                 want = members(p.context, i + p.doc, b.column(3), i, len(w.count)) | members(p.context, i + p.doc, b.column(4), i, len(w.count))
                 p = Passages(*(x[want] for x in p))
                 raw = w.buf.tobytes()
-                at = p.first - w.bounds[p.doc]
+                at = ((p.first - w.bounds[p.doc]) << LEAD) | (p.anchor - p.first)
                 for c, s, d, t, f, e in zip(p.context.view(np.int64).tolist(), p.passage.view(np.int64).tolist(), p.doc.tolist(), at.tolist(), w.start[p.first].tolist(), w.end[p.last + SIZE - 1].tolist(), strict=True):
                     me = (slots[i + d], t)
                     got = seen.get((c, s))
@@ -218,8 +252,50 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([signed(p.context[want]), signed(p.passage[want]), pa.array(slots[i + doc]), pa.array(marks[i + doc]), pa.array((p.first[want] - w.bounds[doc]).astype(np.int32))], names=["context", "passage", "slot", "mark", "at"])
 
 
+def _earlier(text: np.ndarray, cut: np.ndarray, place: np.ndarray, context: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Words of passages at which a window starts that an earlier passage of its context holds.
+
+    text, place: words as numbers, and the places of each in the corpus; cut: passage i has words cut[i]:cut[i + 1];
+    turn: a number by which the passages of one context are in order of their places.
+    """
+    order = np.lexsort((turn, context))
+    new = np.ones(len(order), bool)
+    new[1:] = context[order][1:] != context[order][:-1]
+    begin = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    rank, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - begin[group]
+    many[order] = np.diff(np.append(begin, len(order)))[group]
+    starts = np.diff(cut) - SIZE + 1  # windows of each passage
+    found = np.zeros(len(text), bool)
+
+    def picked(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words of the passages, and their bounds."""
+        n = np.diff(cut)[which]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        return np.arange(bounds[-1]) + np.repeat(cut[which] - bounds[:-1], n), bounds
+
+    for level in range(int(many.max(initial=1) - 1).bit_length() - 1, -1, -1):
+        later = (rank >> level & 1) == 1
+        met = np.concatenate([[0], np.cumsum(found)])
+        streamed = np.flatnonzero(later & (np.diff(met[cut]) < starts))  # those of which all windows are found are done
+        indexed = np.flatnonzero(~later & (((rank >> level) + 1 << level) < many))
+        if not len(streamed):
+            continue
+        inner, bounds = picked(indexed)
+        whole = np.full(len(inner) + len(indexed), np.iinfo(np.int64).max)
+        inside = np.ones(len(whole), bool)
+        inside[bounds[1:] + np.arange(len(indexed))] = False
+        whole[inside] = place[inner]
+        index = FMIndex(text[inner], bounds, SIZE)
+        mine, bounds = picked(streamed)
+        _, first = index.statistics(text[mine], bounds, whole)
+        found[mine] |= (first >= 0) & (first < place[mine])
+    return found
+
+
 def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Earliest occurrences of the windows of each distinct passage of a shard, as runs of windows that go on together."""
+    """First place of each distinct passage of a shard, and which of its windows start earlier, as runs."""
     context, passage, slot, at = (np.concatenate([np.frombuffer(x, "<i8") for x in rows[c]]) for c in ("context", "passage", "slot", "at"))
     spelled = [w for x in rows["words"] for w in zstandard.decompress(x).split(b"\n")]
     order = np.lexsort((at, slot, passage, context))
@@ -227,6 +303,7 @@ def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (context[order][1:] != context[order][:-1]) | (passage[order][1:] != passage[order][:-1])
     keep = order[new]  # one row a passage, its earliest
     context, passage, slot, at = (x[keep] for x in (context, passage, slot, at))
+    lead, at = at & (1 << LEAD) - 1, at >> LEAD
     number: dict[bytes, int] = {}
     texts: list[int] = []
     bounds = [0]
@@ -238,26 +315,20 @@ def _search_shard(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         texts += map(number.__getitem__, words)
         bounds.append(len(texts))
     text, cut = np.array(texts, np.int64), np.array(bounds)
-    del spelled, texts
-    index = FMIndex(text, cut, SIZE)
-    ids, who = np.unique(slot, return_inverse=True)
+    del spelled, texts, number
+    _, who = np.unique(slot, return_inverse=True)
     own = np.repeat(np.arange(len(keep)), np.diff(cut))
     place = (who[own] << 32) | (at[own] + np.arange(len(text)) - cut[own])  # documents in order, then words in order
-    whole = np.full(len(text) + len(keep), np.iinfo(np.int64).max)
-    inside = np.ones(len(whole), bool)
-    inside[cut[1:] + np.arange(len(keep))] = False
-    whole[inside] = place
-    found = index.earliest(text, cut, whole)
-    holds = np.flatnonzero(found >= 0)
-    f, o = found[holds], own[holds]
+    # equal windows lie alike around their anchors, so that the anchors' order is theirs
+    holds = np.flatnonzero(_earlier(text, cut, place, context, (who << 32) | (at + lead)))
+    o = own[holds]
     begins = np.ones(len(holds), bool)
-    begins[1:] = (f[1:] != f[:-1] + 1) | (o[1:] != o[:-1])
+    begins[1:] = (holds[1:] != holds[:-1] + 1) | (o[1:] != o[:-1])
     b = np.flatnonzero(begins)
     length = np.diff(np.append(b, len(holds)))
     rows_of = np.searchsorted(o[b], np.arange(len(keep) + 1))
-    j, first_slot, first_at = (holds - cut[o])[b], ids[f[b] >> 32], f[b] & 0xFFFFFFFF
-    lists = [np.split(x, rows_of[1:-1]) if len(keep) else [] for x in (j, length, first_slot, first_at)]
-    return pd.DataFrame({"context": context, "passage": passage, **dict(zip(("j", "n", "first_slot", "first_at"), lists, strict=True))})
+    lists = [np.split(x, rows_of[1:-1]) if len(keep) else [] for x in ((holds - cut[o])[b], length)]
+    return pd.DataFrame({"context": context, "passage": passage, "first_slot": slot, "first_at": at, "windows": np.diff(cut) - SIZE + 1, **dict(zip(("j", "n"), lists, strict=True))})
 
 
 def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -266,12 +337,13 @@ def repeats(rows: DataFrame, texts: DataFrame) -> DataFrame:
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     contexts = repeated_contexts(rows, find)
     sent = senders(texts, contexts).mapInArrow(_sent(parts), _SENT)
-    found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, j array<int>, n array<int>, first_slot array<long>, first_at array<int>")
+    found = sent.groupBy("part").applyInPandas(_search_shard, "context long, passage long, first_slot long, first_at int, windows int, j array<int>, n array<int>")
     places = holders(texts, contexts).mapInArrow(_places, "context long, passage long, slot long, mark long, at int")
-    # windows j .. j + n - 1 of a passage first occur at first_at, first_at + 1, ...: all before this place, or none
-    runs = F.arrays_zip("j", "n", "first_slot", "first_at")
-    earlier = F.filter(runs, lambda r: (r["first_slot"] < F.col("slot")) | ((r["first_slot"] == F.col("slot")) & (r["first_at"] < F.col("at") + r["j"])))
-    spots = F.transform(earlier, lambda r: F.struct((F.col("at") + r["j"]).alias("at"), r["n"].alias("n")))
+    # a passage that lies elsewhere before repeats as a whole, its first occurrence where others hold its windows
+    again = (F.col("slot") > F.col("first_slot")) | ((F.col("slot") == F.col("first_slot")) & (F.col("at") > F.col("first_at")))
+    spot = lambda at, n: F.struct(at.alias("at"), n.alias("n"))
+    runs = F.transform(F.arrays_zip("j", "n"), lambda r: spot(F.col("at") + r["j"], r["n"]))
+    spots = F.when(again, F.array(spot(F.col("at"), F.col("windows")))).otherwise(runs)
     return places.join(found, ["context", "passage"]).select("slot", "mark", spots.alias("spots")).where(F.size("spots") > 0).groupBy("slot", "mark").agg(F.flatten(F.collect_list("spots")).alias("spots"))
 
 

@@ -329,22 +329,47 @@ def test_substring_dedup(spark, table):
         assert sorted(map(tuple, substring_dedup.repeated_words(df).collect())) == sorted(want)
 
 
-def test_fm_index_finds_earliest_occurrences():
+@pytest.mark.parametrize("symbols", [2, 3, 6])
+def test_matching_statistics_of_texts_that_the_index_lacks(symbols):
     rnd = random.Random(6)
-    texts = [[rnd.randint(1, 3) for _ in range(rnd.randint(5, 12))] for _ in range(40)]
-    flat, bounds = np.array([x for t in texts for x in t]), np.cumsum([0] + [len(t) for t in texts])
-    place = np.full(len(flat) + len(texts), 10**9)
+    some = lambda n, k: [[rnd.randint(1, k) for _ in range(rnd.randint(5, 14))] for _ in range(n)]
+    flat = lambda ts: (np.array([x for t in ts for x in t]), np.cumsum([0] + [len(t) for t in ts]))
+    held, others = some(30, symbols), some(40, symbols + 1)  # a symbol that is not in the index
+    text, bounds = flat(held)
+    place = np.full(len(text) + len(held), 10**9)
     inside = np.ones(len(place), bool)
-    inside[bounds[1:] + np.arange(len(texts))] = False
-    place[inside] = np.arange(len(flat))
-    got = substring_dedup.FMIndex(flat, bounds, 5).earliest(flat, bounds, place)
-    first = {}
-    for k, t in enumerate(texts):
-        for i in range(len(t) - 4):
-            first.setdefault(tuple(t[i : i + 5]), bounds[k] + i)
-    for k, t in enumerate(texts):
+    inside[bounds[1:] + np.arange(len(held))] = False
+    place[inside] = rnd.sample(range(len(text)), len(text))
+    at = np.flatnonzero(inside)
+    occurs = collections.defaultdict(list)
+    for k, t in enumerate(held):
         for i in range(len(t)):
-            assert got[bounds[k] + i] == (first[tuple(t[i : i + 5])] if i + 5 <= len(t) else -1)
+            for j in range(i + 1, min(len(t), i + 5) + 1):
+                occurs[tuple(t[i:j])].append(int(place[at[bounds[k] + i]]))
+    stat, first = substring_dedup.FMIndex(text, bounds, 5).statistics(*flat(others), place)
+    ends = flat(others)[1]
+    for k, t in enumerate(others):
+        for i in range(len(t)):
+            longest = max((j for j in range(1, 6) if i + j <= len(t) and tuple(t[i : i + j]) in occurs), default=0)
+            assert stat[ends[k] + i] == longest
+            assert first[ends[k] + i] == (min(occurs[tuple(t[i : i + 5])]) if longest == 5 else -1)
+
+
+def test_windows_are_found_by_the_search_alone(monkeypatch):
+    """Passages of one context in one shard: what the search doesn't match isn't reported."""
+    rnd = random.Random(3)
+    texts = [[rnd.randint(1, 2) for _ in range(rnd.randint(20, 24))] for _ in range(30)]
+    texts += [t[2:] + [3] * 3 for t in texts[::3]] + [[4, *t] for t in texts[1::4]]
+    flat, cut = np.array([x for t in texts for x in t]), np.cumsum([0] + [len(t) for t in texts])
+    context, seen, want = np.zeros(len(texts), np.int64), set(), np.zeros(len(flat), bool)
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 19):
+            want[cut[k] + i] = tuple(t[i : i + 20]) in seen
+        seen |= {tuple(t[i : i + 20]) for i in range(len(t) - 19)}
+    run = lambda: substring_dedup._earlier(flat, cut, np.arange(len(flat)), context, np.arange(len(texts)))
+    assert want.any() and (run() == want).all()
+    monkeypatch.setattr(substring_dedup.FMIndex, "step", lambda self, symbol, lo, hi: (self.first[symbol], self.first[symbol + 1]))
+    assert (run() != want).any()
 
 
 @pytest.mark.parametrize("name", ["op4_jaccard_join", "op9_suffix_dedup", "op10_substring_dedup"])
