@@ -84,7 +84,7 @@ def _followers(blocks: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, next_text, block; ids ascend, the last document's next one is the first.
+    """doc_id, text, next_text, block and place in it; ids ascend, the last document's next one is the first.
 
     Every use of the documents below reads the same exchange, so texts are shuffled once.
     """
@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = base.select("*", F.lead("text").over(inside).alias("lead"), F.row_number().over(inside).alias("place"))
     heads = rows.where("place = 1").select("block", "text")
     border = _followers(heads.select("block")).join(heads.select(F.col("block").alias("follows"), F.col("text").alias("border_text")), "follows").select("block", "border_text")
-    return rows.join(border, "block").select("block", "doc_id", "text", F.coalesce("lead", "border_text").alias("next_text"))
+    return rows.join(border, "block").select("block", "place", "doc_id", "text", F.coalesce("lead", "border_text").alias("next_text"))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -105,38 +105,52 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(next_text, F.lit(1), cut))
 
 
+def _bit(place: str, kind: Column) -> Column:
+    """Number of a block's own (kind 0) or edited text (kind 1)."""
+    return ((F.col(place) - 1) * 2 + kind).cast("long")
+
+
+def _marked(bits: DataFrame) -> DataFrame:
+    """(block, members): the numbers that a block has, as bitmaps of 32,768 numbers each by their high part."""
+    maps = bits.groupBy("block", F.shiftright("bit", 15).alias("high")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+    return maps.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("high", "bits"))).alias("members"))
+
+
+def _is_marked(members: str, bit: Column) -> Column:
+    """Whether a bitmap holds a number: one byte is read, however many there are."""
+    low = bit.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(F.element_at(members, F.shiftright(bit, 15)), (F.shiftright(low, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    flag = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (low.bitwiseAND(F.lit(7)) + 1).cast("int")))
+    return F.coalesce(flag > 0, F.lit(False))
+
+
 def fingerprint_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each document and of its edited text, and likenesses to the edited and the next text."""
     near = with_next(docs, doc_id, text)
     texts = near.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     forms = texts.select(
-        "block", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "block", "place", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         canonical(F.col("text")).alias("c0"), canonical(F.col("edited")).alias("c1"), canonical(F.col("next_text")).alias("c2"),
     )
     light = forms.select(
-        "block", "doc_id", "n_chars", "edited_sha256", wide_hash(F.col("c0")).alias("d0"), wide_hash(F.col("c1")).alias("d1"),
+        "block", "place", "doc_id", "n_chars", "edited_sha256", wide_hash(F.col("c0")).alias("d0"), wide_hash(F.col("c1")).alias("d1"),
         (F.col("c0") == F.col("c1")).cast("double").alias("near_edited"), (F.col("c0") == F.col("c2")).cast("double").alias("near_next"),
     )
 
     # byte comparison inside buckets of two or more: only their members' texts go on, equal ones merged first
-    digests = light.select("block", "doc_id", F.posexplode(F.array("d0", "d1")).alias("kind", "digest"))
+    digests = light.select("block", "place", F.posexplode(F.array("d0", "d1")).alias("kind", "digest"))
     shared = digests.groupBy("digest").count().where("count > 1").select("digest")
-    members = digests.join(shared, "digest", "left_semi").groupBy("block").agg(F.collect_set(F.struct("doc_id", "kind")).alias("members"))
+    members = _marked(digests.join(shared, "digest", "left_semi").select("block", _bit("place", F.col("kind")).alias("bit")))
+    form = lambda kind, text: F.when(_is_marked("members", _bit("place", F.lit(kind))), F.col(text))
     held = (
-        texts.join(members, "block")
-        .select("doc_id", F.posexplode(F.array("text", "edited")).alias("kind", "form"), "members")
-        .where(F.array_contains("members", F.struct("doc_id", "kind")))
-        .select("doc_id", "kind", canonical(F.col("form")).alias("canon"))
+        texts.join(members, "block").select("block", "place", F.posexplode(F.array(form(0, "text"), form(1, "edited"))).alias("kind", "form")).where("form is not null")
+        .select("block", "place", "kind", canonical(F.col("form")).alias("canon"))
         .withColumn("digest", wide_hash(F.col("canon")))
-    )
+    )
     by = Window.partitionBy("digest").orderBy("canon")
     clashes = held.select("digest", "canon").distinct().withColumn("ordinal", F.row_number().over(by) - 1).where("ordinal > 0")
-    ordinals = held.join(clashes, ["digest", "canon"]).select("doc_id", "kind", "digest", "ordinal").distinct()
-    own = ordinals.where("kind = 0").select("doc_id", F.col("digest").alias("d0"), F.col("ordinal").alias("o0"))
-    new = ordinals.where("kind = 1").select("doc_id", F.col("digest").alias("d1"), F.col("ordinal").alias("o1"))
+    ordinals = held.join(clashes, ["digest", "canon"]).select("block", "place", "kind", "ordinal")
+    own, new = (ordinals.where(F.col("kind") == k).select("block", "place", F.col("ordinal").alias(f"o{k}")) for k in (0, 1))
     named = lambda d, o: F.when(F.col(o).isNull(), F.col(d)).otherwise(F.concat_ws("-", d, o))
-    return (
-        light.alias("l").join(own.alias("a"), F.col("l.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("l.d0") == F.col("a.d0")), "left")
-        .join(new.alias("b"), F.col("l.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("l.d1") == F.col("b.d1")), "left")
-        .select(F.col("l.doc_id").alias(doc_id), "n_chars", "edited_sha256", named("l.d0", "o0").alias("fingerprint"), named("l.d1", "o1").alias("edited_fingerprint"), "near_edited", "near_next")
-    )
+    out = light.join(own, ["block", "place"], "left").join(new, ["block", "place"], "left")
+    return out.select(F.col("doc_id").alias(doc_id), "n_chars", "edited_sha256", named("d0", "o0").alias("fingerprint"), named("d1", "o1").alias("edited_fingerprint"), "near_edited", "near_next")
