@@ -4,16 +4,18 @@ The trace of all refinements grows with samples times window; its changes don't.
 chunks, which run on their own with the rows of the formula's depth after them and, for what
 comes later, the time at which each signal next passes that: windows of the chunk close by these.  In a chunk the rows are
 taken in order of time.  A sample lowers the running extreme only of the times that reach it and lie above
-it, for all of which one slice is updated, and each connective looks at the times whose parts have changed.
+it, and each connective looks at the times whose parts have changed.  A task takes its chunks together, the
+n-th row of each at a time, so that short chunks of many keys cost no more than their rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.algebra import Robustness
@@ -23,22 +25,63 @@ from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, G
 
 INF = float("inf")
 NONE = np.zeros(0, np.int64)
+UNSEEN = np.iinfo(np.int64).min  # the last time of a signal without rows
+TOGETHER = 100_000  # rows of the chunks that a task takes together, about
+WALKED = 1_000_000  # cells of the walks of ``until`` at a time
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The places lo..hi-1 of each pair, one after the other."""
+    size = np.maximum(hi - lo, 0)
+    return np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _places(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, time: np.ndarray, right: bool = False) -> np.ndarray:
+    """The place of each time among t[lo:hi], as of searchsorted."""
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        at = t[np.where(open_, mid, 0)]
+        after = open_ & ((at <= time) if right else (at < time))
+        lo, hi = np.where(after, mid + 1, lo), np.where(open_ & ~after, mid, hi)
+    return lo
+
+
+class _Chunks:
+    """Rows of several chunks, each in order of time; chunk k holds the rows base[k]..base[k + 1] - 1."""
+
+    def __init__(self, t: np.ndarray, base: np.ndarray):
+        self.t, self.base = t, base
+        self.of = np.repeat(np.arange(len(base) - 1), np.diff(base))
+        self.begin, self.end = base[:-1][self.of], base[1:][self.of]
+        self.now = base[:-1].copy()  # the row that each chunk has come to
+        self.mark = np.zeros(len(t), np.int64)
+
+    def place(self, time: np.ndarray, right: bool = False) -> np.ndarray:
+        return _places(self.t, self.begin, self.end, time, right)
+
+    def distinct(self, *rows: np.ndarray) -> np.ndarray:
+        rows = np.concatenate(rows)
+        number = np.arange(len(rows))
+        self.mark[rows] = number
+        return rows[self.mark[rows] == number]
 
 
 class _Part:
-    """A subformula on the rows of a chunk: its interval at each row, as known so far (nan: none)."""
+    """A subformula on the rows of the chunks: its interval at each row, as known so far (nan: none)."""
 
-    def __init__(self, f: Formula, t: np.ndarray, signals: list[int]):
-        self.f, self.t, self.signals = f, t, signals
-        self.lo, self.hi = np.full(len(t), np.nan), np.full(len(t), np.nan)
-        self.closed = 0  # rows before this one are closed
+    def __init__(self, f: Formula, c: _Chunks, signals: list[int]):
+        self.f, self.c, self.signals = f, c, signals
+        n, t = len(c.t), c.t
+        self.lo, self.hi = np.full(n, np.nan), np.full(n, np.nan)
         if isinstance(f, Timed):
+            self.closed = c.base[:-1].copy()  # rows of a chunk before this one are closed
             least = isinstance(f, Globally)
             self.none = INF if least else -INF
-            self.best, self.run = np.full(len(t), self.none), np.full(len(t), INF)
+            self.best, self.run = np.full(n, self.none), np.full(n, INF)
+            self.other = np.full(n, -INF if least else INF)  # the bound that a closed window sets
             # the rows whose windows begin at or before, and end at or after, each row
-            self.first, self.last = np.searchsorted(t, t - f.end), np.searchsorted(t, t - f.start, "right")
-            self.begin, self.end = np.searchsorted(t, t + f.start), np.searchsorted(t, t + f.end, "right")
+            self.first, self.last = c.place(t - f.end), c.place(t - f.start, True)
+            self.begin, self.end = c.place(t + f.start), c.place(t + f.end, True)
 
     def put(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Sets intervals; the rows that change by it."""
@@ -47,114 +90,139 @@ class _Part:
         self.lo[rows], self.hi[rows] = lo[new], hi[new]
         return rows
 
-    def newly_closed(self, ends: list[int | None], now: int) -> np.ndarray:
-        known = [ends[i] for i in self.signals] or [now]
-        if None in known:
-            return NONE
-        at = int(np.searchsorted(self.t, min(known) - self.f.depth(), "right"))
-        rows, self.closed = np.arange(self.closed, max(at, self.closed)), max(at, self.closed)
-        return rows
+    def newly_closed(self, chunks: np.ndarray, ends: np.ndarray, now: np.ndarray) -> np.ndarray:
+        known = ends[chunks][:, self.signals].min(axis=1) if self.signals else now
+        seen = known != UNSEEN
+        chunks, known = chunks[seen], known[seen]
+        was = self.closed[chunks]
+        self.closed[chunks] = _places(self.c.t, was, self.c.base[chunks + 1], known - self.f.depth(), True)
+        return _spans(was, self.closed[chunks])
 
 
 def _sweep(me: _Part, p: _Part, changed: np.ndarray, closed: np.ndarray) -> np.ndarray:
     least = isinstance(me.f, Globally)
     best, side = (np.minimum, p.hi) if least else (np.maximum, p.lo)
-    lo_row, hi_row = (int(closed[0]), int(closed[-1]) + 1) if len(closed) else (len(me.t), 0)
-    for c in changed.tolist():
-        a, e = int(me.first[c]), int(me.last[c])
-        if a < e:
-            me.best[a:e] = best(me.best[a:e], side[c])
-        lo_row, hi_row = min(lo_row, a, c), max(hi_row, e, c + 1)
-    if lo_row >= hi_row:
-        return NONE
-    rows = np.arange(lo_row, hi_row)
-    rows = rows[~np.isnan(p.lo[rows])]
-    known = me.best[rows]
-    other = np.full(len(rows), -INF if least else INF)
-    done = rows < me.closed
-    held = done & ~np.isnan(me.lo[rows])
-    other[held] = (me.lo if least else me.hi)[rows[held]]
+    a, e = me.first[changed], me.last[changed]
+    reach = _spans(a, e)
+    best.at(me.best, reach, np.repeat(side[changed], np.maximum(e - a, 0)))
     fresh = closed[~np.isnan(p.lo[closed])]
-    if len(fresh):  # what the other bound comes to in a closed window
-        rest = p.lo if least else p.hi
-        of = [float((np.nanmin if least else np.nanmax)(w)) if len(w) and not np.isnan(w).all() else me.none for w in (rest[me.begin[r] : me.end[r]] for r in fresh.tolist())]
-        other[np.searchsorted(rows, fresh)] = of
+    a, e = me.begin[fresh], me.end[fresh]
+    some = a < e
+    if some.any():  # what the other bound comes to in a closed window
+        rest = (p.lo if least else p.hi)[_spans(a[some], e[some])]
+        size = (e - a)[some]
+        me.other[fresh[some]] = best.reduceat(np.where(np.isnan(rest), me.none, rest), np.cumsum(size) - size)
+    me.other[fresh[~some]] = me.none
+    rows = me.c.distinct(reach, changed, closed)
+    rows = rows[~np.isnan(p.lo[rows])]
+    known, other = me.best[rows], me.other[rows]
     return me.put(rows, *((other, known) if least else (known, other)))
 
 
-def _walk(left: np.ndarray, right: np.ndarray, t: np.ndarray, row: int, end: int, begin: int) -> float:
-    """Best over the rows from ``begin`` on of right and the least left up to there; rows without either count for nothing."""
-    x, y = left[row:end], right[row:end]
-    ok = ~np.isnan(x) & ~np.isnan(y)
-    run = np.minimum(np.minimum.accumulate(np.where(ok, x, INF)), np.where(ok, y, -INF))[begin - row :]
-    return float(run.max(initial=-INF))
+def _walks(left: np.ndarray, right: np.ndarray, rows: np.ndarray, end: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Best over the rows of row..end-1 from ``begin`` on of right and the least left up to there; rows without either count for nothing."""
+    out, size = np.full(len(rows), -INF), end - rows
+    order = np.argsort(size, kind="stable")
+    order = order[size[order] > 0]
+    while len(order):  # the longest first, as many as fit beside it
+        some = order[-max(1, WALKED // int(size[order[-1]])) :]
+        order = order[: -len(some)]
+        step = np.arange(int(size[some[-1]]))
+        at = rows[some][:, None] + step
+        inside = step < size[some][:, None]
+        at = np.where(inside, at, 0)
+        x, y = left[at], right[at]
+        ok = inside & ~np.isnan(x) & ~np.isnan(y)
+        run = np.minimum.accumulate(np.where(ok, x, INF), axis=1)
+        best = np.minimum(run, np.where(ok & (at >= begin[some][:, None]), y, -INF))
+        out[some] = best.max(axis=1)
+    return out
 
 
-def _until(me: _Part, p: list[_Part], changed: np.ndarray, closed: np.ndarray, row: int, final: bool) -> np.ndarray:
-    """final: the operands are known for good as they arrive, so that running values do."""
+def _until(me: _Part, p: list[_Part], changed: np.ndarray, closed: np.ndarray, final: bool) -> np.ndarray:
+    """final: the operands are known for good as they arrive, one row of a chunk at a time, so that running values do."""
     left, right = p
-    live = ~np.isnan(left.lo) & ~np.isnan(right.lo)
-    touched = [closed]
-    for c in changed[live[changed]].tolist():
-        a, e = int(me.first[c]), int(me.last[c])
-        if final:
-            me.run[a : c + 1] = np.minimum(me.run[a : c + 1], left.lo[c])
-            me.best[a:e] = np.maximum(me.best[a:e], np.minimum(right.lo[c], me.run[a:e]))
-        touched.append(np.arange(a, c + 1))
-    rows = np.unique(np.concatenate(touched))
-    rows = rows[live[rows]]
+    live = changed[~np.isnan(left.lo[changed]) & ~np.isnan(right.lo[changed])]
+    a, e = me.first[live], me.last[live]
+    reach = _spans(a, live + 1)
+    if final:
+        me.run[reach] = np.minimum(me.run[reach], np.repeat(left.lo[live], live + 1 - a))
+        met = _spans(a, e)
+        me.best[met] = np.maximum(me.best[met], np.minimum(np.repeat(right.lo[live], np.maximum(e - a, 0)), me.run[met]))
+    rows = me.c.distinct(reach, closed)
+    rows = rows[~np.isnan(left.lo[rows]) & ~np.isnan(right.lo[rows])]
+    own = me.c.of[rows]
     if not final:
-        for r in rows.tolist():
-            me.best[r] = _walk(left.lo, right.lo, me.t, r, min(int(me.end[r]), row + 1), int(me.begin[r]))
-    high = np.full(len(rows), INF)
-    for k in np.flatnonzero(rows < me.closed).tolist():
-        r = int(rows[k])
-        high[k] = me.best[r] if final else _walk(left.hi, right.hi, me.t, r, int(me.end[r]), int(me.begin[r]))
+        me.best[rows] = _walks(left.lo, right.lo, rows, np.minimum(me.end[rows], me.c.now[own] + 1), me.begin[rows])
+    high, done = np.full(len(rows), INF), rows < me.closed[own]
+    shut = rows[done]
+    high[done] = me.best[shut] if final else _walks(left.hi, right.hi, shut, me.end[shut], me.begin[shut])
     return me.put(rows, me.best[rows], high)
 
 
-def _changes(plan: Plan, t: np.ndarray, own: np.ndarray, known: list[np.ndarray], margins: dict[Formula, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(now, row, lo, hi) of the changes at the chunk's own rows; known: which signals each row moves on."""
-    parts = {f: _Part(f, t, [plan.signals.index(s) for s in f.signals()]) for f in plan.number}
+def _changes(plan: Plan, t: np.ndarray, base: np.ndarray, own: np.ndarray, known: list[np.ndarray], margins: dict[Formula, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(now, row, lo, hi) of the changes at the chunks' own rows; known: which signals each row moves on."""
+    c = _Chunks(t, base)
+    parts = {f: _Part(f, c, [plan.signals.index(s) for s in f.signals()]) for f in plan.number}
     timeless = {f for f in plan.number if not any(isinstance(x, Timed) for x in f.walk())}
-    ends: list[int | None] = [None] * len(known)
+    ends = np.full((len(base) - 1, len(known)), UNSEEN)
+    size = np.diff(base)
+    order = np.argsort(-size, kind="stable")  # the chunks that have an n-th row come first
+    counts = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))))
     out: list[tuple] = []
-    for row, now in enumerate(t.tolist()):
+    for step, n in enumerate(counts.tolist()):
+        chunks = order[:n]
+        here = base[chunks] + step
+        c.now[chunks] = here
         for i, k in enumerate(known):
-            if k[row]:
-                ends[i] = now
-        here, moved = np.array([row]), {}
+            moves = k[here]
+            ends[chunks[moves], i] = t[here[moves]]
+        moved: dict[Formula, np.ndarray] = {}
         for f in plan.number:
             me, p = parts[f], [parts[x] for x in f.parts]
             if isinstance(f, Constant):
-                moved[f] = me.put(here, *[np.array([INF if f.value else -INF])] * 2) if margins[f][row] else NONE
+                rows = here[margins[f][here]]
+                moved[f] = me.put(rows, *[np.full(len(rows), INF if f.value else -INF)] * 2)
             elif isinstance(f, Compare):
                 moved[f] = me.put(here, *[margins[f][here]] * 2)
             elif isinstance(f, Not):
                 rows = moved[f.part]
-                moved[f] = me.put(rows, -p[0].hi[rows], -p[0].lo[rows]) if len(rows) else NONE
+                moved[f] = me.put(rows, -p[0].hi[rows], -p[0].lo[rows])
             elif isinstance(f, (And, Or)):
-                a, b = (moved[x] for x in f.parts)
-                rows = np.union1d(a, b) if len(a) and len(b) else a if len(a) else b
+                rows = c.distinct(*(moved[x] for x in f.parts))
                 join = np.minimum if isinstance(f, And) else np.maximum  # nan of either side stays
-                moved[f] = me.put(rows, join(p[0].lo[rows], p[1].lo[rows]), join(p[0].hi[rows], p[1].hi[rows])) if len(rows) else NONE
+                moved[f] = me.put(rows, join(p[0].lo[rows], p[1].lo[rows]), join(p[0].hi[rows], p[1].hi[rows]))
             else:
-                changed = np.unique(np.concatenate([moved[x] for x in f.parts]))
-                closed = me.newly_closed(ends, now)
+                changed, closed = c.distinct(*(moved[x] for x in f.parts)), me.newly_closed(chunks, ends, t[here])
                 if not len(changed) and not len(closed):
                     moved[f] = NONE
                 elif isinstance(f, (Globally, Eventually)):
                     moved[f] = _sweep(me, p[0], changed, closed)
                 else:
-                    moved[f] = _until(me, p, changed, closed, row, all(x in timeless for x in f.parts))
+                    moved[f] = _until(me, p, changed, closed, all(x in timeless for x in f.parts))
         rows = moved[plan.formula]
         rows = rows[own[rows]]
         if len(rows):
             top = parts[plan.formula]
-            out.append((np.full(len(rows), now), rows, top.lo[rows], top.hi[rows]))
+            out.append((t[c.now[c.of[rows]]], rows, top.lo[rows], top.hi[rows]))
     if not out:
-        return np.zeros(0, np.int64), NONE, np.zeros(0), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        return NONE, NONE, np.zeros(0), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Whole chunks together, of so many rows or a few more; n counts a chunk's rows from 1."""
+    held, rows = [], 0
+    for b in batches:
+        if rows + b.num_rows >= least and len(begins := np.flatnonzero(b.column("n").to_numpy() == 1)):
+            cut = int(begins[-1])
+            if rows + cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, rows, b = [], 0, b.slice(cut)
+        held.append(b)
+        rows += b.num_rows
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def refinements(trace: DataFrame, formula: Formula, synchronize: str = "none", bindings: Bindings | None = None, chunk: int | None = None) -> DataFrame:
@@ -185,11 +253,20 @@ def refinements(trace: DataFrame, formula: Formula, synchronize: str = "none", b
 
     plain, some = replace(plan, logs={}), len(moves)  # tasks get no tables
 
-    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="chunk").groupby("t_us", sort=True).agg({"key": "first"} | {c: "max" for c in rows.columns if c not in ("key", "chunk", "t_us")}).reset_index()
-        t, real = rows["t_us"].to_numpy(np.int64), rows["real"].to_numpy(bool)
-        margins = {f: rows[f"m{k}"].to_numpy(float) for k, f in enumerate(atoms)} | {f: real for f in plain.number if isinstance(f, Constant)}
-        now, row, lo, hi = _changes(plain, t, rows["own"].to_numpy(bool), [rows[f"k{i}"].to_numpy(bool) for i in range(some)], margins)
-        return pd.DataFrame({"key": pd.Series([rows["key"].iloc[0]] * len(now), dtype=object), "now_us": now, "t_us": t[row], "lo": lo, "hi": hi})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, TOGETHER):
+            begins = rows.column("n").to_numpy() == 1
+            t = rows.column("t_us").to_numpy()
+            new = begins.copy()
+            new[1:] |= t[1:] != t[:-1]
+            at = np.flatnonzero(new)  # of rows of one time, in which several signals end, one is left
+            any_of = lambda c: np.logical_or.reduceat(rows.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), at)
+            real = any_of("real")
+            margins = {f: np.fmax.reduceat(rows.column(f"m{k}").cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False), at) for k, f in enumerate(atoms)} | {f: real for f in plain.number if isinstance(f, Constant)}
+            base = np.append(np.flatnonzero(begins[at]), len(at))
+            now, row, lo, hi = _changes(plain, t[at], base, any_of("own"), [any_of(f"k{i}") for i in range(some)], margins)
+            keys = rows.column("key").combine_chunks().take(pa.array(at[row]))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(now), pa.array(t[at[row]]), pa.array(lo), pa.array(hi)], names=["key", "now_us", "t_us", "lo", "hi"])
 
-    return seen.groupBy("key", "chunk").applyInPandas(run, f"key {kind}, now_us long, t_us long, lo double, hi double")
+    by = Window.partitionBy("key", "chunk").orderBy("t_us")  # a chunk's rows come in this order, one chunk after the other
+    return seen.withColumn("n", F.row_number().over(by)).mapInArrow(run, f"key {kind}, now_us long, t_us long, lo double, hi double")

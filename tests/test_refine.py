@@ -3,10 +3,11 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tempora.operators.evaluate import Plan
-from tempora.operators.refine import refinements
+from tempora.operators.refine import _whole, refinements
 from tempora.plans.notation import formula
 from tempora.streaming.keyed import Open, bounds_of
 
@@ -62,3 +63,20 @@ def test_as_many_rows_as_changes(spark):
     assert refinements(spark.createDataFrame(rows, TRACE), f, chunk=300 * S).count() == sum(min(50, n - 1 - t) + 1 for t in range(n))
     # two values: at most one change while open, one to close
     assert refinements(spark.createDataFrame(flat, TRACE), f, chunk=300 * S).count() <= 3 * n
+
+
+def test_short_chunks_of_many_keys_are_taken_together(spark):
+    rnd = random.Random(3)
+    rows = [(f"k{k}", s, (100 * k + 3 * i + rnd.randint(0, 2)) * S, round(rnd.uniform(-1, 1), 1), 10 * k + i) for k in range(120) for i in range(1 + k % 9) for s in "xy"[: 1 + k % 2]]
+    for text in ("!(G[0,4](x > 0.2)) && F[0,7](y > 0)", "x > -0.3 U[2,7] F[0,3](x > 0.4)"):
+        f = formula(text)
+        got = refinements(spark.createDataFrame(rows, TRACE), f, chunk=10 * S)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # no call of Python for each of a hundred thousand chunks
+        assert sorted(map(tuple, got.collect())) == expected(rows, f)
+
+
+def test_tables_hold_whole_chunks():
+    counts = [n for size in (1, 5, 2, 9, 1, 1, 3) for n in range(1, size + 1)]
+    batches = pa.table({"n": counts}).to_batches(max_chunksize=4)
+    found = [t.column("n").to_pylist() for t in _whole(iter(batches), 6)]
+    assert sum(found, []) == counts and all(x[0] == 1 for x in found) and len(found) > 2
