@@ -334,16 +334,20 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, per
 # -- what stars leave apart -----------------------------------------------------------
 
 
-def _blocks(rows: DataFrame, side: str) -> DataFrame:
-    """Members of each star in rows of about BLOCK; held: their histograms or their shingles."""
-    size = rows.groupBy("center").agg(F.count("*").alias("n"))
-    cut = rows.join(size, "center").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    return cut.groupBy("center", "block").agg(F.collect_list(F.struct("node", "component", "held")).alias(side)).drop("block")
+def _cut(members: DataFrame) -> DataFrame:
+    """The members with their block among all of their star (v), and among its rest (u: null in its largest component), of about BLOCK each."""
+    of = members.join(_largest(members), "center").withColumn("rest", F.col("component") != F.col("largest"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK))
+    return written(of.select("center", "node", "component", block(F.col("all")).alias("v"), F.when(F.col("rest"), block(F.col("all") - F.col("n"))).alias("u")))
 
 
-def _meet(rows: DataFrame, rest: DataFrame) -> DataFrame:
-    """Blocks of the rest of each star beside its blocks: a row a pair of blocks."""
-    return _blocks(rest, "u").join(_blocks(rows, "v"), "center")
+def _meet(cut: DataFrame, held: DataFrame) -> DataFrame:
+    """Blocks of the rest of each star beside its blocks: a row a pair of blocks.  held: (node, held), its histogram or its shingles, met once."""
+    sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("block")) for side in "uv"))).alias("at")
+    rows = cut.join(held, "node").select("center", F.struct("node", "component", "held").alias("member"), sides).where("at.block is not null")
+    blocks = written(rows.groupBy("center", "at").agg(F.collect_list("member").alias("members")))
+    u, v = (blocks.where(F.col("at.side") == side).select("center", F.col("members").alias(side)) for side in "uv")
+    return u.join(v, "center")
 
 
 def _sides(b: pa.RecordBatch) -> Iterator[tuple[object, list]]:
@@ -450,11 +454,16 @@ def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
     return written(lifted.unionByName(between).dropDuplicates(["node"]))
 
 
-def _rest(members: DataFrame, least: int = 0) -> DataFrame:
-    """The members outside the largest component of their star, of stars of more than ``least`` members."""
+def _largest(members: DataFrame) -> DataFrame:
+    """The largest component of each star, with the members of it (n) and of the star (all)."""
     sizes = members.groupBy("center", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("center").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("all")).where(F.col("all") > least)
-    return members.join(largest, "center").where("component <> largest").drop("largest", "all")
+    top = F.max(F.struct("n", "component")).alias("top")
+    return sizes.groupBy("center").agg(top, F.sum("n").alias("all")).select("center", F.col("top.component").alias("largest"), F.col("top.n").alias("n"), "all")
+
+
+def _rest(members: DataFrame, least: int) -> DataFrame:
+    """The members outside the largest component of their star, of stars of more than ``least`` members."""
+    return members.join(_largest(members).where(F.col("all") > least), "center").where("component <> largest").drop("largest", "n", "all")
 
 
 def _new_stars(members: DataFrame) -> DataFrame:
@@ -504,11 +513,11 @@ def links(docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = P
         members = _open(again.select(F.col("star").alias("center"), "node").unionByName(others), label)
 
     # a block of rest members meets each block of its star once: rows hold blocks, not pairs
-    shown = members.join(reps.select(F.col("doc_id").alias("node"), F.col("histogram").alias("held")), "node")
-    marked = written(_meet(shown, _rest(shown)).mapInArrow(_screen(percent), f"center {kind}, node {kind}").distinct())
+    shown = reps.select(F.col("doc_id").alias("node"), F.col("histogram").alias("held"))
+    marked = written(_meet(_cut(members), shown).mapInArrow(_screen(percent), f"center {kind}, node {kind}").distinct())
     sets = _sets_of(docs, marked.select("node"), words).withColumnRenamed("grams", "held")
-    full = members.join(marked, ["center", "node"], "left_semi").join(sets, "node")
-    late = _meet(full, _rest(full)).mapInArrow(_compare(percent), f"a {kind}, b {kind}")
+    full = members.join(marked, ["center", "node"], "left_semi")
+    late = _meet(_cut(full), sets).mapInArrow(_compare(percent), f"a {kind}, b {kind}")
     return written(functools.reduce(DataFrame.unionByName, [*sure, late]).distinct())
 
 
