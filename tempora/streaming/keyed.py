@@ -40,6 +40,7 @@ from tempora.streaming.latest import LatestVerdicts
 
 SEMANTICS = ("delayed_bool", "delayed_rob", "interval")
 INF = float("inf")
+NEVER = np.iinfo(np.int64).min
 
 
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,13 +58,15 @@ def replayed(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
 class Open:
     """A key's samples as aligned rows: times, and value and arrival of each signal (nan: none)."""
 
-    def __init__(self, samples: pd.DataFrame, n_signals: int, synchronize: str):
-        self.t = np.unique(samples["t_us"].to_numpy(np.int64))
+    def __init__(self, samples: pd.DataFrame | dict[str, np.ndarray], n_signals: int, synchronize: str):
+        signal, *cells = (np.asarray(samples[c]) for c in ("signal", "t_us", "value", "seq"))
+        self.t = np.unique(cells[0].astype(np.int64))
         self.value, self.arrival, self.ends = [], [], []
         t, seconds = self.t, self.t / 1_000_000
         for i in range(n_signals):
-            own = samples[samples["signal"] == i].sort_values("t_us")
-            at, v, q = (own[c].to_numpy() for c in ("t_us", "value", "seq"))
+            at, v, q = (c[signal == i] for c in cells)
+            order = np.argsort(at, kind="stable")
+            at, v, q = at[order], v[order], q[order]
             value, arrival = np.full(len(t), np.nan), np.zeros(len(t), np.int64)
             here = np.searchsorted(t, at)
             value[here], arrival[here] = v, q
@@ -164,7 +167,20 @@ def bounds_of(plan: Plan, rows: Open, bindings: Bindings | None, truth: bool, fr
 
 # -- the operator ---------------------------------------------------------------------
 
-_SAMPLES, _LEFT, _DONE = "signal int, t_us long, value double, seq long", "t_us long, lo double, hi double", "bound long"
+_SAMPLE = np.dtype([("signal", "<i8"), ("t_us", "<i8"), ("value", "<f8"), ("seq", "<i8")])
+_LEAVES = np.dtype([("t_us", "<i8"), ("lo", "<f8"), ("hi", "<f8")])
+
+
+def _packed(samples: np.ndarray, left: np.ndarray, bound: int | None) -> bytes:
+    return np.array([len(samples), bound is not None, bound or 0], "<i8").tobytes() + samples.tobytes() + left.tobytes()
+
+
+def _unpacked(raw: bytes | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    if raw is None:
+        return np.zeros(0, _SAMPLE), np.zeros(0, _LEAVES), None
+    n, bounded, bound = np.frombuffer(raw, "<i8", 3).tolist()
+    cut = 24 + n * _SAMPLE.itemsize
+    return np.frombuffer(raw[24:cut], _SAMPLE), np.frombuffer(raw[cut:], _LEAVES), bound if bounded else None
 
 
 class _Processor(StatefulProcessor):
@@ -175,79 +191,88 @@ class _Processor(StatefulProcessor):
         self.handle = handle
         m = self.monitor
         ttl = None if m.idle is None else m.idle // 1000
-        self.samples, self.left, self.done = handle.getListState("samples", _SAMPLES, ttl), handle.getListState("left", _LEFT, ttl), handle.getValueState("done", _DONE, ttl)
+        self.state = handle.getValueState("open", "rows binary", ttl)  # one value, as each call of the store costs more than a key's rows
         self.plan = Plan.of(m.formula, m.bindings)
         self.number = {s: i for i, s in enumerate(self.plan.signals)}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        new = pd.DataFrame({"signal": new["signal"].map(self.number) if self.number else 0, "t_us": new["t_us"], "value": new["value"], "seq": new["seq"]})
-        yield self._step(key, new.dropna(subset=["signal", "t_us", "value"]), timerValues)
+        new = np.concatenate([self._samples(r) for r in rows])
+        yield from self._step(key, new, timerValues)
+
+    def _samples(self, rows: pd.DataFrame) -> np.ndarray:
+        signal = np.array([self.number.get(s, -1) for s in rows["signal"].tolist()] if self.number else [0] * len(rows), np.int64)
+        ok = (signal >= 0) & rows["t_us"].notna().to_numpy() & rows["value"].notna().to_numpy()
+        out = np.zeros(int(ok.sum()), _SAMPLE)
+        out["signal"] = signal[ok]
+        for c in ("t_us", "value", "seq"):
+            out[c] = rows[c].to_numpy()[ok]
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._step(key, None, timerValues)
+        yield from self._step(key, None, timerValues)
 
     def close(self) -> None:
         pass
 
-    def _step(self, key, new: pd.DataFrame | None, timers) -> pd.DataFrame:
+    def _step(self, key, new: np.ndarray | None, timers) -> Iterator[pd.DataFrame]:
         m, depth = self.monitor, self.plan.formula.depth()
-        held = pd.DataFrame(list(self.samples.get()), columns=["signal", "t_us", "value", "seq"])
-        held = pd.DataFrame({"signal": held["signal"].astype(int), "t_us": held["t_us"].astype("int64"), "value": held["value"].astype(float), "seq": held["seq"].astype("int64")})
-        bound = self.done.get()[0] if self.done.exists() else None
+        raw = self.state.get()
+        held, leaves, bound = _unpacked(None if raw is None else bytes(raw[0]))
         now = None if m.lateness is None else timers.getCurrentWatermarkInMs() * 1000
+        signals = range(max(1, len(self.plan.signals)))
         if new is not None and len(new):
             if now is None:  # in order of arrival, each later than its signal's last
-                new = new.sort_values("seq", kind="stable")
-                last = new["signal"].map(held.groupby("signal")["t_us"].max()) if len(held) else pd.Series(np.nan, new.index)
-                top = new.groupby("signal")["t_us"].transform(lambda t: t.cummax().shift(1))
-                top = np.fmax(last.to_numpy(float), top.to_numpy(float))
-                new = new[np.isnan(top) | (new["t_us"].to_numpy() > top)]
-            held = pd.concat([held, new.astype({"signal": int, "t_us": "int64", "seq": "int64"})], ignore_index=True)
+                new = new[np.argsort(new["seq"], kind="stable")]
+                later = np.zeros(len(new), bool)
+                for i in signals:
+                    own = np.flatnonzero(new["signal"] == i)
+                    t, last = new["t_us"][own], held["t_us"][held["signal"] == i]
+                    before = np.maximum.accumulate(np.concatenate([[last.max() if len(last) else NEVER], t]))[:-1]
+                    later[own] = t > before
+                new = new[later]
+            held = np.concatenate([held, new])
             if now is not None:  # one sample a signal and time, that of the least arrival
-                held = held.sort_values(["t_us", "seq"], kind="stable").drop_duplicates(["signal", "t_us"])
+                held = held[np.lexsort((held["seq"], held["signal"], held["t_us"]))]
+                again = (held["t_us"][1:] == held["t_us"][:-1]) & (held["signal"][1:] == held["signal"][:-1])
+                held = held[np.concatenate([[True], ~again])] if len(held) else held
         sure = held if now is None else held[held["t_us"] <= now]
-        rows = Open(sure, max(1, len(self.plan.signals)), m.synchronize)
+        rows = Open(sure, len(signals), m.synchronize)
         frontier = now if now is not None and (m.synchronize == "none" or len(self.plan.signals) < 2) else None
         lo, hi = bounds_of(self.plan, rows, m.bindings, m.semantics == "delayed_bool", frontier)
         open_ = ~np.isnan(lo)
         if bound is not None:
             open_ &= rows.t > bound
-        left = {r[0]: (r[1], r[2]) for r in self.left.get()}
+        left = {t: (a, b) for t, a, b in leaves.tolist()}
         delayed = m.semantics != "interval"
         final = final_at(self.plan, rows, self.plan.formula, frontier)
         out = [(t, a, b) for t, a, b, o, c in zip(rows.t.tolist(), lo.tolist(), hi.tolist(), open_.tolist(), final.tolist(), strict=True) if o and ((c and t not in left) if delayed else left.get(t) != (a, b))]
         left |= {t: (a, b) for t, a, b in out}
 
-        ends = rows.ends[: max(1, len(self.plan.signals))]
-        settled = frontier if frontier is not None else None if None in ends else min(ends)
+        settled = frontier if frontier is not None else None if None in rows.ends else min(rows.ends)
         if settled is not None:
             bound = settled - depth if bound is None else max(bound, settled - depth)
         if bound is not None:
             past = held["t_us"] <= bound
-            lasts = held[past].sort_values("t_us").groupby("signal").tail(1)
-            keep_last = now is None or m.synchronize != "none"
-            held = pd.concat([lasts, held[~past]]) if keep_last else held[~past]
+            if now is None or m.synchronize != "none":  # the last of each signal stays
+                for i in signals:
+                    own = np.flatnonzero(past & (held["signal"] == i))
+                    if len(own):
+                        past[own[np.argmax(held["t_us"][own])]] = False
+            held = held[~past]
             left = {t: v for t, v in left.items() if t > bound}
-        if len(held):
-            self.samples.put([(int(a), int(b), float(c), int(d)) for a, b, c, d in held[["signal", "t_us", "value", "seq"]].itertuples(index=False)])
-        else:
-            self.samples.clear()
-        if left:
-            self.left.put([(t, *v) for t, v in left.items()])
-        else:
-            self.left.clear()
-        if now is None or len(held):
-            if bound is not None:
-                self.done.update((bound,))
+        if now is not None and not len(held):
+            bound = None  # what comes for this key again is later than the watermark
+        if len(held) or left or bound is not None:
+            self.state.update((_packed(held, np.array([(t, *v) for t, v in left.items()], _LEAVES), bound),))
         else:
-            self.done.clear()  # what comes for this key again is later than the watermark
+            self.state.clear()
         if now is not None and len(held):
-            marks = np.concatenate([held["t_us"].to_numpy(), held["t_us"].to_numpy() + depth])
+            marks = np.concatenate([held["t_us"], held["t_us"] + depth])
             marks = marks[marks > now]
             if len(marks):
                 self.handle.registerTimer(int(-(-int(marks.min()) // 1000)) + 1)
-        return m._frame(key[0], out)
+        if out:
+            yield m._frame(key[0], out)
 
 
 @dataclass

@@ -4,13 +4,14 @@ import itertools
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.operators import evaluate as E
 from tempora.plans.notation import formula
 from tempora.sources.traces import events_trace
-from tempora.streaming.keyed import KeyedMonitor, replayed
+from tempora.streaming.keyed import KeyedMonitor, _LEAVES, _SAMPLE, _packed, _unpacked, replayed
 
 SCHEMA = "key long, signal string, t_us long, value double, seq long"
 SF = "/root/testdata/sf0.001"
@@ -156,3 +157,12 @@ def test_arguments():
         KeyedMonitor(formula("x > $c"))
     with pytest.raises(ValueError):
         KeyedMonitor(formula("x > 0"), lateness=1, idle=1)
+
+
+def test_a_key_is_one_value_in_the_state():
+    samples, left = np.array([(1, 5, 0.5, 9), (0, -3, float("inf"), 2)], _SAMPLE), np.array([(5, -1.0, 1.0)], _LEAVES)
+    for bound in (None, 0, -(2**62)):
+        for a, b in ((samples, left), (samples[:0], left[:0])):
+            x, y, z = _unpacked(_packed(a, b, bound))
+            assert x.tolist() == a.tolist() and y.tolist() == b.tolist() and z == bound
+    assert _unpacked(None)[2] is None
