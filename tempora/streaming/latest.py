@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 KEY = ("key", "t_us")
+PARTS = 64  # shuffle partitions whose rows of a batch make a file: dealt anew, so that what yields them keeps its tasks
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ class LatestVerdicts:
         if batch <= done:
             return
         rows = verdicts.withColumns({"batch": F.lit(batch).cast("long"), "bucket": F.floor(F.col("t_us") / F.lit(self.width))})
-        rows.coalesce(1).write.mode("overwrite").parquet(self._at("new", f"of={batch}"))
+        files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTS)
+        rows.repartition(files, *KEY).write.mode("overwrite").parquet(self._at("new", f"of={batch}"))
         if batch - done >= self.every:
             self._compact(spark, batch)
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tempora.streaming.latest import LatestVerdicts
 
 S = 1_000_000
@@ -34,3 +36,11 @@ def test_a_merge_that_was_cut_short_changes_nothing(spark, tmp_path):
         view.merge(frame(float(batch + 1)), batch)
     got = LatestVerdicts(view.folder, 10 * S, 2).read(spark).collect()
     assert sorted((r.t_us, r.value) for r in got) == [(S, 6.0), (30 * S, 6.0)]
+
+
+def test_what_yields_a_batch_keeps_its_tasks(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 4).select(F.col("id").alias("key"), (F.col("id") * S).alias("t_us"), F.spark_partition_id().alias("task"))
+    view = LatestVerdicts(str(tmp_path / "view"))
+    view.merge(rows, 0)
+    assert {r.task for r in view.read(spark).select("task").collect()} == {0, 1, 2, 3}
+    assert len(list((tmp_path / "view").rglob("*.parquet"))) == 1
