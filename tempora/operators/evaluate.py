@@ -46,13 +46,14 @@ class Plan:
     def table(self, trace: DataFrame, synchronize: str, arrivals: int | None = None, width: int | None = None) -> DataFrame:
         """One row per key and time; a formula without signals is evaluated on all of the trace."""
         if self.signals:
-            names = [f"w{j}" for j in range(len(self.logs))]
-            if names:
-                own = trace.where(F.col("signal").isin(self.signals)).select("key", "signal", "t_us", "value", "seq")
-                trace = as_of(own, dict(zip(names, self.logs.values(), strict=True)))
-            return wide(trace, self.signals, synchronize, arrivals, width, names)
+            return wide(self.arrived(trace), self.signals, synchronize, arrivals, width, [f"w{j}" for j in range(len(self.logs))])
         return trace.groupBy("key", "t_us").agg(F.max("seq").alias("seq"))
 
+    def arrived(self, trace: DataFrame) -> DataFrame:
+        """The samples of the plan's signals, with the values of variables as each arrives."""
+        own = trace.where(F.col("signal").isin(self.signals))
+        return as_of(own.select("key", "signal", "t_us", "value", "seq"), {f"w{j}": log for j, log in enumerate(self.logs.values())}) if self.logs else own
+
     def col(self, f: Formula, prefix: str = "c") -> Column:
         return F.col(f"{prefix}{self.number[f]}")
 

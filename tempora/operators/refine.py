@@ -5,7 +5,8 @@ chunks, which run on their own with the rows of the formula's depth after them a
 comes later, the time at which each signal next passes that: windows of the chunk close by these.  In a chunk the rows are
 taken in order of time.  A sample lowers the running extreme only of the times that reach it and lie above
 it, and each connective looks at the times whose parts have changed.  A task takes its chunks together, the
-n-th row of each at a time, so that short chunks of many keys cost no more than their rows.
+n-th row of each at a time, so that short chunks of many keys cost no more than their rows.  Samples are
+exchanged once, by chunk: which come too late, and which share a time, shows there.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions.algebra import Robustness
-from tempora.operators.carry import ARRIVALS, carried
+from tempora.operators.carry import ARRIVALS
 from tempora.operators.evaluate import Bindings, Plan, _limit
+from tempora.operators.sync import STRATEGIES
 from tempora.plans.formula import And, Compare, Constant, Eventually, Formula, Globally, Not, Or, Timed
 
 INF = float("inf")
@@ -225,6 +227,58 @@ def _whole(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _on_time(chunk: np.ndarray, arrival: np.ndarray, moves: list[np.ndarray]) -> list[np.ndarray]:
+    """For each signal, where its samples are that arrived before all later ones of the chunk; rows in order of time, then from the last arrival to the first."""
+    order = np.unique(arrival, return_inverse=True)[1]
+    place = order + chunk * np.int64(len(order) + 1)  # later chunks lie above
+    out = []
+    for k in moves:
+        own = np.flatnonzero(k)
+        mine = place[own]
+        kept = k.copy()
+        kept[own] = mine == np.minimum.accumulate(mine[::-1])[::-1]
+        out.append(kept)
+    return out
+
+
+def _samples(plan: Plan, trace: DataFrame, synchronize: str, width: int) -> DataFrame:
+    """key, t_us, the columns of the plan's signals, and the arrival by which a row may come too late.
+
+    Signals that are not aligned stay samples of their own, late ones too: tasks drop these and join signals
+    of one time.  Rows of any other table are all on time.
+    """
+    if plan.signals and (synchronize == "none" or len(plan.signals) == 1):
+        if synchronize not in STRATEGIES:
+            raise ValueError(f"synchronize is one of {STRATEGIES}")
+        own = plan.arrived(trace)
+        cells = [F.when(F.col("signal") == s, F.col(c)).alias(f"{p}_{i}") for i, s in enumerate(plan.signals) for p, c in [("v", "value"), ("q", "seq"), *((f"w{j}",) * 2 for j in range(len(plan.logs)))]]
+        return own.select("key", "t_us", F.coalesce(F.col("seq").cast("long"), F.lit(UNSEEN)).alias("arrival"), *cells)
+    rows = plan.table(trace, synchronize, ARRIVALS, width) if plan.signals else trace
+    return rows.withColumn("arrival", F.col("t_us"))
+
+
+def _ends(rows: DataFrame, own: Column, width: int, depth: int, signals: int) -> DataFrame:
+    """(key, chunk, t_us, arrival, k0, ..): each signal's first sample to arrive of those after what a chunk sees.
+
+    Samples after that one are later, those within sight that arrive after it come too late.  What each part of a key's
+    time holds is a row of a small table, in which windows look at the parts that follow.
+    """
+    beyond = F.col("t_us") - F.col("part") * F.lit(width) > depth  # what the chunk before does not see of a part
+    firsts = lambda name, of: [F.min(F.when(of, F.col("arrival"))).alias(f"a_{name}"), F.min_by("t_us", F.when(of, F.col("arrival"))).alias(f"t_{name}")]
+    parts = rows.withColumn("part", own).groupBy("key", "part").agg(*(c for i in range(signals) for c in (*firsts(f"{i}", F.col(f"k{i}")), *firsts(f"rest_{i}", F.col(f"k{i}") & beyond))))
+    back = Window.partitionBy("key").orderBy(F.col("back"))
+    next_, later = back.rangeBetween(-1, -1), back.rangeBetween(Window.unboundedPreceding, -2)
+    first = []
+    for i in range(signals):
+        found = [F.struct(F.min(f"a_{n}").over(w).alias("arrival"), F.min_by(f"t_{n}", f"a_{n}").over(w).alias("t_us")) for n, w in ((f"rest_{i}", next_), (f"{i}", later))]
+        first.append(F.struct(F.lit(i).alias("i"), *(F.col(f"{side}_{i}.{c}").alias(f"{c}_{side}") for side in ("next", "later") for c in ("arrival", "t_us"))))
+        parts = parts.withColumn("back", -F.col("part")).withColumns({f"next_{i}": found[0], f"later_{i}": found[1]})
+    z = parts.select("key", F.col("part").alias("chunk"), F.explode(F.array(*first)).alias("z"))
+    soon = F.coalesce(F.col("z.arrival_next") <= F.col("z.arrival_later"), F.col("z.arrival_next").isNotNull())
+    of = lambda c: F.when(soon, F.col(f"z.{c}_next")).otherwise(F.col(f"z.{c}_later")).alias(c)
+    return z.select("key", "chunk", of("t_us"), of("arrival"), *((F.col("z.i") == i).alias(f"k{i}") for i in range(signals))).where("t_us is not null")
+
+
 def refinements(trace: DataFrame, formula: Formula, synchronize: str = "none", bindings: Bindings | None = None, chunk: int | None = None) -> DataFrame:
     """(key, now_us, t_us, lo, hi): the interval of each t when first known, and at each later time that changes it.
 
@@ -234,39 +288,39 @@ def refinements(trace: DataFrame, formula: Formula, synchronize: str = "none", b
     plan = Plan.of(formula, bindings)
     depth = plan.formula.depth()
     width = max(chunk or 32 * (depth + 1), depth + 1)
-    rows = plan.table(trace, synchronize, ARRIVALS, width)
+    rows = _samples(plan, trace, synchronize, width)
     kind = trace.schema["key"].dataType.simpleString()
     atoms = [f for f in plan.number if isinstance(f, Compare)]
     margin = [F.when(F.col(f"v_{plan.signals.index(f.signal)}").isNotNull(), Robustness.compare(F.col(f"v_{plan.signals.index(f.signal)}"), f.op, _limit(plan, f, bindings))).alias(f"m{k}") for k, f in enumerate(atoms)]
-    n = len(plan.signals)
-    moves = [F.col(f"v_{i}").isNotNull().alias(f"k{i}") for i in range(n)] or [F.lit(True).alias("k0")]
-    rows = rows.select("key", "t_us", *moves, *margin)
-    own = F.floor(F.col("t_us") / F.lit(width))
-    # probes at the end of what a chunk sees, which look for each signal's next row
-    probes = rows.select("key", own.alias("chunk")).distinct().select("key", ((F.col("chunk") + 1) * width + depth).alias("t_us"), F.col("chunk").alias("probe"))
-    axis = rows.unionByName(probes, allowMissingColumns=True).withColumn("real", F.col("probe").isNull().cast("int"))
-    after = {f"z{i}": F.when(F.col(f"k{i}"), F.col("t_us")) for i in range(len(moves))}
-    ends = carried(axis, ["key"], ["t_us", "real"], own, {}, after).where("real = 0").select("key", F.col("probe").alias("chunk"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"z{i}").alias("t_us")) for i in range(len(moves))))).alias("z"))
-    ends = ends.where("z.t_us is not null").select("key", "chunk", "z.t_us", F.lit(False).alias("own"), F.lit(False).alias("real"), *((F.col("z.i") == i).alias(f"k{i}") for i in range(len(moves))))
+    moves = [F.col(f"v_{i}").isNotNull().alias(f"k{i}") for i in range(len(plan.signals))] or [F.lit(True).alias("k0")]
+    some = len(moves)
+    rows = rows.select("key", "t_us", "arrival", *moves, *margin)
+    own = F.expr(f"(t_us - pmod(t_us, {width}L)) div {width}L")  # exact, as in the tasks
     copies = F.explode(F.when(F.col("t_us") - own * F.lit(width) <= depth, F.array(own, own - 1)).otherwise(F.array(own))).alias("chunk")
-    seen = rows.select("*", copies).withColumns({"own": own == F.col("chunk"), "real": F.lit(True)}).unionByName(ends, allowMissingColumns=True)
+    seen = rows.select("*", copies).unionByName(_ends(rows, own, width, depth, some), allowMissingColumns=True)
 
-    plain, some = replace(plan, logs={}), len(moves)  # tasks get no tables
+    plain = replace(plan, logs={})  # tasks get no tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, TOGETHER):
             begins = rows.column("n").to_numpy() == 1
             t = rows.column("t_us").to_numpy()
+            moves = [rows.column(f"k{i}").to_numpy() for i in range(some)]
+            on_time = _on_time(np.cumsum(begins), rows.column("arrival").to_numpy(), moves)
             new = begins.copy()
             new[1:] |= t[1:] != t[:-1]
-            at = np.flatnonzero(new)  # of rows of one time, in which several signals end, one is left
-            any_of = lambda c: np.logical_or.reduceat(rows.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), at)
-            real = any_of("real")
-            margins = {f: np.fmax.reduceat(rows.column(f"m{k}").cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False), at) for k, f in enumerate(atoms)} | {f: real for f in plain.number if isinstance(f, Constant)}
+            at = np.flatnonzero(new)  # of rows of one time, in which several signals move, one is left
+            own = t[at] // width - rows.column("chunk").to_numpy()[at]  # 0 in the chunk, 1 within the depth after it, or beyond what it sees
+            real = t[at] - (t[at] // width - own + 1) * width <= depth
+            any_of = lambda x: np.logical_or.reduceat(x, at)
+            margins: dict[Formula, np.ndarray] = {f: real for f in plain.number if isinstance(f, Constant)}
+            for k, f in enumerate(atoms):
+                m = rows.column(f"m{k}").cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False)
+                margins[f] = np.fmax.reduceat(np.where(on_time[plain.signals.index(f.signal)], m, np.nan), at)
             base = np.append(np.flatnonzero(begins[at]), len(at))
-            now, row, lo, hi = _changes(plain, t[at], base, any_of("own"), [any_of(f"k{i}") for i in range(some)], margins)
+            now, row, lo, hi = _changes(plain, t[at], base, own == 0, [any_of(x) for x in on_time], margins)
             keys = rows.column("key").combine_chunks().take(pa.array(at[row]))
             yield pa.RecordBatch.from_arrays([keys, pa.array(now), pa.array(t[at[row]]), pa.array(lo), pa.array(hi)], names=["key", "now_us", "t_us", "lo", "hi"])
 
-    by = Window.partitionBy("key", "chunk").orderBy("t_us")  # a chunk's rows come in this order, one chunk after the other
+    by = Window.partitionBy("key", "chunk").orderBy("t_us", F.desc("arrival"))  # a chunk's rows come in this order, one chunk after the other
     return seen.withColumn("n", F.row_number().over(by)).mapInArrow(run, f"key {kind}, now_us long, t_us long, lo double, hi double")

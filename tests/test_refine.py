@@ -80,3 +80,23 @@ def test_tables_hold_whole_chunks():
     batches = pa.table({"n": counts}).to_batches(max_chunksize=4)
     found = [t.column("n").to_pylist() for t in _whole(iter(batches), 6)]
     assert sum(found, []) == counts and all(x[0] == 1 for x in found) and len(found) > 2
+
+
+def on_time(rows):
+    """The samples that are later than all of their signal that arrived before them."""
+    latest, out = {}, []
+    for r in sorted(rows, key=lambda r: r[4]):
+        if r[2] > latest.get(r[:2], -(10**18)):
+            latest[r[:2]] = r[2]
+            out.append(r)
+    return out
+
+
+@pytest.mark.parametrize("text", ("G[0,5](x > 0)", "!(G[0,4](x > 0.2)) && F[1,7](y > 0)", "x > -0.3 U[2,7] F[0,3](y > 0.4)", "true U[0,5] (x > 0)"))
+def test_late_samples_are_left_out_without_a_join(spark, text):
+    f, rnd = formula(text), random.Random(5)
+    for late, chunk in ((3, 1), (30, 1), (30, 40)):
+        rows = [(rnd.choice("ab"), rnd.choice("xy"), (n - 60 + rnd.choice([0, 0, -rnd.randint(0, late)])) * S, round(rnd.uniform(-1, 1), 1), n) for n in range(140)]
+        got = refinements(spark.createDataFrame(rows, TRACE), f, chunk=chunk * S)
+        assert "Join " not in got._jdf.queryExecution().optimizedPlan().toString()  # samples meet by the exchange of chunks alone
+        assert sorted(map(tuple, got.collect())) == expected(on_time(rows), f)
