@@ -6,6 +6,9 @@ written as Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,26 @@ from tempora.llm import bpe, jaccard_join, mixing, quality, suffix_dedup
 from tempora.llm.shared import written
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: rows that go to Python at a time: Spark's 10,000 are 33 MB of texts of 3 KB, of which a task holds several copies in
+#: the JVM and in Python, and some stages send a text twice
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, in a session whose batches to Python have so many rows at most; a lower setting stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:  # 0 and less: no bound
+            spark.conf.set(rows, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.quality_filter(docs)
@@ -49,11 +72,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_copies),
-    ("suffix-array dedup", repeated_passages),
-    ("mixing to target weights", mixed),
-    ("BPE encoding", encoded),
+    ("quality rules", in_small_batches(quality_rules)),
+    ("n-gram Jaccard join", in_small_batches(near_copies)),
+    ("suffix-array dedup", in_small_batches(repeated_passages)),
+    ("mixing to target weights", in_small_batches(mixed)),
+    ("BPE encoding", in_small_batches(encoded)),
 ]
 
 #: SQL cannot express the learned mixing or BPE merges; tests hold run() against brute force.

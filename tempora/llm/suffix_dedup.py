@@ -42,6 +42,7 @@ from tempora.llm.shared import free_name, written
 SIZE, GRAM = 400, 32
 RUN_BYTES = 24 << 20  # of the suffixes that a task sorts at a time
 PART_BYTES = 16 << 20  # of the suffixes of a partition, about
+FIND_BYTES = 1 << 19  # of the texts whose anchors are found at a time
 
 
 def span(size: int) -> int:
@@ -54,7 +55,7 @@ def finder(size: int, reach: int | None = None):
     gram = min(GRAM, size - span(size) + 1)
 
     def find(col) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], Passages]]:
-        for i, _, buf, offs in T.chunks(col):
+        for i, _, buf, offs in T.chunks(col, FIND_BYTES):
             h = T.prefix_hash(buf)
             yield i, (buf, offs), passages(T.gram_order(h, gram), offs, len(buf), size, span(size), lambda a, e, h=h: T.range_hash(h, a, e), reach)
 
